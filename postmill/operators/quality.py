@@ -162,10 +162,10 @@ def run_state(events: DataFrame) -> DataFrame:
     )
 
 
-def active_run(pointers: DataFrame, states: DataFrame, namespace: str = "jobs_catalog") -> DataFrame:
-    """The published run of a namespace, if its tables are ready: newest pointer row joined to the run states."""
+def active_run(pointers: DataFrame, states: DataFrame, namespace: str | None = "jobs_catalog") -> DataFrame:
+    """The published run of a namespace (of each, if None) whose tables are ready: newest pointer and run state."""
     current = (
-        pointers.where(F.col("namespace") == namespace)
+        (pointers.where(F.col("namespace") == namespace) if namespace else pointers)
         .groupBy("namespace")
         .agg(F.max_by("run_id", "updated_at").alias("run_id"), F.max("updated_at").alias("updated_at"))
     )

@@ -22,7 +22,7 @@ query = Registry()
 )
 def filter_postings(spark, sf):
     return FL.apply_filters(
-        V.jobs(spark, sf), company="amazon", job_type="software_engineer", job_level="senior"
+        V.jobs(spark, sf, places=False), company="amazon", job_type="software_engineer", job_level="senior"
     ).select("external_job_id", "company", "job_type", "job_level")
 
 
@@ -33,7 +33,7 @@ def filter_postings(spark, sf):
  WHERE posted_ts >= TIMESTAMP '{V.AS_OF}' - INTERVAL 30 DAY""",
 )
 def posted_within(spark, sf):
-    return FL.apply_filters(V.jobs(spark, sf), posted="30d", as_of=F.lit(V.AS_OF).cast("timestamp")).select(
+    return FL.apply_filters(V.jobs(spark, sf, places=False), posted="30d", as_of=F.lit(V.AS_OF).cast("timestamp")).select(
         "external_job_id", epoch_seconds(F.col("posted_ts")).alias("posted_ts")
     )
 
@@ -87,7 +87,7 @@ def normalize_request_table(spark, sf):
  SELECT company, count(*) AS jobs_seen, count(job_type) AS jobs_written FROM postings GROUP BY company""",
 )
 def allowed_categories(spark, sf):
-    seen = V.jobs(spark, sf).select("company", "job_type")
+    seen = V.jobs(spark, sf, places=False).select("company", "job_type")
     written = FL.filter_allowed_categories(seen).groupBy("company").agg(F.count("*").alias("jobs_written"))
     return seen.groupBy("company").agg(F.count("*").alias("jobs_seen")).join(written, "company", "left").na.fill(0)
 
@@ -150,7 +150,7 @@ def result_rows(spark, sf):
  WHERE NOT p.is_missing_details AND d.job_description_path IS NOT NULL AND trim(d.job_description_path) <> ''""",
 )
 def index_eligibility(spark, sf):
-    return B.jobs_with_details(V.jobs(spark, sf), V.details(spark, sf)).where(FL.has_description()).select(
+    return B.jobs_with_details(V.jobs(spark, sf, places=False), V.details(spark, sf)).where(FL.has_description()).select(
         "external_job_id", "job_description_path"
     )
 
@@ -162,7 +162,7 @@ def index_eligibility(spark, sf):
  JOIN run_details d ON d.run_id = 'r2' AND d.company = p.company AND d.external_job_id = p.external_job_id""",
 )
 def jobs_with_details(spark, sf):
-    return B.jobs_with_details(V.jobs(spark, sf), V.details(spark, sf)).select(
+    return B.jobs_with_details(V.jobs(spark, sf, places=False), V.details(spark, sf)).select(
         "company", "external_job_id", "title", "job_description_path"
     )
 
@@ -178,9 +178,9 @@ def jobs_with_details(spark, sf):
 def job_details_lookup(spark, sf):
     # The requested keys are the vector ids; the company of a key comes from the run itself.
     ids = V.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("external_job_id"))
-    keys = V.jobs(spark, sf).select("run_id", "company", "external_job_id")
+    keys = V.jobs(spark, sf, places=False).select("run_id", "company", "external_job_id")
     requests = ids.join(keys, "external_job_id", "left")
-    found = B.job_details_lookup(requests, V.jobs(spark, sf), V.details(spark, sf), V.descriptions(spark, sf))
+    found = B.job_details_lookup(requests, V.jobs(spark, sf, places=False), V.details(spark, sf), V.descriptions(spark, sf))
     return found.select(
         "external_job_id", "title", epoch_seconds(F.col("posted_ts")).alias("posted_ts"),
         F.length("description").cast("bigint").alias("description_chars"), "found",
@@ -194,7 +194,7 @@ def job_details_lookup(spark, sf):
  ORDER BY posted_ts DESC NULLS LAST, external_job_id ASC LIMIT 25 OFFSET 25""",
 )
 def browse(spark, sf):
-    return B.browse(V.jobs(spark, sf), page=2).select(
+    return B.browse(V.jobs(spark, sf, places=False), page=2).select(
         "external_job_id", "company", "title", epoch_seconds(F.col("posted_ts")).alias("posted_ts")
     )
 
@@ -221,7 +221,7 @@ def browse_filtered(spark, sf):
  FROM postings WHERE job_level = 'senior'""",
 )
 def page_info(spark, sf):
-    return B.page_info(FL.apply_filters(V.jobs(spark, sf), job_level="senior"), page=3)
+    return B.page_info(FL.apply_filters(V.jobs(spark, sf, places=False), job_level="senior"), page=3)
 
 
 _FACETS = """

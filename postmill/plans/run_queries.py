@@ -44,7 +44,7 @@ def upsert_companies(spark, sf):
  FROM postings""",
 )
 def upsert_jobs(spark, sf):
-    jobs = V.jobs(spark, sf)
+    jobs = V.jobs(spark, sf, places=False)
     closed = V.table(spark, sf, "orders").where(F.col("o_orderstatus") != "O").select(
         F.col("o_orderkey").cast("string").alias("external_job_id"))
     stored = jobs.join(closed, "external_job_id", "left_semi")
@@ -78,7 +78,7 @@ def last_write_wins(spark, sf):
  FROM postings WHERE o_orderstatus = 'F' OR NOT is_missing_details""",
 )
 def upsert_details(spark, sf):
-    rows = V.jobs(spark, sf).where(~F.col("is_missing_details")).select(
+    rows = V.jobs(spark, sf, places=False).where(~F.col("is_missing_details")).select(
         "run_id", "company", "external_job_id",
         F.concat(F.lit("new/"), F.col("external_job_id")).alias("job_description_path"),
     )
@@ -94,7 +94,7 @@ def upsert_details(spark, sf):
   AS posted_ts FROM postings""",
 )
 def fill_posted_ts(spark, sf):
-    jobs = V.jobs(spark, sf)
+    jobs = V.jobs(spark, sf, places=False)
     dates = V.table(spark, sf, "orders").where(F.col("o_orderstatus") == "F").select(
         F.col("o_orderkey").cast("string").alias("external_job_id"),
         F.col("o_orderdate").cast("timestamp").alias("found_ts"),
@@ -109,7 +109,7 @@ def fill_posted_ts(spark, sf):
  SELECT external_job_id, is_missing_details OR coalesce(quality, 1) = 0 AS is_missing_details FROM postings""",
 )
 def mark_missing(spark, sf):
-    jobs = V.jobs(spark, sf)
+    jobs = V.jobs(spark, sf, places=False)
     bad = V.table(spark, sf, "labels").where(F.col("quality") == 0).select(
         F.col("doc_id").cast("string").alias("external_job_id"))
     return M.mark_missing(jobs, jobs.select(*M.KEY).join(bad, "external_job_id")).select(
@@ -127,7 +127,7 @@ def mark_missing(spark, sf):
  FROM postings p LEFT JOIN embeddings e ON e.vec_id = p.doc_id""",
 )
 def apply_features(spark, sf):
-    jobs = V.jobs(spark, sf, embedding=True)
+    jobs = V.jobs(spark, sf, embedding=True, places=False)
     docs = V.table(spark, sf, "documents").where(F.col("lang").isin("en", "de"))
     features = docs.select(
         F.col("doc_id").cast("string").alias("external_job_id"),
@@ -158,7 +158,7 @@ def apply_features(spark, sf):
 )
 def carry_forward_details(spark, sf):
     return M.carry_forward_details(
-        V.details(spark, sf, "r1"), V.jobs(spark, sf), V.details(spark, sf, fetched_only=True), "r2", _ts(V.VERSION_2)
+        V.details(spark, sf, "r1"), V.jobs(spark, sf, places=False), V.details(spark, sf, fetched_only=True), "r2", _ts(V.VERSION_2)
     ).select("run_id", "company", "external_job_id", "job_description_path")
 
 
@@ -169,23 +169,23 @@ def carry_forward_details(spark, sf):
   AS BIGINT) AS posted_ts FROM postings""",
 )
 def backfill_posted_ts(spark, sf):
-    target = V.jobs(spark, sf).withColumn(
+    target = V.jobs(spark, sf, places=False).withColumn(
         "posted_ts", F.when(~F.array_contains("skills", "lang-en"), F.col("posted_ts"))
     )
-    return M.backfill_posted_ts(target, V.jobs(spark, sf, "r1"), V.details(spark, sf, "r1")).select(
+    return M.backfill_posted_ts(target, V.jobs(spark, sf, "r1", places=False), V.details(spark, sf, "r1")).select(
         "external_job_id", epoch_seconds(F.col("posted_ts")).alias("posted_ts")
     )
 
 
 def _scraped(spark, sf):
     """Listed ids; English postings are listed on two pages."""
-    ids = V.jobs(spark, sf).select("company", "external_job_id", "skills")
+    ids = V.jobs(spark, sf, places=False).select("company", "external_job_id", "skills")
     return ids.drop("skills").unionByName(ids.where(F.array_contains("skills", "lang-en")).drop("skills"))
 
 
 def _current_details(spark, sf):
     fetched = V.details(spark, sf, fetched_only=True)
-    carried = M.carry_forward_details(V.details(spark, sf, "r1"), V.jobs(spark, sf), fetched, "r2", _ts(V.VERSION_2))
+    carried = M.carry_forward_details(V.details(spark, sf, "r1"), V.jobs(spark, sf, places=False), fetched, "r2", _ts(V.VERSION_2))
     return fetched.unionByName(carried)
 
 
@@ -209,7 +209,7 @@ def interleave_requests(spark, sf):
     positions = spark.range(1).select(
         F.posexplode(F.array(*[F.lit(name) for name in order])).alias("position", "company")
     ).withColumn("position", F.col("position") + 1)
-    requests = V.jobs(spark, sf).select("company", "external_job_id")
+    requests = V.jobs(spark, sf, places=False).select("company", "external_job_id")
     return R.interleave(requests, "company", positions, ["external_job_id"]).select(
         "company", "external_job_id", "turn", "position"
     )
@@ -228,7 +228,7 @@ def skill_requests(spark, sf):
     from ..operators.filters import has_description
 
     wanted = spark.range(1).select(F.explode(F.array(F.lit("amazon"), F.lit("apple"))).alias("company"))
-    jobs = V.jobs(spark, sf).withColumn(
+    jobs = V.jobs(spark, sf, places=False).withColumn(
         "skills", F.when(F.array_contains("skills", "lang-en"), F.col("skills")).otherwise(F.array().cast("array<string>"))
     )
     eligible = jobs_with_details(jobs, V.details(spark, sf)).where(
@@ -251,7 +251,7 @@ def skill_requests(spark, sf):
  FROM (SELECT company FROM postings UNION SELECT 'meta') c LEFT JOIN postings p USING (company) GROUP BY c.company""",
 )
 def jobs_counts(spark, sf):
-    return Q.zero_filled(V.companies(spark, sf), Q.jobs_counts(V.jobs(spark, sf)))
+    return Q.zero_filled(V.companies(spark, sf), Q.jobs_counts(V.jobs(spark, sf, places=False)))
 
 
 @query(
@@ -267,7 +267,7 @@ def jobs_counts(spark, sf):
  WHERE NOT p.is_missing_details GROUP BY p.company""",
 )
 def details_counts(spark, sf):
-    return Q.details_counts(V.jobs(spark, sf, embedding=True), V.details(spark, sf))
+    return Q.details_counts(V.jobs(spark, sf, embedding=True, places=False), V.details(spark, sf))
 
 
 @query(
@@ -311,7 +311,7 @@ def _counts(spark, sf):
     details = _current_details(spark, sf)
     return Q.consistency_counts(
         V.companies(spark, sf), scraped, M.pending_detail_requests(scraped, details),
-        V.jobs(spark, sf, embedding=True), details,
+        V.jobs(spark, sf, embedding=True, places=False), details,
     )
 
 
@@ -405,12 +405,13 @@ def run_events(spark, sf):
         F.when(kind == "error", F.col("props")).alias("db_error_message"),
         F.when(kind == "click", k < 50).alias("es_ready"),
         F.when((kind == "click") & (k >= 50), F.col("props")).alias("es_error_message"),
+        "props",
     )
 
 
 _EVENTS_SQL = """
 log AS (
- SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, ts AS at, event_type AS et, props,
+ SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, ts AS happened, event_type AS et, props,
   CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events
 ),
 events_of_runs AS (
@@ -418,7 +419,7 @@ events_of_runs AS (
   WHEN et = 'purchase' THEN 'db_published' WHEN et = 'click' THEN 'es' WHEN et = 'view' AND k < 20 THEN 'succeeded'
   ELSE 'db' END AS kind FROM log
 ),
-starts AS (SELECT run_id, max(seq) AS start_seq, min(at) AS created_at FROM events_of_runs WHERE kind = 'start'
+starts AS (SELECT run_id, max(seq) AS start_seq, min(happened) AS created_at FROM events_of_runs WHERE kind = 'start'
  GROUP BY run_id),
 live AS (SELECT e.*, s.created_at FROM events_of_runs e JOIN starts s USING (run_id) WHERE e.seq >= s.start_seq),
 states AS (
@@ -427,13 +428,13 @@ states AS (
    ELSE CASE WHEN et = 'error' THEN 'failed' ELSE 'in_progress' END END, seq)
    FILTER (WHERE kind IN ('start', 'succeeded', 'db')) AS status,
   coalesce(arg_max(et <> 'error', seq) FILTER (WHERE kind = 'db'), false) AS db_ready,
-  max(at) FILTER (WHERE kind = 'db_published') AS db_published_at,
+  max(happened) FILTER (WHERE kind = 'db_published') AS db_published_at,
   nullif(arg_max(CASE WHEN et = 'error' THEN props ELSE '' END, seq) FILTER (WHERE kind = 'db'), '')
    AS db_error_message,
   coalesce(arg_max(k < 50, seq) FILTER (WHERE kind = 'es'), false) AS es_ready,
-  max(at) FILTER (WHERE kind = 'es_published') AS es_published_at,
+  max(happened) FILTER (WHERE kind = 'es_published') AS es_published_at,
   nullif(arg_max(CASE WHEN k >= 50 THEN props ELSE '' END, seq) FILTER (WHERE kind = 'es'), '') AS es_error_message,
-  min(created_at) AS created_at, max(at) AS updated_at
+  min(created_at) AS created_at, max(happened) AS updated_at
  FROM live GROUP BY run_id
 )"""
 _STATE_COLUMNS_SQL = """run_id, status, db_ready, es_ready, db_error_message, es_error_message,
@@ -468,15 +469,17 @@ def failed_runs(spark, sf):
 @query(
     "active_run",
     f"""WITH {_EVENTS_SQL}, pointer AS (
-  SELECT et AS namespace, arg_max(run_id, at) AS run_id FROM events_of_runs WHERE kind = 'db_published' GROUP BY et)
+  SELECT 'ns-' || k AS namespace, arg_max(run_id, happened) AS run_id FROM events_of_runs
+  WHERE kind = 'db_published' GROUP BY k)
  SELECT p.namespace, p.run_id, s.status FROM pointer p JOIN states s USING (run_id) WHERE s.db_ready""",
 )
 def active_run(spark, sf):
     events = run_events(spark, sf)
     pointers = events.where(F.col("kind") == "db_published").select(
-        F.lit("purchase").alias("namespace"), "run_id", F.col("at").alias("updated_at")
+        F.concat(F.lit("ns-"), F.get_json_object("props", "$.k")).alias("namespace"), "run_id",
+        F.col("at").alias("updated_at"),
     )
-    return Q.active_run(pointers, Q.run_state(events), "purchase").select("namespace", "run_id", "status")
+    return Q.active_run(pointers, Q.run_state(events), None).select("namespace", "run_id", "status")
 
 
 @query(

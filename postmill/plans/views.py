@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_locations
 from ..functions.titles import classify_title, title_level
+from ..schemas import LOCATIONS
 
 AS_OF = "2000-01-01 00:00:00"
 VERSION_1 = "2001-08-01 00:00:00"
@@ -57,19 +58,23 @@ def _places(spark: SparkSession, sf: str, prefix: str) -> DataFrame:
     )
 
 
-def base(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per document with the columns of its part, order, customer, supplier and label."""
-    customer = table(spark, sf, "customer").join(_places(spark, sf, "c"), F.col("c_nationkey") == F.col("c_key"))
-    supplier = table(spark, sf, "supplier").join(_places(spark, sf, "s"), F.col("s_nationkey") == F.col("s_key"))
-    return (
+def base(spark: SparkSession, sf: str, places: bool = True) -> DataFrame:
+    """One row per document with the columns of its part, order, customer and label, and of its places if wanted."""
+    customer = table(spark, sf, "customer")
+    if places:
+        customer = customer.join(_places(spark, sf, "c"), F.col("c_nationkey") == F.col("c_key"))
+    out = (
         table(spark, sf, "documents")
         .join(table(spark, sf, "part"), F.col("doc_id") == F.col("p_partkey"), "left")
         .join(table(spark, sf, "orders"), F.col("doc_id") == F.col("o_orderkey"), "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(supplier, F.col("p_size") == F.col("s_suppkey"), "left")
         .join(table(spark, sf, "labels").withColumnRenamed("doc_id", "label_id"),
               F.col("doc_id") == F.col("label_id"), "left")
     )
+    if not places:
+        return out
+    supplier = table(spark, sf, "supplier").join(_places(spark, sf, "s"), F.col("s_nationkey") == F.col("s_key"))
+    return out.join(supplier, F.col("p_size") == F.col("s_suppkey"), "left")
 
 
 def with_posting_columns(df: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def with_posting_columns(df: DataFrame) -> DataFrame:
         F.lit(", "),
         F.coalesce("p_name", F.lit("open role")),
     )
-    located = F.array(
+    located = F.array().cast(LOCATIONS) if "c_nation" not in df.columns else F.array(
         F.struct(
             F.col("c_mktsegment").alias("city"),
             F.when(F.col("o_orderstatus") != "P", F.col("c_nation")).alias("region"),
@@ -131,8 +136,8 @@ def _page_postings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def jobs(spark: SparkSession, sf: str, run: str = "r2", embedding: bool = False) -> DataFrame:
-    docs = with_posting_columns(base(spark, sf)).withColumn(
+def jobs(spark: SparkSession, sf: str, run: str = "r2", embedding: bool = False, places: bool = True) -> DataFrame:
+    docs = with_posting_columns(base(spark, sf, places)).withColumn(
         "skills", F.array_distinct(F.array(F.concat(F.lit("lang-"), F.col("lang")), F.col("source")))
     )
     if run == "r1":
@@ -154,7 +159,7 @@ def jobs(spark: SparkSession, sf: str, run: str = "r2", embedding: bool = False)
 
 def details(spark: SparkSession, sf: str, run: str = "r2", fetched_only: bool = False) -> DataFrame:
     """Details rows. ``fetched_only``: the current run before carry-forward, which has closed orders only."""
-    docs = with_posting_columns(base(spark, sf))
+    docs = with_posting_columns(base(spark, sf, places=False))
     if run == "r1":
         docs = docs.where(F.col("o_orderstatus") != "O")
     elif fetched_only:
@@ -173,7 +178,7 @@ def details(spark: SparkSession, sf: str, run: str = "r2", fetched_only: bool =
 
 
 def descriptions(spark: SparkSession, sf: str, run: str = "r2") -> DataFrame:
-    docs = with_posting_columns(base(spark, sf))
+    docs = with_posting_columns(base(spark, sf, places=False))
     return docs.select(
         F.concat_ws("/", F.lit("job-details"), F.lit(run), F.col("company"),
                     F.concat("external_job_id", F.lit(".txt"))).alias("job_description_path"),
@@ -183,7 +188,7 @@ def descriptions(spark: SparkSession, sf: str, run: str = "r2") -> DataFrame:
 
 def companies(spark: SparkSession, sf: str, run: str = "r2") -> DataFrame:
     """The companies that have postings, and one that has none."""
-    found = jobs(spark, sf, run).select("company").distinct()
+    found = jobs(spark, sf, run, places=False).select("company").distinct()
     ts = F.lit(VERSION_2 if run == "r2" else VERSION_1).cast("timestamp")
     none = spark.range(1).select(F.lit("meta").alias("company"))
     return found.unionByName(none).distinct().select(

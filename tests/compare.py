@@ -62,7 +62,8 @@ def main(argv):
     from postmill.session import build_session
 
     sf = argv[0]
-    spark = build_session("compare", 8, spark__sql__shuffle__partitions="8")
+    spark = build_session("compare", 8, spark__sql__shuffle__partitions="8",
+                          spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
