@@ -8,12 +8,13 @@ import json as _json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .dates import any_epoch
 from .text import optional_string, squeeze_blank_lines, strip, unix_newlines
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: _html.unescape(v) if v is not None and "&" in v else v)
 
@@ -120,17 +121,17 @@ def _value_of(scripts, key: str):
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _deep_posting(scripts: pd.Series) -> pd.Series:
     return scripts.map(lambda s: _posting(s, True))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _listed_posting(scripts: pd.Series) -> pd.Series:
     return scripts.map(lambda s: _posting(s, False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _date_posted(scripts: pd.Series) -> pd.Series:
     return scripts.map(lambda s: _value_of(s, "dateposted"))
 

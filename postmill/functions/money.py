@@ -22,18 +22,15 @@ PUBLIC_AMOUNT = r"(?iU)([$£€])?\s*(\d[\d,]*)\s*(?:/\s*([a-z]+))?"
 # ----------------------------------------------------------------------------------------------
 
 
-def _mapped(x: Column, mapping: dict[str, str], default: Column) -> Column:
-    out = default
-    for key, value in mapping.items():
-        out = F.when(x == key, F.lit(value)).otherwise(out)
-    return out
+def lookup(x: Column, mapping: dict[str, str]) -> Column:
+    """Value of a fixed mapping, NULL when it lacks the key."""
+    return F.try_element_at(F.create_map(*[F.lit(v) for pair in mapping.items() for v in pair]), x)
 
 
 def code_currency(code: Column) -> Column:
     """A three-letter code as it is, a known two-letter code by its alias, else NULL."""
-    c = F.upper(strip(code))
-    none = F.lit(None).cast("string")
-    return F.when(F.length(c) == 3, c).when(F.length(c) == 2, _mapped(c, TWO_LETTER_CURRENCY, none))
+    c = F.upper(code)
+    return F.when(F.length(c) == 3, c).otherwise(lookup(c, TWO_LETTER_CURRENCY))
 
 
 def interval_word(text: Column) -> Column:
@@ -53,6 +50,6 @@ def public_amount(x: Column) -> Column:
     unit = F.lower(part(3))
     return F.struct(
         F.replace(part(2), F.lit(","), F.lit("")).try_cast("bigint").alias("amount"),
-        _mapped(part(1), SYMBOL_CURRENCY, F.lit(None).cast("string")).alias("currency"),
-        _mapped(unit, INTERVAL_WORD, unit).alias("interval"),
+        lookup(part(1), SYMBOL_CURRENCY).alias("currency"),
+        F.coalesce(lookup(unit, INTERVAL_WORD), unit).alias("interval"),
     )

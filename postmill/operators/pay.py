@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import unescape
-from ..functions.money import code_currency, interval_word
+from ..functions.money import code_currency, interval_word, lookup
 from ..functions.text import bind, collapse_space, strip
 from ..schemas import PAY_RANGE
 
@@ -20,6 +20,7 @@ SYMBOL_CURRENCY = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
 SENTENCE_ENDS = ".!?\n"
 TRAILING_CHARS = 64
 MINIMUM = 1000
+MARK = "\u0001"
 # ----------------------------------------------------------------------------------------------
 
 
@@ -37,41 +38,39 @@ def _has_any(x: Column, words: list[str]) -> Column:
 
 def _range_at(text: Column, start: Column, match: Column) -> Column:
     """One range: its amounts, currency, interval and the sentence around it."""
-    ends = "\n" * len(SENTENCE_ENDS)
-    before = F.translate(F.substring(text, F.lit(1), start), SENTENCE_ENDS, ends)
+    # Both patterns stop at the first sentence end, so a long text is not scanned again for each match.
+    before = F.reverse(F.substring(text, F.lit(1), start))
     after = F.substring(text, start + F.length(match) + 1, F.length(text))
-    until = F.substring_index(F.translate(after, SENTENCE_ENDS, ends), "\n", 1)
-    left = F.substring_index(before, "\n", -1)
-    right = F.substring(after, F.lit(1), F.length(until) + 1)
-    sentence = collapse_space(F.concat(left, match, right))
+    left = F.reverse(F.regexp_extract(before, f"^[^{SENTENCE_ENDS}]*", 0))
+
+    def parts(rest: Column) -> Column:
+        right = F.regexp_extract(rest, f"^[^{SENTENCE_ENDS}]*[{SENTENCE_ENDS}]?", 0)
+        context = collapse_space(F.concat(left, match, right))
+        return F.struct(context.alias("context"), F.substring(rest, 1, TRAILING_CHARS).alias("trailing"))
+
     group = lambda i: F.regexp_extract(match, RANGE, i)
+    amount = lambda i: F.replace(group(i), F.lit(","), F.lit("")).try_cast("bigint")
 
     def build(p: Column) -> Column:
-        context = F.lower(p["context"])
+        around = F.lower(F.concat_ws(" ", p["s"]["context"], p["s"]["trailing"]))
         marked = F.concat(p["code1"], p["sym1"], p["code2"], p["sym2"]) != ""
-        symbol = F.coalesce(F.nullif(p["sym1"], F.lit("")), F.nullif(p["sym2"], F.lit("")))
-        by_symbol = F.lit(None).cast("string")
-        for mark, currency in SYMBOL_CURRENCY.items():
-            by_symbol = F.when(symbol == mark, F.lit(currency)).otherwise(by_symbol)
-        low, high = p["low"], p["high"]
-        wanted = ((low >= MINIMUM) | (high >= MINIMUM)) & (marked | _has_any(context, CONTEXT_WORDS))
+        symbol = F.when(p["sym1"] != "", p["sym1"]).otherwise(p["sym2"])
+        wanted = ((p["low"] >= MINIMUM) | (p["high"] >= MINIMUM)) & (
+            marked | _has_any(F.lower(p["s"]["context"]), CONTEXT_WORDS)
+        )
+        currency = F.coalesce(code_currency(p["code1"]), code_currency(p["code2"]), lookup(symbol, SYMBOL_CURRENCY))
         return F.when(
             wanted,
             F.struct(
-                low.alias("min_amount"),
-                high.alias("max_amount"),
-                F.coalesce(code_currency(p["code1"]), code_currency(p["code2"]), by_symbol).alias("currency"),
-                interval_word(F.concat(context, F.lit(" "), F.lower(p["trailing"]))).alias("interval"),
-                F.nullif(p["context"], F.lit("")).alias("context"),
+                p["low"].alias("min_amount"), p["high"].alias("max_amount"), currency.alias("currency"),
+                bind(around, interval_word).alias("interval"), F.nullif(p["s"]["context"], F.lit("")).alias("context"),
             ),
         )
 
-    amount = lambda i: F.replace(group(i), F.lit(","), F.lit("")).try_cast("bigint")
     return bind(
         F.struct(
             group(1).alias("code1"), group(2).alias("sym1"), amount(3).alias("low"), group(4).alias("code2"),
-            group(5).alias("sym2"), amount(6).alias("high"), sentence.alias("context"),
-            F.substring(after, 1, TRAILING_CHARS).alias("trailing"),
+            group(5).alias("sym2"), amount(6).alias("high"), bind(after, parts).alias("s"),
         ),
         build,
     )
@@ -84,21 +83,22 @@ def pay_ranges(text: Column) -> Column:
     """
 
     def scan(t: Column) -> Column:
-        matches = F.regexp_extract_all(t, F.lit(RANGE), 0)
-        gaps = F.split(t, RANGE, -1)
-        lengths = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(
-            F.length(g).alias("gap"), m.alias("match")))
-        start = F.aggregate(
-            lengths,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("found")),
+        # One regex pass marks the matches; the pieces then alternate: text, match, text, ...
+        pieces = F.split(F.regexp_replace(F.replace(t, F.lit(MARK), F.lit("")), RANGE, f"{MARK}$0{MARK}"), MARK, -1)
+        none = F.array().cast("array<struct<start:int,match:string>>")
+        placed = F.aggregate(
+            F.transform(pieces, lambda piece, i: F.struct(piece.alias("piece"), i.alias("i"))),
+            F.struct(F.lit(0).alias("at"), none.alias("found")),
             lambda acc, x: F.struct(
-                (acc["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-                F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"),
-                                                        x["match"].alias("match")))).alias("found"),
+                (acc["at"] + F.length(x["piece"])).alias("at"),
+                F.when(
+                    x["i"] % 2 == 1,
+                    F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), x["piece"].alias("match")))),
+                ).otherwise(acc["found"]).alias("found"),
             ),
             lambda acc: acc["found"],
         )
-        ranges = F.transform(start, lambda m: _range_at(t, m["start"], m["match"]))
+        ranges = F.transform(placed, lambda m: _range_at(t, m["start"], m["match"]))
         return F.array_distinct(F.filter(ranges, lambda r: r.isNotNull())).cast(f"array<{PAY_RANGE.simpleString()}>")
 
     return bind(text, scan)
@@ -125,6 +125,17 @@ def extract_pay(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def pay_range_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """One row per range. The outer explode keeps Spark from testing, and so computing, the ranges twice."""
+    found = extract_pay(docs, text).select(key, F.explode_outer("pay_ranges").alias("r"))
+    return found.where(F.col("r").isNotNull()).select(key, "r.*")
+
+
+def pay_note_rows(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    found = extract_pay(docs, text).select(key, F.explode_outer("pay_notes").alias("note"))
+    return found.where(F.col("note").isNotNull())
+
+
 def merge_pay(primary: Column, fallback: Column) -> Column:
     """Ordered union of two (ranges, notes) structs without copies; the other one when one is NULL."""
     both = F.struct(

@@ -168,8 +168,7 @@ ranges AS (
     f"""WITH {_PAY_SQL} SELECT o_orderkey, min_amount, max_amount, currency, "interval", context FROM ranges""",
 )
 def extract_pay_ranges(spark, sf):
-    found = P.extract_pay(pay_texts(spark, sf)).select("o_orderkey", F.explode("pay_ranges").alias("r"))
-    return found.select("o_orderkey", "r.*").where(F.length(F.col("min_amount").cast("string")) > 3)
+    return P.pay_range_rows(pay_texts(spark, sf), "o_orderkey")
 
 
 @query(
@@ -177,10 +176,7 @@ def extract_pay_ranges(spark, sf):
     f"""WITH {_PAY_SQL} SELECT o_orderkey, own_notes AS note FROM ranges WHERE own_notes <> ''""",
 )
 def extract_pay_notes(spark, sf):
-    found = P.extract_pay(pay_texts(spark, sf))
-    return found.where(F.exists("pay_ranges", lambda r: r["min_amount"] >= 1000)).select(
-        "o_orderkey", F.explode("pay_notes").alias("note")
-    )
+    return P.pay_note_rows(pay_texts(spark, sf), "o_orderkey")
 
 
 # --- Pages ------------------------------------------------------------------------------------
