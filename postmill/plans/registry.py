@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, report_queries, run_queries, search_queries, text_queries
+from . import catalog_queries, payload_queries, report_queries, run_queries, search_queries, text_queries
 
-_MODULES = [catalog_queries, run_queries, search_queries, text_queries, report_queries]
+_MODULES = [catalog_queries, run_queries, search_queries, text_queries, payload_queries, report_queries]
 
 
 def queries():
