@@ -16,13 +16,17 @@ from .text import optional_string, squeeze_blank_lines, strip, unix_newlines
 
 @F.pandas_udf(T.StringType())
 def _unescape(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: _html.unescape(v) if v is not None and "&" in v else v)
+    return values.map(_html.unescape, na_action="ignore")
 
 
 # Entities decoded without Python.
-_COMMON = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&middot;": "·",
-           "&copy;": "©", "&ndash;": "–", "&mdash;": "—", "&bull;": "•", "&hellip;": "…",
-           "&rsquo;": "’", "&lsquo;": "‘", "&ldquo;": "“", "&rdquo;": "”"}
+_COMMON = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&middot;": "\u00b7",
+    "&copy;": "\u00a9", "&ndash;": "\u2013", "&mdash;": "\u2014", "&bull;": "\u2022", "&hellip;": "\u2026",
+    "&lsquo;": "\u2018", "&rsquo;": "\u2019", "&ldquo;": "\u201c", "&rdquo;": "\u201d",
+}
+# An entity outside that list.
+_OTHER = "&(?!(?:amp|" + "|".join(e[1:-1] for e in _COMMON) + ");)[#A-Za-z]"
 
 
 def unescape(x: Column) -> Column:
@@ -34,8 +38,8 @@ def unescape(x: Column) -> Column:
 
 
 def unescape_all(x: Column) -> Column:
-    """Decode every HTML entity (Arrow batches; a text without ``&`` is passed through)."""
-    return _unescape(x)
+    """Decode every HTML entity; only texts with an uncommon one go to Python, in Arrow batches."""
+    return F.coalesce(_unescape(F.when(x.rlike(_OTHER), x)), unescape(x))
 
 
 # --- Text of a page ---------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_strings, strip
-from ..session import broadcast_if_small
+from ..session import materialize
 
 # --- Fixed values -----------------------------------------------------------------------------
 FIRST_LEVEL_TYPES = [
@@ -29,45 +29,51 @@ def _priority(code: Column) -> Column:
 
 @dataclass
 class Gazetteer:
-    """Lookup tables by lower-case key: countries, subdivisions by name and by code, cities."""
+    """One row per lower-case key with what the key may be: a country, a region by name, regions by code, cities."""
 
-    countries: DataFrame
-    regions: DataFrame
-    codes: DataFrame
-    cities: DataFrame
+    entries: DataFrame
 
     @classmethod
     def of(cls, countries: DataFrame, subdivisions: DataFrame, cities: DataFrame) -> Gazetteer:
         """From countries (alias, name, iso2), subdivisions (code, name, country_code, type, seq) and
-        cities (name, countrycode, admin1code, population, seq). A name shared by places keeps all of them."""
+        cities (name, countrycode, admin1code, population, seq). The entries are stored, as they are read often."""
         by_alias = countries.groupBy(F.lower("alias").alias("key")).agg(
             F.min_by(F.struct("name", "iso2"), "name").alias("country"))
         names = by_alias.select(F.col("key").alias("_iso"), F.col("country.name").alias("country_name"))
         first_level = (
             subdivisions.where(F.lower("type").isin(FIRST_LEVEL_TYPES))
             .withColumn("_iso", F.lower("country_code"))
-            .join(F.broadcast(names), "_iso", "left")
+            .join(names, "_iso", "left")
             .withColumn("code", F.element_at(F.split("code", "-"), -1))
             .withColumn("place", F.struct(_priority(F.col("country_code")).alias("priority"), "seq", "name", "code",
                                           "country_code", "country_name"))
         )
-        regions = first_level.groupBy(F.lower("name").alias("key")).agg(F.max_by("place", "seq").alias("region"))
-        codes = first_level.groupBy(F.lower("code").alias("key")).agg(F.sort_array(F.collect_list("place")).alias("codes"))
-        named = cities.withColumn("_iso", F.lower("countrycode")).join(F.broadcast(names), "_iso", "left")
-        by_name = named.where(F.coalesce("name", F.lit("")) != "").groupBy(F.lower("name").alias("key")).agg(
-            F.collect_list(
-                F.struct(
-                    F.coalesce("population", F.lit(0)).cast("bigint").alias("population"),
-                    (-_priority(F.col("countrycode"))).alias("priority"),
-                    (-F.col("seq")).alias("seq"),
-                    "name",
-                    F.col("countrycode").alias("country_code"),
-                    F.col("admin1code").alias("admin1"),
-                    "country_name",
-                )
-            ).alias("cities")
+        named = cities.where(F.coalesce("name", F.lit("")) != "").withColumn("_iso", F.lower("countrycode")).join(
+            names, "_iso", "left")
+        city = F.struct(
+            F.coalesce("population", F.lit(0)).cast("bigint").alias("population"),
+            (-_priority(F.col("countrycode"))).alias("priority"),
+            (-F.col("seq")).alias("seq"),
+            "name",
+            F.col("countrycode").alias("country_code"),
+            F.col("admin1code").alias("admin1"),
+            "country_name",
         )
-        return cls(by_alias, regions, codes, by_name)
+        stacked = (
+            by_alias
+            .unionByName(first_level.select(F.lower("name").alias("key"), F.col("place").alias("region")), True)
+            .unionByName(first_level.select(F.lower("code").alias("key"), F.col("place").alias("code")), True)
+            .unionByName(named.select(F.lower("name").alias("key"), city.alias("city")), True)
+        )
+        # The lists hold the places of one name.
+        entries = stacked.groupBy("key").agg(
+            F.max("country").alias("country"),
+            F.max_by("region", "region.seq").alias("region"),
+            F.sort_array(F.collect_list("code")).alias("codes"),
+            F.collect_list("city").alias("cities"),
+        )
+        some = lambda name: F.when(F.size(name) > 0, F.col(name))
+        return cls(materialize(entries.withColumns({"codes": some("codes"), "cities": some("cities")})))
 
 
 # --- Fuzzy names ------------------------------------------------------------------------------
@@ -83,19 +89,20 @@ def _cut(length: Column, edits: Column, i: Column) -> Column:
 
 
 def fuzzy_best(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """(key, name): for each key the most similar name with 1 - levenshtein / longer length >= the ratio.
+    """(key, group, name): for each key and group of names the most similar name, if 1 - levenshtein / longer length
+    reaches the ratio. ``names`` holds (group, name).
 
     A name that may be ``d`` edits away is cut into d + 1 pieces. A key within that distance holds at least one
     piece unchanged, at most d characters from its place, so an equi-join on the pieces finds every pair.
     """
     indexed = (
-        names.select("name", F.length("name").alias("len"))
+        names.select("group", "name", F.length("name").alias("len"))
         .withColumn("edits", _edits(F.col("len")))
         .where(F.col("edits") > 0)
-        .select("name", "len", "edits", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("i"))
+        .select("group", "name", "len", "edits", F.explode(F.sequence(F.lit(0), F.col("edits"))).alias("i"))
         .withColumn("from", _cut(F.col("len"), F.col("edits"), F.col("i")))
         .withColumn("to", _cut(F.col("len"), F.col("edits"), F.col("i") + 1))
-        .select("name", "len", "i", F.substring("name", F.col("from") + 1, F.col("to") - F.col("from")).alias("piece"))
+        .select("group", "name", "len", "i", F.substring("name", F.col("from") + 1, F.col("to") - F.col("from")).alias("piece"))
     )
     reach = _edits(F.length("key")) + 1
     probes = (
@@ -117,11 +124,11 @@ def fuzzy_best(keys: DataFrame, names: DataFrame) -> DataFrame:
     ratio = 1 - F.levenshtein("key", "name") / F.greatest(F.length("key"), F.length("name"))
     return (
         probes.join(indexed, ["len", "i", "piece"])
-        .select("key", "name")
+        .select("key", "group", "name")
         .distinct()
         .withColumn("ratio", ratio)
         .where(F.col("ratio") >= FUZZY_RATIO)
-        .groupBy("key")
+        .groupBy("key", "group")
         .agg(F.min_by("name", F.struct(-F.col("ratio"), F.col("name"))).alias("name"))
     )
 
@@ -211,31 +218,27 @@ def _with_kind(tokens: DataFrame) -> DataFrame:
 
 
 def _lookups(tokens: DataFrame, gazetteer: Gazetteer) -> DataFrame:
-    """Attach the gazetteer entries of each token. Tables that measure small are broadcast."""
-    countries = broadcast_if_small(gazetteer.countries)
-    regions = broadcast_if_small(gazetteer.regions.withColumnRenamed("region", "by_name"))
-    codes = broadcast_if_small(gazetteer.codes.withColumnRenamed("codes", "by_code"))
-    cities = broadcast_if_small(gazetteer.cities, max_rows=200_000)
-    found = (
-        tokens.join(countries.withColumnRenamed("key", "whole"), "whole", "left")
-        .join(countries.withColumnRenamed("country", "bare_country"), "key", "left")
-        .join(regions, "key", "left")
-        .join(codes, "key", "left")
-        .join(cities, "key", "left")
+    """Attach the gazetteer entries of each token, and of the most similar names where a token has none.
+
+    Only tokens of distinct texts come here, so Spark may choose the joins; AQE broadcasts what it measures small.
+    """
+    entries = gazetteer.entries
+    alias = entries.where(F.col("country").isNotNull()).select(F.col("key").alias("whole"), "country")
+    own = entries.select("key", F.col("country").alias("bare_country"), F.col("region").alias("by_name"),
+                         F.col("codes").alias("by_code"), "cities")
+    found = materialize(tokens.join(alias, "whole", "left").join(own, "key", "left"))
+    nothing = F.coalesce(F.col("bare_country.name"), F.col("by_name.name"), F.get("by_code", F.lit(0))["name"],
+                         F.get("cities", F.lit(0))["name"]).isNull()
+    unknown = found.where((F.col("key") != "") & nothing).select("key").distinct()
+    groups = F.array(F.when(F.col("region").isNotNull(), "region"), F.when(F.col("cities").isNotNull(), "city"))
+    names = entries.select(F.explode(groups).alias("group"), F.col("key").alias("name")).where(F.col("group").isNotNull())
+    near = fuzzy_best(unknown, names).join(
+        entries.select(F.col("key").alias("name"), "region", "cities"), "name"
+    ).groupBy("key").agg(
+        F.max(F.when(F.col("group") == "region", F.col("region"))).alias("fuzzy_region"),
+        F.max(F.when(F.col("group") == "city", F.col("cities"))).alias("fuzzy_cities"),
     )
-    unknown = found.where(
-        (F.col("key") != "") & F.col("bare_country").isNull() & F.col("by_name").isNull()
-        & F.col("by_code").isNull() & F.col("cities").isNull()
-    ).select("key").distinct()
-    near_region = fuzzy_best(unknown, gazetteer.regions.select(F.col("key").alias("name")))
-    near_city = fuzzy_best(unknown, gazetteer.cities.select(F.col("key").alias("name")))
-    near_region = near_region.join(
-        gazetteer.regions.select(F.col("key").alias("name"), F.col("region").alias("fuzzy_region")), "name"
-    ).select("key", "fuzzy_region")
-    near_city = near_city.join(
-        gazetteer.cities.select(F.col("key").alias("name"), F.col("cities").alias("fuzzy_cities")), "name"
-    ).select("key", "fuzzy_cities")
-    return found.join(near_region, "key", "left").join(near_city, "key", "left")
+    return found.join(near, "key", "left")
 
 
 def _context(t: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import unescape
+from ..functions.html import unescape_all
 from ..functions.money import code_currency, interval_word, lookup
 from ..functions.text import bind, collapse_space, strip
 from ..schemas import PAY_RANGE
@@ -28,7 +28,7 @@ def clean_fragment(x: Column) -> Column:
     """An HTML fragment as lines of text."""
     lines = F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     lines = F.regexp_replace(lines, r"<br ?/?>|</p>|</li>", "\n")
-    plain = unescape(F.regexp_replace(lines, r"<[^>]+>", " "))
+    plain = unescape_all(F.regexp_replace(lines, r"<[^>]+>", " "))
     return strip(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\n{2,}", "\n"))
 
 

@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
-from . import catalog_queries, payload_queries, report_queries, run_queries, search_queries, text_queries
-
-_MODULES = [catalog_queries, run_queries, search_queries, text_queries, payload_queries, report_queries]
+from . import (
+    catalog_queries,
+    payload_queries,
+    report_queries,
+    run_queries,
+    scalar_queries,
+    search_queries,
+    stream_queries,
+    text_queries,
+)
+
+_MODULES = [
+    catalog_queries,
+    run_queries,
+    search_queries,
+    text_queries,
+    payload_queries,
+    report_queries,
+    scalar_queries,
+    stream_queries,
+]
 
 
 def queries():
