@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as _html
 import json as _json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -65,19 +66,22 @@ def main_content(x: Column) -> Column:
     return out
 
 
-def render(x: Column) -> Column:
+def render(x: Column, decode: Callable[[Column], Column] = unescape_all) -> Column:
     """Markup to lines of text: blocks on lines of their own, cells set apart, tags dropped, entities decoded."""
     out = F.regexp_replace(x, r"(?i)</t[dh]\s*>", " | ")
     out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    out = unescape_all(F.regexp_replace(out, r"<[^>]*>", ""))
+    out = decode(F.regexp_replace(out, r"<[^>]*>", ""))
     lines = F.transform(F.split(out, "\n"), lambda line: strip(F.regexp_replace(line, r"(?U)\s+", " ")))
     return F.nullif(F.array_join(F.filter(lines, lambda line: line != ""), "\n"), F.lit(""))
 
 
-def html_to_text(x: Column, full_document: bool = False) -> Column:
-    """Main text of a fragment or of a whole page; NULL when there is none."""
+def html_to_text(x: Column, full_document: bool = False, decode: Callable[[Column], Column] = unescape_all) -> Column:
+    """Main text of a fragment or of a whole page; NULL when there is none.
+
+    Inside array functions, where Python cannot run, pass ``decode=unescape``.
+    """
     cleaned = drop_elements(x)
-    return render(main_content(cleaned) if full_document else cleaned)
+    return render(main_content(cleaned) if full_document else cleaned, decode)
 
 
 def meta_description(x: Column) -> Column:
@@ -168,10 +172,10 @@ def page_description(page: Column) -> Column:
     return F.coalesce(described, description_text(meta_description(page)), html_to_text(page, full_document=True))
 
 
-def description_text(x: Column) -> Column:
+def description_text(x: Column, decode: Callable[[Column], Column] = unescape_all) -> Column:
     """A description that may be markup or plain text with list marks."""
     marked = F.contains(x, F.lit("<")) & F.contains(x, F.lit(">"))
-    return plain_description(F.when(marked, html_to_text(x)).otherwise(x))
+    return plain_description(F.when(marked, html_to_text(x, decode=decode)).otherwise(x))
 
 
 def plain_description(x: Column) -> Column:

@@ -12,7 +12,7 @@ from ..functions.money import public_amount
 from ..functions.text import collapse_space, dedupe, join_lines, optional_string, squeeze_blank_lines, strip
 from ..functions.text import strip_list_markers
 from ..schemas import PAY_RANGE
-from .payloads import google_rows
+from .payloads import CALLBACK
 
 # Fixed value: the note below a public compensation line.
 COMPENSATION_NOTE = (
@@ -93,7 +93,8 @@ def _google_qualifications(x: Column) -> Column:
 
 def google_description(details: DataFrame) -> DataFrame:
     """(page, external_job_id, description) from the detail block of each page."""
-    rows = google_rows(details.select("page", F.regexp_replace("payload", "'ds:0'", "'ds:1'").alias("payload")))
+    data = F.regexp_extract("payload", CALLBACK % 0, 1)
+    rows = details.select("page", F.try_variant_get(F.try_parse_json(F.nullif(data, F.lit(""))), "$[0]", "variant").alias("j"))
     field = lambda i: html_to_text(F.coalesce(
         F.try_variant_get("j", f"$[{i}][1]", "string"), F.try_variant_get("j", f"$[{i}]", "string")))
     quals = field(4)
@@ -127,10 +128,11 @@ def microsoft_description(details: DataFrame) -> DataFrame:
 def netflix_description(details: DataFrame) -> DataFrame:
     """A description is one text or a list of texts."""
     raw = _json("job_description")
-    listed = F.from_json(raw, "array<string>")
-    text = F.when(raw.startswith("[") & listed.isNotNull(), F.array_join(listed, "\n\n")).otherwise(raw)
+    texts = F.transform(F.from_json(F.when(raw.startswith("["), raw), "array<string>"),
+                        lambda t: description_text(t, decode=unescape))
+    listed = F.nullif(F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n\n"), F.lit(""))
+    body = F.when(raw.startswith("["), listed).otherwise(description_text(raw))
     title = F.coalesce(optional_string(_json("posting_name")), optional_string(_json("name")))
-    body = description_text(text)
     return details.withColumn("description", F.when(body.isNotNull(), prepend_title(title, body)))
 
 

@@ -162,9 +162,9 @@ def _google_seconds(row: Column, index: int) -> Column:
     )
 
 
-def google_rows(pages: DataFrame, block: int = 1) -> DataFrame:
+def google_rows(pages: DataFrame) -> DataFrame:
     """(page, row, total, page_size): the positional arrays of an embedded data block, as variants."""
-    data = F.regexp_extract("payload", CALLBACK % block, 1)
+    data = F.regexp_extract("payload", CALLBACK % 1, 1)
     message = F.lit("google: no embedded data block")
     checked = F.when(data == "", F.raise_error(message)).otherwise(data)
     parsed = pages.select("page", F.try_parse_json(checked).alias("v"))
