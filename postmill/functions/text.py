@@ -101,6 +101,11 @@ def tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(f"({TOKEN})"), 1)
 
 
+def count_tokens(x: Column) -> Column:
+    """Number of tokens, without building them."""
+    return F.regexp_count(F.lower(F.coalesce(x, F.lit(""))), F.lit(TOKEN))
+
+
 def split_location(x: Column) -> Column:
     """Comma-separated text to a struct by position alone: country, or city + region/country, or city, region, rest."""
     # Country codes that a two-part location may end in, and two-letter codes always read as a region.

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import TOKEN, clean_strings, tokens
+from ..functions.text import TOKEN, bind, clean_strings, count_tokens, tokens
 from .browse import PAGE_SIZE, newest_first, page_of
 from .filters import apply_filters, has_description
 from .ranking import rrf_fuse, top_per_group
@@ -61,13 +61,18 @@ def _fields(docs: DataFrame) -> dict[str, Column]:
 
 def _field_terms(docs: DataFrame, keep: dict[str, list[str]] | None) -> DataFrame:
     """(id, field, terms, dl), one row per field; ``keep`` drops all other terms before anything is exploded."""
-    rows = []
-    for field, terms in _fields(docs).items():
-        kept = terms if keep is None else _only(terms, keep[field])
-        rows.append(F.struct(F.lit(field).alias("field"), kept.alias("terms"), F.size(terms).alias("dl")))
+    rows = [_field_row(field, terms, keep) for field, terms in _fields(docs).items()]
     return docs.select("id", F.explode(F.array(*rows)).alias("r")).select("id", "r.field", "r.terms", "r.dl")
 
 
+def _field_row(field: str, terms: Column, keep: dict[str, list[str]] | None) -> Column:
+    def build(t: Column) -> Column:
+        kept = t if keep is None else _only(t, keep[field])
+        return F.struct(F.lit(field).alias("field"), kept.alias("terms"), F.size(t).alias("dl"))
+
+    return bind(terms, build)
+
+
 def _only(terms: Column, wanted: list[str]) -> Column:
     return F.filter(terms, lambda t: t.isin(wanted))
 
@@ -83,12 +88,17 @@ def build_postings(docs: DataFrame, keep: dict[str, list[str]] | None = None) ->
 
 
 def build_term_stats(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    # Counting on ``tf`` keeps the input the same as for scoring, so both read one exchange.
+    return postings.groupBy("field", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
 
 
 def build_field_stats(docs: DataFrame) -> DataFrame:
     """Per field: documents that have it, and the mean number of terms (one pass, one row per field)."""
-    lengths = docs.select(*[F.size(terms).alias(field) for field, terms in _fields(docs).items()])
+    lengths = docs.select(
+        count_tokens(F.col("title")).alias("title"),
+        F.size(F.array_distinct(clean_strings(F.col("skills")))).alias("skills"),
+        count_tokens(F.col("job_description")).alias("job_description"),
+    )
     names = list(BOOSTS)
     totals = lengths.agg(
         *[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names], *[F.sum(n).alias(f"s_{n}") for n in names]

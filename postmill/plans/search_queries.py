@@ -16,10 +16,8 @@ QUERY = "Machine Learning Engineer the and nation"
 SKILL_QUERY = "lang-fr"
 
 
-def docs(spark, sf, embedding=True, places=False):
-    return S.search_docs(
-        V.jobs(spark, sf, embedding=embedding, places=places), V.details(spark, sf), V.descriptions(spark, sf)
-    )
+def docs(spark, sf, embedding=True):
+    return V.indexed_docs(spark, sf, embedding)
 
 
 def vector(spark, sf):
@@ -75,7 +73,8 @@ vector_scores AS (
   skills[1] || ',' || skills[2] AS skills FROM docs""",
 )
 def search_docs(spark, sf):
-    return docs(spark, sf).select(
+    found = S.search_docs(V.jobs(spark, sf, embedding=True, places=False), V.details(spark, sf), V.descriptions(spark, sf))
+    return found.select(
         "id", "title", "company", "job_type", "job_level",
         F.length("job_description").cast("bigint").alias("description_chars"),
         F.array_join("skills", ",").alias("skills"),

@@ -10,6 +10,7 @@ from ..operators import embed as E
 from ..operators import pay as P
 from ..operators import skills as K
 from ..operators.locations import Gazetteer, normalize_locations
+from ..session import spread
 from . import views as V
 from .register import Registry
 
@@ -95,7 +96,7 @@ found AS (SELECT g.id, v.skill, min(g.pos * 10 + g.size) AS place FROM grams g J
     f"{_SKILLS_SQL} SELECT id, skill, place // 10 AS pos, place % 10 AS size FROM found",
 )
 def skill_matches(spark, sf):
-    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = V.texts(spark, sf)
     return K.skill_matches(docs, vocab(spark, sf)).select(
         "id", "skill", F.col("pos").cast("bigint").alias("pos"), F.col("size").cast("bigint").alias("size")
     )
@@ -108,13 +109,13 @@ def skill_matches(spark, sf):
  (SELECT id, string_agg(skill, '|' ORDER BY place) AS skills FROM found GROUP BY id) s ON s.id = d.doc_id""",
 )
 def extract_skills(spark, sf):
-    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = V.texts(spark, sf)
     return K.extract_skills(docs, vocab(spark, sf)).select("id", F.array_join("skills", "|").alias("skills"))
 
 
 @query("extract_skills_lemma")
 def extract_skills_lemma(spark, sf):
-    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = V.texts(spark, sf)
     return K.extract_skills(docs, vocab(spark, sf), lemmas=True).select("id", F.array_join("skills", "|").alias("skills"))
 
 
@@ -138,9 +139,8 @@ def pay_texts(spark, sf):
         .otherwise(say("Compensation ", x, " - ", y, "\nCompensation ", x, " - ", y, "\n"))
     )
     joined = o.join(d, F.col("o_orderkey") == F.col("doc_id"), "left")
-    return joined.select(
-        "o_orderkey", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), sentence).alias("text"),
-    )
+    said = joined.select("o_orderkey", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), sentence).alias("text"))
+    return spread(said, "o_orderkey")
 
 
 _PAY_SQL = """
@@ -203,7 +203,7 @@ def _page_text_sql(column):
  SELECT page_id, nullif(array_to_string(ls, chr(10)), '') AS text FROM lines""",
 )
 def html_to_text(spark, sf):
-    return V.table(spark, sf, "pages").select("page_id", H.html_to_text(F.col("html"), full_document=True).alias("text"))
+    return spread(V.table(spark, sf, "pages"), "page_id").select("page_id", H.html_to_text(F.col("html"), full_document=True).alias("text"))
 
 
 def job_pages(spark, sf):
@@ -349,7 +349,7 @@ def normalize_location_texts(spark, sf):
  SELECT id, dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS value FROM sums WHERE v <> 0""",
 )
 def hashed_embeddings(spark, sf):
-    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = V.texts(spark, sf)
     return E.hashed_embeddings(docs, 64).select("id", F.posexplode("embedding").alias("dim", "value")).where(
         F.col("value") != 0
     ).select("id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("value"), 6).alias("value"))
@@ -357,7 +357,7 @@ def hashed_embeddings(spark, sf):
 
 @query("embed_with_model", "SELECT doc_id AS id, CAST(n_chars AS DOUBLE) AS chars, 2 AS dims FROM documents")
 def embed_with_model(spark, sf):
-    docs = V.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = V.texts(spark, sf)
     embedded = E.embed(docs, _length_model, "id")
     return embedded.select("id", F.col("embedding")[0].alias("chars"), F.size("embedding").alias("dims"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_locations
 from ..functions.titles import classify_title, title_level
 from ..schemas import LOCATIONS
+from ..session import spread
 
 AS_OF = "2000-01-01 00:00:00"
 VERSION_1 = "2001-08-01 00:00:00"
@@ -42,6 +43,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, text) of the documents, spread for heavy work on the texts."""
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+
+
 def _lookup(column, mapping, default):
     rule = None
     for key, value in mapping.items():
@@ -178,12 +184,33 @@ def details(spark: SparkSession, sf: str, run: str = "r2", fetched_only: bool =
 
 
 def descriptions(spark: SparkSession, sf: str, run: str = "r2") -> DataFrame:
-    docs = with_posting_columns(base(spark, sf, places=False))
-    return docs.select(
+    docs = with_posting_columns(base(spark, sf, places=False)).select(
         F.concat_ws("/", F.lit("job-details"), F.lit(run), F.col("company"),
                     F.concat("external_job_id", F.lit(".txt"))).alias("job_description_path"),
         F.col("text").alias("description"),
     )
+    return spread(docs, "job_description_path")
+
+
+def indexed_docs(spark: SparkSession, sf: str, embedding: bool = True) -> DataFrame:
+    """The search documents of the current run, straight from the joined rows (``search_docs`` joins the tables)."""
+    docs = with_posting_columns(base(spark, sf, places=False)).where(
+        ~F.col("is_missing_details") & (F.coalesce("quality", F.lit(1)) != 0) & (F.coalesce("p_size", F.lit(0)) != 50)
+    )
+    columns = ["id", "run_id", *_JOB_COLUMNS[2:12], "job_description"]
+    if embedding:
+        vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("job_description_embedding"))
+        docs = docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").withColumn(
+            "job_description_embedding", F.coalesce("job_description_embedding", F.array().cast("array<float>")))
+        columns.append("job_description_embedding")
+    run = F.lit("r2")
+    out = docs.withColumns({
+        "run_id": run,
+        "id": F.concat_ws(":", run, "company", "external_job_id"),
+        "skills": F.array_distinct(F.array(F.concat(F.lit("lang-"), F.col("lang")), F.col("source"))),
+        "job_description": F.col("text"),
+    })
+    return spread(out.select(columns), "id")
 
 
 def companies(spark: SparkSession, sf: str, run: str = "r2") -> DataFrame:

@@ -64,3 +64,12 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
 def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:
     """Hint a broadcast after measuring the side; a larger side keeps the shuffle join (AQE splits hot keys)."""
     return F.broadcast(df) if is_small(df, **limits) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows that come from fewer files than there are cores, for work that is heavy per row.
+
+    A table of many files is left as it is, so large inputs are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
