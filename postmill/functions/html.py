@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .dates import any_epoch
-from .text import optional_string, squeeze_blank_lines, strip, unix_newlines
+from .text import bind, blank_to_null, optional_string, squeeze_blank_lines, strip, unix_newlines
 
 
 @F.pandas_udf(T.StringType())
@@ -59,20 +59,25 @@ def drop_elements(x: Column, names: list[str] = SKIPPED) -> Column:
 
 def main_content(x: Column) -> Column:
     """Inside of the first ``article`` or ``main`` element up to its last end tag, else the whole page."""
-    out = x
-    for name in ("main", "article"):
-        inner = F.regexp_extract(x, rf"(?is)<{name}\b[^>]*>(.*)</{name}\s*>", 1)
-        out = F.when(inner != "", inner).otherwise(out)
-    return out
+
+    def inside(page: Column) -> Column:
+        inner = [F.nullif(F.regexp_extract(page, rf"(?is)<{name}\b[^>]*>(.*)</{name}\s*>", 1), F.lit(""))
+                 for name in ("article", "main")]
+        return F.coalesce(*inner, page)
+
+    return bind(x, inside)
+
+
+def _text_lines(decoded: Column) -> Column:
+    lines = F.transform(F.split(decoded, "\n"), lambda line: strip(F.regexp_replace(line, r"(?U)\s+", " ")))
+    return blank_to_null(F.array_join(F.filter(lines, lambda line: line != ""), "\n"))
 
 
 def render(x: Column, decode: Callable[[Column], Column] = unescape_all) -> Column:
     """Markup to lines of text: blocks on lines of their own, cells set apart, tags dropped, entities decoded."""
     out = F.regexp_replace(x, r"(?i)</t[dh]\s*>", " | ")
     out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    out = decode(F.regexp_replace(out, r"<[^>]*>", ""))
-    lines = F.transform(F.split(out, "\n"), lambda line: strip(F.regexp_replace(line, r"(?U)\s+", " ")))
-    return F.nullif(F.array_join(F.filter(lines, lambda line: line != ""), "\n"), F.lit(""))
+    return bind(decode(F.regexp_replace(out, r"<[^>]*>", "")), _text_lines)
 
 
 def html_to_text(x: Column, full_document: bool = False, decode: Callable[[Column], Column] = unescape_all) -> Column:
@@ -175,14 +180,14 @@ def page_description(page: Column) -> Column:
 def description_text(x: Column, decode: Callable[[Column], Column] = unescape_all) -> Column:
     """A description that may be markup or plain text with list marks."""
     marked = F.contains(x, F.lit("<")) & F.contains(x, F.lit(">"))
-    return plain_description(F.when(marked, html_to_text(x, decode=decode)).otherwise(x))
+    return bind(F.when(marked, html_to_text(x, decode=decode)).otherwise(x), plain_description)
 
 
 def plain_description(x: Column) -> Column:
     """Trim lines, drop list marks and the blank lines after list items, keep one blank line elsewhere."""
     unlisted = F.regexp_replace(unix_newlines(x), r"(?mU)^[^\S\n]*[-*][^\S\n]+(\S.*)\n(?:[^\S\n]*\n)+", "- $1\n")
     lines = F.transform(F.split(unlisted, "\n"), lambda line: F.regexp_replace(strip(line), r"(?U)^[-*]\s+", ""))
-    return F.nullif(squeeze_blank_lines(F.array_join(lines, "\n")), F.lit(""))
+    return blank_to_null(squeeze_blank_lines(F.array_join(lines, "\n")))
 
 
 # --- Sections ---------------------------------------------------------------------------------
@@ -190,16 +195,21 @@ def plain_description(x: Column) -> Column:
 
 def section(heading: str, body: Column) -> Column:
     """Heading over body, NULL without a body."""
-    return F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"{heading}\n"), body))
+    return bind(body, lambda b: F.when(b != "", F.concat(F.lit(f"{heading}\n"), b)))
 
 
 def join_sections(*parts: Column) -> Column:
     """Parts set apart by a blank line; empty ones skipped."""
     kept = F.filter(F.array(*parts), lambda part: F.coalesce(part, F.lit("")) != "")
-    return F.nullif(F.array_join(kept, "\n\n"), F.lit(""))
+    return blank_to_null(F.array_join(kept, "\n\n"))
 
 
 def prepend_title(title: Column, body: Column) -> Column:
     """Title over body, unless the body starts with it."""
-    both = F.when(body.startswith(title), body).otherwise(F.concat(title, F.lit("\n\n"), body))
-    return F.when(title.isNotNull() & body.isNotNull(), both).otherwise(F.coalesce(title, body))
+
+    def build(p: Column) -> Column:
+        t, b = p["title"], p["body"]
+        both = F.when(b.startswith(t), b).otherwise(F.concat(t, F.lit("\n\n"), b))
+        return F.when(t.isNotNull() & b.isNotNull(), both).otherwise(F.coalesce(t, b))
+
+    return bind(F.struct(title.alias("title"), body.alias("body")), build)

@@ -23,6 +23,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def blank_to_null(x: Column) -> Column:
+    """NULL for an empty text; computes ``x`` once."""
+    return bind(x, lambda v: F.nullif(v, F.lit("")))
+
+
 def optional_string(x: Column) -> Column:
     """Trimmed text, NULL when blank."""
     return F.nullif(strip(x), F.lit(""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pay as P
+from ..session import spread
 from ..sources import descriptions as D
 from ..sources import payloads as S
 from . import views as V
@@ -170,7 +171,7 @@ def parse_netflix(spark, sf):
  FROM orders""",
 )
 def public_compensation(spark, sf):
-    o = V.table(spark, sf, "orders")
+    o = spread(V.table(spark, sf, "orders"), "o_orderkey")
     low = F.floor("o_totalprice").cast("bigint")
     status = F.col("o_orderstatus")
     say = lambda x: F.concat(
@@ -228,7 +229,7 @@ def detail_outcome(spark, sf):
  FROM postings""",
 )
 def describe_postings(spark, sf):
-    p = _posts(spark, sf)
+    p = spread(_posts(spark, sf), "doc_id")
     say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     src, lang = F.col("source"), F.col("lang")
     apple = F.to_json(F.struct(

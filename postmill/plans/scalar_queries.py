@@ -8,6 +8,7 @@ from ..functions import dates as D
 from ..functions import money as M
 from ..functions import text as T
 from ..operators.pay import clean_fragment
+from ..session import spread
 from ..streaming.heartbeat import reason_of
 from . import views as V
 from .register import Registry
@@ -65,7 +66,7 @@ def line_functions(spark, sf):
   CAST(epoch(o_orderdate) AS BIGINT) AS any_value, epoch_ms(o_orderdate) AS millis FROM orders""",
 )
 def date_functions(spark, sf):
-    o = V.table(spark, sf, "orders")
+    o = spread(V.table(spark, sf, "orders"), "o_orderkey")
     day = F.col("o_orderdate")
     seconds = D.epoch_seconds(day)
     spelled = (
@@ -124,7 +125,7 @@ def status_functions(spark, sf):
  FROM orders""",
 )
 def money_functions(spark, sf):
-    o = V.table(spark, sf, "orders")
+    o = spread(V.table(spark, sf, "orders"), "o_orderkey")
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     code = F.when(status == "F", "ca").when(status == "O", "eur").otherwise("zz")
     phrase = (F.when(priority == "1-URGENT", "paid per month").when(priority == "2-HIGH", "hourly pay")

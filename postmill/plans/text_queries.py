@@ -196,8 +196,8 @@ def _page_text_sql(column):
   FROM cleaned),
  plain AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?(?:{H.BLOCKS})\\b[^>]*>', chr(10), 'g'),
   '<[^>]*>', '', 'g') AS h FROM main),
- decoded AS (SELECT page_id, replace(replace(replace(replace(h, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'),
-  '&amp;', '&') AS h FROM plain),
+ decoded AS (SELECT page_id, regexp_replace(replace(replace(replace(h, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'),
+  '&amp;?', '&', 'g') AS h FROM plain),
  lines AS (SELECT page_id, list_filter(list_transform(string_split(h, chr(10)),
   lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: l <> '') AS ls FROM decoded)
  SELECT page_id, nullif(array_to_string(ls, chr(10)), '') AS text FROM lines""",

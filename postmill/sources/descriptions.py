@@ -9,7 +9,7 @@ from ..functions.html import (
     BLOCKS, description_text, drop_elements, html_to_text, join_sections, prepend_title, section, unescape, unescape_all,
 )
 from ..functions.money import public_amount
-from ..functions.text import collapse_space, dedupe, join_lines, optional_string, squeeze_blank_lines, strip
+from ..functions.text import bind, blank_to_null, collapse_space, dedupe, join_lines, optional_string, squeeze_blank_lines, strip
 from ..functions.text import strip_list_markers
 from ..schemas import PAY_RANGE
 from .payloads import CALLBACK
@@ -41,11 +41,11 @@ def headed_sections(page: Column, tags: str) -> Column:
         parts = F.split(x, rf"(?i)</(?:{tags})\s*>", 2)
         heading = collapse_space(_inline_text(F.get(parts, F.lit(0))))
         body = _block_text(F.get(parts, F.lit(1)))
-        headed = F.concat_ws("\n", F.nullif(heading, F.lit("")), body)
+        headed = F.concat_ws("\n", blank_to_null(heading), body)
         return F.when(i == 0, _block_text(x)).otherwise(headed)
 
     kept = F.filter(F.transform(pieces, piece), lambda s: F.coalesce(s, F.lit("")) != "")
-    return F.nullif(F.array_join(kept, "\n\n"), F.lit(""))
+    return blank_to_null(F.array_join(kept, "\n\n"))
 
 
 def _inline_text(x: Column) -> Column:
@@ -56,7 +56,7 @@ def _inline_text(x: Column) -> Column:
 def _block_text(x: Column) -> Column:
     lines = _inline_text(F.regexp_replace(x, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n"))
     cleaned = F.transform(F.split(lines, "\n"), lambda line: F.regexp_replace(strip(line), r"^[-•* ]+", ""))
-    return F.nullif(F.array_join(F.filter(cleaned, lambda line: line != ""), "\n"), F.lit(""))
+    return blank_to_null(F.array_join(F.filter(cleaned, lambda line: line != ""), "\n"))
 
 
 def amazon_page_description(pages: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def google_description(details: DataFrame) -> DataFrame:
         join_sections(
             F.try_variant_get("j", "$[1]", "string"),
             section("About the job", field(10)),
-            F.when(quals.isNotNull(), _google_qualifications(quals)),
+            bind(quals, _google_qualifications),
             section("Responsibilities", strip_list_markers(field(3))),
         ).alias("description"),
     )
@@ -130,10 +130,13 @@ def netflix_description(details: DataFrame) -> DataFrame:
     raw = _json("job_description")
     texts = F.transform(F.from_json(F.when(raw.startswith("["), raw), "array<string>"),
                         lambda t: description_text(t, decode=unescape))
-    listed = F.nullif(F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n\n"), F.lit(""))
+    listed = blank_to_null(F.array_join(F.filter(texts, lambda t: t.isNotNull()), "\n\n"))
     body = F.when(raw.startswith("["), listed).otherwise(description_text(raw))
     title = F.coalesce(optional_string(_json("posting_name")), optional_string(_json("name")))
-    return details.withColumn("description", F.when(body.isNotNull(), prepend_title(title, body)))
+    return details.withColumn("description", bind(
+        F.struct(title.alias("title"), body.alias("body")),
+        lambda p: F.when(p["body"].isNotNull(), prepend_title(p["title"], p["body"])),
+    ))
 
 
 # --- meta -------------------------------------------------------------------------------------
