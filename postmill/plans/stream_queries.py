@@ -139,8 +139,8 @@ def lease_state(spark, sf):
 @query("stream_lease_state", f"WITH {_LEASE_SQL} SELECT * FROM states")
 def stream_lease_state(spark, sf):
     path = scratch_path(spark, "lease")
-    _run(lease.track(lease_events(_event_stream(spark, sf)), path, scratch_path(spark, "lease-checkpoint"), 2 * DAY, 4 * DAY))
-    return lease.tracked_states(spark.read.parquet(path), F.lit(AS_OF_EPOCH))
+    _run(lease.track(lease_events(_event_stream(spark, sf)), path, scratch_path(spark, "lease-checkpoint"), 2 * DAY))
+    return lease.tracked_states(spark, path, F.lit(AS_OF_EPOCH), 2 * DAY, 4 * DAY)
 
 
 @query(

@@ -20,6 +20,7 @@ def build_session(app: str = "postmill", cores: int | str = "*", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():
@@ -72,4 +73,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     A table of many files is left as it is, so large inputs are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    # Counted in the JVM: the list of a large table should not come to Python.
+    files = len(df._jdf.inputFiles())
+    return df.repartition(cores, *keys) if files < cores else df

@@ -7,48 +7,49 @@ return makes it available, a block keeps it away until the block expires.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Default lifetimes in seconds.
 LEASE_TTL = 300
 BLOCK_TTL = 900
 
 KEY = ["scope", "resource"]
-STATE = "status string, token string, until bigint, seq bigint"
-OUTPUT = "scope string, resource string, status string, token string, until bigint, seq bigint"
+EVENT = [*KEY, "ts", "seq", "action", "token"]
+SUMMARY = (
+    "scope string, resource string, enqueued bigint, lease struct<ts:bigint,seq:bigint,token:string>, "
+    "end struct<ts:bigint,seq:bigint,action:string>, version bigint"
+)
 
 
-def lease_states(events: DataFrame, as_of: Column, lease_ttl: int = LEASE_TTL, block_ttl: int = BLOCK_TTL) -> DataFrame:
-    """(scope, resource, state) at ``as_of`` (epoch seconds): available, inuse, blocked or missing.
+def lease_summary(events: DataFrame, lease_ttl: int = LEASE_TTL) -> DataFrame:
+    """(scope, resource, enqueued, lease, end): the last enqueue, the last lease and the first valid end of that lease.
 
-    Only the last lease of a resource can still hold, so the state follows from it, the first valid end of it and the
-    last enqueue. All three are aggregates that combine before the shuffle; no resource's history is put in order.
+    Only the last lease of a resource can still hold, so nothing else is needed. All three are aggregates that
+    combine before the shuffle: no task orders, or holds, the history of a resource.
     """
-    at = F.struct("ts", "seq")
-    lease = F.col("action") == "lease"
+    is_lease = F.col("action") == "lease"
     last = events.groupBy(*KEY).agg(
-        F.max(F.when(lease, F.struct("ts", "seq", "token"))).alias("lease"),
         F.max(F.when(F.col("action") == "enqueue", F.col("ts"))).alias("enqueued"),
+        F.max(F.when(is_lease, F.struct("ts", "seq", "token"))).alias("lease"),
     )
     ends = events.where(F.col("action").isin("return", "block")).join(
         last.where(F.col("lease").isNotNull()).select(*KEY, "lease"), KEY
     )
     valid = (
-        (at > F.struct("lease.ts", "lease.seq"))
+        (F.struct("ts", "seq") > F.struct("lease.ts", "lease.seq"))
         & (F.col("token") == F.col("lease.token"))
         & (F.col("ts") < F.col("lease.ts") + lease_ttl)
     )
-    first_end = ends.where(valid).groupBy(*KEY).agg(F.min(F.struct("ts", "seq", "action")).alias("end"))
-    expires = F.col("lease.ts") + lease_ttl
-    unblocks = F.col("end.ts") + block_ttl
+    first = ends.where(valid).groupBy(*KEY).agg(F.min(F.struct("ts", "seq", "action")).alias("end"))
+    return last.join(first, KEY, "left")
+
+
+def state_of(summary: DataFrame, as_of: Column, lease_ttl: int = LEASE_TTL, block_ttl: int = BLOCK_TTL) -> DataFrame:
+    """(scope, resource, state) at ``as_of`` (epoch seconds): available, inuse, blocked or missing."""
     returned, blocked = F.col("end.action") == "return", F.col("end.action") == "block"
-    free_at = F.when(blocked, unblocks).otherwise(expires)
+    free_at = F.when(blocked, F.col("end.ts") + block_ttl).otherwise(F.col("lease.ts") + lease_ttl)
     state = (
         F.when(F.col("lease").isNull(), F.when(F.col("enqueued").isNotNull(), "available").otherwise("missing"))
         .when(returned, "available")
@@ -56,55 +57,58 @@ def lease_states(events: DataFrame, as_of: Column, lease_ttl: int = LEASE_TTL, b
         .when(as_of < free_at, F.when(blocked, "blocked").otherwise("inuse"))
         .otherwise("missing")
     )
-    return last.join(first_end, KEY, "left").select(*KEY, state.alias("state"))
+    return summary.select(*KEY, state.alias("state"))
 
 
-def _step(state: tuple, event, lease_ttl: int, block_ttl: int) -> tuple:
-    status, token, until = state
-    if status in ("inuse", "blocked") and event.ts >= until:
-        status, token, until = "missing", None, None
-    if event.action == "lease":
-        return "inuse", event.token, event.ts + lease_ttl
-    if event.action == "enqueue":
-        return ("available", None, None) if status == "missing" else (status, token, until)
-    if status == "inuse" and event.token == token:
-        return ("available", None, None) if event.action == "return" else ("blocked", None, event.ts + block_ttl)
-    return status, token, until
+def lease_states(events: DataFrame, as_of: Column, lease_ttl: int = LEASE_TTL, block_ttl: int = BLOCK_TTL) -> DataFrame:
+    return state_of(lease_summary(events, lease_ttl), as_of, lease_ttl, block_ttl)
 
 
-def track(stream: DataFrame, path: str, checkpoint: str, lease_ttl: int = LEASE_TTL, block_ttl: int = BLOCK_TTL
-          ) -> StreamingQuery:
-    """Keep one small state row per resource and append its new value after each batch that touches it.
+def _as_events(summary: DataFrame) -> DataFrame:
+    """At most three events per resource that have the same summary."""
+    null = F.lit(None)
 
-    A resource's events of one batch are put in order; the trigger bounds a batch. Events must not arrive in a later
-    batch than newer events of the same resource.
-    """
+    def event(ts: Column, seq: Column, action: Column, token: Column) -> Column:
+        return F.when(ts.isNotNull(), F.struct(
+            ts.alias("ts"), seq.cast("bigint").alias("seq"), action.alias("action"), token.cast("string").alias("token")))
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, token, until, seq = state.get if state.exists else ("missing", None, None, -1)
-        events = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        current = (status, token, until)
-        for event in events.itertuples(index=False):
-            current = _step(current, event, lease_ttl, block_ttl)
-        seq = max(seq, int(events["seq"].max()))
-        state.update((*current, seq))
-        yield pd.DataFrame([[*key, *current, seq]], columns=["scope", "resource", "status", "token", "until", "seq"])
-
-    tracked = stream.groupBy(*KEY).applyInPandasWithState(
-        advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    events = F.array(
+        event(F.col("enqueued"), null, F.lit("enqueue"), null),
+        event(F.col("lease.ts"), F.col("lease.seq"), F.lit("lease"), F.col("lease.token")),
+        event(F.col("end.ts"), F.col("end.seq"), F.col("end.action"), F.col("lease.token")),
     )
+    return summary.select(*KEY, F.explode(events).alias("e")).where(F.col("e").isNotNull()).select(*KEY, "e.*")
+
+
+def _version(spark: SparkSession, path: str, version: int) -> DataFrame:
+    schema = SUMMARY.rsplit(",", 1)[0]
+    return spark.read.schema(schema).parquet(f"{path}/version={version}")
+
+
+def track(stream: DataFrame, path: str, checkpoint: str, lease_ttl: int = LEASE_TTL) -> StreamingQuery:
+    """Keep the summary of each resource: batch n turns version n - 1 into version n.
+
+    The summary of stored and new events together is the summary of the stored summary and the new events, so a batch
+    reads its own events and one small row per resource. A batch that is run again replaces its own version.
+    """
+
+    def advance(batch: DataFrame, number: int) -> None:
+        events = batch.select(*EVENT)
+        if number > 0:
+            events = events.unionByName(_as_events(_version(batch.sparkSession, path, number - 1)))
+        lease_summary(events, lease_ttl).write.mode("overwrite").parquet(f"{path}/version={number}")
+
     return (
-        tracked.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", path)
+        stream.writeStream.foreachBatch(advance)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def tracked_states(rows: DataFrame, as_of: Column) -> DataFrame:
-    """(scope, resource, state) from the tracked rows: the latest of each resource, expired ones as missing."""
-    latest = rows.groupBy(*KEY).agg(F.max_by(F.struct("status", "until"), "seq").alias("s"))
-    expired = F.col("s.status").isin("inuse", "blocked") & (F.col("s.until") <= as_of)
-    return latest.select(*KEY, F.when(expired, "missing").otherwise(F.col("s.status")).alias("state"))
+def tracked_states(spark: SparkSession, path: str, as_of: Column, lease_ttl: int = LEASE_TTL, block_ttl: int = BLOCK_TTL
+                   ) -> DataFrame:
+    """(scope, resource, state) from the latest version of the tracked summaries."""
+    versions = spark.read.schema(SUMMARY).parquet(path)
+    newest = versions.agg(F.max("version").alias("v")).first()["v"]
+    return state_of(versions.where(F.col("version") == newest), as_of, lease_ttl, block_ttl)

@@ -41,6 +41,17 @@ def _rows(columns, rows):
     return sorted(columns), sorted(tuple(_cell(row[i]) for i in order) for row in rows)
 
 
+KINDS = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+         "TIMESTAMP": "timestamp"}
+
+
+def type_differences(df, con, sql):
+    """Columns whose types differ between the two results."""
+    kinds = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    mine = dict(df.dtypes)
+    return [f"{n}: {mine[n]} / {kinds[n]}" for n in mine if n in kinds and KINDS.get(kinds[n], kinds[n]) != mine[n]]
+
+
 def compare(spark, con, sf, fn, sql):
     df = fn(spark, sf)
     columns, got = _rows(df.columns, [tuple(r) for r in df.collect()])
@@ -61,6 +72,8 @@ def main(argv):
     import __spark_entry__ as entry
     from postmill.session import build_session
 
+    types_only = argv[0] == "--types"
+    argv = argv[types_only:]
     sf = argv[0]
     spark = build_session("compare", 8, spark__sql__shuffle__partitions="8",
                           spark__ui__showConsoleProgress="false")
@@ -71,6 +84,12 @@ def main(argv):
     bad = 0
     for name in [q for q in queries if any(q == w or (w.endswith("*") and q.startswith(w[:-1])) for w in wanted)]:
         began = time.time()
+        if types_only:
+            if name in oracles:
+                found = type_differences(queries[name](spark, sf), con, oracles[name])
+                if found:
+                    print("TYPES", name, found, flush=True)
+            continue
         try:
             if name in oracles:
                 problem, n = compare(spark, con, sf, queries[name], oracles[name])

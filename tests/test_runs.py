@@ -202,6 +202,20 @@ def test_ingest_over_many_batches(spark, tmp_path):
     assert got == {k: v for k, _, v in rows}
 
 
+def _step(state, event):
+    """The rules for one event of one resource."""
+    status, token, until = state
+    if status in ("inuse", "blocked") and event.ts >= until:
+        status, token, until = "missing", None, None
+    if event.action == "lease":
+        return "inuse", event.token, event.ts + lease.LEASE_TTL
+    if event.action == "enqueue":
+        return ("available", None, None) if status == "missing" else (status, token, until)
+    if status == "inuse" and event.token == token:
+        return ("available", None, None) if event.action == "return" else ("blocked", None, event.ts + lease.BLOCK_TTL)
+    return status, token, until
+
+
 def test_lease_stream_equals_batch_and_a_plain_machine(spark, tmp_path):
     rng = random.Random(4)
     events = []
@@ -214,14 +228,14 @@ def test_lease_stream_equals_batch_and_a_plain_machine(spark, tmp_path):
     frame = spark.createDataFrame(events, schema)
     stream = ingest.read_stream(spark, str(tmp_path / "in"), frame.schema, files_per_batch=1)
     lease.track(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).select("version").distinct().count() == 3
     plain = {}
     for event in frame.collect():
-        plain[event.resource] = lease._step(plain.get(event.resource, ("missing", None, None)), event, 300, 900)
+        plain[event.resource] = _step(plain.get(event.resource, ("missing", None, None)), event)
     for as_of in (10000, 10200, 10900):
         at = F.lit(as_of)
         batch = {r["resource"]: r["state"] for r in lease.lease_states(frame, at).collect()}
-        streamed = {r["resource"]: r["state"] for r in
-                    lease.tracked_states(spark.read.parquet(str(tmp_path / "out")), at).collect()}
+        streamed = {r["resource"]: r["state"] for r in lease.tracked_states(spark, str(tmp_path / "out"), at).collect()}
         wanted = {k: "missing" if s in ("inuse", "blocked") and until <= as_of else s for k, (s, _, until) in plain.items()}
         assert batch == wanted and streamed == wanted
 
