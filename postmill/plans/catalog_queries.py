@@ -234,6 +234,10 @@ _FACETS = """
  ) WHERE rn <= 1000"""
 
 
+def _facets(found):
+    return found.select("facet", "value", F.col("rn").cast("bigint").alias("rn"))
+
+
 @query(
     "location_facets",
     f"""WITH {V.BASE_SQL}, scoped AS (
@@ -241,7 +245,7 @@ _FACETS = """
  {_FACETS.format(r="", c="")}""",
 )
 def location_facets(spark, sf):
-    return B.location_facets(V.jobs(spark, sf), job_type="software_engineer")
+    return _facets(B.location_facets(V.jobs(spark, sf), job_type="software_engineer"))
 
 
 @query(
@@ -250,7 +254,7 @@ def location_facets(spark, sf):
  {_FACETS.format(r="WHERE country = 'AMERICA'", c="WHERE country = 'AMERICA' AND region = 'NATION_1'")}""",
 )
 def location_facets_scoped(spark, sf):
-    return B.location_facets(V.jobs(spark, sf), country="AMERICA", region="NATION_1")
+    return _facets(B.location_facets(V.jobs(spark, sf), country="AMERICA", region="NATION_1"))
 
 
 @query(

@@ -63,7 +63,7 @@ _HEARTBEAT = """SELECT epoch(w)::BIGINT AS window_start, {scope} count(*) FILTER
   count(*) FILTER (WHERE event_type = 'error') AS rejected_blocked,
   count(*) FILTER (WHERE event_type = 'click') AS rejected_inuse,
   count(*) FILTER (WHERE event_type = 'view') AS rejected_duplicate,
-  0 AS rejected_invalid_capacity, 0 AS rejected_unknown
+  CAST(0 AS BIGINT) AS rejected_invalid_capacity, CAST(0 AS BIGINT) AS rejected_unknown
  FROM (SELECT *, time_bucket(INTERVAL '{interval}', ts, TIMESTAMP '1970-01-01') AS w,
   'scope-' || CAST(user_id % 6 AS VARCHAR) AS scope FROM events)
  {where} GROUP BY ALL"""
