@@ -113,7 +113,42 @@ def extract_skills(spark, sf):
     return K.extract_skills(docs, vocab(spark, sf)).select("id", F.array_join("skills", "|").alias("skills"))
 
 
-@query("extract_skills_lemma")
+def _lemma_sql(word):
+    return f"""CASE WHEN length({word}) <= 3 THEN {word} WHEN {word} LIKE '%ies' THEN regexp_replace({word}, 'ies$', 'y')
+  WHEN regexp_matches({word}, '(ss|us|is)$') THEN {word}
+  WHEN regexp_matches({word}, '(x|ch|sh|ss)es$') THEN regexp_replace({word}, 'es$', '')
+  WHEN {word} LIKE '%s' THEN regexp_replace({word}, 's$', '') ELSE {word} END"""
+
+
+_FIRST, _SECOND = "split_part(key, ' ', 1)", "split_part(key, ' ', 2)"
+
+
+@query(
+    "extract_skills_lemma",
+    f"""{_SKILLS_SQL},
+ base AS (SELECT id, pos, {_lemma_sql('word')} AS word FROM toks),
+ base_grams AS (
+  SELECT id, pos, 1 AS size, word AS key FROM base
+  UNION ALL
+  SELECT a.id, a.pos, 2, a.word || ' ' || b.word FROM base a JOIN base b ON b.id = a.id AND b.pos = a.pos + 1
+ ),
+ base_vocab AS (
+  SELECT base_key, arg_min(skill, place) AS skill FROM (
+   SELECT skill, place, {_lemma_sql(_FIRST)} || CASE WHEN {_SECOND} <> '' THEN ' ' || {_lemma_sql(_SECOND)} ELSE '' END
+    AS base_key FROM vocab) GROUP BY base_key
+ ),
+ loose AS (
+  SELECT g.id, v.skill, min(g.pos * 10 + g.size) AS place FROM base_grams g JOIN base_vocab v ON v.base_key = g.key
+  GROUP BY ALL
+ ),
+ both_stages AS (
+  SELECT id, skill, 1 AS stage, place FROM found
+  UNION ALL
+  SELECT l.id, l.skill, 2, l.place FROM loose l ANTI JOIN found f ON f.id = l.id AND f.skill = l.skill
+ )
+ SELECT d.doc_id AS id, coalesce(s.skills, '') AS skills FROM documents d LEFT JOIN
+ (SELECT id, string_agg(skill, '|' ORDER BY stage, place) AS skills FROM both_stages GROUP BY id) s ON s.id = d.doc_id""",
+)
 def extract_skills_lemma(spark, sf):
     docs = V.texts(spark, sf)
     return K.extract_skills(docs, vocab(spark, sf), lemmas=True).select("id", F.array_join("skills", "|").alias("skills"))
