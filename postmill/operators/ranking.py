@@ -96,16 +96,19 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, o
 
 
 def rrf_fuse(lists: list[DataFrame], k: int = 60) -> DataFrame:
-    """Reciprocal-rank fusion of ranked lists (id, rank, posted_ts): score = sum of 1 / (k + rank).
+    """Reciprocal-rank fusion of ranked lists (id, rank, posted_ts, optionally doc): score = sum of 1 / (k + rank).
 
     Rows without an id are skipped; ties go to the newer posting, then to the smaller id.
     """
     stacked = None
     for hits in lists:
+        carried = [name for name in hits.columns if name == "doc"]
         part = hits.where(F.coalesce(F.col("id"), F.lit("")) != "").select(
-            "id", "posted_ts", (F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score")
+            "id", "posted_ts", (F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"), *carried
         )
         stacked = part if stacked is None else stacked.unionByName(part)
-    fused = stacked.groupBy("id").agg(F.sum("score").alias("score"), F.max("posted_ts").alias("posted_ts"))
+    # A document's own columns are the same in every list.
+    same = [F.any_value("doc").alias("doc")] if "doc" in stacked.columns else []
+    fused = stacked.groupBy("id").agg(F.sum("score").alias("score"), F.max("posted_ts").alias("posted_ts"), *same)
     newest = F.coalesce(F.nullif(F.unix_seconds(F.col("posted_ts")), F.lit(0)), F.lit(-1))
     return fused.orderBy(F.col("score").desc(), newest.desc(), F.col("id").asc())

@@ -28,6 +28,9 @@ K1, B = 1.2, 0.75
 TEXT_CANDIDATES = 100
 VECTOR_CANDIDATES = 100
 RRF_K = 60
+RESULT_COLUMNS = [
+    "run_id", "company", "external_job_id", "title", "job_type", "job_level", "details_url", "apply_url", "locations",
+]
 
 
 def search_docs(jobs: DataFrame, details: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -203,10 +206,16 @@ def text_hits(index: SearchIndex, query: str, **filters) -> DataFrame:
 
 def text_top(index: SearchIndex, query: str, k: int = TEXT_CANDIDATES, **filters) -> DataFrame:
     slim = SearchIndex(index.docs.drop("job_description_embedding"), index.postings, index.field_stats)
-    hits = text_hits(slim, query, **filters).select("id", "posted_ts", "score")
+    hits = text_hits(slim, query, **filters).select("id", "posted_ts", "score", _shown(slim.docs))
     return _numbered(hits.orderBy(F.col("score").desc(), F.col("id").asc()).limit(k))
 
 
+def _shown(docs: DataFrame) -> Column:
+    """What a result page shows of a document. It stays with the candidates, so documents are not read again."""
+    shown = [name for name in RESULT_COLUMNS if name in docs.columns]
+    return F.struct(*shown).alias("doc") if shown else F.lit(None).alias("doc")
+
+
 def _numbered(top: DataFrame) -> DataFrame:
     """Rank of at most a candidate list of rows."""
     return top_per_group(top.withColumn("_all", F.lit(1)), ["_all"], [F.col("score").desc(), F.col("id").asc()],
@@ -230,11 +239,11 @@ def cosine(vector: Column, query: list[float]) -> Column:
 def vector_top(docs: DataFrame, query: list[float], k: int = VECTOR_CANDIDATES, **filters) -> DataFrame:
     """The ``k`` nearest documents by cosine among those that pass the filters: an exact scan and a top-k."""
     if not query:
-        return docs.limit(0).select("id", "posted_ts", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+        return docs.limit(0).select("id", "posted_ts", F.lit(0.0).alias("score"), _shown(docs), F.lit(0).alias("rank"))
     scored = (
         apply_filters(docs, **filters)
         .where(F.size("job_description_embedding") == len(query))
-        .select("id", "posted_ts", cosine(F.col("job_description_embedding"), query).alias("score"))
+        .select("id", "posted_ts", cosine(F.col("job_description_embedding"), query).alias("score"), _shown(docs))
         .where(F.col("score").isNotNull())
     )
     return _numbered(scored.orderBy(F.col("score").desc(), F.col("id").asc()).limit(k))
@@ -304,16 +313,9 @@ def _nearest(names: list, queries: np.ndarray, k: int):
 def search_relevance(
     index: SearchIndex, query: str, vector: list[float], page: int = 1, size: int = PAGE_SIZE, **filters
 ) -> DataFrame:
-    """One page of the fused text and vector candidates, best first, with the number of fused results."""
-    fused = rrf_fuse(
-        [text_top(index, query, **filters), vector_top(index.docs, vector, **filters)], RRF_K
-    )
-    # At most two candidate lists of rows.
-    best = page_of(fused, page, size).select("id", "score")
-    rows = index.docs.drop("job_description", "job_description_embedding", "skills")
-    return rows.join(F.broadcast(best), "id").orderBy(
-        F.col("score").desc(), F.col("posted_ts").desc_nulls_last(), F.col("id").asc()
-    )
+    """One page of the fused text and vector candidates, best first."""
+    fused = rrf_fuse([text_top(index, query, **filters), vector_top(index.docs, vector, **filters)], RRF_K)
+    return page_of(fused, page, size).select("id", "score", "posted_ts", "doc.*")
 
 
 def fused_total(index: SearchIndex, query: str, vector: list[float], **filters) -> DataFrame:
