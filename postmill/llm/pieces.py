@@ -145,11 +145,11 @@ class Vocabulary:
         self.special_ids = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.tokens = {i: t for t, i in {**self.ids, **self.special_ids}.items()}
         self.specials = tuple(self.special_ids)
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
 
     def spell(self, piece: str) -> str:
         """A piece in byte letters."""
-        return "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+        return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
 
 
 class Bounded(dict):
@@ -158,6 +158,9 @@ class Bounded(dict):
     def __init__(self, most: int):
         self.most = most
 
-    def make_room(self, n: int) -> None:
-        if len(self) + n > self.most:
-            self.clear()
+    def make_room(self, n: int) -> bool:
+        """Whether everything was forgotten to make room for ``n`` entries."""
+        if len(self) + n <= self.most:
+            return False
+        self.clear()
+        return True
