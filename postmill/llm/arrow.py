@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 
@@ -12,6 +13,11 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 4 << 20
 
 
+def library_in_one_thread() -> None:
+    """Spark's tasks are the parallelism: threads of the tokenizers library would contend with other tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
 def process_cache(name: str, make):
     """One object per worker process; functions of this package are pickled by value, so module globals live per task."""
     home = sys.modules.setdefault("_postmill_process_cache", types.ModuleType("_postmill_process_cache"))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import scratch_path
-from .arrow import process_cache, slices, strings
+from .arrow import library_in_one_thread, process_cache, slices, strings
 from .pieces import Bounded, Vocabulary, cut
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,80 +45,104 @@ BLOCK_IDS = 2048
 FILE_IDS = 1 << 23
 SHARD_BYTES = 24 << 20
 CACHED_PIECES = 500_000
-ONE_BITS, TWO_BITS = 8, 10
-STEP, MOST_WEIGHT, CLASS_STEP, MOST_CLASS = 24, 4000, 24, 16000
+ONE_BITS, TWO_BITS = 8, 9
+STEP, MOST_WEIGHT, CLASS_STEP = 24, 4000, 24
+# Up to here the counts of classes fit 16 bits.
+MOST_BLOCK = (65535 - 256) // CLASS_STEP
+_HASH = (np.int32(0x1E3779B1), np.int32(0x05EBCA6B), np.int32(0x2545F491))
 _WORD = np.uint64(1 << 32)
 _LOW = np.uint64((1 << 32) - 1)
 _32 = np.uint64(32)
 _CONF = 24
-_ID = (1 << _CONF) - 1
+_ID = np.int32((1 << _CONF) - 1)
 
 
-def split_ids(ids: np.ndarray):
-    """(class, number of remaining bits, remaining bits): below 8 the id itself, then two bits behind the leading one."""
-    ids = ids.astype(np.int64)
-    length = np.frexp(ids.astype(np.float64))[1] - 1
-    bits = np.where(ids < 8, 0, length - 2)
-    classes = np.where(ids < 8, ids, 8 + (length - 3) * 4 + ((ids >> bits) & 3))
-    return classes, bits, ids & ((1 << bits) - 1)
+def class_table() -> np.ndarray:
+    """The class of each id below 2 ** 16: below 8 the id itself, then the length and two bits behind the leading one."""
+    ids = np.arange(1 << 16)
+    bits = np.maximum(np.frexp(ids.astype(np.float64))[1] - 3, 0)
+    return np.where(ids < 8, ids, 4 + bits * 4 + ((ids >> bits) & 3)).astype(np.uint8)
+
+
+def class_of(ids: np.ndarray, classes: int) -> np.ndarray:
+    table = process_cache("id_classes", class_table)
+    if classes <= int(table[-1]) + 1:
+        return table[ids]
+    # Eight bits more move an id eight lengths up.
+    high = ids >> 8
+    return np.where(high >= 8, table[high] + np.uint8(32), table[ids & 0xFFFF])
+
+
+def split_ids(ids: np.ndarray, classes: int):
+    """(class, number of remaining bits, remaining bits)."""
+    kind = class_of(ids, classes)
+    bits = np.where(kind < 8, 0, (kind.astype(np.int32) - 8 >> 2) + 1)
+    return kind, bits, ids & ((1 << bits) - 1)
 
 
 class _Blocks:
     """Models and coder states of blocks that are coded side by side."""
 
     def __init__(self, lanes: int, classes: int):
-        self.rows = np.arange(lanes)
-        self.one = np.zeros(lanes << ONE_BITS, dtype=np.int64)
-        self.two = np.zeros(lanes << TWO_BITS, dtype=np.int64)
-        self.weights = [np.full(lanes * 16, w, dtype=np.int64) for w in (4, 4, 8)]
-        self.upto = np.tile(np.arange(classes + 1, dtype=np.uint16), (lanes, 1))
-        self.steps = (np.arange(classes + 1)[None, :] > np.arange(classes)[:, None]).astype(np.uint16) * CLASS_STEP
+        self.rows = np.arange(lanes, dtype=np.int32)
+        self.one = np.zeros(lanes << ONE_BITS, dtype=np.int32)
+        self.two = np.zeros(lanes << TWO_BITS, dtype=np.int32)
+        self.weights = [np.full(lanes * 16, w, dtype=np.int32) for w in (4, 4, 8)]
+        # Cumulative counts, one row per class; all blocks have the same total.
+        self.upto = np.repeat(np.arange(classes + 1, dtype=np.uint16)[:, None], lanes, axis=1)
+        self.names = np.arange(classes + 1, dtype=np.uint8)[:, None]
         self.total = classes
-        self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+        self.last, self.before = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
         self.low = np.zeros(lanes, dtype=np.uint64)
         self.range = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
         self.at = np.zeros(lanes, dtype=np.int64)
+        self.lane_bits = (self.rows << ONE_BITS, self.rows << TWO_BITS, self.rows << 4)
 
     def trim(self, lanes: int) -> None:
         """Only the first blocks have one more id."""
         for name in ("rows", "last", "before", "low", "range", "at"):
             setattr(self, name, getattr(self, name)[:lanes])
-        self.upto = self.upto[:lanes]
+        self.upto = np.ascontiguousarray(self.upto[:, :lanes])
+        self.lane_bits = tuple(x[:lanes] for x in self.lane_bits)
 
     def predict(self) -> None:
-        self.i1 = (self.rows << ONE_BITS) + (((self.last * 0x9E3779B1) >> 16) & ((1 << ONE_BITS) - 1))
-        mixed = (self.last * 0x85EBCA6B + self.before * 0x2545F491) >> 18
-        self.i2 = (self.rows << TWO_BITS) + (mixed & ((1 << TWO_BITS) - 1))
+        one, two, four = self.lane_bits
+        self.i1 = one + ((self.last * _HASH[0] >> 12) & ((1 << ONE_BITS) - 1))
+        self.i2 = two + ((self.last * _HASH[1] + self.before * _HASH[2] >> 14) & ((1 << TWO_BITS) - 1))
         self.e1, self.e2 = self.one[self.i1], self.two[self.i2]
         self.p1, self.p2 = self.e1 & _ID, self.e2 & _ID
         self.c1, self.c2 = self.e1 >> _CONF, self.e2 >> _CONF
-        self.w = (self.rows << 4) + (self.c2 << 2) + self.c1
+        self.w = four + (self.c2 << 2) + self.c1
         self.a, self.b, self.c = [w[self.w] for w in self.weights]
         agree = self.p1 == self.p2
         self.m2 = self.a + self.b * agree
-        self.m1 = self.b * ~agree
         self.whole = self.a + self.b + self.c
+        # Where the order-0 model begins.
+        self.m21 = self.a + self.b
 
     def learn(self, ids: np.ndarray, classes: np.ndarray) -> None:
         right1, right2 = ids == self.p1, ids == self.p2
-        a, b = self.a + STEP * right2, self.b + STEP * right1
-        c = self.c + STEP * ~(right1 | right2)
-        over = (a + b + c > MOST_WEIGHT).astype(np.int64)
-        for store, value in zip(self.weights, (a, b, c)):
-            store[self.w] = np.maximum(value >> over, 1)
+        wrong = ~(right1 | right2)
+        over = self.whole > MOST_WEIGHT - 2 * STEP
+        for store, value, hit in zip(self.weights, (self.a, self.b, self.c), (right2, right1, wrong)):
+            store[self.w] = (value + hit * np.int32(STEP) >> over) | 1
         for table, place, entry, conf, right in (
             (self.one, self.i1, self.e1, self.c1, right1), (self.two, self.i2, self.e2, self.c2, right2)
         ):
-            kept = entry + np.where(right, (conf < 3).astype(np.int64) << _CONF, -(1 << _CONF))
+            kept = entry + np.where(right, (conf < 3) * np.int32(1 << _CONF), np.int32(-(1 << _CONF)))
             table[place] = np.where(right | (conf > 0), kept, ids)
-        self.upto += self.steps[classes]
+        above = (self.names > classes).view(np.uint8).astype(np.uint16)
+        above *= CLASS_STEP
+        self.upto += above
         self.total += CLASS_STEP
-        if self.total > MOST_CLASS:
-            counts = (np.diff(self.upto.astype(np.int64), axis=1) + 1) >> 1
-            self.upto[:, 1:] = np.cumsum(counts, axis=1)
-            self.total = int(self.upto[:, -1].max(initial=0))
         self.before, self.last = self.last, ids
 
+    def counts(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = self.upto.reshape(-1)
+        place = classes.astype(np.int64) * self.upto.shape[1] + self.rows
+        begin = flat[place]
+        return _u(begin), _u(flat[place + self.upto.shape[1]] - begin)
+
     def narrow(self, start: np.ndarray, size: np.ndarray, part: np.ndarray) -> None:
         self.low += part * start
         self.range = part * size
@@ -146,7 +170,7 @@ def _sizes(n: int, block: int) -> tuple[int, int, int]:
 
 def _lay(ids: np.ndarray, lanes: int, long: int, longer: int) -> np.ndarray:
     """ids as [step, block]; the shorter blocks lack the last step."""
-    table = np.zeros((lanes, long), dtype=np.int64)
+    table = np.zeros((lanes, long), dtype=np.int32)
     cut_at = longer * long
     table[:longer] = ids[:cut_at].reshape(longer, long)
     if longer < lanes:
@@ -160,14 +184,15 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK_IDS):
         return 1, []
     if int(ids.max()) > _ID or int(ids.min()) < 0:
         raise ValueError("ids have 24 bits at most")
+    if block > MOST_BLOCK:
+        raise ValueError("the counts of a block have 16 bits")
     lanes, long, longer = _sizes(len(ids), block)
     table = _lay(np.asarray(ids, dtype=np.int64), lanes, long, longer)
-    classes = int(split_ids(np.array([ids.max()]))[0][0]) + 1
+    classes = int(class_of(np.array([ids.max()], dtype=np.int32), 256)[0]) + 1
     model = _Blocks(lanes, classes)
-    words = np.zeros((lanes, 64), dtype=np.uint32)
+    words = np.zeros((lanes, 128), dtype=np.uint32)
 
     def put() -> None:
-        nonlocal words
         high = model.low >> _32
         short = model.settle()
         if len(short):
@@ -178,28 +203,27 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK_IDS):
         if step == long - 1 and longer < lanes:
             tail = model.low[longer:].copy(), model.at[longer:].copy()
             model.trim(longer)
-        if words.shape[1] < int(model.at.max()) + 4:
+        # Two words a step at most.
+        if step % 32 == 0 and words.shape[1] < int(model.at.max(initial=0)) + 66:
             words = np.concatenate([words, np.zeros_like(words)], axis=1)
+        if step % 64 == 0:
+            split = split_ids(table[step : step + 64], classes)
         now = table[step][: len(model.rows)]
-        kind, bits, rest = split_ids(now)
+        kind, bits, rest = [x[step % 64][: len(now)] for x in split]
         model.predict()
         hit2 = now == model.p2
         hit1 = (now == model.p1) & ~hit2
         literal = ~(hit1 | hit2)
-        start = np.where(hit2, 0, np.where(hit1, model.m2, model.m2 + model.m1))
-        size = np.where(hit2, model.m2, np.where(hit1, model.m1, model.c))
+        start = np.where(hit2, 0, np.where(hit1, model.m2, model.m21))
+        size = np.where(hit2, model.m2, np.where(hit1, model.b, model.c))
         model.narrow(_u(start), _u(size), model.range // _u(model.whole))
         put()
-        at = np.flatnonzero(literal)
-        if len(at):
-            upto = model.upto[at]
-            pick = np.arange(len(at))
-            begin, end = upto[pick, kind[at]], upto[pick, kind[at] + 1]
-            part = model.range[at] // _u(upto[:, -1])
-            size = (part * _u(end - begin)) >> _u(bits[at])
-            model.low[at] += part * _u(begin) + size * _u(rest[at])
-            model.range[at] = size
-            put()
+        begin, count = model.counts(kind)
+        part = model.range // np.uint64(model.total)
+        size = (part * count) >> _u(bits)
+        model.low += (part * begin + size * _u(rest)) * literal
+        model.range = np.where(literal, size, model.range)
+        put()
         model.learn(now, kind)
     low, at = model.low, model.at
     if longer < lanes:
@@ -226,7 +250,9 @@ def decode_ids(classes: int, blocks: list[tuple[int, bytes]]) -> np.ndarray:
     model = _Blocks(lanes, classes)
     code = (words[:, 0] << _32) | words[:, 1]
     model.at += 2
-    table = np.zeros((long, lanes), dtype=np.int64)
+    table = np.zeros((long, lanes), dtype=np.int32)
+    class_bits = np.array([0 if k < 8 else (k - 8) // 4 + 1 for k in range(classes)], dtype=np.int32)
+    class_base = np.array([k if k < 8 else (4 | (k - 8) & 3) << (k - 8) // 4 + 1 for k in range(classes)], dtype=np.int32)
 
     def take() -> None:
         short = model.settle()
@@ -240,32 +266,29 @@ def decode_ids(classes: int, blocks: list[tuple[int, bytes]]) -> np.ndarray:
             code = code[:longer]
         model.predict()
         part = model.range // _u(model.whole)
-        found = ((code - model.low) // part).astype(np.int64)
+        found = ((code - model.low) // part).astype(np.int32)
         hit2 = found < model.m2
-        literal = found >= model.m2 + model.m1
-        start = np.where(hit2, 0, np.where(literal, model.m2 + model.m1, model.m2))
-        size = np.where(hit2, model.m2, np.where(literal, model.c, model.m1))
+        literal = found >= model.m21
+        start = np.where(hit2, 0, np.where(literal, model.m21, model.m2))
+        size = np.where(hit2, model.m2, np.where(literal, model.c, model.b))
         model.narrow(_u(start), _u(size), part)
         take()
-        now = np.where(hit2, model.p2, model.p1)
-        at = np.flatnonzero(literal)
-        if len(at):
-            upto = model.upto[at]
-            part = model.range[at] // _u(upto[:, -1])
-            behind = (code[at] - model.low[at]) // part
-            kind = np.count_nonzero(upto[:, 1:] <= behind.astype(np.uint16)[:, None], axis=1)
-            pick = np.arange(len(at))
-            begin, end = upto[pick, kind], upto[pick, kind + 1]
-            bits = np.where(kind < 8, 0, (kind - 8) // 4 + 1)
-            size = (part * _u(end - begin)) >> _u(bits)
-            base = model.low[at] + part * _u(begin)
-            rest = ((code[at] - base) // size).astype(np.int64)
-            model.low[at] = base + size * _u(rest)
-            model.range[at] = size
-            take()
-            now[at] = np.where(kind < 8, kind, ((4 | ((kind - 8) & 3)) << bits) + rest)
+        part = model.range // np.uint64(model.total)
+        behind = np.minimum((code - model.low) // part, np.uint64(model.total - 1)).astype(np.uint16)
+        kind = np.add.reduce((model.upto[1:] <= behind).view(np.uint8), axis=0, dtype=np.uint8)
+        begin, count = model.counts(kind)
+        bits = class_bits[kind]
+        size = (part * count) >> _u(bits)
+        base = model.low + part * begin
+        rest = ((code - base) // np.maximum(size, np.uint64(1))).astype(np.int32)
+        model.low = np.where(literal, base + size * _u(rest), model.low)
+        model.range = np.where(literal, size, model.range)
+        take()
+        now = np.where(literal, class_base[kind] + rest, np.where(hit2, model.p2, model.p1))
+        # The class of an id that was predicted.
+        kind = np.where(literal, kind, class_of(now, classes))
         table[step, : len(now)] = now
-        model.learn(now, split_ids(now)[0])
+        model.learn(now, kind)
     flat = table.T
     if longer == lanes:
         return flat.reshape(-1)
@@ -326,6 +349,7 @@ class PieceIds:
     """Ids of whole texts by the library, which encodes each distinct piece once."""
 
     def __init__(self, path: str):
+        library_in_one_thread()
         self.words = Vocabulary(path)
         self.merges = Tokenizer(Tokenizer.from_file(path).model)
         self.known = Bounded(CACHED_PIECES)

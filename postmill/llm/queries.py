@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..plans.register import Registry
-from . import bpe, mixing, token_counts, toxicity
+from . import bpe, id_files, kd_search, mixing, quality, sentence_spans, token_counts, toxicity
 
 query = Registry()
 
@@ -12,6 +12,16 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op3_quality")
+def op3_quality(spark, sf):
+    return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op4_id_files")
+def op4_id_files(spark, sf):
+    return id_files.report(table(spark, sf, "documents"))
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark, sf):
     return toxicity.report(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -30,3 +40,13 @@ def op7_bpe_tree(spark, sf):
 @query("op8_mixing", mixing.SQL)
 def op8_mixing(spark, sf):
     return mixing.report(table(spark, sf, "documents"))
+
+
+@query("op9_sentence_spans")
+def op9_sentence_spans(spark, sf):
+    return sentence_spans.report(table(spark, sf, "documents"))
+
+
+@query("op10_kd_search", kd_search.SQL)
+def op10_kd_search(spark, sf):
+    return kd_search.search(table(spark, sf, "embeddings"))
