@@ -295,12 +295,13 @@ def decode_ids(classes: int, blocks: list[tuple[int, bytes]]) -> np.ndarray:
     return np.concatenate([flat[:longer].reshape(-1), flat[longer:, : long - 1].reshape(-1)])
 
 
-_HEAD = struct.Struct("<4sHHQQI")
+_HEAD = "<4sHHQQI"
+_HEAD_SIZE = struct.calcsize(_HEAD)
 
 
 def write_file(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     classes, blocks = encode_ids(ids)
-    head = _HEAD.pack(MAGIC, VERSION, classes, len(doc_ids), len(ids), len(blocks))
+    head = struct.pack(_HEAD, MAGIC, VERSION, classes, len(doc_ids), len(ids), len(blocks))
     nulls = np.array([d is None for d in doc_ids], dtype=np.uint8)
     known = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
     sums, at = [], 0
@@ -313,12 +314,12 @@ def write_file(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
 
 def read_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """(doc_ids, lengths, ids) of a file; a wrong checksum raises ValueError."""
-    if len(data) < _HEAD.size:
+    if len(data) < _HEAD_SIZE:
         raise ValueError("file is cut off")
-    magic, version, classes, docs, n_ids, n_blocks = _HEAD.unpack_from(data)
+    magic, version, classes, docs, n_ids, n_blocks = struct.unpack_from(_HEAD, data)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a file of token ids of this version")
-    at = _HEAD.size
+    at = _HEAD_SIZE
     size = docs * 13 + n_blocks * 16
     if len(data) < at + size + 4 or zlib.crc32(data[: at + size]) != struct.unpack_from("<I", data, at + size)[0]:
         raise ValueError("checksum of the index is wrong")
