@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..plans.register import Registry
-from . import bpe, id_files, kd_search, mixing, near_dedup, quality, sentence_spans, token_counts, toxicity
+from . import bpe, id_files, kd_search, mixing, near_dedup, quality, sentence_spans, suffix_dedup, token_counts, toxicity
 
 query = Registry()
 
@@ -12,6 +12,11 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf):
+    return suffix_dedup.report(table(spark, sf, "documents"))
+
+
 @query("op2_near_dedup")
 def op2_near_dedup(spark, sf):
     return near_dedup.components(table(spark, sf, "documents"))
