@@ -8,8 +8,9 @@ place) stays, and every sentence that another one covers is removed. Runs are ju
 The runs are written once to the shared folder; the smallest place of each hash is pre-aggregated in the map tasks, and a hot
 hash is one row on the build side of the join, whose large partitions Spark may split.
 
-Defined results: null and empty texts have no sentence and stay as they are; a null doc_id counts as the largest one; rows with one
-doc_id are one document, so a run they share at one place is first in both. Extra columns pass through.
+Defined results: null and empty texts have no sentence and stay as they are; a null doc_id counts as the largest one; equal rows are
+one document, so a run they share is first in both; rows with one doc_id and different texts are documents of their own, in the
+order of a hash of the text. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -63,16 +64,18 @@ def runs(parts: list[str], least: int = LEAST_SENTENCES, words: int = LEAST_WORD
 
 def _all_runs(batches):
     for part in slices(batches):
-        hashes, ids, firsts, stops = [], [], [], []
-        for doc_id, text in zip(part.column("doc_id").to_pylist(), strings(part.column("text"))):
+        hashes, ids, marks, firsts, stops = [], [], [], [], []
+        columns = part.column("owner").to_pylist(), part.column("mark").to_pylist(), strings(part.column("text"))
+        for owner, mark, text in zip(*columns):
             for key, first, stop in runs(sentences(text)):
                 hashes.append(key)
-                ids.append(_LAST if doc_id is None else doc_id)
+                ids.append(owner)
+                marks.append(mark)
                 firsts.append(first)
                 stops.append(stop)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(stops, pa.int32())],
-            names=["run", "owner", "first", "stop"],
+            [*[pa.array(x, pa.int64()) for x in (hashes, ids, marks)], *[pa.array(x, pa.int32()) for x in (firsts, stops)]],
+            names=["run", "owner", "mark", "first", "stop"],
         )
 
 
@@ -100,25 +103,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` but with the remaining text in ``_sp_text`` for ``text``; ``_sp_count`` and ``_sp_removed`` sentences."""
     spark = docs.sparkSession
     where = scratch_path(spark, "sentence-runs")
-    docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        _all_runs, "run bigint, owner bigint, first int, stop int"
+    owner, mark = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), F.xxhash64("text")
+    docs.select(owner.alias("owner"), mark.alias("mark"), "text").mapInArrow(
+        _all_runs, "run bigint, owner bigint, mark bigint, first int, stop int"
     ).write.parquet(where)
     found = spark.read.parquet(where)
-    # An owner may hold a hash twice, so the least place says which occurrence is first.
-    firsts = found.groupBy("run").agg(F.min(F.struct("owner", "first")).alias("_least"), F.count("*").alias("_n"))
-    repeated = found.join(firsts.where("_n > 1"), "run").where(
-        (F.col("owner") != F.col("_least.owner")) | (F.col("first") != F.col("_least.first"))
-    )
+    # A document may hold a run twice, so its place says which occurrence is first.
+    place = F.struct("owner", "mark", "first")
+    firsts = found.groupBy("run").agg(F.min(place).alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    repeated = found.join(firsts, "run").where(place != F.col("_least"))
     # One row per document; a document has a few runs for each of its sentences.
-    spans = repeated.groupBy("owner").agg(
+    spans = repeated.groupBy("owner", "mark").agg(
         F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("_spans")
     ).select(
-        F.col("owner").alias("_sp_owner"), F.col("_spans.first").alias("_sp_firsts"), F.col("_spans.stop").alias("_sp_stops")
+        F.col("owner").alias("_sp_owner"), F.col("mark").alias("_sp_mark"),
+        F.col("_spans.first").alias("_sp_firsts"), F.col("_spans.stop").alias("_sp_stops"),
     )
     joined = (
-        docs.withColumnRenamed("text", "_sp_text")
-        .join(spans, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)) == F.col("_sp_owner"), "left")
-        .drop("_sp_owner")
+        docs.join(spans, (owner == F.col("_sp_owner")) & (mark == F.col("_sp_mark")), "left")
+        .withColumnRenamed("text", "_sp_text")
+        .drop("_sp_owner", "_sp_mark")
     )
     kept = joined.drop("_sp_firsts", "_sp_stops")
     fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
