@@ -26,8 +26,6 @@ _COMMON = {
     "&copy;": "\u00a9", "&ndash;": "\u2013", "&mdash;": "\u2014", "&bull;": "\u2022", "&hellip;": "\u2026",
     "&lsquo;": "\u2018", "&rsquo;": "\u2019", "&ldquo;": "\u201c", "&rdquo;": "\u201d",
 }
-# An entity outside that list.
-_OTHER = "&(?!(?:amp|" + "|".join(e[1:-1] for e in _COMMON) + ");)[#A-Za-z]"
 
 
 def unescape(x: Column) -> Column:
@@ -39,8 +37,8 @@ def unescape(x: Column) -> Column:
 
 
 def unescape_all(x: Column) -> Column:
-    """Decode every HTML entity; only texts with an uncommon one go to Python, in Arrow batches."""
-    return F.coalesce(_unescape(F.when(x.rlike(_OTHER), x)), unescape(x))
+    """Decode every HTML entity, in Arrow batches. ``x`` stands here once, so a long chain behind it is computed once."""
+    return _unescape(x)
 
 
 # --- Text of a page ---------------------------------------------------------------------------
@@ -50,10 +48,23 @@ SKIPPED = ["script", "style", "noscript", "template", "head", "nav", "header", "
 BLOCKS = "p|div|li|ul|ol|h[1-6]|section|article|main|table|tr|blockquote|pre|br|hr|dt|dd|title"
 
 
+def _replace_to_last(x: Column, element: str, last: str) -> Column:
+    """Replace ``element`` up to the last text that can end one; what starts behind it is never closed and not searched."""
+
+    def cut(page: Column) -> Column:
+        return F.struct(page.alias("page"), F.regexp_extract(page, rf"(?is)^.*{last}", 0).alias("head"))
+
+    def replaced(c: Column) -> Column:
+        tail = F.substring(c["page"], F.length(c["head"]) + 1, F.length(c["page"]))
+        return F.when(c["head"] == "", c["page"]).otherwise(F.concat(F.regexp_replace(c["head"], element, " "), tail))
+
+    return bind(bind(x, cut), replaced)
+
+
 def drop_elements(x: Column, names: list[str] = SKIPPED) -> Column:
-    out = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
+    out = _replace_to_last(x, r"(?s)<!--.*?-->", "-->")
     for name in names:
-        out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
+        out = _replace_to_last(out, rf"(?is)<{name}\b[^>]*+>.*?</{name}\s*+>", rf"</{name}\s*+>")
     return out
 
 
@@ -185,7 +196,7 @@ def description_text(x: Column, decode: Callable[[Column], Column] = unescape_al
 
 def plain_description(x: Column) -> Column:
     """Trim lines, drop list marks and the blank lines after list items, keep one blank line elsewhere."""
-    unlisted = F.regexp_replace(unix_newlines(x), r"(?mU)^[^\S\n]*[-*][^\S\n]+(\S.*)\n(?:[^\S\n]*\n)+", "- $1\n")
+    unlisted = F.regexp_replace(unix_newlines(x), r"(?mU)^[^\S\n]*+[-*][^\S\n]++(\S.*+)\n(?:[^\S\n]*+\n)++", "- $1\n")
     lines = F.transform(F.split(unlisted, "\n"), lambda line: F.regexp_replace(strip(line), r"(?U)^[-*]\s+", ""))
     return blank_to_null(squeeze_blank_lines(F.array_join(lines, "\n")))
 

@@ -9,7 +9,6 @@ from .filters import apply_filters
 from .ranking import top_per_group
 
 PAGE_SIZE = 25
-FACET_LIMIT = 1000
 
 
 def newest_first(df: DataFrame) -> DataFrame:
@@ -37,8 +36,11 @@ def page_info(matches: DataFrame, page: int = 1, size: int = PAGE_SIZE) -> DataF
     )
 
 
-def location_facets(docs: DataFrame, country: str | None = None, region: str | None = None, **filters) -> DataFrame:
-    """Distinct countries, regions (of the country) and cities (of country and region), each in key order.
+def location_facets(docs: DataFrame, country: str | None = None, region: str | None = None, limit: int | None = None,
+                    **filters) -> DataFrame:
+    """Distinct countries, regions (of the country) and cities (of country and region), all of them in key order.
+
+    ``limit`` keeps that many first values of each facet.
 
     One pass: every location yields up to three (facet, value) pairs, which are de-duplicated before the shuffle.
     """
@@ -58,7 +60,9 @@ def location_facets(docs: DataFrame, country: str | None = None, region: str | N
         .where(F.coalesce(F.col("value"), F.lit("")) != "")
         .distinct()
     )
-    return top_per_group(values, ["facet"], [F.col("value").asc()], FACET_LIMIT).orderBy("facet", "rn")
+    if limit is not None:
+        values = top_per_group(values, ["facet"], [F.col("value").asc()], limit).drop("rn")
+    return values.orderBy("facet", "value")
 
 
 def jobs_with_details(jobs: DataFrame, details: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ SYMBOL_CURRENCY = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
 SENTENCE_ENDS = ".!?\n"
 TRAILING_CHARS = 64
 MINIMUM = 1000
-MARK = "\u0001"
+MARK, HELD = "\u0001", "\u0002"
 # ----------------------------------------------------------------------------------------------
 
 
@@ -36,72 +36,82 @@ def _has_any(x: Column, words: list[str]) -> Column:
     return x.rlike("|".join(words))
 
 
-def _range_at(text: Column, start: Column, match: Column) -> Column:
-    """One range: its amounts, currency, interval and the sentence around it."""
-    # Both patterns stop at the first sentence end, so a long text is not scanned again for each match.
-    before = F.reverse(F.substring(text, F.lit(1), start))
-    after = F.substring(text, start + F.length(match) + 1, F.length(text))
-    left = F.reverse(F.regexp_extract(before, f"^[^{SENTENCE_ENDS}]*", 0))
-
-    def parts(rest: Column) -> Column:
-        right = F.regexp_extract(rest, f"^[^{SENTENCE_ENDS}]*[{SENTENCE_ENDS}]?", 0)
-        context = collapse_space(F.concat(left, match, right))
-        return F.struct(context.alias("context"), F.substring(rest, 1, TRAILING_CHARS).alias("trailing"))
-
+def _range_at(match: Column, context: Column, trailing: Column) -> Column:
+    """One range: its amounts, currency and interval, given the sentence around it and the text behind it."""
     group = lambda i: F.regexp_extract(match, RANGE, i)
     amount = lambda i: F.replace(group(i), F.lit(","), F.lit("")).try_cast("bigint")
 
     def build(p: Column) -> Column:
-        around = F.lower(F.concat_ws(" ", p["s"]["context"], p["s"]["trailing"]))
+        around = F.lower(F.concat_ws(" ", p["context"], p["trailing"]))
         marked = F.concat(p["code1"], p["sym1"], p["code2"], p["sym2"]) != ""
         symbol = F.when(p["sym1"] != "", p["sym1"]).otherwise(p["sym2"])
         wanted = ((p["low"] >= MINIMUM) | (p["high"] >= MINIMUM)) & (
-            marked | _has_any(F.lower(p["s"]["context"]), CONTEXT_WORDS)
+            marked | _has_any(F.lower(p["context"]), CONTEXT_WORDS)
         )
         currency = F.coalesce(code_currency(p["code1"]), code_currency(p["code2"]), lookup(symbol, SYMBOL_CURRENCY))
         return F.when(
             wanted,
             F.struct(
                 p["low"].alias("min_amount"), p["high"].alias("max_amount"), currency.alias("currency"),
-                bind(around, interval_word).alias("interval"), F.nullif(p["s"]["context"], F.lit("")).alias("context"),
+                bind(around, interval_word).alias("interval"), F.nullif(p["context"], F.lit("")).alias("context"),
             ),
         )
 
     return bind(
         F.struct(
             group(1).alias("code1"), group(2).alias("sym1"), amount(3).alias("low"), group(4).alias("code2"),
-            group(5).alias("sym2"), amount(6).alias("high"), bind(after, parts).alias("s"),
+            group(5).alias("sym2"), amount(6).alias("high"), context.alias("context"), trailing.alias("trailing"),
         ),
         build,
     )
 
 
+def _ranges_of_sentence(sentences: Column, sentence: Column, index: Column) -> Column:
+    """The ranges marked in one sentence. The interval may stand up to ``TRAILING_CHARS`` characters behind a range, also
+    in the next sentences; that bound is part of the rule."""
+    plain = lambda x: F.replace(F.replace(x, F.lit(MARK), F.lit("")), F.lit(HELD), F.lit("\n"))
+
+    def ranges(p: Column) -> Column:
+        def one(j: Column) -> Column:
+            # A match has nine characters at least, so these parts reach far enough.
+            rest = F.concat(F.array_join(F.slice(p["parts"], j + 2, F.lit(TRAILING_CHARS // 4)), ""), p["after"])
+            return _range_at(plain(F.get(p["parts"], j)), p["context"], F.substring(plain(rest), 1, TRAILING_CHARS))
+
+        return F.transform(F.sequence(F.lit(1), F.size(p["parts"]) - 2, F.lit(2)), one)
+
+    after = plain(F.array_join(F.slice(sentences, index + 2, F.lit(TRAILING_CHARS)), ""))
+    return bind(
+        F.struct(F.split(sentence, MARK, -1).alias("parts"), F.substring(after, 1, TRAILING_CHARS).alias("after"),
+                 collapse_space(plain(sentence)).alias("context")),
+        ranges,
+    )
+
+
 def pay_ranges(text: Column) -> Column:
     """The distinct ranges of a cleaned text, in order of appearance.
 
-    The text between the matches gives the place of each match, so every match is found exactly once.
+    One regex pass marks the ranges, then the marked text is cut into sentences: a range's context is its sentence, so
+    the work grows with the length of the text.
     """
 
     def scan(t: Column) -> Column:
-        # One regex pass marks the matches; the pieces then alternate: text, match, text, ...
-        pieces = F.split(F.regexp_replace(F.replace(t, F.lit(MARK), F.lit("")), RANGE, f"{MARK}$0{MARK}"), MARK, -1)
-        none = F.array().cast("array<struct<start:int,match:string>>")
-        placed = F.aggregate(
-            F.transform(pieces, lambda piece, i: F.struct(piece.alias("piece"), i.alias("i"))),
-            F.struct(F.lit(0).alias("at"), none.alias("found")),
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x["piece"])).alias("at"),
-                F.when(
-                    x["i"] % 2 == 1,
-                    F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), x["piece"].alias("match")))),
-                ).otherwise(acc["found"]).alias("found"),
-            ),
-            lambda acc: acc["found"],
-        )
-        ranges = F.transform(placed, lambda m: _range_at(t, m["start"], m["match"]))
-        return F.array_distinct(F.filter(ranges, lambda r: r.isNotNull())).cast(f"array<{PAY_RANGE.simpleString()}>")
-
-    return bind(text, scan)
+        pieces = F.split(F.regexp_replace(t, RANGE, f"{MARK}$0{MARK}"), MARK, -1)
+        # A line end inside a range ends no sentence.
+        marked = F.transform(pieces, lambda piece, i: F.when(
+            i % 2 == 1, F.concat(F.lit(MARK), F.replace(piece, F.lit("\n"), F.lit(HELD)), F.lit(MARK))).otherwise(piece))
+        sentence = f"[^{SENTENCE_ENDS}]*+[{SENTENCE_ENDS}]|[^{SENTENCE_ENDS}]++"
+        return F.regexp_extract_all(F.array_join(marked, ""), F.lit(sentence), F.lit(0))
+
+    def ranges(sentences: Column) -> Column:
+        none = F.array().cast(f"array<{PAY_RANGE.simpleString()}>")
+        found = F.transform(sentences, lambda s, i: F.when(
+            F.contains(s, F.lit(MARK)),
+            _ranges_of_sentence(sentences, s, i).cast(f"array<{PAY_RANGE.simpleString()}>")).otherwise(none))
+        return F.array_distinct(F.filter(F.flatten(found), lambda r: r.isNotNull()))
+
+    # Marks of the input are removed before anything is located in it.
+    unmarked = F.translate(text, MARK + HELD, "")
+    return bind(bind(unmarked, scan), ranges)
 
 
 def pay_notes(text: Column, ranges: Column) -> Column:

@@ -52,8 +52,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[s
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     placed = running_total(counts, keys, [value], F.col("_n"), "_end").withColumn("_begin", F.col("_end") - F.col("_n"))
-    totals = placed.groupBy(*keys).agg(F.max("_end").alias("_total"))
-    placed = placed.join(totals, keys)
+    # A NULL key is a group like any other.
+    totals = placed.groupBy(*keys).agg(F.max("_end").alias("_total")).withColumnsRenamed({k: f"_t_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_t_{k}"))
+    placed = placed.join(totals, same)
     aggregates = []
     for name, p in points.items():
         rank = (F.col("_total") - 1) * F.lit(p)
@@ -78,8 +82,9 @@ def interleave(worklist: DataFrame, group: str, positions: DataFrame, item: list
 
     ``positions`` holds (group, position): the configured groups. Groups that are not configured drop out.
     """
-    placed = ranked(worklist.join(positions.select(group), group, "left_semi"), [group], item, "turn")
-    return placed.join(positions, group).orderBy("turn", "position")
+    # The position comes along from the first join, which Spark may split or broadcast; no join follows the ranking.
+    placed = ranked(worklist.join(positions, group), [group], item, "turn")
+    return placed.orderBy("turn", "position")
 
 
 def last_write_wins(df: DataFrame, keys: list[str], seq: str) -> DataFrame:

@@ -96,9 +96,13 @@ def benchmark_summary(attempts: DataFrame) -> DataFrame:
         attempts.where(ok), keys, "latency_ms", {"p50_latency_ms_success": 0.5, "p95_latency_ms_success": 0.95}
     )
     rounded = points.select(*keys, *[F.round(name, 2).alias(name) for name in points.columns if name not in keys])
+    # NULL keys are groups too, so the parts meet on a struct of the keys, which is never NULL.
+    group = F.struct(*keys)
     return (
-        totals.join(rounded, keys, "left")
-        .join(top_failure_causes(attempts, keys), keys, "left")
+        totals.withColumn("_group", group)
+        .join(rounded.withColumn("_group", group).drop(*keys), "_group", "left")
+        .join(top_failure_causes(attempts, keys).withColumn("_group", group).drop(*keys), "_group", "left")
+        .drop("_group")
         .na.fill("", ["top_failure_causes"])
         .orderBy(*keys)
     )

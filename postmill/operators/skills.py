@@ -10,8 +10,8 @@ from ..functions.text import bind, strip
 from ..session import is_small
 
 # A word may hold + # . ' & / - inside or + # at its end, so C++, C#, Node.js and CI/CD stay whole; any other mark
-# is a token of its own.
-WORD = r"[\p{L}\p{N}_]+(?:[.+#'&/\-]*[\p{L}\p{N}_]+)*[+#]*|[^\s\p{L}\p{N}_]"
+# is a token of its own. Possessive throughout, so a long unspaced string needs no backtracking stack.
+WORD = r"[\p{L}\p{N}_]++(?:[.+#'&/\-]*+[\p{L}\p{N}_]++)*+[+#]*+|[^\s\p{L}\p{N}_]"
 
 
 def phrase_tokens(x: Column) -> Column:

@@ -225,17 +225,11 @@ def page_info(spark, sf):
 
 
 _FACETS = """
- SELECT facet, value, rn FROM (
-  SELECT facet, value, row_number() OVER (PARTITION BY facet ORDER BY value) AS rn FROM (
-   SELECT DISTINCT 'country' AS facet, country AS value FROM scoped
-   UNION SELECT DISTINCT 'region', region FROM scoped {r}
-   UNION SELECT DISTINCT 'city', city FROM scoped {c}
-  ) WHERE coalesce(value, '') <> ''
- ) WHERE rn <= 1000"""
-
-
-def _facets(found):
-    return found.select("facet", "value", F.col("rn").cast("bigint").alias("rn"))
+ SELECT facet, value FROM (
+   SELECT 'country' AS facet, country AS value FROM scoped
+   UNION SELECT 'region', region FROM scoped {r}
+   UNION SELECT 'city', city FROM scoped {c}
+ ) WHERE coalesce(value, '') <> ''"""
 
 
 @query(
@@ -245,7 +239,7 @@ def _facets(found):
  {_FACETS.format(r="", c="")}""",
 )
 def location_facets(spark, sf):
-    return _facets(B.location_facets(V.jobs(spark, sf), job_type="software_engineer"))
+    return B.location_facets(V.jobs(spark, sf), job_type="software_engineer")
 
 
 @query(
@@ -254,7 +248,7 @@ def location_facets(spark, sf):
  {_FACETS.format(r="WHERE country = 'AMERICA'", c="WHERE country = 'AMERICA' AND region = 'NATION_1'")}""",
 )
 def location_facets_scoped(spark, sf):
-    return _facets(B.location_facets(V.jobs(spark, sf), country="AMERICA", region="NATION_1"))
+    return B.location_facets(V.jobs(spark, sf), country="AMERICA", region="NATION_1")
 
 
 @query(

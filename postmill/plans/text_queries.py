@@ -10,7 +10,6 @@ from ..operators import embed as E
 from ..operators import pay as P
 from ..operators import skills as K
 from ..operators.locations import Gazetteer, normalize_locations
-from ..session import spread
 from . import views as V
 from .register import Registry
 
@@ -175,7 +174,7 @@ def pay_texts(spark, sf):
     )
     joined = o.join(d, F.col("o_orderkey") == F.col("doc_id"), "left")
     said = joined.select("o_orderkey", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), sentence).alias("text"))
-    return spread(said, "o_orderkey")
+    return said
 
 
 _PAY_SQL = """
@@ -238,7 +237,7 @@ def _page_text_sql(column):
  SELECT page_id, nullif(array_to_string(ls, chr(10)), '') AS text FROM lines""",
 )
 def html_to_text(spark, sf):
-    return spread(V.table(spark, sf, "pages"), "page_id").select("page_id", H.html_to_text(F.col("html"), full_document=True).alias("text"))
+    return V.table(spark, sf, "pages").select("page_id", H.html_to_text(F.col("html"), full_document=True).alias("text"))
 
 
 def job_pages(spark, sf):

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_locations
 from ..functions.titles import classify_title, title_level
 from ..schemas import LOCATIONS
-from ..session import spread
 
 AS_OF = "2000-01-01 00:00:00"
 VERSION_1 = "2001-08-01 00:00:00"
@@ -45,7 +44,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     """(id, text) of the documents, spread for heavy work on the texts."""
-    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def _lookup(column, mapping, default):
@@ -189,7 +188,7 @@ def descriptions(spark: SparkSession, sf: str, run: str = "r2") -> DataFrame:
                     F.concat("external_job_id", F.lit(".txt"))).alias("job_description_path"),
         F.col("text").alias("description"),
     )
-    return spread(docs, "job_description_path")
+    return docs
 
 
 def indexed_docs(spark: SparkSession, sf: str, embedding: bool = True) -> DataFrame:
@@ -210,7 +209,7 @@ def indexed_docs(spark: SparkSession, sf: str, embedding: bool = True) -> DataFr
         "skills": F.array_distinct(F.array(F.concat(F.lit("lang-"), F.col("lang")), F.col("source"))),
         "job_description": F.col("text"),
     })
-    return spread(out.select(columns), "id")
+    return out.select(columns)
 
 
 def companies(spark: SparkSession, sf: str, run: str = "r2") -> DataFrame:

@@ -29,9 +29,11 @@ def build_session(app: str = "postmill", cores: int | str = "*", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder all executors can reach: ``spark.checkpoint.dir``. Only a local session makes one up where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="postmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -65,14 +67,3 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
 def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:
     """Hint a broadcast after measuring the side; a larger side keeps the shuffle join (AQE splits hot keys)."""
     return F.broadcast(df) if is_small(df, **limits) else df
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows that come from fewer files than there are cores, for work that is heavy per row.
-
-    A table of many files is left as it is, so large inputs are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # Counted in the JVM: the list of a large table should not come to Python.
-    files = len(df._jdf.inputFiles())
-    return df.repartition(cores, *keys) if files < cores else df
