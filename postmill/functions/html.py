@@ -48,7 +48,7 @@ SKIPPED = ["script", "style", "noscript", "template", "head", "nav", "header", "
 BLOCKS = "p|div|li|ul|ol|h[1-6]|section|article|main|table|tr|blockquote|pre|br|hr|dt|dd|title"
 
 
-def _replace_to_last(x: Column, element: str, last: str) -> Column:
+def _replace_to_last(x: Column, element: str, last: str, by: str = " ") -> Column:
     """Replace ``element`` up to the last text that can end one; what starts behind it is never closed and not searched."""
 
     def cut(page: Column) -> Column:
@@ -56,7 +56,7 @@ def _replace_to_last(x: Column, element: str, last: str) -> Column:
 
     def replaced(c: Column) -> Column:
         tail = F.substring(c["page"], F.length(c["head"]) + 1, F.length(c["page"]))
-        return F.when(c["head"] == "", c["page"]).otherwise(F.concat(F.regexp_replace(c["head"], element, " "), tail))
+        return F.when(c["head"] == "", c["page"]).otherwise(F.concat(F.regexp_replace(c["head"], element, by), tail))
 
     return bind(bind(x, cut), replaced)
 
@@ -87,8 +87,8 @@ def _text_lines(decoded: Column) -> Column:
 def render(x: Column, decode: Callable[[Column], Column] = unescape_all) -> Column:
     """Markup to lines of text: blocks on lines of their own, cells set apart, tags dropped, entities decoded."""
     out = F.regexp_replace(x, r"(?i)</t[dh]\s*>", " | ")
-    out = F.regexp_replace(out, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    return bind(decode(F.regexp_replace(out, r"<[^>]*>", "")), _text_lines)
+    out = _replace_to_last(out, rf"(?i)</?(?:{BLOCKS})\b[^>]*+>", ">", "\n")
+    return bind(decode(_replace_to_last(out, r"<[^>]*+>", ">", "")), _text_lines)
 
 
 def html_to_text(x: Column, full_document: bool = False, decode: Callable[[Column], Column] = unescape_all) -> Column:

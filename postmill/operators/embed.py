@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,26 +40,27 @@ def embed(docs: DataFrame, load_model: Callable[[], Model], key: str) -> DataFra
 def hashed_embeddings(docs: DataFrame, dims: int = 384) -> DataFrame:
     """(id, embedding): signed feature hashing of the words, scaled to length one; no words, no vector.
 
-    Words are counted per text before their hashes are summed, so a shuffle carries at most ``dims`` rows per text.
+    A text's vector depends on that text alone: one pass in Arrow batches, no shuffle.
     """
-    h = F.md5("t")
-    number = lambda start, size: F.conv(F.substring(h, start, size), 16, 10).cast("bigint")
-    counted = docs.select("id", F.explode(tokens(F.col("text"))).alias("t"))
-    sums = (
-        counted.select("id", F.pmod(number(1, 7), F.lit(dims)).cast("int").alias("dim"),
-                       F.when(number(8, 1) % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).alias("s"))
-        .groupBy("id", "dim")
-        .agg(F.sum("s").cast("double").alias("v"))
-    )
-    # At most ``dims`` entries per text.
-    maps = sums.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n")
-    )
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("n")), F.lit(0.0)),
-    )
-    empty = F.array().cast("array<double>")
-    return docs.select("id").join(maps.select("id", vector.alias("embedding")), "id", "left").withColumn(
-        "embedding", F.coalesce("embedding", empty)
-    )
+    schema = T.StructType([docs.schema["id"], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def place(word: str) -> tuple[int, int]:
+        h = hashlib.md5(word.encode()).hexdigest()
+        return int(h[:7], 16) % dims, 1 if int(h[7], 16) % 2 == 0 else -1
+
+    def vector(words) -> list[float]:
+        if len(words) == 0:
+            return []
+        sums = np.zeros(dims)
+        for word, n in Counter(words).items():
+            at, sign = place(word)
+            sums[at] += sign * n
+        length = np.linalg.norm(sums)
+        # Words that cancel each other leave a zero vector.
+        return (sums / length if length else sums).tolist()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "embedding": batch["words"].map(vector)})
+
+    return docs.select("id", tokens(F.col("text")).alias("words")).mapInPandas(run, schema)

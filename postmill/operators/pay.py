@@ -11,9 +11,11 @@ from ..functions.text import bind, collapse_space, strip
 from ..schemas import PAY_RANGE
 
 # --- Fixed values -----------------------------------------------------------------------------
-_SIDE = r"(\b[A-Z]{2,3}\b)?\s*([$€£¥])?\s*"
-AMOUNT = r"(\d{1,3}(?:,\d{3})+|\d{4,})"
-RANGE = rf"(?iuU){_SIDE}{AMOUNT}\s*(?:-|–|to)\s*{_SIDE}{AMOUNT}"
+# Possessive, and with starts only where an earlier start in the same run of blanks or digits has not failed already, so
+# long runs take linear time; what matches is the same.
+_SIDE = r"(\b[A-Z]{2,3}\b)?\s*+([$€£¥])?\s*+"
+AMOUNT = r"(?:(?<!\d)|(?!\d{4}))(\d{1,3}+(?:,\d{3})++|\d{4,}+)"
+RANGE = rf"(?iuU)(?:(?<!\s)|(?=\S)){_SIDE}{AMOUNT}\s*+(?:-|–|to)\s*+{_SIDE}{AMOUNT}"
 CONTEXT_WORDS = ["salary", "base pay", "base salary", "pay range", "compensation"]
 NOTE_WORDS = ["salary", "pay", "compensation", "bonus", "equity", "benefits"]
 SYMBOL_CURRENCY = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}

@@ -61,7 +61,7 @@ def _rule(condition: Column, position: int, message: Column) -> Column:
 
 
 def violations(counts: DataFrame, mode: str = "documented") -> DataFrame:
-    """Broken rules per company.
+    """Broken rules per company, with the run if the counts have one.
 
     Rule 2 compares the details with the postings that should have some. ``mode="requests_only"`` compares them with
     this run's own requests instead, which no run with carried-forward details can meet.
@@ -84,8 +84,9 @@ def violations(counts: DataFrame, mode: str = "documented") -> DataFrame:
         _rule(F.col("missing_embedding") > 0, 4,
               text("company=", company, " rule=missing_job_description_embedding count=", F.col("missing_embedding"))),
     ]
-    found = counts.select("company", F.explode(F.array(*rules)).alias("v")).where(F.col("v").isNotNull())
-    return found.select("company", "v.rule", "v.message")
+    keys = [name for name in ("run_id", "company") if name in counts.columns]
+    found = counts.select(*keys, F.explode(F.array(*rules)).alias("v")).where(F.col("v").isNotNull())
+    return found.select(*keys, "v.rule", "v.message")
 
 
 def failure_message(broken: DataFrame, order: list[str], n: int = 10, separator: str = " | ") -> DataFrame:
@@ -96,11 +97,13 @@ def failure_message(broken: DataFrame, order: list[str], n: int = 10, separator:
 
 
 def readiness(states: DataFrame, broken: DataFrame) -> DataFrame:
-    """A run may be published when tables and index are ready and no rule is broken."""
-    count = broken.agg(F.count("*").alias("n")).first()["n"]
-    return states.withColumn(
-        "publishable", F.coalesce(F.col("db_ready") & F.col("es_ready"), F.lit(False)) & F.lit(count == 0)
-    )
+    """A run may be published when its tables and index are ready and none of its rules is broken.
+
+    ``broken`` names the run of each violation; one without a run blocks nothing.
+    """
+    blocked = broken.select("run_id").where(F.col("run_id").isNotNull()).distinct().withColumn("_broken", F.lit(True))
+    ready = F.coalesce(F.col("db_ready") & F.col("es_ready"), F.lit(False))
+    return states.join(blocked, "run_id", "left").withColumn("publishable", ready & F.col("_broken").isNull()).drop("_broken")
 
 
 def error_rollup(*outcomes: DataFrame, n: int = 5) -> DataFrame:
@@ -134,7 +137,8 @@ def run_state(events: DataFrame) -> DataFrame:
     """Current publish state of each run, folded from its append-only events.
 
     A ``start`` event resets the run; only events since the last start count. ``created_at`` is the first start.
-    Every field is the value of the latest event that sets it, so the fold is a partial aggregation.
+    Every field is the value of the latest event that sets it, so the fold is a partial aggregation. ``published`` stands
+    for index and tables published and the run succeeded, all at once.
     """
     starts = events.where(F.col("kind") == "start").groupBy("run_id").agg(
         F.max("seq").alias("_start"), F.min("at").alias("created_at")
@@ -147,15 +151,15 @@ def run_state(events: DataFrame) -> DataFrame:
     return live.groupBy("run_id").agg(
         latest(F.col("version_ts"), kind == "start").alias("version_ts"),
         latest(
-            F.when(kind == "start", F.lit("in_progress")).when(kind == "succeeded", F.lit("succeeded"))
+            F.when(kind == "start", F.lit("in_progress")).when(kind.isin("succeeded", "published"), F.lit("succeeded"))
             .otherwise(F.col("status")),
-            kind.isin("start", "succeeded") | is_set("status"),
+            kind.isin("start", "succeeded", "published") | is_set("status"),
         ).alias("status"),
         F.coalesce(latest(F.col("db_ready"), db_event & is_set("db_ready")), F.lit(False)).alias("db_ready"),
-        F.max(F.when(kind == "db_published", F.col("at"))).alias("db_published_at"),
+        F.max(F.when(kind.isin("db_published", "published"), F.col("at"))).alias("db_published_at"),
         latest(F.col("db_error_message"), db_event).alias("db_error_message"),
         F.coalesce(latest(F.col("es_ready"), es_event & is_set("es_ready")), F.lit(False)).alias("es_ready"),
-        F.max(F.when(kind == "es_published", F.col("at"))).alias("es_published_at"),
+        F.max(F.when(kind.isin("es_published", "published"), F.col("at"))).alias("es_published_at"),
         latest(F.col("es_error_message"), es_event).alias("es_error_message"),
         F.min("created_at").alias("created_at"),
         F.max("at").alias("updated_at"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -118,45 +118,60 @@ def build_field_stats(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class SearchIndex:
-    """The index tables of one run."""
+    """The index tables of one run. ``of`` computes them from documents; requests are meant to use ``read``."""
 
     docs: DataFrame
     postings: DataFrame | None
     field_stats: DataFrame
+    term_stats: DataFrame | None = None
 
     @classmethod
     def of(cls, docs: DataFrame) -> SearchIndex:
-        """An index computed on the fly: only the terms of a query are ever exploded."""
+        """An index computed on the fly: only the terms of a query are ever exploded, but every request reads all texts."""
         return cls(docs, None, build_field_stats(docs))
 
+    def without_vectors(self) -> SearchIndex:
+        return replace(self, docs=self.docs.drop("job_description_embedding"))
+
     def lookup(self, keep: dict[str, list[str]]) -> DataFrame:
         if self.postings is None:
             return build_postings(self.docs, keep)
         # Stored postings are sorted by (field, term): the term list prunes files and row groups.
-        every = sorted({term for terms in keep.values() for term in terms})
-        match = F.lit(False)
-        for field, terms in keep.items():
-            match = match | ((F.col("field") == field) & F.col("term").isin(terms))
-        return self.postings.where(F.col("term").isin(every) & match)
+        return self.postings.where(_wanted(keep))
+
+    def frequencies(self, keep: dict[str, list[str]], rows: DataFrame) -> DataFrame:
+        """(field, term, df) of the wanted terms: stored, else counted from their postings."""
+        return build_term_stats(rows) if self.term_stats is None else self.term_stats.where(_wanted(keep))
 
     def write(self, path: str, docs_per_file: int = 1_000_000) -> None:
         """Store the tables. A frequent term is spread over files, because the sort key ends with the id."""
         self.docs.write.option("maxRecordsPerFile", docs_per_file).parquet(f"{path}/docs")
-        stored = self.docs.sparkSession.read.parquet(f"{path}/docs")
+        spark = self.docs.sparkSession
+        stored = spark.read.parquet(f"{path}/docs")
         (
             build_postings(stored)
             .repartitionByRange("field", "term", "id")
             .sortWithinPartitions("field", "term", "id")
             .write.parquet(f"{path}/postings")
         )
+        build_term_stats(spark.read.parquet(f"{path}/postings")).repartitionByRange("field", "term").sortWithinPartitions(
+            "field", "term").write.parquet(f"{path}/term_stats")
         build_field_stats(stored).write.parquet(f"{path}/field_stats")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> SearchIndex:
-        tables = [spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "field_stats")]
+        tables = [spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "field_stats", "term_stats")]
         return cls(*tables)
 
 
+def _wanted(keep: dict[str, list[str]]) -> Column:
+    every = sorted({term for terms in keep.values() for term in terms})
+    match = F.lit(False)
+    for field, terms in keep.items():
+        match = match | ((F.col("field") == field) & F.col("term").isin(terms))
+    return F.col("term").isin(every) & match
+
+
 # --- Text match -------------------------------------------------------------------------------
 
 
@@ -180,7 +195,7 @@ def text_scores(index: SearchIndex, query: str) -> DataFrame:
             repeats = F.when((F.col("field") != "skills") & (F.col("term") == term), F.lit(n)).otherwise(repeats)
     idf = F.log1p((F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weights = (
-        build_term_stats(rows)
+        index.frequencies(keep, rows)
         .join(F.broadcast(index.field_stats), "field")
         .select("field", "term", (idf * repeats).alias("weight"), "avg_dl")
     )
@@ -205,7 +220,7 @@ def text_hits(index: SearchIndex, query: str, **filters) -> DataFrame:
 
 
 def text_top(index: SearchIndex, query: str, k: int = TEXT_CANDIDATES, **filters) -> DataFrame:
-    slim = SearchIndex(index.docs.drop("job_description_embedding"), index.postings, index.field_stats)
+    slim = index.without_vectors()
     hits = text_hits(slim, query, **filters).select("id", "posted_ts", "score", _shown(slim.docs))
     return _numbered(hits.orderBy(F.col("score").desc(), F.col("id").asc()).limit(k))
 
@@ -249,32 +264,29 @@ def vector_top(docs: DataFrame, query: list[float], k: int = VECTOR_CANDIDATES,
     return _numbered(scored.orderBy(F.col("score").desc(), F.col("id").asc()).limit(k))
 
 
-def vector_top_batch(docs: DataFrame, queries: DataFrame, k: int, chunk: int = 512) -> DataFrame:
+def vector_top_batch(docs: DataFrame, queries: DataFrame, k: int, chunk: int = 512, slice_rows: int = 16_384) -> DataFrame:
     """Exact (query_id, id, score, rank) for a table of queries (query_id, embedding).
 
-    Queries are cut into chunks of about ``chunk`` rows; a task holds one chunk and a batch of documents, multiplies
-    them and keeps its own k best per query, so only those rows are shuffled. Any number of queries works: a chunk
-    is one more scan of the documents.
+    Queries and documents are cut into blocks by a hash; each block of queries meets each slice of the documents in one task,
+    as a matrix product that keeps its own ``k`` best per query. No query passes through the driver, and the plan
+    has the same size for any number of queries.
     """
-    total = queries.count()
-    chunks = max(1, math.ceil(total / chunk))
+    vectors = docs.where(F.size("job_description_embedding") > 0).select(
+        "id", F.col("job_description_embedding").cast("array<double>").alias("v"))
+    asked = queries.where(F.size("embedding") > 0).select("query_id", F.col("embedding").cast("array<double>").alias("v"))
+    blocks = max(1, math.ceil(asked.count() / chunk))
+    slices = max(1, math.ceil(vectors.count() / slice_rows))
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("id", docs.schema["id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    spark = docs.sparkSession
-    vectors = docs.where(F.size("job_description_embedding") > 0).select("id", "job_description_embedding")
-    out = spark.createDataFrame([], schema)
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
-    for number in range(chunks):
-        part = queries.where(slot == number).select("query_id", "embedding").toPandas()
-        if part.empty:
-            continue
-        matrix = _unit(np.array(part["embedding"].tolist(), dtype="float64"))
-        found = vectors.mapInPandas(_nearest(list(part["query_id"]), matrix, k), schema)
-        out = out.unionByName(found)
-    return top_per_group(out, ["query_id"], [F.col("score").desc(), F.col("id").asc()], k, "rank")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")}).withColumn("slice", every(slices))
+    right = vectors.withColumns({"slice": F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")}).withColumn("block", every(blocks))
+    keys = ("block", "slice")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_nearest(k), schema)
+    return top_per_group(found, ["query_id"], [F.col("score").desc(), F.col("id").asc()], k, "rank")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -282,27 +294,25 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norms == 0, 1, norms)
 
 
-def _nearest(names: list, queries: np.ndarray, k: int):
-    def run(batches):
-        best = None
-        for batch in batches:
-            vectors = batch["job_description_embedding"]
-            fits = vectors.map(len) == queries.shape[1]
-            if not fits.any():
+def _nearest(k: int):
+    def run(queries, vectors):
+        rows = []
+        # Vectors meet queries of their own length.
+        lengths = vectors["v"].map(len)
+        for size, asked in queries.groupby(queries["v"].map(len)):
+            near = vectors[lengths == size]
+            if near.empty:
                 continue
-            ids = batch["id"][fits].to_numpy()
-            scores = queries @ _unit(np.array(vectors[fits].tolist(), dtype="float64")).T
-            rows = []
-            for i, name in enumerate(names):
+            scores = _unit(np.array(asked["v"].tolist())) @ _unit(np.array(near["v"].tolist())).T
+            ids = near["id"].to_numpy()
+            for name, own in zip(asked["query_id"], scores):
                 # Ties at the k-th score all stay; the final ranking settles them by id.
-                cut = np.partition(scores[i], -k)[-k] if scores.shape[1] > k else -np.inf
-                keep = scores[i] >= cut
-                rows.append(pd.DataFrame({"query_id": name, "id": ids[keep], "score": scores[i][keep]}))
-            merged = pd.concat(rows if best is None else [best, *rows], ignore_index=True)
-            merged = merged.sort_values(["query_id", "score", "id"], ascending=[True, False, True], kind="stable")
-            best = merged.groupby("query_id", sort=False).head(k)
-        if best is not None:
-            yield best
+                cut = np.partition(own, -k)[-k] if len(own) > k else -np.inf
+                kept = pd.DataFrame({"query_id": name, "id": ids[own >= cut], "score": own[own >= cut]})
+                rows.append(kept.sort_values(["score", "id"], ascending=[False, True], kind="stable").head(k))
+        if rows:
+            return pd.concat(rows, ignore_index=True)
+        return queries[:0][["query_id"]].assign(id=vectors[:0]["id"].astype(object), score=0.0)
 
     return run
 
@@ -310,22 +320,28 @@ def _nearest(names: list, queries: np.ndarray, k: int):
 # --- Requests ---------------------------------------------------------------------------------
 
 
+def _candidates(index: SearchIndex, query: str, vector: list[float], k: int, filters: dict) -> DataFrame:
+    return rrf_fuse([text_top(index, query, k, **filters), vector_top(index.docs, vector, k, **filters)], RRF_K)
+
+
 def search_relevance(
-    index: SearchIndex, query: str, vector: list[float], page: int = 1, size: int = PAGE_SIZE, **filters
+    index: SearchIndex, query: str, vector: list[float], page: int = 1, size: int = PAGE_SIZE, k: int = TEXT_CANDIDATES, **filters
 ) -> DataFrame:
-    """One page of the fused text and vector candidates, best first."""
-    fused = rrf_fuse([text_top(index, query, **filters), vector_top(index.docs, vector, **filters)], RRF_K)
-    return page_of(fused, page, size).select("id", "score", "posted_ts", "doc.*")
+    """One page of the fused candidates, best first: the ``k`` best by text and the ``k`` best by vector.
+
+    Pages end with the candidates, at most 2 ``k`` rows; a larger ``k`` reaches further.
+    """
+    return page_of(_candidates(index, query, vector, k, filters), page, size).select("id", "score", "posted_ts", "doc.*")
 
 
-def fused_total(index: SearchIndex, query: str, vector: list[float], **filters) -> DataFrame:
-    fused = rrf_fuse([text_top(index, query, **filters), vector_top(index.docs, vector, **filters)], RRF_K)
-    return fused.agg(F.count("*").alias("total_results"))
+def fused_total(index: SearchIndex, query: str, vector: list[float], k: int = TEXT_CANDIDATES, **filters) -> DataFrame:
+    """The number of fused candidates, which is what can be paged through; not the number of matches."""
+    return _candidates(index, query, vector, k, filters).agg(F.count("*").alias("total_results"))
 
 
 def search_recency(index: SearchIndex, query: str, page: int = 1, size: int = PAGE_SIZE, **filters) -> DataFrame:
     """Documents that match the text at all, newest first."""
-    slim = SearchIndex(index.docs.drop("job_description_embedding"), index.postings, index.field_stats)
+    slim = index.without_vectors()
     matched = apply_filters(slim.docs, **filters).join(text_matches(slim, query), "id", "left_semi")
     return page_of(newest_first(matched), page, size)
 

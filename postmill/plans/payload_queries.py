@@ -192,14 +192,80 @@ def public_compensation(spark, sf):
 @query(
     "has_next_page",
     """SELECT user_id, event_type, count(*) AS n, CASE event_type WHEN 'view' THEN 20 + count(*) < 30
-  WHEN 'click' THEN count(*) = 10 ELSE count(*) > 0 END AS has_next FROM events GROUP BY user_id, event_type""",
+  WHEN 'click' THEN count(*) = 10 WHEN 'error' THEN 3 * 10 < 25 + user_id % 10 ELSE count(*) > 0 END AS has_next
+ FROM events GROUP BY user_id, event_type""",
 )
 def has_next_page(spark, sf):
     g = V.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     kind = F.col("event_type")
-    total = F.when(kind == "view", F.lit(30))
-    size = F.when(kind.isin("view", "click"), F.lit(10))
-    return g.withColumn("has_next", S.has_next_page(total, F.lit(20), F.col("n"), size))
+    total = F.when(kind == "view", F.lit(30)).when(kind == "error", 25 + F.col("user_id") % 10)
+    size = F.when(kind.isin("view", "click", "error"), F.lit(10))
+    by_offset = S.has_next_page(total, F.lit(20), F.col("n"), size)
+    by_page = S.has_next_page(total, F.lit(20), F.col("n"), size, F.lit(3))
+    return g.withColumn("has_next", F.when(kind == "error", by_page).otherwise(by_offset))
+
+
+# Pages of ten documents; the total leaves the last page short, and some pages are empty, broken or lack an id.
+@query(
+    "parse_pages",
+    """WITH pages AS (
+  SELECT doc_id // 10 + 1 AS page, count(*) AS n, count(*) FILTER (WHERE lang = 'es') AS spanish FROM documents GROUP BY 1),
+ kinds AS (
+  SELECT *, CASE WHEN page % 7 = 0 THEN 'empty' WHEN page % 11 = 0 THEN 'broken' WHEN spanish > 2 THEN 'lacking' ELSE 'fine' END
+   AS kind FROM pages),
+ sources AS (SELECT * FROM kinds, (VALUES ('amazon'), ('apple'), ('google'), ('microsoft'), ('meta'), ('netflix')) s(source)),
+ filled AS (
+  SELECT source, page, kind, CASE WHEN kind = 'broken' THEN 0 WHEN kind = 'empty' THEN 0 ELSE n END AS n_postings,
+   CASE WHEN kind = 'broken' AND source <> 'apple' THEN NULL WHEN source = 'meta' THEN CASE WHEN kind = 'empty' THEN 0 ELSE n END
+    ELSE (SELECT count(*) FROM documents) - 3 END AS total,
+   CASE WHEN source IN ('apple', 'google') THEN 20 ELSE 10 END AS size FROM sources)
+ SELECT source, page, total, CASE WHEN source = 'google' AND kind = 'broken' THEN NULL ELSE size END AS page_size, n_postings,
+  CASE WHEN kind IN ('broken', 'lacking') THEN NULL WHEN source IN ('apple', 'google') THEN page * size < total
+   ELSE (page - 1) * size + n_postings < total END AS has_next,
+  CASE kind WHEN 'broken' THEN source || ': a listing page has no list of postings'
+   WHEN 'lacking' THEN source || ': posting without an id' END AS error
+ FROM filled""",
+)
+def parse_pages(spark, sf):
+    """The table of pages of all six sources, with empty, broken and incomplete pages among them."""
+    docs = V.table(spark, sf, "documents").select((F.floor(F.col("doc_id") / 10) + 1).alias("page"), "doc_id", "lang")
+    job_id = F.when(F.col("lang") != "es", F.col("doc_id").cast("string"))
+    pages = docs.groupBy("page").agg(
+        F.count_if(F.col("lang") == "es").alias("spanish"), F.collect_list(F.struct(F.col("doc_id").alias("n"), job_id.alias("id"))).alias("all"))
+    total = docs.count() - 3
+    kind = F.when(F.col("page") % 7 == 0, "empty").when(F.col("page") % 11 == 0, "broken").when(
+        F.col("spanish") > 2, "lacking").otherwise("fine")
+    # Where at most two ids are missing, the page is given all of them.
+    given = F.transform("all", lambda x: F.coalesce(x["id"], F.when(F.col("spanish") <= 2, x["n"].cast("string"))))
+    shown = pages.select("page", kind.alias("kind"), F.when(kind == "empty", F.array().cast("array<string>")).otherwise(given).alias("ids"))
+    items = lambda *fields: F.transform("ids", lambda i: F.struct(*[f(i) for f in fields]))
+    named = lambda name: lambda i: i.alias(name)
+    text = lambda name, value: lambda i: F.lit(value).alias(name)
+    fine = F.col("kind") != "broken"
+    hits = F.lit(str(total))
+    apple = F.to_json(F.struct(F.struct(F.struct(
+        hits.alias("totalRecords"), F.when(fine, items(named("positionId"), text("postingTitle", "it's"))).alias("searchResults")
+    ).alias("search")).alias("loaderData")))
+    # Script escapes that JSON does not have.
+    apple = F.replace(F.replace(F.replace(apple, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("it's"), F.lit("it\\'s \\x3c"))
+    row = F.transform("ids", lambda i: F.concat(F.lit("["), F.coalesce(F.concat(F.lit('"'), i, F.lit('"')), F.lit('""')), F.lit(',"t"]')))
+    block = F.concat(F.lit("[["), F.array_join(row, ","), F.lit(f"],null,{total},20]"))
+    payloads = {
+        "amazon": F.to_json(F.struct(hits.alias("hits"), F.when(fine, items(named("id"), text("title", "t"))).alias("jobs"))),
+        "apple": F.concat(F.lit('window.__staticRouterHydrationData = JSON.parse("'), apple, F.lit('");')),
+        "google": F.concat(F.lit("AF_initDataCallback({key: 'ds:1', hash: '2', data:"), F.when(fine, block).otherwise("[[oops"),
+                           F.lit(", sideChannel: {}});")),
+        "microsoft": F.to_json(F.struct(F.struct(hits.alias("count"), F.when(
+            fine, items(named("id"), text("name", "t"), text("postedTs", "5"))).alias("positions")).alias("data"))),
+        "meta": F.concat(F.lit("for (;;);"), F.to_json(F.struct(F.struct(F.struct(F.when(
+            fine, items(named("id"), text("title", "t"))).alias("all_jobs")).alias("job_search_with_featured_jobs")).alias("data")))),
+        "netflix": F.to_json(F.struct(hits.alias("count"), F.when(fine, items(named("id"), text("name", "t"))).alias("positions"))),
+    }
+    raw = shown.select("page", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("source"), (F.when(fine, p).otherwise(F.lit("{}")) if name in ("amazon", "microsoft", "netflix", "meta") else p)
+                 .alias("payload")) for name, p in payloads.items()])).alias("r")).select("page", "r.source", "r.payload")
+    found = S.summarize_all(raw)
+    return found.select("source", "page", "total", "page_size", "n_postings", "has_next", "error")
 
 
 @query(

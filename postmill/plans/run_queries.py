@@ -8,6 +8,7 @@ from ..functions.dates import epoch_seconds
 from ..operators import merge as M
 from ..operators import quality as Q
 from ..operators import ranking as R
+from ..session import scratch_path
 from . import views as V
 from .register import Registry
 
@@ -306,13 +307,27 @@ counts AS (
 )"""
 
 
+_STORED = {}
+
+
+def _run_tables(spark, sf):
+    """Tables of the run that the gates read: written by the first gate of a session, one scan of each afterwards."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        path = scratch_path(spark, "run")
+        scraped, details = _scraped(spark, sf), _current_details(spark, sf)
+        jobs = V.jobs(spark, sf, embedding=True, places=False).select(
+            "run_id", "company", "external_job_id", "is_missing_details", "job_description_embedding")
+        for name, table in (("scraped", scraped), ("details", details), ("jobs", jobs), ("companies", V.companies(spark, sf))):
+            table.write.parquet(f"{path}/{name}")
+        _STORED[key] = path
+    return {name: spark.read.parquet(f"{_STORED[key]}/{name}") for name in ("scraped", "details", "jobs", "companies")}
+
+
 def _counts(spark, sf):
-    scraped = _scraped(spark, sf)
-    details = _current_details(spark, sf)
-    return Q.consistency_counts(
-        V.companies(spark, sf), scraped, M.pending_detail_requests(scraped, details),
-        V.jobs(spark, sf, embedding=True, places=False), details,
-    )
+    t = _run_tables(spark, sf)
+    requests = M.pending_detail_requests(t["scraped"], t["details"])
+    return Q.consistency_counts(t["companies"], t["scraped"], requests, t["jobs"], t["details"])
 
 
 def _violations_sql(want):
@@ -482,17 +497,21 @@ def active_run(spark, sf):
     return Q.active_run(pointers, Q.run_state(events), None).select("namespace", "run_id", "status")
 
 
+# A run's counts come from its events: an error is a text that is missing, a sign-up a detail that is not there.
 @query(
     "publish_readiness",
-    f"""WITH {_EVENTS_SQL} SELECT run_id, db_ready AND es_ready AS publishable FROM states""",
+    f"""WITH {_EVENTS_SQL}, broken AS (
+  SELECT run_id FROM log GROUP BY run_id
+  HAVING count(*) FILTER (WHERE et = 'error' AND k >= 90) > 0 OR count(*) FILTER (WHERE et = 'signup' AND k >= 95) > 0)
+ SELECT run_id, db_ready AND es_ready AND run_id NOT IN (SELECT run_id FROM broken) AS publishable FROM states""",
 )
 def publish_readiness(spark, sf):
-    states = Q.run_state(run_events(spark, sf))
-    none = Q.violations(
-        spark.range(0).select(
-            F.lit("").alias("company"),
-            *[F.lit(0).alias(n) for n in ("expected_jobs", "expected_details", "jobs", "missing_details", "details",
-                                          "missing_description", "missing_embedding")],
-        )
+    events = run_events(spark, sf)
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
+    counts = V.table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("run_id")).agg(
+        F.lit("amazon").alias("company"), F.count("*").alias("expected_jobs"), F.count("*").alias("expected_details"),
+        F.count("*").alias("jobs"), F.lit(0).alias("missing_details"),
+        F.count_if(~((kind == "signup") & (k >= 95))).alias("details"),
+        F.count_if((kind == "error") & (k >= 90)).alias("missing_description"), F.lit(0).alias("missing_embedding"),
     )
-    return Q.readiness(states, none).select("run_id", "publishable")
+    return Q.readiness(Q.run_state(events), Q.violations(counts)).select("run_id", "publishable")

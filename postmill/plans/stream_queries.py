@@ -26,8 +26,20 @@ def _run(stream):
     stream.awaitTermination()
 
 
+# Files that the event log comes in, and seconds that an event may come late.
+FILES, LATENESS = 4, 3000
+
+
 def _event_stream(spark, sf):
-    return ingest.read_stream(spark, sf, V.table(spark, sf, "events").schema, files="events.parquet")
+    """The event log as a stream of several batches, out of order by less than ``LATENESS`` seconds."""
+    path = scratch_path(spark, "event-files")
+    events = V.table(spark, sf, "events")
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(LATENESS)) * 1_000_000
+    first, last = events.agg(F.min(arrival), F.max(arrival)).first()
+    part = F.least(F.floor((arrival - first) * FILES / F.lit(max(1, last - first))), F.lit(FILES - 1))
+    for number in range(FILES):
+        events.where(part == number).repartition(1).write.mode("append").parquet(path)
+    return ingest.read_stream(spark, path, events.schema, files_per_batch=1)
 
 
 # --- Streams ----------------------------------------------------------------------------------
@@ -43,6 +55,8 @@ def stream_ingest_postings(spark, sf):
     rows = _event_stream(spark, sf).select("user_id", "event_type", "value", "event_id")
     keys = ["user_id", "event_type"]
     _run(ingest.ingest(rows, keys, "event_id", path, checkpoint))
+    # The first batches are folded, the later ones are read next to the fold.
+    ingest.compact(spark, path, rows.schema, keys, "event_id", FILES // 2)
     return ingest.current(spark, path, rows.schema, keys, "event_id")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -81,7 +82,19 @@ class Catalog:
             f"{self.root}/run_events")
 
     def states(self) -> DataFrame:
-        return run_state(self.spark.read.schema(schemas.RUN_EVENTS).parquet(f"{self.root}/run_events"))
+        """Current states: the event log, and each pointer row as the event that its run was published."""
+        events = self.spark.read.schema(schemas.RUN_EVENTS).parquet(f"{self.root}/run_events")
+        try:
+            pointers = self.spark.read.schema(schemas.POINTERS).parquet(f"{self.root}/pointers")
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return run_state(events)
+        published = pointers.select(
+            "run_id", (F.unix_micros("updated_at") * 1000).alias("seq"), F.lit("published").alias("kind"),
+            F.col("updated_at").alias("at"),
+        )
+        return run_state(events.unionByName(published, allowMissingColumns=True))
 
     def state(self, run_id: str):
         return self.states().where(F.col("run_id") == run_id).first()
@@ -102,13 +115,10 @@ class Catalog:
         state = self.state(run_id)
         if state is None or not (state["db_ready"] and state["es_ready"]):
             raise NotPublishable(run_id)
+        # The row is the whole commit: pointer, dates and success appear together or not at all.
+        row = [(namespace, run_id, datetime.now(timezone.utc))]
         try:
-            self.append_event(run_id, "es_published")
-            row = [(namespace, run_id, datetime.now(timezone.utc))]
-            self.spark.createDataFrame(row, schemas.POINTERS).coalesce(1).write.mode("append").parquet(
-                f"{self.root}/pointers")
-            self.append_event(run_id, "db_published")
-            self.append_event(run_id, "succeeded")
+            self.spark.createDataFrame(row, schemas.POINTERS).coalesce(1).write.mode("append").parquet(f"{self.root}/pointers")
         except Exception as exc:
             self.set_index_status(run_id, False, f"{type(exc).__name__}: {exc}", status="failed")
             raise
@@ -194,6 +204,6 @@ def write_index(catalog: Catalog, run_id: str, docs: DataFrame, docs_per_file: i
         raise
 
 
-def write_report_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
+def write_report_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """A report as CSV with a header. Only reports of a few rows should be one file."""
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).csv(path)

@@ -1,8 +1,9 @@
 """Listing payloads of the six sources, parsed in bulk into one posting schema.
 
-Input: a table (page, payload) with one fetched listing page per row. Output: one row per posting with its raw location
-texts, which ``operators.locations`` normalizes. A page without its list of postings, or a posting without its id,
-fails the job.
+Input: a table (page, payload) with one fetched listing page per row. ``parse_pages`` gives a table of postings and a
+table of pages: totals, sizes, whether another page follows, and why a page failed. A page without its list of postings
+fails, and so does one with a posting that lacks a required field; the other pages go on. The ``parse_<source>``
+functions give the postings only and fail the job instead.
 """
 
 from __future__ import annotations
@@ -32,25 +33,32 @@ LOOP_PREFIX = "for (;;);"
 # ----------------------------------------------------------------------------------------------
 
 
-def _items(pages: DataFrame, items: Column, source: str, size: Column, total: Column) -> DataFrame:
-    """One row per list item; a page that lacks its list fails the job."""
-    message = F.lit(f"{source}: a listing page has no list of postings")
-    checked = F.when(items.isNull(), F.raise_error(message).cast("void")).otherwise(items)
-    return pages.select("page", total.alias("total"), size.alias("page_size"), F.explode(checked).alias("j"))
+# A parsed page: page, total, page_size and ``items``, NULL when the page has no list of postings.
+_NO_LIST = "a listing page has no list of postings"
 
 
-def _required(value: Column, source: str, field: str) -> Column:
-    return F.when(value.isNull(), F.raise_error(F.lit(f"{source}: posting without {field}"))).otherwise(value)
+def _pages(parsed: DataFrame, items: Column, size: Column, total: Column) -> DataFrame:
+    return parsed.select("page", total.alias("total"), size.cast("bigint").alias("page_size"), items.alias("items"))
 
 
-def _posting(source: str, rows: DataFrame, **columns: Column) -> DataFrame:
-    """The common posting row."""
+def _required(rows: DataFrame, source: str) -> DataFrame:
+    """Fail the job for a posting with a problem."""
+    message = F.concat(F.lit(f"{source}: posting without "), F.col("problem"))
+    checked = F.when(F.col("problem").isNotNull(), F.raise_error(message)).otherwise(F.col("external_job_id"))
+    return rows.withColumn("external_job_id", checked).drop("problem")
+
+
+def _posting(source: str, rows: DataFrame, missing: list[tuple[Column, str]] = (), **columns: Column) -> DataFrame:
+    """The common posting row, with ``problem``: the first required field it lacks."""
     title = columns["title"]
     company = F.lit(source)
+    problem = F.when(columns["id"].isNull(), F.lit("an id"))
+    for value, field in missing:
+        problem = problem.when(value.isNull(), F.lit(field))
     return rows.select(
         "page",
         company.alias("company"),
-        _required(columns["id"], source, "an id").alias("external_job_id"),
+        columns["id"].alias("external_job_id"),
         title.alias("title"),
         classify_title(title).alias("job_type"),
         title_level(title, company).alias("job_level"),
@@ -58,6 +66,7 @@ def _posting(source: str, rows: DataFrame, **columns: Column) -> DataFrame:
         columns["posted"].cast("bigint").alias("posted_epoch"),
         columns["details"].alias("details_url"),
         columns["apply"].alias("apply_url"),
+        problem.alias("problem"),
     )
 
 
@@ -98,9 +107,12 @@ def _amazon_apply(url: Column, job_id: Column) -> Column:
     )
 
 
-def parse_amazon(pages: DataFrame) -> DataFrame:
+def _amazon_pages(pages: DataFrame) -> DataFrame:
     parsed = pages.select("page", F.from_json("payload", _AMAZON).alias("p"))
-    rows = _items(parsed, F.col("p.jobs"), "amazon", F.lit(PAGE_SIZE["amazon"]), to_int(F.col("p.hits")))
+    return _pages(parsed, F.col("p.jobs"), F.lit(PAGE_SIZE["amazon"]), to_int(F.col("p.hits")))
+
+
+def _amazon_rows(rows: DataFrame) -> DataFrame:
     job_id = F.coalesce(_text("id_icims"), _text("id"))
     return _posting(
         "amazon", rows, id=job_id, title=_text("title"),
@@ -124,8 +136,14 @@ _APPLE = f"struct<loaderData:struct<search:struct<totalRecords:string,searchResu
 
 
 def hydration_json(page: Column) -> Column:
-    """The JSON text that an Apple page embeds as an escaped script string."""
+    """The JSON text that an Apple page embeds as an escaped script string.
+
+    Escapes that scripts have and JSON does not (``\\xHH`` and ``\\'``) are turned into those of JSON first.
+    """
     escaped = F.regexp_extract(page, HYDRATION, 1)
+    # An even number of backslashes before an escape belongs to other characters.
+    escaped = F.regexp_replace(escaped, r"(?<!\\)((?:\\\\)*+)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2")
+    escaped = F.regexp_replace(escaped, r"(?<!\\)((?:\\\\)*+)\\'", "$1'")
     quoted = F.concat(F.lit('["'), escaped, F.lit('"]'))
     return F.when(escaped != "", F.get(F.from_json(quoted, "array<string>"), F.lit(0)))
 
@@ -136,10 +154,13 @@ def _apple_location(x: Column) -> Column:
                        F.coalesce(part("countryName"), part("name")))
 
 
-def parse_apple(pages: DataFrame) -> DataFrame:
+def _apple_pages(pages: DataFrame) -> DataFrame:
     parsed = pages.select("page", F.from_json(hydration_json(F.col("payload")), _APPLE).alias("p"))
     found = F.col("p.loaderData.search")
-    rows = _items(parsed, found["searchResults"], "apple", F.lit(PAGE_SIZE["apple"]), to_int(found["totalRecords"]))
+    return _pages(parsed, found["searchResults"], F.lit(PAGE_SIZE["apple"]), to_int(found["totalRecords"]))
+
+
+def _apple_rows(rows: DataFrame) -> DataFrame:
     job_id = F.coalesce(_text("positionId"), _text("reqId"))
     title = _text("postingTitle")
     base = f"{BASE_URL['apple']}/{APPLE_LOCALE}/details/"
@@ -162,22 +183,18 @@ def _google_seconds(row: Column, index: int) -> Column:
     )
 
 
-def google_rows(pages: DataFrame) -> DataFrame:
-    """(page, row, total, page_size): the positional arrays of an embedded data block, as variants."""
-    data = F.regexp_extract("payload", CALLBACK % 1, 1)
-    message = F.lit("google: no embedded data block")
-    checked = F.when(data == "", F.raise_error(message)).otherwise(data)
-    parsed = pages.select("page", F.try_parse_json(checked).alias("v"))
-    return parsed.select(
-        "page",
-        F.try_variant_get("v", "$[2]", "bigint").alias("total"),
-        F.try_variant_get("v", "$[3]", "bigint").alias("page_size"),
-        F.explode(F.try_variant_get("v", "$[0]", "array<variant>")).alias("j"),
-    )
+def _google_pages(pages: DataFrame) -> DataFrame:
+    """Positional arrays of an embedded data block, as variants. A block that is not JSON, or not a list, has no items;
+    without an array of rows in it the page is empty."""
+    parsed = pages.select("page", F.try_parse_json(F.nullif(F.regexp_extract("payload", CALLBACK % 1, 1), F.lit(""))).alias("v"))
+    block = F.try_variant_get("v", "$", "array<variant>")
+    rows = F.coalesce(F.try_variant_get("v", "$[0]", "array<variant>"), F.array().cast("array<variant>"))
+    lists = F.filter(rows, lambda r: F.try_variant_get(r, "$", "array<variant>").isNotNull())
+    return _pages(parsed, F.when(block.isNotNull(), lists), F.try_variant_get("v", "$[3]", "bigint"),
+                  F.try_variant_get("v", "$[2]", "bigint"))
 
 
-def parse_google(pages: DataFrame) -> DataFrame:
-    rows = google_rows(pages)
+def _google_rows(rows: DataFrame) -> DataFrame:
     row = F.col("j")
     job_id = F.nullif(F.try_variant_get(row, "$[0]", "string"), F.lit(""))
     title = F.try_variant_get(row, "$[1]", "string")
@@ -208,10 +225,12 @@ def _https(url: Column) -> Column:
     return F.regexp_replace(optional_string(url), "^http://", "https://")
 
 
-def parse_microsoft(pages: DataFrame) -> DataFrame:
+def _microsoft_pages(pages: DataFrame) -> DataFrame:
     parsed = pages.select("page", F.from_json("payload", _MICROSOFT).alias("p"))
-    rows = _items(parsed, F.col("p.data.positions"), "microsoft", F.lit(PAGE_SIZE["microsoft"]),
-                  to_int(F.col("p.data.count")))
+    return _pages(parsed, F.col("p.data.positions"), F.lit(PAGE_SIZE["microsoft"]), to_int(F.col("p.data.count")))
+
+
+def _microsoft_rows(rows: DataFrame) -> DataFrame:
     base = BASE_URL["microsoft"]
     job_id = _text("id")
     url = _https(F.col("j.positionUrl"))
@@ -222,9 +241,10 @@ def parse_microsoft(pages: DataFrame) -> DataFrame:
         F.concat(F.lit(f"{base}/careers/job/"), job_id),
     )
     return _posting(
-        "microsoft", rows, id=job_id, title=_required(_text("name"), "microsoft", "a name"),
+        "microsoft", rows, [(_text("name"), "a name"), (to_int(F.col("j.postedTs")), "an integer postedTs")],
+        id=job_id, title=_text("name"),
         locations=clean_strings(F.col("j.standardizedLocations")),
-        posted=_required(to_int(F.col("j.postedTs")), "microsoft", "an integer postedTs"),
+        posted=to_int(F.col("j.postedTs")),
         details=details, apply=F.concat(F.lit(f"{base}/careers/apply?pid="), job_id),
     )
 
@@ -238,10 +258,13 @@ def without_loop_prefix(payload: Column) -> Column:
     return F.regexp_replace(payload, r"(?U)^\s*for \(;;\);", "")
 
 
-def parse_meta(pages: DataFrame) -> DataFrame:
+def _meta_pages(pages: DataFrame) -> DataFrame:
     parsed = pages.select("page", F.from_json(without_loop_prefix(F.col("payload")), _META).alias("p"))
     found = F.col("p.data.job_search_with_featured_jobs.all_jobs")
-    rows = _items(parsed, found, "meta", F.lit(PAGE_SIZE["meta"]), F.size(found).cast("bigint"))
+    return _pages(parsed, found, F.lit(PAGE_SIZE["meta"]), F.size(found).cast("bigint"))
+
+
+def _meta_rows(rows: DataFrame) -> DataFrame:
     base = BASE_URL["meta"]
     job_id = _text("id")
     return _posting(
@@ -259,9 +282,12 @@ _NETFLIX = (
 )
 
 
-def parse_netflix(pages: DataFrame) -> DataFrame:
+def _netflix_pages(pages: DataFrame) -> DataFrame:
     parsed = pages.select("page", F.from_json("payload", _NETFLIX).alias("p"))
-    rows = _items(parsed, F.col("p.positions"), "netflix", F.lit(PAGE_SIZE["netflix"]), to_int(F.col("p.count")))
+    return _pages(parsed, F.col("p.positions"), F.lit(PAGE_SIZE["netflix"]), to_int(F.col("p.count")))
+
+
+def _netflix_rows(rows: DataFrame) -> DataFrame:
     job_id = _text("id")
     listed = clean_strings(F.col("j.locations"))
     details = F.coalesce(_text("canonicalPositionUrl"),
@@ -274,38 +300,99 @@ def parse_netflix(pages: DataFrame) -> DataFrame:
     )
 
 
+# Per source: pages to lists of items, items to postings.
+SOURCES = {
+    "amazon": (_amazon_pages, _amazon_rows),
+    "apple": (_apple_pages, _apple_rows),
+    "google": (_google_pages, _google_rows),
+    "microsoft": (_microsoft_pages, _microsoft_rows),
+    "meta": (_meta_pages, _meta_rows),
+    "netflix": (_netflix_pages, _netflix_rows),
+}
+# Sources that count pages; the others count the postings before a page.
+BY_PAGE = ("apple", "google")
+
+
+def _strict(source: str):
+    read, build = SOURCES[source]
+    reason = "no embedded data block" if source == "google" else _NO_LIST
+
+    def parse(pages: DataFrame) -> DataFrame:
+        items = F.col("items")
+        checked = F.when(items.isNull(), F.raise_error(F.lit(f"{source}: {reason}")).cast("void")).otherwise(items)
+        rows = read(pages).select("page", "total", "page_size", F.explode(checked).alias("j"))
+        return _required(build(rows), source)
+
+    parse.__doc__ = f"Postings of {source} pages; a bad page fails the job."
+    return parse
+
+
+parse_amazon, parse_apple, parse_google = _strict("amazon"), _strict("apple"), _strict("google")
+parse_microsoft, parse_meta, parse_netflix = _strict("microsoft"), _strict("meta"), _strict("netflix")
 PARSERS = {
-    "amazon": parse_amazon,
-    "apple": parse_apple,
-    "google": parse_google,
-    "microsoft": parse_microsoft,
-    "meta": parse_meta,
-    "netflix": parse_netflix,
+    "amazon": parse_amazon, "apple": parse_apple, "google": parse_google,
+    "microsoft": parse_microsoft, "meta": parse_meta, "netflix": parse_netflix,
 }
 
 
-def parse_all(raw: DataFrame) -> DataFrame:
-    """Postings of a bronze table (source, page, payload): one branch per source, each reading its own partition."""
+def parse_pages(pages: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, pages) of one source's listing pages, with the page as their key.
+
+    The table of pages keeps every page, empty and bad ones too: page, total, page_size, n_postings, has_next and
+    ``error``. Postings of a bad page are left out, as its error says why.
+    """
+    read, build = SOURCES[source]
+    listed = read(pages)
+    rows = build(listed.where(F.col("items").isNotNull()).select("page", "total", "page_size", F.explode("items").alias("j")))
+    bad = rows.where(F.col("problem").isNotNull()).groupBy("page").agg(F.min("problem").alias("problem"))
+    postings = rows.drop("problem").join(bad.select("page"), "page", "left_anti")
+    # ``size`` of a list, 0 for a page without one.
+    count = F.coalesce(F.when(F.col("items").isNotNull(), F.size("items")), F.lit(0)).cast("bigint")
+    sized = listed.select("page", "total", "page_size", F.col("items").isNull().alias("_none"), count.alias("n_postings"))
+    error = F.when(F.col("_none"), F.lit(f"{source}: {_NO_LIST}")).when(
+        F.col("problem").isNotNull(), F.concat(F.lit(f"{source}: posting without "), F.col("problem")))
+    follows = has_next_page(
+        F.col("total"), (F.col("page") - 1) * F.col("page_size"), F.col("n_postings"), F.col("page_size"),
+        F.col("page") if source in BY_PAGE else None,
+    )
+    summary = sized.join(bad, "page", "left").withColumn("error", error).select(
+        "page", "total", "page_size", "n_postings", F.when(F.col("error").isNull(), follows).alias("has_next"), "error")
+    return postings, summary
+
+
+def _each_source(raw: DataFrame, parse) -> DataFrame:
     out = None
-    for source, parse in PARSERS.items():
-        rows = parse(raw.where(F.col("source") == source))
+    for source in SOURCES:
+        rows = parse(raw.where(F.col("source") == source), source)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def parse_all(raw: DataFrame) -> DataFrame:
+    """Postings of a bronze table (source, page, payload): one branch per source, each reading its own partition."""
+    return _each_source(raw, lambda pages, source: PARSERS[source](pages))
+
+
+def summarize_all(raw: DataFrame) -> DataFrame:
+    """The pages of a bronze table with their totals and errors, of all sources."""
+    return _each_source(raw, lambda pages, source: parse_pages(pages, source)[1].select(F.lit(source).alias("source"), "*"))
+
+
 def read_raw_payloads(spark, path: str) -> DataFrame:
     """A bronze table (source, kind, page, external_id, payload, fetched_at), partitioned by source."""
     schema = ("source string, kind string, page bigint, external_id string, payload string, fetched_at timestamp")
     return spark.read.schema(schema).parquet(path)
 
 
-def has_next_page(total: Column, offset: Column, count: Column, size: Column) -> Column:
-    """More pages follow: by the total when it is known, else when the page is full, else when it has anything."""
-    return (
-        F.when(total.isNotNull() & (F.coalesce(size, F.lit(0)) > 0), offset + count < total)
-        .when(F.coalesce(size, F.lit(0)) > 0, count == size)
-        .otherwise(count > 0)
-    )
+def has_next_page(total: Column, offset: Column, count: Column, size: Column, page: Column | None = None) -> Column:
+    """More pages follow: by the total when it is known, else when the page is full, else when it has anything.
+
+    Sources that count pages (``page`` given) compare page x size with the total, so a short last page ends it as well;
+    the others compare the postings up to the end of this page.
+    """
+    seen = offset + count if page is None else page * size
+    sized = F.coalesce(size, F.lit(0)) > 0
+    return F.when(total.isNotNull() & sized, seen < total).when(sized, count == size).otherwise(count > 0)
 
 
 def detail_outcome(status: Column, description: Column) -> Column:
@@ -314,6 +401,3 @@ def detail_outcome(status: Column, description: Column) -> Column:
     return (
         F.when(code == 404, "missing").when(code.between(200, 399) & description.isNotNull(), "ok").otherwise("error")
     )
-
-
-

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.ranking import last_write_wins
 
@@ -37,7 +39,33 @@ def ingest(stream: DataFrame, keys: list[str], seq: str, path: str, checkpoint:
     )
 
 
+def _batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", path).option(
+        "pathGlobFilter", "*.parquet").parquet(f"{path}/batch=*")
+
+
+def compact(spark: SparkSession, path: str, schema: StructType, keys: list[str], seq: str, upto: int) -> None:
+    """Fold all batches up to number ``upto`` into one table, with the fold before it. Readers then skip those batches, whose
+    directories may be removed later; a fold is written once, under its own number."""
+    rows = _rows(spark, path, schema, upto)
+    last_write_wins(rows, keys, seq).write.mode("overwrite").parquet(f"{path}-folds/upto={upto}")
+
+
+def _rows(spark: SparkSession, path: str, schema: StructType, upto: int | None = None) -> DataFrame:
+    """The newest fold and the batches behind it."""
+    batches = _batches(spark, path, schema)
+    if upto is not None:
+        batches = batches.where(F.col("batch") <= upto)
+    try:
+        folds = spark.read.schema(StructType([*schema.fields, StructField("upto", LongType())])).parquet(f"{path}-folds")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return batches.drop("batch")
+    newest = folds.agg(F.max("upto")).first()[0]
+    return folds.where(F.col("upto") == newest).drop("upto").unionByName(batches.where(F.col("batch") > newest).drop("batch"))
+
+
 def current(spark: SparkSession, path: str, schema: StructType, keys: list[str], seq: str) -> DataFrame:
-    """The last write of each key over all batches."""
-    rows = spark.read.schema(schema).option("basePath", path).parquet(path).drop("batch")
-    return last_write_wins(rows, keys, seq)
+    """The last write of each key: over the newest fold and the batches that it does not hold."""
+    return last_write_wins(_rows(spark, path, schema), keys, seq)

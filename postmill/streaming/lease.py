@@ -14,13 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 # Default lifetimes in seconds.
 LEASE_TTL = 300
 BLOCK_TTL = 900
+# Seconds that an event may come behind a newer one.
+LATE = 3600
 
 KEY = ["scope", "resource"]
 EVENT = [*KEY, "ts", "seq", "action", "token"]
-SUMMARY = (
-    "scope string, resource string, enqueued bigint, lease struct<ts:bigint,seq:bigint,token:string>, "
-    "end struct<ts:bigint,seq:bigint,action:string>, version bigint"
-)
+STORED = "scope string, resource string, ts bigint, seq bigint, action string, token string, number bigint"
 
 
 def lease_summary(events: DataFrame, lease_ttl: int = LEASE_TTL) -> DataFrame:
@@ -64,39 +63,44 @@ def lease_states(events: DataFrame, as_of: Column, lease_ttl: int = LEASE_TTL, b
     return state_of(lease_summary(events, lease_ttl), as_of, lease_ttl, block_ttl)
 
 
-def _as_events(summary: DataFrame) -> DataFrame:
-    """At most three events per resource that have the same summary."""
+def _kept_events(events: DataFrame, lease_ttl: int, delay: int) -> DataFrame:
+    """The events that can still matter: those that make up the summary, and the ends that a late lease may match yet."""
     null = F.lit(None)
 
     def event(ts: Column, seq: Column, action: Column, token: Column) -> Column:
         return F.when(ts.isNotNull(), F.struct(
             ts.alias("ts"), seq.cast("bigint").alias("seq"), action.alias("action"), token.cast("string").alias("token")))
 
-    events = F.array(
+    summary = lease_summary(events, lease_ttl)
+    parts = F.array(
         event(F.col("enqueued"), null, F.lit("enqueue"), null),
         event(F.col("lease.ts"), F.col("lease.seq"), F.lit("lease"), F.col("lease.token")),
         event(F.col("end.ts"), F.col("end.seq"), F.col("end.action"), F.col("lease.token")),
     )
-    return summary.select(*KEY, F.explode(events).alias("e")).where(F.col("e").isNotNull()).select(*KEY, "e.*")
+    known = summary.select(*KEY, F.explode(parts).alias("e")).where(F.col("e").isNotNull()).select(*KEY, "e.*")
+    newest = events.agg(F.max("ts").alias("t")).first()["t"]
+    open_ends = events.where(F.col("action").isin("return", "block") & (F.col("ts") > F.lit(newest) - delay))
+    return known.unionByName(open_ends.select(*EVENT)).distinct()
 
 
-def _version(spark: SparkSession, path: str, version: int) -> DataFrame:
-    schema = SUMMARY.rsplit(",", 1)[0]
-    return spark.read.schema(schema).parquet(f"{path}/version={version}")
+def _stored(spark: SparkSession, path: str, number: int) -> DataFrame:
+    return spark.read.schema(STORED).parquet(f"{path}/slot={number % 2}").where(F.col("number") == number).select(*EVENT)
 
 
-def track(stream: DataFrame, path: str, checkpoint: str, lease_ttl: int = LEASE_TTL) -> StreamingQuery:
-    """Keep the summary of each resource: batch n turns version n - 1 into version n.
+def track(stream: DataFrame, path: str, checkpoint: str, lease_ttl: int = LEASE_TTL, delay: int = LATE) -> StreamingQuery:
+    """Keep the events that still matter: batch n turns state n - 1 into state n, in the other one of two slots.
 
-    The summary of stored and new events together is the summary of the stored summary and the new events, so a batch
-    reads its own events and one small row per resource. A batch that is run again replaces its own version.
+    The result equals that of the whole log as long as no event comes more than ``delay`` seconds (of event time) behind a
+    newer one. A state holds at most three events per resource and the returns and blocks of the last ``delay`` seconds. A
+    batch that is run again replaces its own slot and reads the untouched other one.
     """
 
     def advance(batch: DataFrame, number: int) -> None:
         events = batch.select(*EVENT)
         if number > 0:
-            events = events.unionByName(_as_events(_version(batch.sparkSession, path, number - 1)))
-        lease_summary(events, lease_ttl).write.mode("overwrite").parquet(f"{path}/version={number}")
+            events = events.unionByName(_stored(batch.sparkSession, path, number - 1))
+        kept = _kept_events(events, lease_ttl, delay).withColumn("number", F.lit(number).cast("bigint"))
+        kept.write.mode("overwrite").parquet(f"{path}/slot={number % 2}")
 
     return (
         stream.writeStream.foreachBatch(advance)
@@ -108,7 +112,7 @@ def track(stream: DataFrame, path: str, checkpoint: str, lease_ttl: int = LEASE_
 
 def tracked_states(spark: SparkSession, path: str, as_of: Column, lease_ttl: int = LEASE_TTL, block_ttl: int = BLOCK_TTL
                    ) -> DataFrame:
-    """(scope, resource, state) from the latest version of the tracked summaries."""
-    versions = spark.read.schema(SUMMARY).parquet(path)
-    newest = versions.agg(F.max("version").alias("v")).first()["v"]
-    return state_of(versions.where(F.col("version") == newest), as_of, lease_ttl, block_ttl)
+    """(scope, resource, state) from the newest tracked state."""
+    rows = spark.read.schema(STORED).parquet(path)
+    newest = rows.agg(F.max("number").alias("n")).first()["n"]
+    return lease_states(rows.where(F.col("number") == newest).select(*EVENT), as_of, lease_ttl, block_ttl)

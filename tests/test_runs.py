@@ -200,6 +200,10 @@ def test_ingest_over_many_batches(spark, tmp_path):
         ingest.ingest(stream, ["k"], "seq", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r["k"]: r["v"] for r in ingest.current(spark, str(tmp_path / "out"), schema, ["k"], "seq").collect()}
     assert got == {k: v for k, _, v in rows}
+    for upto in (1, 3):
+        ingest.compact(spark, str(tmp_path / "out"), schema, ["k"], "seq", upto)
+        found = {r["k"]: r["v"] for r in ingest.current(spark, str(tmp_path / "out"), schema, ["k"], "seq").collect()}
+        assert found == got
 
 
 def _step(state, event):
@@ -228,7 +232,7 @@ def test_lease_stream_equals_batch_and_a_plain_machine(spark, tmp_path):
     frame = spark.createDataFrame(events, schema)
     stream = ingest.read_stream(spark, str(tmp_path / "in"), frame.schema, files_per_batch=1)
     lease.track(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).select("version").distinct().count() == 3
+    assert spark.read.parquet(str(tmp_path / "out")).select("number").distinct().count() == 2
     plain = {}
     for event in frame.collect():
         plain[event.resource] = _step(plain.get(event.resource, ("missing", None, None)), event)
@@ -240,6 +244,59 @@ def test_lease_stream_equals_batch_and_a_plain_machine(spark, tmp_path):
         assert batch == wanted and streamed == wanted
 
 
+def test_lease_stream_with_late_events(spark, tmp_path):
+    """Events come out of order within the bound: the stream still equals the whole log."""
+    rng = random.Random(8)
+    events = []
+    for i in range(800):
+        events.append(("s", f"x{rng.randint(0, 9)}", 1000 + i * 10, i, rng.choice(["enqueue", "lease", "return", "block"]), f"t{rng.randint(0, 1)}"))
+    schema = "scope string, resource string, ts long, seq long, action string, token string"
+    late = sorted(events, key=lambda e: e[2] + rng.randint(0, 900))
+    late[0:0] = [("s", "y", 1110, 5000, "return", "k")]
+    late.insert(300, ("s", "y", 1100, 4999, "lease", "k"))
+    for n in range(4):
+        spark.createDataFrame(late[n * 200:(n + 1) * 200 + (n == 3) * 9], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    frame = spark.createDataFrame(late, schema)
+    stream = ingest.read_stream(spark, str(tmp_path / "in"), frame.schema, files_per_batch=1)
+    lease.track(stream, str(tmp_path / "out"), str(tmp_path / "cp"), delay=9000).awaitTermination()
+    for as_of in (1200, 5000, 9100):
+        at = F.lit(as_of)
+        whole = sorted(map(tuple, lease.lease_states(frame, at).collect()))
+        assert whole == sorted(map(tuple, lease.tracked_states(spark, str(tmp_path / "out"), at).collect()))
+    assert ("s", "y", "available") in whole
+
+
+def test_readiness_is_judged_by_run(spark):
+    states = spark.createDataFrame([("r1", True, True), ("r2", True, True), ("r3", True, False)], "run_id string, db_ready boolean, es_ready boolean")
+    broken = Q.violations(_counts(spark, jobs=0).withColumn("run_id", F.lit("r1")))
+    assert {r["run_id"]: r["publishable"] for r in Q.readiness(states, broken).collect()} == {"r1": False, "r2": True, "r3": False}
+
+
+def test_a_failed_publish_is_never_seen(spark, tmp_path, monkeypatch):
+    catalog = C.Catalog(spark, str(tmp_path / "catalog"))
+    now = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    for run in ("r1", "r2"):
+        catalog.start_run(run, now)
+        catalog.set_tables_status(run, "in_progress", True)
+        catalog.set_index_status(run, True)
+    catalog.publish("r1")
+    # Nothing is written after the pointer row, so only the write of the row itself can fail.
+    monkeypatch.setattr(C.schemas, "POINTERS", schemas.COMPANIES)
+    with pytest.raises(Exception):
+        catalog.publish("r2")
+    monkeypatch.undo()
+    assert catalog.published_run() == "r1"
+    assert catalog.state("r2")["status"] == "failed" and catalog.state("r1")["status"] == "succeeded"
+
+
+def test_null_keys_are_groups(spark):
+    from postmill.operators.ranking import exact_percentiles
+
+    frame = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
+    got = {r["k"]: r["p"] for r in exact_percentiles(frame, ["k"], "v", {"p": 0.5}).collect()}
+    assert got == {None: 2.0, "a": 5.0}
+
+
 def test_heartbeat_reasons(spark):
     rows = [(datetime(2026, 1, 1, 0, 0, s), "a", r) for s, r in
             [(1, "enqueued"), (2, "capacity"), (14, "unknown"), (3, "other"), (16, "blocked")]]
