@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from postmill.plans import registry  # noqa: E402
+from postmill.plans import registry, search_queries  # noqa: E402
 from postmill.session import build_session  # noqa: E402
 
 HEADLINE = [
@@ -60,6 +60,10 @@ def main() -> None:
     for name in ("classify_title", "html_to_text"):
         queries[name](spark, sf).write.format("noop").mode("overwrite").save()
     seconds = {}
+    # The index is written once per run; search requests then read it.
+    began = time.perf_counter()
+    search_queries.index(spark, sf)
+    seconds["write_search_index"] = round(time.perf_counter() - began, 3)
     for name in names:
         taken = []
         for _ in range(runs):
