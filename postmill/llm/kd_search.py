@@ -8,7 +8,7 @@ first meet one shard each; the k-th score found there goes with them to all othe
 A task holds one tree and one block of queries. Only the stated queries meet all rows, block by block.
 
 Defined results: ids or vectors that are null, and vectors with a null or non-finite component, take no part; rows of
-the query's id are no candidates; vectors of different lengths do not meet, and empty ones score 0; scores are 64-bit.
+the query's id are no candidates, and rows with one id are one query; vectors of different lengths do not meet, and empty ones score 0; scores are 64-bit.
 """
 
 from __future__ import annotations

@@ -177,9 +177,9 @@ def best(vectors, k=5, step=50):
         (i, [math.floor(256 * x) for x in v]) for i, v in vectors
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
     ]
-    out = []
+    # Rows with one id are one query: the best over all of them.
+    scored = defaultdict(list)
     for q, a in valid:
         if q % step == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in valid if i != q and len(a) == len(b))
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
-    return out
+            scored[q] += [(-sum(x * y for x, y in zip(a, b)), i) for i, b in valid if i != q and len(a) == len(b)]
+    return [(q, r + 1, i, -s) for q, found in scored.items() for r, (s, i) in enumerate(sorted(found)[:k])]
