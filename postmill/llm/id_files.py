@@ -42,8 +42,10 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 MAGIC, VERSION = b"CMID", 1
 BLOCK_IDS = 2048
-FILE_IDS = 1 << 23
+# A shard of usual texts is one file, so its blocks are coded side by side in one go.
+FILE_IDS = 12 << 20
 SHARD_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 CACHED_PIECES = 500_000
 ONE_BITS, TWO_BITS = 8, 9
 STEP, MOST_WEIGHT, CLASS_STEP = 24, 4000, 24
@@ -58,10 +60,10 @@ _ID = np.int32((1 << _CONF) - 1)
 
 
 def class_table() -> np.ndarray:
-    """The class of each id below 2 ** 16: below 8 the id itself, then the length and two bits behind the leading one."""
+    """The class of each id below 2 ** 16: below 4 the id itself, then the length and the bit behind the leading one."""
     ids = np.arange(1 << 16)
-    bits = np.maximum(np.frexp(ids.astype(np.float64))[1] - 3, 0)
-    return np.where(ids < 8, ids, 4 + bits * 4 + ((ids >> bits) & 3)).astype(np.uint8)
+    bits = np.maximum(np.frexp(ids.astype(np.float64))[1] - 2, 0)
+    return np.where(ids < 4, ids, 2 + bits * 2 + ((ids >> bits) & 1)).astype(np.uint8)
 
 
 def class_of(ids: np.ndarray, classes: int) -> np.ndarray:
@@ -70,13 +72,13 @@ def class_of(ids: np.ndarray, classes: int) -> np.ndarray:
         return table[ids]
     # Eight bits more move an id eight lengths up.
     high = ids >> 8
-    return np.where(high >= 8, table[high] + np.uint8(32), table[ids & 0xFFFF])
+    return np.where(high >= 4, table[high] + np.uint8(16), table[ids & 0xFFFF])
 
 
 def split_ids(ids: np.ndarray, classes: int):
     """(class, number of remaining bits, remaining bits)."""
     kind = class_of(ids, classes)
-    bits = np.where(kind < 8, 0, (kind.astype(np.int32) - 8 >> 2) + 1)
+    bits = np.where(kind < 4, 0, (kind.astype(np.int32) - 4 >> 1) + 1)
     return kind, bits, ids & ((1 << bits) - 1)
 
 
@@ -251,8 +253,8 @@ def decode_ids(classes: int, blocks: list[tuple[int, bytes]]) -> np.ndarray:
     code = (words[:, 0] << _32) | words[:, 1]
     model.at += 2
     table = np.zeros((long, lanes), dtype=np.int32)
-    class_bits = np.array([0 if k < 8 else (k - 8) // 4 + 1 for k in range(classes)], dtype=np.int32)
-    class_base = np.array([k if k < 8 else (4 | (k - 8) & 3) << (k - 8) // 4 + 1 for k in range(classes)], dtype=np.int32)
+    class_bits = np.array([0 if k < 4 else (k - 4) // 2 + 1 for k in range(classes)], dtype=np.int32)
+    class_base = np.array([k if k < 4 else (2 | k & 1) << (k - 4) // 2 + 1 for k in range(classes)], dtype=np.int32)
 
     def take() -> None:
         short = model.settle()
@@ -366,7 +368,7 @@ class PieceIds:
         known, special = self.known, self.words.special_ids
         if known.make_room(len(pieces)):
             self._forget()
-        slots = np.fromiter((known.get(p, -1) for p in pieces), dtype=np.int64, count=len(pieces))
+        slots = np.fromiter(map(known.get, pieces, itertools.repeat(-1)), dtype=np.int64, count=len(pieces))
         fresh = np.flatnonzero(slots < 0)
         if len(fresh):
             new = [pieces[i] for i in fresh.tolist()]
@@ -411,7 +413,7 @@ def _writer(tokenizer: str, path: str):
             doc_ids, lengths, ids, held, number = [], [], [], 0, number + 1
             return row
 
-        for part in slices(batches):
+        for part in slices(batches, max_bytes=CHUNK_BYTES):
             new, counts = encode(strings(part.column("text")))
             if held and held + len(new) > FILE_IDS:
                 yield file()
@@ -430,7 +432,8 @@ def write_ids(docs: DataFrame, where: str, tokenizer: str = TOKENIZER) -> None:
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    dealt = docs.repartitionByRange(max(1, -(-size // SHARD_BYTES)), *order).sortWithinPartitions(*order)
+    # Ranges of ids only: the driver samples these keys.
+    dealt = docs.repartitionByRange(max(1, -(-size // SHARD_BYTES)), order[0]).sortWithinPartitions(*order)
     dealt.mapInArrow(
         _writer(tokenizer, public_tokenizers.path(tokenizer)), "shard int, number int, n_ids bigint, data binary"
     ).write.parquet(where)
