@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from .arrow import slices, strings
 
-LEAST_SENTENCES = 3
-LEAST_WORDS = 12
+LEAST_SENTENCES = 2
+LEAST_WORDS = 20
+# A longer sentence counts as several: texts without marks have spans too.
+MOST_WORDS = 25
 # A sentence with the marks and the white space behind it; the pieces make up the text.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n][.!?\x20\x09-\x0D]*|[^.!?\n]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -35,7 +37,17 @@ _LAST = (1 << 63) - 1
 
 
 def sentences(text: str) -> list[str]:
-    return SENTENCE.findall(text)
+    """The pieces of a text, which make it up when they are joined."""
+    parts = []
+    for part in SENTENCE.findall(text):
+        # A word and what parts it from the next one take two characters at least.
+        if len(part) > 2 * MOST_WORDS:
+            cuts = [word.start() for word in WORD.finditer(part)][MOST_WORDS::MOST_WORDS]
+            if cuts:
+                parts += [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])]
+                continue
+        parts.append(part)
+    return parts
 
 
 def runs(parts: list[str], least: int = LEAST_SENTENCES, words: int = LEAST_WORDS):

@@ -71,9 +71,22 @@ def repeats(rows, length=50):
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n][.!?\x20\x09-\x0D]*|[^.!?\n]+")
 
 
-def spans(rows, least=3, least_words=12):
+def pieces(text, most=25):
+    out = []
+    for part in SENTENCE.findall(text or ""):
+        n, at = 0, 0
+        for word in WORD.finditer(part):
+            if n and n % most == 0:
+                out.append(part[at : word.start()])
+                at = word.start()
+            n += 1
+        out.append(part[at:])
+    return out
+
+
+def spans(rows, least=2, least_words=20):
     """One (doc_id, n_sentences, n_removed, text) per row."""
-    cut = [SENTENCE.findall(t or "") for _, t in rows]
+    cut = [pieces(t) for _, t in rows]
     runs = []
     names = []
     for d, t in rows:
