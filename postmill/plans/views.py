@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, text) of the documents, spread for heavy work on the texts."""
+    """(id, text) of the documents."""
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
