@@ -26,6 +26,11 @@ def process_cache(name: str, make):
     return getattr(home, name)
 
 
+def forget_caches() -> None:
+    """Give back what earlier operators keep in this worker; they build it again when they run again."""
+    vars(sys.modules.get("_postmill_process_cache", types.ModuleType("none"))).clear()
+
+
 def slices(batches, column: str = "text", max_bytes: int = CHUNK_BYTES):
     """Cut record batches into pieces of at most ``max_bytes`` of text (one row at least)."""
     for batch in batches:

@@ -29,7 +29,7 @@ TOKENIZER = "word_bpe_49k.json"
 # Letters of a leaf, and tokens on each side of a join that are encoded again at first.
 LEAF = 16
 WINDOW = 2
-CACHED_PIECES = 300_000
+CACHED_PIECES = 100_000
 WORD_END = "</w>"
 # Composed Latin text: composition changes nothing here and lower case has no context.
 _NOT_PLAIN = regex.compile("[ɐ-\U0010ffff]")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import slices, strings
+from .arrow import forget_caches, slices, strings
 
 BITS = 20
 BINS = 1 << BITS
@@ -144,6 +144,7 @@ def score(docs: DataFrame, model, column: str = "score") -> DataFrame:
     weights, intercept = model
     sent = context.broadcast(weights)  # BINS floats, whatever the size of the data
     def run(batches):
+        forget_caches()
         distinct = Distinct()
         table = sent.value
         for part in slices(batches):
