@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .arrow import flat_bytes, slices
 
 LENGTH = 50
@@ -34,11 +35,12 @@ SPAN = LENGTH - ANCHOR + 1
 # Windows of a run at most, and bytes of such a run.
 RUN = 33
 WIDTH = RUN + LENGTH - 1
-CHUNK = 2 << 20
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 32 << 20
-GROUP_BYTES = 4 << 20
-SHARD_RUNS = 24_000
+# A task's memory: about a hundred times a chunk, twenty times a block, ten times a bucket.
+CHUNK = 512 << 10
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
+GROUP_BYTES = 3 << 20
+SHARD_RUNS = 10_000
 LAST = (1 << 63) - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -96,7 +98,8 @@ def anchor_runs(bounds: np.ndarray, data: np.ndarray):
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    # Anchors are least hashes, so their leading bits are low: a bucket comes from mixed bits.
+    return (((h * _A) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 def _group(h: np.ndarray, groups: int) -> np.ndarray:
@@ -437,7 +440,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     blocks, buckets, groups = (max(1, -(-size // n)) for n in (BLOCK_BYTES, BUCKET_BYTES, GROUP_BYTES))
     owner = F.coalesce("doc_id", F.lit(LAST))
     docs = docs.withColumn("block", F.pmod(F.xxhash64(owner), F.lit(blocks)).cast("int"))
-    digests = docs.select("block", owner.alias("doc"), F.sha2("text", 256).alias("digest"))
+    digests = docs.select("block", owner.alias("doc"), F.unhex(F.sha2("text", 256)).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     copies = digests.join(firsts, "digest").where("doc > first").select(
         "block", F.lit(1).alias("kind"), F.lit(0).alias("part"), "doc", F.lit(None).cast("binary").alias("data")
@@ -445,7 +448,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     anchors = docs.select("block", "text").mapInArrow(
         _anchors(buckets), "bucket int, digests binary, blocks binary, counts binary, anchors binary"
     )
-    notes = anchors.groupBy("bucket").applyInArrow(_repeated, _NOTE).unionByName(copies)
+    # Both passes over the blocks need the notes: written once, they are not computed twice.
+    where = scratch_path(docs.sparkSession, "suffix-notes")
+    anchors.groupBy("bucket").applyInArrow(_repeated, _NOTE).write.parquet(where)
+    copies.write.mode("append").parquet(where)
+    notes = docs.sparkSession.read.schema(_NOTE).parquet(where)
     by_block = docs.groupBy("block")
     sent = by_block.cogroup(notes.groupBy("block")).applyInArrow(
         _send(buckets, groups), "group int, block int, sizes binary, runs binary, least binary"
