@@ -7,13 +7,15 @@ at J = 0.75 that is 2 * (1 - 0.75 ** 2) ** 14, about 2 in 100,000, and less for
 
 1. Documents with equal sets are one class, so copies cost nothing further.
 2. Only keys that two classes share can lead to a shared table; the others are dropped before the pairs of keys are formed.
-3. In the first round each class is compared with one centre, the first class by a fixed random order among all its
-   tables; the next rounds take, per table whose members are in several components yet, another random centre, which all
-   members outside its component are compared with. Rounds go on until one finds no link.
-4. A pair is a link only after its full sets have been compared; components are labels that spread over the links.
+3. Each class is compared with one centre, the first class by a fixed random order among all its tables. That joins copies and
+   crowds at the cost of one pair per class.
+4. The classes of tables that still hold several components are joined exactly: shingles are put in one order, rare ones first,
+   and two sets that are similar enough share a shingle among the first seventh of the smaller and the first quarter of the
+   larger one, at places that leave room for the rest. Pairs inside a component are not formed.
+5. A pair is a link only after its full sets have been compared; components are labels that spread over the links.
 
-Never all pairs of a group: a round makes one pair per row of a table at most. Hot tables are pre-aggregated to their
-centre, and the joins back to the rows are left to the skew handling of the join.
+Only shingles that two components share take part in step 4. The order comes from counts in ``COUNTERS`` counters, so frequent
+shingles come last whatever the size; a shingle that is frequent among the first ones is dealt over several salts.
 
 Defined results: null and empty texts and texts without words have an empty set and are linked with nothing; equal rows get equal
 results; a doc_id with several texts stands for each of them; a row without doc_id is linked with nothing, has no
@@ -37,6 +39,10 @@ KEYS = 14
 PERCENT = 75
 CHUNK = 2 << 20
 SEED = 20
+# Counters that order the shingles; one more salt for each HOT sets of a counter, up to MOST_SALTS.
+COUNTERS = 1 << 18
+HOT = 2000
+MOST_SALTS = 64
 
 
 def _constants():
@@ -141,6 +147,85 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
 
 
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (_mix(shingles.view(np.uint64)) >> np.uint64(46)).astype(np.int64)
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, values) of a column of lists of longs."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return bounds, column.values.to_numpy()
+
+
+def _count(batches):
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    for part in batches:
+        bounds, values = _flat(part.column("members"))
+        total += np.bincount(_counter(values[bounds[0] : bounds[-1]]), minlength=COUNTERS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["counter", "n"])
+
+
+def _prefixes(sent, hot: int):
+    """The first shingles of each set: those of the larger side of a pair, and as many as the smaller side needs marked."""
+
+    def run(batches):
+        counts = sent.value
+        for part in batches:
+            bounds, values = _flat(part.column("members"))
+            ids, labels = (np.asarray(part.column(n), dtype=np.int64) for n in ("id", "label"))
+            at = 0
+            while at < len(ids):
+                stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK, side="right")) - 1)
+                columns: list = [[] for _ in range(7)]
+                for i in range(at, stop):
+                    members = values[bounds[i] : bounds[i + 1]]
+                    n = len(members)
+                    often = counts[_counter(members)]
+                    probe = n - -(-PERCENT * n // 100) + 1
+                    index = n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
+                    first = np.lexsort((members, often))[:probe]
+                    size = len(first)
+                    for column, x in zip(columns, (
+                        members[first], np.full(size, ids[i]), np.full(size, labels[i]), np.full(size, n), np.arange(size),
+                        np.arange(size) < index, np.minimum(often[first] // hot + 1, MOST_SALTS),
+                    )):
+                        column.append(x)
+                at = stop
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c), k) for c, k in zip(columns, kinds)],
+                    names=["shingle", "id", "label", "n", "place", "index", "salts"],
+                )
+
+    return run
+
+
+def _rest(sets: DataFrame) -> DataFrame:
+    """(x, y): the pairs of ``sets`` (id, label, members) of different labels that may be similar enough; exact."""
+    context = sets.sparkSession.sparkContext
+    counted = sets.select("members").mapInArrow(_count, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    sent = context.broadcast(counts)  # COUNTERS numbers, whatever the size of the data
+    postings = _stored(sets.mapInArrow(
+        _prefixes(sent, HOT), "shingle bigint, id bigint, label bigint, n int, place int, index boolean, salts int"), "prefixes")
+    met = postings.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    postings = postings.join(met.select("shingle"), "shingle", "left_semi")
+    y = postings.select("shingle", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.col("id").alias("y"),
+                        F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("place").alias("y_place"))
+    x = postings.where("index").select(
+        "shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("x"),
+        F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("place").alias("x_place"))
+    ahead = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x") < F.col("y")))
+    # At the first common shingle of a pair, so many can be common at most.
+    common = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+    enough = (100 + PERCENT) * common >= PERCENT * (F.col("x_n") + F.col("y_n"))
+    possible = (F.col("x_label") != F.col("y_label")) & ahead & (100 * F.col("x_n") >= PERCENT * F.col("y_n")) & enough
+    return x.join(y, ["shingle", "salt"]).where(possible).select("x", "y").distinct()
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: computed once, and safe if executors go."""
     where = scratch_path(df.sparkSession, f"near-{name}")
@@ -225,22 +310,14 @@ def components(docs: DataFrame) -> DataFrame:
     links = similar(
         nearest.where(F.col("first.centre") != F.col("id")).select(F.col("first.centre").alias("x"), F.col("id").alias("y")), "links"
     )
-    turn = 0
-    while True:
-        labels = _components(links)
-        turn += 1
-        placed = tables.join(labels, "id", "left").select("table", "id", F.coalesce("label", "id").alias("label"))
-        place = F.struct(F.xxhash64("id", "table", F.lit(turn)).alias("turn"), F.col("id").alias("centre"), "label")
-        several = placed.groupBy("table").agg(
-            F.min(place).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")
-        ).where("low <> high")
-        open_pairs = placed.join(several, "table").where(F.col("label") != F.col("c.label")).select(
-            F.least("c.centre", "id").alias("x"), F.greatest("c.centre", "id").alias("y")
-        )
-        found = similar(open_pairs, f"links-{turn}")
-        if found.limit(1).count() == 0:
-            break
-        links = links.unionByName(found)
+    labels = _components(links)
+    # Tables that hold several components: all pairs of their classes are settled at once.
+    placed = tables.join(labels, "id", "left").select("table", "id", F.coalesce("label", "id").alias("label"))
+    several = placed.groupBy("table").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    left = _stored(placed.join(several.select("table"), "table", "left_semi").select("id", "label").distinct(), "left")
+    found = _stored(_links(_rest(sets.join(left, "id")), sets).distinct(), "links-rest")
+    if found.limit(1).count():
+        labels = _components(links.unionByName(found))
     reach = labels.select(F.col("id").alias("of"), "label")
     by_class = classes.select("digest", "id").join(reach, F.col("id") == F.col("of"), "left").select(
         F.col("digest").alias("class"), F.coalesce("label", "id").alias("class_id")

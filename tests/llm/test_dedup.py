@@ -89,6 +89,14 @@ def test_near_dedup_chain_and_crowd(spark):
     same(rows_of(near_dedup.components(frame(spark, rows))), brute.near(rows))
 
 
+def test_near_dedup_two_of_a_hot_passage(spark):
+    """Two documents are near copies by a passage that many documents have, none of which is near to another."""
+    passage = " ".join(f"p{i}" for i in range(304))
+    rows = [(i, passage + "".join(f" t{i}_{j}" for j in range(45 if i in (611, 742) else 112 + i % 9))) for i in range(900)]
+    got = {r.doc_id: r.component_id for r in near_dedup.components(frame(spark, rows)).collect()}
+    assert got == {i: 611 if i == 742 else i for i in range(900)}
+
+
 def test_kept_documents(odd):
     rows, df = odd
     kept = near_dedup.keep_first(df)
