@@ -1,7 +1,7 @@
 """Quality rules: surface counts, and a hashed n-gram log-likelihood ratio between trusted texts and the corpus.
 
 Tokens are runs of letters and numbers and runs of other visible characters. Unigrams and bigrams of all texts are hashed
-to ``BINS`` bins each; two multinomials over the bins are counted, one over the trusted target (a bounded sample of the
+to ``BINS`` bins each; two multinomials over the bins are counted, one over the trusted target (all
 documents labelled as good) and one over the raw corpus (all documents). A text's score is the mean log ratio of its
 n-grams, and a text is kept if the score is at least ``LEAST_RATIO``. Ratios are whole millionths, so sums do not depend
 on an order and every run decides alike.
@@ -27,8 +27,6 @@ LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 BINS = 1 << 15
 SMOOTHING = 1.0
-# Bound of the sample that the trusted multinomial is counted on.
-TRUSTED_ROWS = 20_000
 # Mean log ratio from which on a text is kept.
 LEAST_RATIO = -0.25
 UNIT = 1_000_000
@@ -86,18 +84,19 @@ def _gram_bins(hashes: str) -> Column:
     return F.concat(ones, F.slice(twos, 1, F.greatest(F.size(hashes) - 1, F.lit(0))))
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    good = labels.where("quality > 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where("quality > 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def gram_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(_bin, _units): log of trusted share over corpus share of each bin, in millionths."""
-    trusted = F.broadcast(trusted_ids(labels).select(F.col("doc_id").alias("_trusted")))
+    # The labels grow with the corpus, so the join is left to Spark; a text is joined before it becomes longer hashes.
+    trusted = trusted_ids(labels).select(F.col("doc_id").alias("_trusted"))
     grams = (
-        docs.select("doc_id", _token_hashes(F.col("text")).alias("_hashes"))
+        docs.select("doc_id", "text")
         .join(trusted, F.col("doc_id") == F.col("_trusted"), "left")
-        .select(F.col("_trusted").isNotNull().alias("_good"), F.explode(_gram_bins("_hashes")).alias("_bin"))
+        .select(F.col("_trusted").isNotNull().alias("_good"), _token_hashes(F.col("text")).alias("_hashes"))
+        .select("_good", F.explode(_gram_bins("_hashes")).alias("_bin"))
     )
     counts = grams.groupBy("_bin").agg(F.count("*").alias("_raw"), F.count_if("_good").alias("_target"))
     total = counts.agg(F.sum("_raw").alias("r"), F.sum("_target").alias("t")).first()

@@ -27,6 +27,13 @@ def test_quality(spark, odd):
     assert sorted(map(str, got)) == sorted(map(str, wanted))
 
 
+def test_quality_counts_all_trusted_texts(spark):
+    """If all texts are labelled as good, the target is the corpus and every ratio is 0, however many they are."""
+    docs = spark.range(21_000).selectExpr("id AS doc_id", "concat('word', id % 50, ' text') AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    assert {r._units for r in quality.gram_ratios(docs, labels).collect()} == {0}
+
+
 def test_quality_of_the_table(tables):
     docs, labels = tables("documents", "/root/testdata/sf0.01"), tables("labels", "/root/testdata/sf0.01")
     good = {r.doc_id: r.quality for r in labels.collect()}
