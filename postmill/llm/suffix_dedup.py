@@ -20,6 +20,8 @@ one doc_id do not remove each other's bytes. Strings are judged on the input.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -181,8 +183,12 @@ class _Block:
         self.ids = np.asarray(docs.column("_order"), dtype=np.int64)
         self.bounds, self.data = flat_bytes(docs.column("text"))
         kinds, parts = notes.column("kind").to_pylist(), notes.column("part").to_pylist()
-        copies = [d for d, k in zip(notes.column("doc").to_pylist(), kinds) if k == 1]
-        self.copy = np.isin(self.ids, np.array(copies, dtype=np.int64))
+        # Null ids are one id and an id may have several texts, so a copy is known by its id and its text.
+        copies = {(d, x) for d, x, k in zip(notes.column("doc").to_pylist(), notes.column("data").to_pylist(), kinds) if k == 1}
+        self.copy = np.isin(self.ids, np.array([d for d, _ in copies], dtype=np.int64))
+        for i in np.flatnonzero(self.copy).tolist():
+            text = self.data[self.bounds[i] : self.bounds[i + 1]].tobytes()
+            self.copy[i] = (int(self.ids[i]), hashlib.sha256(text).digest()) in copies
         known = [np.frombuffer(notes.column("data")[i].as_py(), np.uint32).astype(np.uint64) | np.uint64(parts[i] << 32)
                  for i, k in enumerate(kinds) if k == 0]
         known = np.sort(np.concatenate(known)) if known else np.zeros(0, dtype=np.uint64)
@@ -443,7 +449,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     digests = docs.select("block", owner.alias("doc"), F.unhex(F.sha2("text", 256)).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     copies = digests.join(firsts, "digest").where("doc > first").select(
-        "block", F.lit(1).alias("kind"), F.lit(0).alias("part"), "doc", F.lit(None).cast("binary").alias("data")
+        "block", F.lit(1).alias("kind"), F.lit(0).alias("part"), "doc", F.col("digest").alias("data")
     )
     anchors = docs.select("block", "text").mapInArrow(
         _anchors(buckets), "bucket int, digests binary, blocks binary, counts binary, anchors binary"
