@@ -5,6 +5,12 @@ sentence, the shortest run of at least ``LEAST_SENTENCES`` sentences and ``LEAST
 shared passage cover it to both ends. Equal runs are joined over all documents; the first one (smallest doc_id, then
 place) stays, and every sentence that another one covers is removed. Runs are judged on the input.
 
+A sentence of more than ``MOST_WORDS`` words counts as several. As a passage may start anywhere in it, windows of ``GRAM`` words there are
+runs too, chosen by content: of each ``CHOICE`` neighbouring windows the one with the least hash. So a passage of
+``2 * MOST_WORDS`` words has a chosen window in every text, whatever stands before it, and the chosen windows of a longer passage
+cover it but for fewer than ``CHOICE`` words at each end. A window that overlaps an equal one (a few words over and over) counts as
+repeated only where another document has it.
+
 The runs are written once to the shared folder; the smallest place of each hash is pre-aggregated in the map tasks, and a hot
 hash is one row on the build side of the join, whose large partitions Spark may split.
 
@@ -30,10 +36,14 @@ LEAST_SENTENCES = 2
 LEAST_WORDS = 20
 # A longer sentence counts as several: texts without marks have spans too.
 MOST_WORDS = 25
+# Words of a window inside a long sentence, and the windows of which one is chosen: together 2 * MOST_WORDS words.
+GRAM = 40
+CHOICE = 11
 # A sentence with the marks and the white space behind it; the pieces make up the text.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n][.!?\x20\x09-\x0D]*|[^.!?\n]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LAST = (1 << 63) - 1
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sentences(text: str) -> list[str]:
@@ -51,7 +61,7 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(parts: list[str], least: int = LEAST_SENTENCES, words: int = LEAST_WORDS):
-    """(hash, first sentence, sentence behind the last) of the runs of a text."""
+    """(hash, first character, character behind the last, True) of the runs of a text."""
     if len(parts) < least:
         return []
     split = [WORD.findall(p) for p in parts]
@@ -60,6 +70,7 @@ def runs(parts: list[str], least: int = LEAST_SENTENCES, words: int = LEAST_WORD
     n = len(spoken)
     if n < least:
         return []
+    at = np.cumsum([0] + [len(p) for p in parts]).tolist()
     keys = [xxhash.xxh3_64_intdigest(" ".join(split[i]).encode("utf-8", "surrogatepass")) for i in spoken]
     upto = np.concatenate([[0], np.cumsum([len(split[i]) for i in spoken])])
     firsts = np.arange(n)
@@ -70,40 +81,81 @@ def runs(parts: list[str], least: int = LEAST_SENTENCES, words: int = LEAST_WORD
     found.update((a, b + 1) for a, b in zip(starts.tolist(), firsts.tolist()) if a >= 0)
     packed = np.array(keys, dtype=np.uint64).tobytes()
     return [
-        (xxhash.xxh3_64_intdigest(packed[8 * a : 8 * b]) - (1 << 63), spoken[a], spoken[b - 1] + 1) for a, b in sorted(found)
+        (xxhash.xxh3_64_intdigest(packed[8 * a : 8 * b]) - (1 << 63), at[spoken[a]], at[spoken[b - 1] + 1], True)
+        for a, b in sorted(found)
     ]
 
 
+def windows(text: str):
+    """(hash, first character, character behind the last, whether a repeat in its document counts) of the chosen windows."""
+    out = []
+    for part in SENTENCE.finditer(text):
+        if part.end() - part.start() < 2 * GRAM:
+            continue
+        found = [(w.start(), w.group()) for w in WORD.finditer(part.group())]
+        n = len(found) - GRAM + 1
+        if n < CHOICE:
+            continue
+        keys = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for _, w in found], dtype=np.uint64)
+        mixed = np.zeros(n, dtype=np.uint64)
+        for k in range(GRAM):
+            mixed = mixed * _TIMES + keys[k : k + n]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _TIMES
+        mixed ^= mixed >> np.uint64(29)
+        least = np.lib.stride_tricks.sliding_window_view(mixed, CHOICE).argmin(axis=1)
+        order = np.argsort(mixed, kind="stable")
+        close = (mixed[order[1:]] == mixed[order[:-1]]) & (np.diff(order) < GRAM)
+        own = np.ones(n, dtype=bool)
+        own[order[1:][close]] = own[order[:-1][close]] = False
+        starts = [w + part.start() for w, _ in found] + [part.end()]
+        for i in np.unique(least + np.arange(len(least))).tolist():
+            out.append((int(mixed[i]) - (1 << 63), starts[i], starts[i + GRAM], bool(own[i])))
+    return out
+
+
 def _all_runs(batches):
     for part in slices(batches):
-        hashes, ids, marks, firsts, stops = [], [], [], [], []
+        hashes, ids, marks, firsts, stops, owns = [], [], [], [], [], []
         columns = part.column("owner").to_pylist(), part.column("mark").to_pylist(), strings(part.column("text"))
         for owner, mark, text in zip(*columns):
-            for key, first, stop in runs(sentences(text)):
+            for key, first, stop, own in runs(sentences(text)) + windows(text):
                 hashes.append(key)
                 ids.append(owner)
                 marks.append(mark)
                 firsts.append(first)
                 stops.append(stop)
+                owns.append(own)
         yield pa.RecordBatch.from_arrays(
-            [*[pa.array(x, pa.int64()) for x in (hashes, ids, marks)], *[pa.array(x, pa.int32()) for x in (firsts, stops)]],
-            names=["run", "owner", "mark", "first", "stop"],
+            [*[pa.array(x, pa.int64()) for x in (hashes, ids, marks)], *[pa.array(x, pa.int32()) for x in (firsts, stops)],
+             pa.array(owns, pa.bool_())],
+            names=["run", "owner", "mark", "first", "stop", "own"],
         )
 
 
+def _cut(text: str, firsts, stops) -> tuple[int, int, str]:
+    """(pieces, pieces that lose characters, what remains) of a text without its spans, which are sorted."""
+    ends = np.cumsum([len(p) for p in sentences(text)])
+    lost = np.zeros(len(ends), dtype=bool)
+    kept, at = [], 0
+    for first, stop in zip(firsts, stops):
+        lost[np.searchsorted(ends, first, side="right") : np.searchsorted(ends, stop, side="left") + 1] = True
+        if first > at:
+            kept.append(text[at:first])
+        at = max(at, stop)
+    return len(ends), int(lost.sum()), text if not at else "".join([*kept, text[at:]])
+
+
 def _without(batches):
     for part in slices(batches, "_sp_text"):
         texts, counts, removed = [], [], []
         for text, firsts, stops in zip(
             part.column("_sp_text").to_pylist(), part.column("_sp_firsts").to_pylist(), part.column("_sp_stops").to_pylist()
         ):
-            parts = sentences(text or "")
-            keep = [True] * len(parts)
-            for first, stop in zip(firsts or (), stops or ()):
-                keep[first:stop] = [False] * (stop - first)
-            counts.append(len(parts))
-            removed.append(keep.count(False))
-            texts.append(text if all(keep) else "".join([p for p, k in zip(parts, keep) if k]))
+            count, lost, rest = _cut(text or "", firsts or (), stops or ())
+            counts.append(count)
+            removed.append(lost)
+            texts.append(rest if lost else text)
         place = part.schema.names.index("_sp_text")
         out = part.set_column(place, "_sp_text", pa.array(texts, pa.string())).drop_columns(["_sp_firsts", "_sp_stops"])
         yield out.append_column("_sp_count", pa.array(counts, pa.int64())).append_column(
@@ -112,18 +164,20 @@ def _without(batches):
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` but with the remaining text in ``_sp_text`` for ``text``; ``_sp_count`` and ``_sp_removed`` sentences."""
+    """All columns of ``docs`` but with the remaining text in ``_sp_text`` for ``text``; ``_sp_count`` sentences, of which ``_sp_removed`` lose words."""
     spark = docs.sparkSession
     where = scratch_path(spark, "sentence-runs")
     owner, mark = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), F.xxhash64("text")
     docs.select(owner.alias("owner"), mark.alias("mark"), "text").mapInArrow(
-        _all_runs, "run bigint, owner bigint, mark bigint, first int, stop int"
+        _all_runs, "run bigint, owner bigint, mark bigint, first int, stop int, own boolean"
     ).write.parquet(where)
     found = spark.read.parquet(where)
     # A document may hold a run twice, so its place says which occurrence is first.
     place = F.struct("owner", "mark", "first")
     firsts = found.groupBy("run").agg(F.min(place).alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    repeated = found.join(firsts, "run").where(place != F.col("_least"))
+    repeated = found.join(firsts, "run").where(
+        F.col("own") & (place != F.col("_least")) | (F.struct("owner", "mark") != F.struct("_least.owner", "_least.mark"))
+    )
     # One row per document; a document has a few runs for each of its sentences.
     spans = repeated.groupBy("owner", "mark").agg(
         F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("_spans")

@@ -110,6 +110,18 @@ def test_sentence_spans(odd):
     same(rows_of(sentence_spans.report(df)), brute.spans(rows))
 
 
+def test_sentence_spans_inside_long_sentences(spark):
+    """A passage of 60 words without a mark is removed wherever it starts, but for a few words at its ends."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"a{i}_{j}" for j in range(i)) + f" {passage} " + " ".join(f"z{i}_{j}" for j in range(30))) for i in range(26)]
+    got = {r.doc_id: r for r in sentence_spans.report(frame(spark, rows)).collect()}
+    assert got[0].text == rows[0][1] and got[0].n_removed == 0
+    for i, text in rows[1:]:
+        left = brute.words(got[i].text)
+        assert [w for w in left if w[0] != "p"] == [w for w in brute.words(text) if w[0] != "p"]
+        assert sum(w[0] == "p" for w in left) <= 20 and got[i].n_removed > 0
+
+
 def test_sentence_spans_of_the_table(tables):
     df = tables("documents")
     rows = [(r.doc_id, r.text) for r in df.collect()]
