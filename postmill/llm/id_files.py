@@ -46,7 +46,10 @@ BLOCK_IDS = 2048
 FILE_IDS = 12 << 20
 SHARD_BYTES = 24 << 20
 CHUNK_BYTES = 8 << 20
-CACHED_PIECES = 500_000
+# What a worker keeps of earlier texts: pieces, their letters, and ids.
+CACHED_PIECES, CACHED_LETTERS, CACHED_IDS = 300_000, 8 << 20, 2 << 20
+# Pieces of one call of the library, whose results are large.
+CALL_PIECES = 8_192
 ONE_BITS, TWO_BITS = 8, 9
 STEP, MOST_WEIGHT, CLASS_STEP = 24, 4000, 24
 # Up to here the counts of classes fit 16 bits.
@@ -359,26 +362,35 @@ class PieceIds:
         self._forget()
 
     def _forget(self) -> None:
+        self.known.clear()
+        self.letters = 0
         # The end id is the first entry of the store.
         self.flat = np.array([END_ID], dtype=np.uint32)
         self.firsts, self.sizes = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
 
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids per piece) by one call of the library."""
+        special = self.words.special_ids
+        encoded = self.merges.encode_batch([self.words.spell(p) for p in pieces], add_special_tokens=False)
+        ids = [[special[p]] if p in special else e.ids for p, e in zip(pieces, encoded)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum())), sizes
+
     def _slots(self, pieces: list[str]) -> np.ndarray:
-        """Places of the pieces in the store; unknown ones are encoded by one call of the library."""
-        known, special = self.known, self.words.special_ids
-        if known.make_room(len(pieces)):
+        """Places of the pieces in the store; unknown ones are encoded in batches."""
+        known = self.known
+        if known.make_room(len(pieces)) or self.letters > CACHED_LETTERS or len(self.flat) > CACHED_IDS:
             self._forget()
         slots = np.fromiter(map(known.get, pieces, itertools.repeat(-1)), dtype=np.int64, count=len(pieces))
         fresh = np.flatnonzero(slots < 0)
         if len(fresh):
             new = [pieces[i] for i in fresh.tolist()]
-            encoded = self.merges.encode_batch([self.words.spell(p) for p in new], add_special_tokens=False)
-            ids = [[special[p]] if p in special else e.ids for p, e in zip(new, encoded)]
-            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            parts = [self._encode(new[a : a + CALL_PIECES]) for a in range(0, len(new), CALL_PIECES)]
+            flat, sizes = (np.concatenate(x) for x in zip(*parts))
             firsts = len(self.flat) + np.cumsum(sizes) - sizes
             slots[fresh] = np.arange(len(self.firsts), len(self.firsts) + len(new))
             known.update(zip(new, slots[fresh].tolist()))
-            flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
+            self.letters += sum(map(len, new))
             self.flat = np.concatenate([self.flat, flat])
             self.firsts, self.sizes = np.concatenate([self.firsts, firsts]), np.concatenate([self.sizes, sizes])
         return slots

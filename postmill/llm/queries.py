@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..plans.register import Registry
-from . import bpe, id_files, kd_search, mixing, near_dedup, quality, sentence_spans, suffix_dedup, token_counts, toxicity
+from . import (
+    bpe, id_files, kd_search, mixing, near_dedup, packing, quality, sentence_spans, suffix_dedup, token_counts, toxicity
+)
 
 query = Registry()
 
@@ -60,3 +62,8 @@ def op9_sentence_spans(spark, sf):
 @query("op10_kd_search", kd_search.SQL)
 def op10_kd_search(spark, sf):
     return kd_search.search(table(spark, sf, "embeddings"))
+
+
+@query("op13_best_fit_packing")
+def op13_best_fit_packing(spark, sf):
+    return packing.report(table(spark, sf, "documents"))
