@@ -26,9 +26,11 @@ def process_cache(name: str, make):
     return getattr(home, name)
 
 
-def forget_caches() -> None:
-    """Give back what earlier operators keep in this worker; they build it again when they run again."""
-    vars(sys.modules.get("_postmill_process_cache", types.ModuleType("none"))).clear()
+def forget_caches(*keep: str) -> None:
+    """Give back what other operators keep in this worker; they build it again when they run again."""
+    home = vars(sys.modules.get("_postmill_process_cache", types.ModuleType("none")))
+    for name in [n for n in home if n not in keep and not n.startswith("__")]:
+        del home[name]
 
 
 def slices(batches, column: str = "text", max_bytes: int = CHUNK_BYTES):

@@ -1,13 +1,14 @@
 """Byte pair encoding by tree concatenation, and decoding.
 
 A long piece that the pre-tokenizer leaves unsplit is cut into halves down to ``LEAF`` letters. All leaves of a batch are
-encoded in one call of the library, which works on them in parallel; then neighbours are joined level by level. At a
+encoded side by side; then neighbours are joined level by level. At a
 join, a window of a few tokens on both sides is encoded again and grows until it has a token in common (same place, same
 id) with the left half and, behind it, one in common with the right half; there the three sequences are spliced. Every
 two neighbours of the spliced sequence are neighbours in an encoding, which makes it the encoding of the whole.
 Windows that reach both outer ends hold the whole piece, so the growth always ends.
 
-Defined results: a null text is empty and has no tokens; repeated rows and null ids are encoded like any other row.
+Defined results: a null text is empty and has no tokens; repeated rows and null ids are encoded like any other row; a very
+long text is encoded whole; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .arrow import process_cache, slices, strings
+from .arrow import forget_caches, library_in_one_thread, process_cache, slices, strings
 from .pieces import Bounded, Vocabulary, cut
 
 TOKENIZER = "word_bpe_49k.json"
 # Letters of a leaf, and tokens on each side of a join that are encoded again at first.
 LEAF = 16
 WINDOW = 2
-CACHED_PIECES = 100_000
+# What a worker keeps of earlier texts: pieces and their letters.
+CACHED_PIECES, CACHED_LETTERS = 100_000, 4 << 20
+# Text of one step, and pieces and letters of one call of the library, whose results are large.
+CHUNK_BYTES = 2 << 20
+CALL_PIECES, CALL_LETTERS = 4_096, 1 << 18
 WORD_END = "</w>"
 # Composed Latin text: composition changes nothing here and lower case has no context.
 _NOT_PLAIN = regex.compile("[ɐ-\U0010ffff]")
@@ -37,6 +42,7 @@ _NOT_PLAIN = regex.compile("[ɐ-\U0010ffff]")
 
 class TreeEncoder:
     def __init__(self, path: str, leaf: int = LEAF, window: int = WINDOW):
+        library_in_one_thread()
         self.words = Vocabulary(path)
         library = Tokenizer.from_file(path)
         self.normalizer = library.normalizer
@@ -45,6 +51,7 @@ class TreeEncoder:
         self.sizes = {i: len(t) for i, t in self.words.tokens.items()}
         self.leaf, self.window = leaf, window
         self.known = Bounded(CACHED_PIECES)
+        self.letters = 0
 
     def normalize(self, text: str) -> str:
         if _NOT_PLAIN.search(text) is None:
@@ -59,11 +66,17 @@ class TreeEncoder:
         return self.normalize(text)
 
     def _ids(self, spelled: list[str]) -> list[list[int]]:
-        """Ids of texts in byte letters; one call of the library."""
-        return [found.ids for found in self.merges.encode_batch(spelled, add_special_tokens=False)]
+        """Ids of texts in byte letters, by calls of the library of a bounded size."""
+        out, start, letters = [], 0, 0
+        for end, text in enumerate(spelled, 1):
+            letters += len(text)
+            if end - start == CALL_PIECES or letters >= CALL_LETTERS or end == len(spelled):
+                out += [found.ids for found in self.merges.encode_batch(spelled[start:end], add_special_tokens=False)]
+                start, letters = end, 0
+        return out
 
     def _encode(self, spelled: list[str]) -> list[tuple[list[int], list[int]]]:
-        """(ids, start of each token) of texts in byte letters; one call of the library."""
+        """(ids, start of each token) of texts in byte letters."""
         out = []
         for text, ids in zip(spelled, self._ids(spelled)):
             starts, at = [], 0
@@ -116,7 +129,7 @@ class TreeEncoder:
         return out
 
     def _join(self, spelled, joins, merged) -> None:
-        """Splice neighbours; all windows of a round are encoded in one call."""
+        """Splice neighbours; all windows of a round are encoded together."""
         grown = self.window
         while joins:
             windows = []
@@ -140,7 +153,10 @@ class TreeEncoder:
         known = self.known
         out = [known.get(p) for p in pieces]
         fresh = [i for i, v in enumerate(out) if v is None]
-        known.make_room(len(fresh))
+        if known.make_room(len(fresh)) or self.letters > CACHED_LETTERS:
+            known.clear()
+            self.letters = 0
+        self.letters += sum(len(pieces[i]) for i in fresh)
         special = self.words.special_ids
         plain = [i for i in fresh if pieces[i] not in special]
         for i, ids in zip(plain, self.encode_pieces([self.words.spell(pieces[i]) for i in plain])):
@@ -193,8 +209,11 @@ def encode_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     path = public_tokenizers.path(tokenizer)
 
     def run(batches):
+        # Earlier operators of a worker may have left their caches.
+        forget_caches(f"tree_encoder_{tokenizer}", "char_classes")
+        pa.default_memory_pool().release_unused()
         encoder = process_cache(f"tree_encoder_{tokenizer}", lambda: TreeEncoder(path))
-        for part in slices(batches):
+        for part in slices(batches, max_bytes=CHUNK_BYTES):
             texts = [encoder.prepare(t) for t in strings(part.column("text"))]
             found = cut(texts, encoder.words.specials, False, True, False)
             table = encoder.encode(found.distinct)

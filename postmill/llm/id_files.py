@@ -17,7 +17,8 @@ blocks as vectors while each block stays independent.
 Files are rows (shard, number, data) of a Parquet table in a folder that all executors share.
 
 Defined results: a null text is empty and holds the end id only; a null doc_id comes last; rows with one doc_id follow each
-other in the order of their texts; an empty table makes no file.
+other in the order of their texts; a very long text is encoded whole, in a file of its own if it must; an empty table makes no
+file. Other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -43,9 +44,9 @@ END_ID = 0
 MAGIC, VERSION = b"CMID", 1
 BLOCK_IDS = 2048
 # A shard of usual texts is one file, so its blocks are coded side by side in one go.
-FILE_IDS = 12 << 20
-SHARD_BYTES = 24 << 20
-CHUNK_BYTES = 8 << 20
+FILE_IDS = 6 << 20
+SHARD_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 # What a worker keeps of earlier texts: pieces, their letters, and ids.
 CACHED_PIECES, CACHED_LETTERS, CACHED_IDS = 300_000, 8 << 20, 2 << 20
 # Pieces of one call of the library, whose results are large.
@@ -63,10 +64,10 @@ _ID = np.int32((1 << _CONF) - 1)
 
 
 def class_table() -> np.ndarray:
-    """The class of each id below 2 ** 16: below 4 the id itself, then the length and the bit behind the leading one."""
+    """The class of each id below 2 ** 16: below 8 the id itself, then the length and two bits behind the leading one."""
     ids = np.arange(1 << 16)
-    bits = np.maximum(np.frexp(ids.astype(np.float64))[1] - 2, 0)
-    return np.where(ids < 4, ids, 2 + bits * 2 + ((ids >> bits) & 1)).astype(np.uint8)
+    bits = np.maximum(np.frexp(ids.astype(np.float64))[1] - 3, 0)
+    return np.where(ids < 8, ids, 4 + bits * 4 + ((ids >> bits) & 3)).astype(np.uint8)
 
 
 def class_of(ids: np.ndarray, classes: int) -> np.ndarray:
@@ -75,13 +76,13 @@ def class_of(ids: np.ndarray, classes: int) -> np.ndarray:
         return table[ids]
     # Eight bits more move an id eight lengths up.
     high = ids >> 8
-    return np.where(high >= 4, table[high] + np.uint8(16), table[ids & 0xFFFF])
+    return np.where(high >= 8, table[high] + np.uint8(32), table[ids & 0xFFFF])
 
 
 def split_ids(ids: np.ndarray, classes: int):
     """(class, number of remaining bits, remaining bits)."""
     kind = class_of(ids, classes)
-    bits = np.where(kind < 4, 0, (kind.astype(np.int32) - 4 >> 1) + 1)
+    bits = np.where(kind < 8, 0, (kind.astype(np.int32) - 8 >> 2) + 1)
     return kind, bits, ids & ((1 << bits) - 1)
 
 
@@ -192,7 +193,7 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK_IDS):
     if block > MOST_BLOCK:
         raise ValueError("the counts of a block have 16 bits")
     lanes, long, longer = _sizes(len(ids), block)
-    table = _lay(np.asarray(ids, dtype=np.int64), lanes, long, longer)
+    table = _lay(ids, lanes, long, longer)
     classes = int(class_of(np.array([ids.max()], dtype=np.int32), 256)[0]) + 1
     model = _Blocks(lanes, classes)
     words = np.zeros((lanes, 128), dtype=np.uint32)
@@ -256,8 +257,8 @@ def decode_ids(classes: int, blocks: list[tuple[int, bytes]]) -> np.ndarray:
     code = (words[:, 0] << _32) | words[:, 1]
     model.at += 2
     table = np.zeros((long, lanes), dtype=np.int32)
-    class_bits = np.array([0 if k < 4 else (k - 4) // 2 + 1 for k in range(classes)], dtype=np.int32)
-    class_base = np.array([k if k < 4 else (2 | k & 1) << (k - 4) // 2 + 1 for k in range(classes)], dtype=np.int32)
+    class_bits = np.array([0 if k < 8 else (k - 8) // 4 + 1 for k in range(classes)], dtype=np.int32)
+    class_base = np.array([k if k < 8 else (4 | (k - 8) & 3) << (k - 8) // 4 + 1 for k in range(classes)], dtype=np.int32)
 
     def take() -> None:
         short = model.settle()

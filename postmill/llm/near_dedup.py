@@ -9,17 +9,20 @@ at J = 0.75 that is 2 * (1 - 0.75 ** 2) ** 14, about 2 in 100,000, and less for
 2. Only keys that two classes share can lead to a shared table; the others are dropped before the pairs of keys are formed.
 3. Each class is compared with one centre, the first class by a fixed random order among all its tables. That joins copies and
    crowds at the cost of one pair per class.
-4. The classes of tables that still hold several components are joined exactly: shingles are put in one order, rare ones first,
-   and two sets that are similar enough share a shingle among the first seventh of the smaller and the first quarter of the
-   larger one, at places that leave room for the rest. Pairs inside a component are not formed.
-5. A pair is a link only after its full sets have been compared; components are labels that spread over the links.
+4. The classes of tables that still hold several components are joined exactly. Of a set only the shingles that another
+   component has too matter; sets that share all of these are a crowd, say around one passage, which its smallest set stands
+   for. Crowds are joined by their first shingles: in one order, rare ones first by their exact counts, two sets that are similar
+   enough share a shingle among the first seventh of the smaller and the first quarter of the larger one, at places that leave
+   room for the rest. A member of a crowd is then compared by its size alone, so no pairs inside a crowd are formed.
+5. A pair is a link only after its full sets, or all that they can share, have been compared; components are labels that spread
+   over the links.
 
-Only shingles that two components share take part in step 4. The order comes from counts in ``COUNTERS`` counters, so frequent
-shingles come last whatever the size; a shingle that is frequent among the first ones is dealt over several salts.
+A shingle that is frequent among the first ones of many crowds is dealt over several salts.
 
 Defined results: null and empty texts and texts without words have an empty set and are linked with nothing; equal rows get equal
 results; a doc_id with several texts stands for each of them; a row without doc_id is linked with nothing, has no
-component_id and is kept.
+component_id and is kept; a very long text is a set like any other, of all its shingles; an empty table gives no rows. Extra
+columns, whatever their names, pass through ``keep_first`` and are not read.
 """
 
 from __future__ import annotations
@@ -39,8 +42,7 @@ KEYS = 14
 PERCENT = 75
 CHUNK = 2 << 20
 SEED = 20
-# Counters that order the shingles; one more salt for each HOT sets of a counter, up to MOST_SALTS.
-COUNTERS = 1 << 18
+# One more salt for each HOT crowds of a shingle, up to MOST_SALTS.
 HOT = 2000
 MOST_SALTS = 64
 
@@ -144,88 +146,95 @@ def _sketches(batches):
 def _sets(batches):
     for part in slices(batches, max_bytes=CHUNK):
         sets = [s.view(np.int64) for s in shingle_sets(part.column("text"))]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "members"])
-
-
-def _counter(shingles: np.ndarray) -> np.ndarray:
-    return (_mix(shingles.view(np.uint64)) >> np.uint64(46)).astype(np.int64)
-
-
-def _flat(column) -> tuple[np.ndarray, np.ndarray]:
-    """(bounds, values) of a column of lists of longs."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    bounds = column.offsets.to_numpy().astype(np.int64)
-    return bounds, column.values.to_numpy()
-
-
-def _count(batches):
-    total = np.zeros(COUNTERS, dtype=np.int64)
-    for part in batches:
-        bounds, values = _flat(part.column("members"))
-        total += np.bincount(_counter(values[bounds[0] : bounds[-1]]), minlength=COUNTERS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["counter", "n"])
-
-
-def _prefixes(sent, hot: int):
-    """The first shingles of each set: those of the larger side of a pair, and as many as the smaller side needs marked."""
-
-    def run(batches):
-        counts = sent.value
-        for part in batches:
-            bounds, values = _flat(part.column("members"))
-            ids, labels = (np.asarray(part.column(n), dtype=np.int64) for n in ("id", "label"))
-            at = 0
-            while at < len(ids):
-                stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK, side="right")) - 1)
-                columns: list = [[] for _ in range(7)]
-                for i in range(at, stop):
-                    members = values[bounds[i] : bounds[i + 1]]
-                    n = len(members)
-                    often = counts[_counter(members)]
-                    probe = n - -(-PERCENT * n // 100) + 1
-                    index = n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
-                    first = np.lexsort((members, often))[:probe]
-                    size = len(first)
-                    for column, x in zip(columns, (
-                        members[first], np.full(size, ids[i]), np.full(size, labels[i]), np.full(size, n), np.arange(size),
-                        np.arange(size) < index, np.minimum(often[first] // hot + 1, MOST_SALTS),
-                    )):
-                        column.append(x)
-                at = stop
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c), k) for c, k in zip(columns, kinds)],
-                    names=["shingle", "id", "label", "n", "place", "index", "salts"],
-                )
-
-    return run
+        digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))],
+            names=["id", "digest", "members"],
+        )
 
 
-def _rest(sets: DataFrame) -> DataFrame:
-    """(x, y): the pairs of ``sets`` (id, label, members) of different labels that may be similar enough; exact."""
-    context = sets.sparkSession.sparkContext
-    counted = sets.select("members").mapInArrow(_count, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    counts[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
-    sent = context.broadcast(counts)  # COUNTERS numbers, whatever the size of the data
-    postings = _stored(sets.mapInArrow(
-        _prefixes(sent, HOT), "shingle bigint, id bigint, label bigint, n int, place int, index boolean, salts int"), "prefixes")
-    met = postings.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    postings = postings.join(met.select("shingle"), "shingle", "left_semi")
-    y = postings.select("shingle", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.col("id").alias("y"),
-                        F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("place").alias("y_place"))
+def _shared_parts(sets: DataFrame) -> DataFrame:
+    """(id, digest, n, label, part): the sorted shingles of each set that a set of another label holds too, if there are any."""
+    rows = sets.select("id", "digest", "label", F.size("members").alias("n"), F.explode("members").alias("shingle"))
+    met = rows.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    # A set's own shingles are gathered, no others; a repeated row has them twice.
+    return rows.join(met.select("shingle"), "shingle", "left_semi").groupBy("id", "digest").agg(
+        F.first("n").alias("n"), F.first("label").alias("label"), F.array_sort(F.collect_set("shingle")).alias("part")
+    )
+
+
+def _first_meetings(crowds: DataFrame) -> DataFrame:
+    """(x, y): pairs of crowds that share a shingle among the first ones of both, rare ones first."""
+    rows = crowds.select("crowd", "least", "one", F.size("part").alias("size"), F.explode("part").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    order = rows.join(often, "shingle").groupBy("crowd").agg(
+        F.first("least").alias("n"), F.first("one").alias("one"), F.first("size").alias("size"),
+        F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("order"),
+    )
+    # Shingles that no other label has come before all others and meet nothing.
+    placed = order.select("crowd", "n", "one", "size", F.posexplode("order").alias("at", "entry")).select(
+        "crowd", "n", "one", F.col("entry.shingle").alias("shingle"), F.col("entry.often").alias("often"),
+        (F.col("at") + F.col("n") - F.col("size")).alias("place"),
+    )
+    probe = F.expr(f"n - cast(ceil({PERCENT} * n / 100) AS int) + 1")
+    index = F.expr(f"n - cast(ceil({2 * PERCENT} * n / {100 + PERCENT}) AS int) + 1")
+    postings = _stored(
+        placed.where((F.col("often") > 1) & (F.col("place") < probe)).withColumn("index", F.col("place") < index), "postings"
+    )
+    salts = F.least(F.expr(f"cast(often div {HOT} AS int) + 1"), F.lit(MOST_SALTS))
+    y = postings.select("shingle", F.pmod(F.xxhash64("crowd"), salts).cast("int").alias("salt"), F.col("crowd").alias("y"),
+                        F.col("one").alias("y_one"), F.col("n").alias("y_n"), F.col("place").alias("y_place"))
     x = postings.where("index").select(
-        "shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("x"),
-        F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("place").alias("x_place"))
+        "shingle", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("crowd").alias("x"),
+        F.col("one").alias("x_one"), F.col("n").alias("x_n"), F.col("place").alias("x_place"))
     ahead = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x") < F.col("y")))
     # At the first common shingle of a pair, so many can be common at most.
     common = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
     enough = (100 + PERCENT) * common >= PERCENT * (F.col("x_n") + F.col("y_n"))
-    possible = (F.col("x_label") != F.col("y_label")) & ahead & (100 * F.col("x_n") >= PERCENT * F.col("y_n")) & enough
+    # Two crowds of one and the same label have nothing to add.
+    other = F.col("x_one").isNull() | F.col("y_one").isNull() | (F.col("x_one") != F.col("y_one"))
+    possible = other & ahead & (100 * F.col("x_n") >= PERCENT * F.col("y_n")) & enough
     return x.join(y, ["shingle", "salt"]).where(possible).select("x", "y").distinct()
 
 
+def _rest(sets: DataFrame) -> DataFrame:
+    """(x, y): links that join all components of ``sets`` (id, digest, label, members) that are similar enough; exact.
+
+    Two sets of different labels share what their parts share. Sets with equal parts are a crowd, and the smallest set of a
+    crowd stands for it: whatever links with a larger one links with the smallest, so a member only needs the crowd that
+    lets the largest sets in.
+    """
+    parts = _stored(_shared_parts(sets).withColumn("crowd", F.md5(F.concat_ws(",", F.col("part").cast("array<string>")))), "parts")
+    crowds = _stored(parts.groupBy("crowd").agg(
+        F.min(F.struct("n", "id")).alias("first"), F.first("part").alias("part"), F.min("label").alias("low"),
+        F.max("label").alias("high"),
+    ).select(
+        "crowd", "part", F.col("first.n").alias("least"), F.col("first.id").alias("centre"),
+        F.when(F.col("low") == F.col("high"), F.col("low")).alias("one"),
+    ), "crowds")
+    pairs = _first_meetings(crowds)
+    side = crowds.select("crowd", "centre", "least", "part")
+    both = pairs.join(side.toDF("x", "x_centre", "x_least", "x_part"), "x").join(
+        side.toDF("y", "y_centre", "y_least", "y_part"), "y"
+    ).withColumn("most", F.expr(f"{100 + PERCENT} * size(array_intersect(x_part, y_part)) div {PERCENT}"))
+    # A set of the one crowd is similar to the centre of the other if both sizes together are at most ``most``.
+    met = _stored(both.where("x_least + y_least <= most").select(
+        "x", "y", "x_centre", "y_centre", (F.col("most") - F.col("y_least")).alias("x_room"),
+        (F.col("most") - F.col("x_least")).alias("y_room"),
+    ), "crowd-links")
+    own = side.select(
+        "crowd", F.expr(f"{100 + PERCENT} * size(part) div {PERCENT} - least").alias("room"), F.col("centre").alias("of")
+    )
+    rooms = own.unionByName(met.select(F.col("x").alias("crowd"), F.col("x_room").alias("room"), F.col("y_centre").alias("of")))
+    rooms = rooms.unionByName(met.select(F.col("y").alias("crowd"), F.col("y_room").alias("room"), F.col("x_centre").alias("of")))
+    widest = rooms.groupBy("crowd").agg(F.max(F.struct("room", "of")).alias("best"))
+    members = parts.select("crowd", "id", "n").join(widest, "crowd").where("n <= best.room AND id <> best.of").select(
+        F.col("id").alias("x"), F.col("best.of").alias("y")
+    )
+    centres = met.select(F.col("x_centre").alias("x"), F.col("y_centre").alias("y"))
+    return centres.unionByName(members).distinct()
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again: computed once, and safe if executors go."""
     where = scratch_path(df.sparkSession, f"near-{name}")
@@ -295,7 +304,7 @@ def components(docs: DataFrame) -> DataFrame:
     sizes = classes.select("id", "n")
     ids = tables.select("id").distinct()
     text_of = docs.where("doc_id IS NOT NULL").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = _stored(text_of.mapInArrow(_sets, "id bigint, members array<bigint>"), "sets")
+    sets = _stored(text_of.mapInArrow(_sets, "id bigint, digest binary, members array<bigint>"), "sets")
     small_x, small_y = sizes.toDF("x", "x_n"), sizes.toDF("y", "y_n")
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
@@ -315,7 +324,7 @@ def components(docs: DataFrame) -> DataFrame:
     placed = tables.join(labels, "id", "left").select("table", "id", F.coalesce("label", "id").alias("label"))
     several = placed.groupBy("table").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     left = _stored(placed.join(several.select("table"), "table", "left_semi").select("id", "label").distinct(), "left")
-    found = _stored(_links(_rest(sets.join(left, "id")), sets).distinct(), "links-rest")
+    found = _stored(_rest(sets.join(left, "id")), "links-rest")
     if found.limit(1).count():
         labels = _components(links.unionByName(found))
     reach = labels.select(F.col("id").alias("of"), "label")
@@ -332,5 +341,8 @@ def components(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents without those that are linked with a smaller doc_id; all columns stay."""
-    dropped = components(docs).where("NOT kept").select(F.col("doc_id").alias("_near_id")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("bigint") == F.col("_near_id"), "left_anti")
+    dropped = components(docs).where("NOT kept").select("doc_id").distinct().withColumnRenamed("doc_id", "id")
+    # All columns in one, so that none can clash.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = whole.join(dropped, F.col("row.doc_id").cast("bigint") == F.col("id"), "left_anti")
+    return kept.select("row.*")

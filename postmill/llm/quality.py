@@ -10,7 +10,8 @@ Only DataFrame functions. The counts per bin are pre-aggregated in each task; th
 the n-grams of a text stay in its task, which sends one row per document.
 
 Defined results: a null text has no words and fails the base rules; repeated rows and null ids are judged like any other
-row; without labelled good documents all ratios are 0 and only the base rules decide.
+row; without labelled good documents all ratios are 0 and only the base rules decide; a very long text is judged whole, its
+n-grams stay in its task; an empty table gives no rows. Other columns of ``docs`` are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
@@ -88,17 +91,28 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality > 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
+def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_bin, _raw, _target): how often each bin occurs in all texts and in the trusted ones, stored once."""
+    spark = docs.sparkSession
+    trusted = trusted_ids(labels).select(F.col("doc_id").cast("bigint").alias("_trusted"))
+    # Rows without an id are dealt out by their text; no label meets them.
+    known = F.col("doc_id").isNotNull()
+    texts = docs.select(
+        known.alias("_known"), F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("_id"), "text"
+    )
+    # The labels grow with the corpus, so both sides are shuffled at any size, and each text once.
+    marked = texts.join(trusted.hint("merge"), F.col("_known") & (F.col("_id") == F.col("_trusted")), "left")
+    grams = marked.select(F.col("_trusted").isNotNull().alias("_good"), _token_hashes(F.col("text")).alias("_hashes")).select(
+        "_good", F.explode(_gram_bins("_hashes")).alias("_bin")
+    )
+    where = scratch_path(spark, "gram-counts")
+    grams.groupBy("_bin").agg(F.count("*").alias("_raw"), F.count_if("_good").alias("_target")).write.parquet(where)
+    return spark.read.parquet(where)
+
+
 def gram_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(_bin, _units): log of trusted share over corpus share of each bin, in millionths."""
-    # The labels grow with the corpus, so the join is left to Spark; a text is joined before it becomes longer hashes.
-    trusted = trusted_ids(labels).select(F.col("doc_id").alias("_trusted"))
-    grams = (
-        docs.select("doc_id", "text")
-        .join(trusted, F.col("doc_id") == F.col("_trusted"), "left")
-        .select(F.col("_trusted").isNotNull().alias("_good"), _token_hashes(F.col("text")).alias("_hashes"))
-        .select("_good", F.explode(_gram_bins("_hashes")).alias("_bin"))
-    )
-    counts = grams.groupBy("_bin").agg(F.count("*").alias("_raw"), F.count_if("_good").alias("_target"))
+    counts = gram_counts(docs, labels)
     total = counts.agg(F.sum("_raw").alias("r"), F.sum("_target").alias("t")).first()
     raw, target = float(total["r"] or 0), float(total["t"] or 0)
     if not target:

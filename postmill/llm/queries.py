@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..plans.register import Registry
 from . import (
-    bpe, id_files, kd_search, mixing, near_dedup, packing, quality, sentence_spans, suffix_dedup, token_counts, toxicity
+    bpe, collocations, id_files, kd_search, lexical, mixing, near_dedup, packing, quality, sentence_spans, suffix_dedup, token_counts, toxicity
 )
 
 query = Registry()
@@ -64,6 +64,16 @@ def op10_kd_search(spark, sf):
     return kd_search.search(table(spark, sf, "embeddings"))
 
 
+@query("op11_collocations", collocations.SQL)
+def op11_collocations(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@query("op12_lexical_search", lexical.SQL)
+def op12_lexical_search(spark, sf):
+    return lexical.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op13_best_fit_packing")
 def op13_best_fit_packing(spark, sf):
     return packing.report(table(spark, sf, "documents"))

@@ -196,3 +196,64 @@ def best(vectors, k=5, step=50):
         if q % step == 0:
             scored[q] += [(-sum(x * y for x, y in zip(a, b)), i) for i, b in valid if i != q and len(a) == len(b)]
     return [(q, r + 1, i, -s) for q, found in scored.items() for r, (s, i) in enumerate(sorted(found)[:k])]
+
+
+def collocations(rows, least=30, top=2000, cover=80):
+    """Rows (lang, rank, phrase, a, l, r, n, score) over (lang, text)."""
+    counts, totals = defaultdict(Counter), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(w)
+            for k in range(1, 5):
+                counts[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, found in counts.items():
+        candidates = {p: a for p, a in found.items() if len(p) > 1 and a >= least}
+        longest = Counter()
+        for p, a in candidates.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    longest[p[i : i + k]] = max(longest[p[i : i + k]], a)
+        kept = []
+        for p, a in candidates.items():
+            if 100 * longest[p] >= cover * a:
+                continue
+            score, _, left, right = min(
+                (2_000_000 * a // (found[p[:k]] + found[p[k:]]), k, found[p[:k]], found[p[k:]]) for k in range(1, len(p))
+            )
+            kept.append((-score, -a, " ".join(p).encode(), left, right))
+        out += [
+            (lang, i + 1, p.decode(), -a, left, right, totals[lang], -score)
+            for i, (score, a, p, left, right) in enumerate(sorted(kept)[:top])
+        ]
+    return out
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower(text))
+
+
+def ranked(rows, items, k=20):
+    """Rows (item_id, rank, doc_id, score) over (doc_id, text) and (item_id, text)."""
+    docs = [(d, Counter(terms(t))) for d, t in rows]
+    docs = [(d, c, sum(c.values())) for d, c in docs if c]
+    many, words = len(docs), sum(n for _, _, n in docs)
+    df = Counter(t for _, c, _ in docs for t in c)
+    needs = defaultdict(Counter)
+    for item, text in items:
+        needs[item].update(terms(text))
+    out = []
+    for item, wanted in needs.items():
+        found = []
+        for d, c, n in docs:
+            m = 100 - 25 + (25 * n * many) // words
+            score = sum(
+                times * math.floor(1000 * math.log((2 * many + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m))
+                for t, times in wanted.items() if t in c
+            )
+            if score > 0:
+                found.append((-score, d is None, d or 0, d))
+        out += [(item, i + 1, d, -s) for i, (s, _, _, d) in enumerate(sorted(found)[:k])]
+    return out
