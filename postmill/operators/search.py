@@ -28,6 +28,9 @@ K1, B = 1.2, 0.75
 TEXT_CANDIDATES = 100
 VECTOR_CANDIDATES = 100
 RRF_K = 60
+# Documents of a block's range, and the ranges that are scored first.
+RANGE = 128
+FIRST_RANGES = 16
 RESULT_COLUMNS = [
     "run_id", "company", "external_job_id", "title", "job_type", "job_level", "details_url", "apply_url", "locations",
 ]
@@ -80,13 +83,38 @@ def _only(terms: Column, wanted: list[str]) -> Column:
     return F.filter(terms, lambda t: t.isin(wanted))
 
 
+def _counted(terms: Column) -> Column:
+    """(term, tf) of the distinct terms of an array: runs of equal terms in the sorted array."""
+
+    def entries(t: Column) -> Column:
+        places = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return bind(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(t, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - i).cast("bigint").alias("tf"))))
+
+    return bind(F.array_sort(terms), entries)
+
+
 def build_postings(docs: DataFrame, keep: dict[str, list[str]] | None = None) -> DataFrame:
-    """(field, term, id, tf, dl). Terms of a document are counted in its own task before the shuffle."""
+    """(field, term, id, tf, dl). Terms of a document are counted in its own row: no shuffle."""
     return (
         _field_terms(docs, keep)
-        .select("field", "id", "dl", F.explode("terms").alias("term"))
-        .groupBy("field", "term", "id", "dl")
-        .agg(F.count("*").alias("tf"))
+        .select("field", "id", "dl", F.explode(_counted(F.col("terms"))).alias("e"))
+        .select("field", "e.term", "id", "dl", "e.tf")
+    )
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Postings in blocks: one row per field, term and range of ``RANGE`` documents, with the block's best tf and shortest dl.
+
+    ``docs`` has doc_no. A range holds documents of similar length, so the two bound every score of the block closely.
+    """
+    placed = docs.withColumn("id", F.struct("id", F.expr(f"doc_no div {RANGE}").alias("range")))
+    rows = build_postings(placed).select("field", "term", "id.range", "id.id", "dl", "tf")
+    # At most RANGE rows in a list, whatever the term.
+    return rows.groupBy("field", "term", "range").agg(
+        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
+        F.sort_array(F.collect_list(F.struct("id", "dl", "tf"))).alias("postings"),
     )
 
 
@@ -121,7 +149,7 @@ class SearchIndex:
     """The index tables of one run. ``of`` computes them from documents; requests are meant to use ``read``."""
 
     docs: DataFrame
-    postings: DataFrame | None
+    blocks: DataFrame | None
     field_stats: DataFrame
     term_stats: DataFrame | None = None
 
@@ -133,35 +161,46 @@ class SearchIndex:
     def without_vectors(self) -> SearchIndex:
         return replace(self, docs=self.docs.drop("job_description_embedding"))
 
-    def lookup(self, keep: dict[str, list[str]]) -> DataFrame:
-        if self.postings is None:
+    @property
+    def postings(self) -> DataFrame | None:
+        """(field, term, id, tf, dl) of all blocks."""
+        return None if self.blocks is None else _unpacked(self.blocks)
+
+    def lookup(self, keep: dict[str, list[str]], ranges: DataFrame | None = None) -> DataFrame:
+        """The postings of the wanted terms, of all documents or of those in some ``ranges`` (range)."""
+        if self.blocks is None:
             return build_postings(self.docs, keep)
-        # Stored postings are sorted by (field, term): the term list prunes files and row groups.
-        return self.postings.where(_wanted(keep))
+        # Stored blocks are sorted by (field, term, range): the term list prunes files and row groups.
+        found = self.blocks.where(_wanted(keep))
+        return _unpacked(found if ranges is None else found.join(ranges, "range", "left_semi"))
 
     def frequencies(self, keep: dict[str, list[str]], rows: DataFrame) -> DataFrame:
         """(field, term, df) of the wanted terms: stored, else counted from their postings."""
         return build_term_stats(rows) if self.term_stats is None else self.term_stats.where(_wanted(keep))
 
     def write(self, path: str, docs_per_file: int = 1_000_000) -> None:
-        """Store the tables. A frequent term is spread over files, because the sort key ends with the id."""
-        self.docs.write.option("maxRecordsPerFile", docs_per_file).parquet(f"{path}/docs")
+        """Store the tables. Documents are numbered in the order of their length; a frequent term has a block per range."""
         spark = self.docs.sparkSession
+        length = F.coalesce(F.length("job_description"), F.lit(0))
+        numbered = self.docs.repartitionByRange(length, "id").sortWithinPartitions(length, "id").withColumn(
+            "doc_no", F.monotonically_increasing_id())
+        numbered.write.option("maxRecordsPerFile", docs_per_file).parquet(f"{path}/docs")
         stored = spark.read.parquet(f"{path}/docs")
-        (
-            build_postings(stored)
-            .repartitionByRange("field", "term", "id")
-            .sortWithinPartitions("field", "term", "id")
-            .write.parquet(f"{path}/postings")
-        )
-        build_term_stats(spark.read.parquet(f"{path}/postings")).repartitionByRange("field", "term").sortWithinPartitions(
+        order = ["field", "term", "range"]
+        _blocks(stored).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/blocks")
+        blocks = spark.read.parquet(f"{path}/blocks")
+        blocks.groupBy("field", "term").agg(F.sum("n").alias("df")).repartitionByRange("field", "term").sortWithinPartitions(
             "field", "term").write.parquet(f"{path}/term_stats")
         build_field_stats(stored).write.parquet(f"{path}/field_stats")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> SearchIndex:
-        tables = [spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "field_stats", "term_stats")]
-        return cls(*tables)
+        docs, *tables = [spark.read.parquet(f"{path}/{name}") for name in ("docs", "blocks", "field_stats", "term_stats")]
+        return cls(docs.drop("doc_no"), *tables)
+
+
+def _unpacked(blocks: DataFrame) -> DataFrame:
+    return blocks.select("field", "term", F.explode("postings").alias("p")).select("field", "term", "p.id", "p.tf", "p.dl")
 
 
 def _wanted(keep: dict[str, list[str]]) -> Column:
@@ -179,49 +218,88 @@ def query_terms(query: str) -> dict[str, int]:
     return dict(Counter(regex.findall(TOKEN, query.lower())))
 
 
-def text_scores(index: SearchIndex, query: str) -> DataFrame:
-    """(id, score): any term may match; a document scores the best of its weighted BM25 fields.
-
-    The shuffled rows are the postings of the query's terms; they are counted for the document frequencies and
-    scored from the same exchange. The weights have one row per query term and field, so their broadcast is bounded.
-    """
+def _keep(query: str) -> dict[str, list[str]]:
+    """The terms that a query looks for in each field."""
     counts = query_terms(query)
-    whole = query.strip()
-    keep = {"title": list(counts), "job_description": list(counts), "skills": [whole]}
-    rows = index.lookup(keep)
+    return {"title": list(counts), "job_description": list(counts), "skills": [query.strip()]}
+
+
+def _weights(index: SearchIndex, query: str, rows: DataFrame) -> DataFrame:
+    """(field, term, weight, avg_dl): one row per query term and field, so a broadcast of it is bounded."""
     repeats = F.lit(1)
-    for term, n in counts.items():
+    for term, n in query_terms(query).items():
         if n > 1:
             repeats = F.when((F.col("field") != "skills") & (F.col("term") == term), F.lit(n)).otherwise(repeats)
     idf = F.log1p((F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    weights = (
-        index.frequencies(keep, rows)
+    return (
+        index.frequencies(_keep(query), rows)
         .join(F.broadcast(index.field_stats), "field")
         .select("field", "term", (idf * repeats).alias("weight"), "avg_dl")
     )
-    tf = F.col("tf")
+
+
+def _part(tf: Column, dl: Column) -> Column:
+    """What one term adds to a field's score: it grows with tf and falls with dl."""
     norm = F.when(F.col("field") == "skills", F.lit(K1)).otherwise(
-        F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avg_dl"))
+        F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / F.col("avg_dl"))
     )
-    scored = rows.join(F.broadcast(weights), ["field", "term"]).select(
-        "id", "field", (F.col("weight") * tf * F.lit(K1 + 1) / (tf + norm)).alias("part")
-    )
-    per_field = [
+    return F.col("weight") * tf * F.lit(K1 + 1) / (tf + norm)
+
+
+def _best_field(parts: DataFrame, key: str) -> DataFrame:
+    """(key, score): the best of the weighted sums of the fields."""
+    sums = [
         (F.lit(boost) * F.coalesce(F.sum(F.when(F.col("field") == field, F.col("part"))), F.lit(0.0))).alias(field)
         for field, boost in BOOSTS.items()
     ]
-    fields = scored.groupBy("id").agg(*per_field)
-    return fields.select("id", F.greatest(*BOOSTS).alias("score"))
+    return parts.groupBy(key).agg(*sums).select(key, F.greatest(*BOOSTS).alias("score"))
+
+
+def text_scores(index: SearchIndex, query: str, ranges: DataFrame | None = None) -> DataFrame:
+    """(id, score): any term may match; a document scores the best of its weighted BM25 fields.
 
+    The shuffled rows are the postings of the query's terms; without a stored index they are counted for the document frequencies
+    and scored from the same exchange. ``ranges`` keeps the documents of some ranges of a stored index.
+    """
+    rows = index.lookup(_keep(query), ranges)
+    weights = _weights(index, query, rows)
+    scored = rows.join(F.broadcast(weights), ["field", "term"]).select("id", "field", _part(F.col("tf"), F.col("dl")).alias("part"))
+    return _best_field(scored, "id")
+
+
+def range_bounds(index: SearchIndex, query: str) -> DataFrame:
+    """(range, score, blocks): the greatest score that a document of each range can have, from the heads of the blocks alone."""
+    heads = index.blocks.where(_wanted(_keep(query))).select("field", "term", "range", "max_tf", "min_dl")
+    parts = heads.join(F.broadcast(_weights(index, query, heads)), ["field", "term"]).select(
+        "range", "field", _part(F.col("max_tf"), F.col("min_dl")).alias("part"))
+    return _best_field(parts, "range")
+
+
+def hopeful_ranges(index: SearchIndex, query: str, k: int, **filters) -> DataFrame:
+    """(range): the ranges that can hold one of the ``k`` best documents; the blocks of all others need not be read.
 
-def text_hits(index: SearchIndex, query: str, **filters) -> DataFrame:
+    The ranges with the highest bounds are scored first. The k-th score among their documents that pass the filters is reached by k
+    documents, so a range whose bound is below it has none of the best. With fewer documents than that, every range stays.
+    """
+    bounds = range_bounds(index, query)
+    first = bounds.orderBy(F.col("score").desc(), "range").limit(max(FIRST_RANGES, -(-4 * k // RANGE)))
+    found = apply_filters(index.docs, **filters).select("id").join(text_scores(index, query, first.select("range")), "id")
+    kth = [r["score"] for r in found.orderBy(F.col("score").desc()).limit(k).select("score").collect()]
+    least = kth[-1] if len(kth) == k else 0.0
+    # Sums of the same parts in another order may differ in the last places.
+    return bounds.where(F.col("score") >= least * (1 - 1e-9)).select("range")
+
+
+def text_hits(index: SearchIndex, query: str, ranges: DataFrame | None = None, **filters) -> DataFrame:
     """Matching documents that pass the filters, with their score."""
-    return apply_filters(index.docs, **filters).join(text_scores(index, query), "id")
+    return apply_filters(index.docs, **filters).join(text_scores(index, query, ranges), "id")
 
 
 def text_top(index: SearchIndex, query: str, k: int = TEXT_CANDIDATES, **filters) -> DataFrame:
+    """The ``k`` best documents; of a stored index only the blocks of hopeful ranges are read."""
     slim = index.without_vectors()
-    hits = text_hits(slim, query, **filters).select("id", "posted_ts", "score", _shown(slim.docs))
+    ranges = None if index.blocks is None else hopeful_ranges(slim, query, k, **filters)
+    hits = text_hits(slim, query, ranges, **filters).select("id", "posted_ts", "score", _shown(slim.docs))
     return _numbered(hits.orderBy(F.col("score").desc(), F.col("id").asc()).limit(k))
 
 
@@ -348,9 +426,8 @@ def search_recency(index: SearchIndex, query: str, page: int = 1, size: int = PA
 
 def text_matches(index: SearchIndex, query: str) -> DataFrame:
     """Ids of the documents in which any term matches; no statistics are needed."""
-    counts = query_terms(query)
-    keep = {"title": list(counts), "job_description": list(counts), "skills": [query.strip()]}
-    if index.postings is not None:
+    keep = _keep(query)
+    if index.blocks is not None:
         return index.lookup(keep).select("id").distinct()
     hit = F.lit(False)
     for field, terms in _fields(index.docs).items():

@@ -8,7 +8,7 @@ from ..functions.dates import epoch_seconds
 from ..operators import merge as M
 from ..operators import quality as Q
 from ..operators import ranking as R
-from ..session import scratch_path
+from ..session import stored_once
 from . import views as V
 from .register import Registry
 
@@ -307,21 +307,19 @@ counts AS (
 )"""
 
 
-_STORED = {}
-
-
 def _run_tables(spark, sf):
     """Tables of the run that the gates read: written by the first gate of a session, one scan of each afterwards."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED:
-        path = scratch_path(spark, "run")
-        scraped, details = _scraped(spark, sf), _current_details(spark, sf)
+    names = ("scraped", "details", "jobs", "companies")
+
+    def write(path):
         jobs = V.jobs(spark, sf, embedding=True, places=False).select(
             "run_id", "company", "external_job_id", "is_missing_details", "job_description_embedding")
-        for name, table in (("scraped", scraped), ("details", details), ("jobs", jobs), ("companies", V.companies(spark, sf))):
+        tables = (_scraped(spark, sf), _current_details(spark, sf), jobs, V.companies(spark, sf))
+        for name, table in zip(names, tables):
             table.write.parquet(f"{path}/{name}")
-        _STORED[key] = path
-    return {name: spark.read.parquet(f"{_STORED[key]}/{name}") for name in ("scraped", "details", "jobs", "companies")}
+
+    path = stored_once(spark, "run", sf, write)
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 
 def _counts(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import epoch_seconds
 from ..operators import search as S
-from ..session import scratch_path
+from ..session import stored_once
 from . import views as V
 from .register import Registry
 
@@ -20,17 +20,11 @@ def docs(spark, sf, embedding=True):
     return V.indexed_docs(spark, sf, embedding)
 
 
-_STORED = {}
-
-
 def index(spark, sf):
     """The stored index of a data set: written by the first request of a session, read by all of them."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORED:
-        path = scratch_path(spark, "index")
-        S.SearchIndex.of(docs(spark, sf)).write(path)
-        _STORED[key] = path
-    return S.SearchIndex.read(spark, _STORED[key])
+    return S.SearchIndex.read(
+        spark, stored_once(spark, "index", sf, lambda path: S.SearchIndex.of(docs(spark, sf)).write(path))
+    )
 
 
 def vector(spark, sf):

@@ -13,7 +13,7 @@ from ..session import scratch_path
 from ..sources import catalog as C
 from ..sources import payloads
 from ..streaming import heartbeat, ingest, lease
-from . import search_queries, views as V
+from . import search_queries, text_queries, views as V
 from .register import Registry
 
 query = Registry()
@@ -22,24 +22,24 @@ DAY = 86400
 AS_OF_EPOCH = 1706659200  # 2024-01-31
 
 
-def _run(stream):
-    stream.awaitTermination()
+# Parts that the event log comes in, and seconds that an event may come late.
+PARTS, LATENESS = 4, 3000
 
 
-# Files that the event log comes in, and seconds that an event may come late.
-FILES, LATENESS = 4, 3000
+def _run_in_parts(spark, sf, start):
+    """The event log as a stream that comes in parts, out of order by less than ``LATENESS`` seconds.
 
-
-def _event_stream(spark, sf):
-    """The event log as a stream of several batches, out of order by less than ``LATENESS`` seconds."""
+    Each part is written as many files, then ``start(stream)`` runs until all files are read: it goes on from its checkpoint, as
+    after a restart. Part 1 is delivered twice.
+    """
     path = scratch_path(spark, "event-files")
     events = V.table(spark, sf, "events")
     arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(LATENESS)) * 1_000_000
     first, last = events.agg(F.min(arrival), F.max(arrival)).first()
-    part = F.least(F.floor((arrival - first) * FILES / F.lit(max(1, last - first))), F.lit(FILES - 1))
-    for number in range(FILES):
-        events.where(part == number).repartition(1).write.mode("append").parquet(path)
-    return ingest.read_stream(spark, path, events.schema, files_per_batch=1)
+    part = F.least(F.floor((arrival - (first or 0)) * PARTS / F.lit(max(1, (last or 0) - (first or 0)))), F.lit(PARTS - 1))
+    for number in (0, 1, 1, *range(2, PARTS)):
+        events.where(part == number).write.mode("append").parquet(path)
+        start(ingest.read_stream(spark, path, events.schema)).awaitTermination()
 
 
 # --- Streams ----------------------------------------------------------------------------------
@@ -52,12 +52,18 @@ def _event_stream(spark, sf):
 )
 def stream_ingest_postings(spark, sf):
     path, checkpoint = scratch_path(spark, "ingest"), scratch_path(spark, "ingest-checkpoint")
-    rows = _event_stream(spark, sf).select("user_id", "event_type", "value", "event_id")
-    keys = ["user_id", "event_type"]
-    _run(ingest.ingest(rows, keys, "event_id", path, checkpoint))
+    keys, columns = ["user_id", "event_type"], ["user_id", "event_type", "value", "event_id"]
+
+    def start(stream):
+        timed = stream.withColumn("event_time", F.col("ts").cast("timestamp"))
+        once = ingest.without_replays(timed, ["event_id"], "event_time", f"{LATENESS} seconds")
+        return ingest.ingest(once.select(*columns), keys, "event_id", path, checkpoint)
+
+    _run_in_parts(spark, sf, start)
+    schema = V.table(spark, sf, "events").select(*columns).schema
     # The first batches are folded, the later ones are read next to the fold.
-    ingest.compact(spark, path, rows.schema, keys, "event_id", FILES // 2)
-    return ingest.current(spark, path, rows.schema, keys, "event_id")
+    ingest.compact(spark, path, schema, keys, "event_id", PARTS // 2)
+    return ingest.current(spark, path, schema, keys, "event_id")
 
 
 def lease_reasons(events):
@@ -96,9 +102,13 @@ def heartbeat_counts(spark, sf):
         where="WHERE w + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR"),
 )
 def stream_heartbeat_counts(spark, sf):
-    path = scratch_path(spark, "heartbeat")
-    _run(heartbeat.write_counts(lease_reasons(_event_stream(spark, sf)), path, scratch_path(spark, "heartbeat-checkpoint"),
-                                "1 hour", "1 hour"))
+    path, checkpoint = scratch_path(spark, "heartbeat"), scratch_path(spark, "heartbeat-checkpoint")
+
+    def start(stream):
+        once = ingest.without_replays(stream.withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts", "1 hour")
+        return heartbeat.write_counts(lease_reasons(once), path, checkpoint, "1 hour")
+
+    _run_in_parts(spark, sf, start)
     return spark.read.parquet(path).withColumn("window_start", F.unix_seconds("window_start"))
 
 
@@ -152,8 +162,8 @@ def lease_state(spark, sf):
 
 @query("stream_lease_state", f"WITH {_LEASE_SQL} SELECT * FROM states")
 def stream_lease_state(spark, sf):
-    path = scratch_path(spark, "lease")
-    _run(lease.track(lease_events(_event_stream(spark, sf)), path, scratch_path(spark, "lease-checkpoint"), 2 * DAY))
+    path, checkpoint = scratch_path(spark, "lease"), scratch_path(spark, "lease-checkpoint")
+    _run_in_parts(spark, sf, lambda stream: lease.track(lease_events(stream), path, checkpoint, 2 * DAY, LATENESS, 4 * DAY))
     return lease.tracked_states(spark, path, F.lit(AS_OF_EPOCH), 2 * DAY, 4 * DAY)
 
 
@@ -301,16 +311,15 @@ def raw_payloads(spark, sf):
 
 @query(
     "read_vocabulary",
-    """WITH rows AS (
-  SELECT item_id AS place, regexp_extract(text, '^[\\p{L}]+') AS skill FROM benchmark
-  UNION ALL SELECT 1000000000 + item_id, regexp_extract(text, '^[\\p{L}]+ [\\p{L}]+') FROM benchmark)
- SELECT lower(skill) AS key, arg_min(skill, place) AS skill FROM rows WHERE skill <> '' GROUP BY lower(skill)""",
+    f"WITH {text_queries.VOCAB_SQL} SELECT key, skill FROM vocab",
 )
 def read_vocabulary(spark, sf):
-    """The first word of each benchmark text as a CSV, the first two as a keyword file."""
-    b = V.table(spark, sf, "benchmark")
+    """All words of the benchmark texts in CSV files, all pairs of neighbouring words in keyword files; each in several files."""
+    words, pairs = text_queries.words_and_pairs(spark, sf)
     technical, keywords = scratch_path(spark, "technical"), scratch_path(spark, "keywords")
-    b.orderBy("item_id").select(F.lit("").alias("Example"), F.regexp_extract("text", r"^[\p{L}]+", 0).alias("Skill Name")).coalesce(
-        1).write.option("header", True).csv(technical)
-    b.orderBy("item_id").select(F.regexp_extract("text", r"^[\p{L}]+ [\p{L}]+", 0)).coalesce(1).write.text(keywords)
+    # Ranges of lines, so the files follow each other in the order of their names.
+    words.repartitionByRange(4, "line").sortWithinPartitions("line").select(
+        F.lit("").alias("Example"), F.col("skill").alias("Skill Name")
+    ).write.option("header", True).csv(technical)
+    pairs.repartitionByRange(4, "line").sortWithinPartitions("line").select("skill").write.text(keywords)
     return K.read_vocabulary(spark, technical, keywords).select(F.lower("skill").alias("key"), "skill")

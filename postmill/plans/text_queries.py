@@ -51,35 +51,43 @@ def resolve_levels(spark, sf):
 # --- Skills -----------------------------------------------------------------------------------
 
 WORD_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+(?:[.+#''&/\-]*[\p{{L}}\p{{N}}_]+)*[+#]*|[^\s\p{{L}}\p{{N}}_]')"
-_VOCAB_SQL = f"""
+# Places of the words of an item, and of the pairs behind all words.
+_ITEM, _SOURCE = 1_000_000, 10**15
+VOCAB_SQL = f"""
+spoken AS (
+ SELECT item_id, words, unnest(range(1, len(words) + 1)) AS pos FROM (
+  SELECT item_id, regexp_extract_all(text, '[\\p{{L}}]+') AS words FROM benchmark)
+),
 lines AS (
- SELECT 0 AS source, item_id * 1000 + pos AS line, word AS skill FROM (
-  SELECT item_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM (
-   SELECT item_id, regexp_extract_all(text, '[\\p{{L}}]+') AS words FROM benchmark))
+ SELECT item_id * {_ITEM} + pos AS place, words[pos] AS skill FROM spoken
  UNION ALL
- SELECT 1, item_id, trim(regexp_extract(text, '^[\\p{{L}}]+ [\\p{{L}}]+')) FROM benchmark
+ SELECT {_SOURCE} + item_id * {_ITEM} + pos, words[pos] || ' ' || words[pos + 1] FROM spoken WHERE pos < len(words)
 ),
 vocab AS (
- SELECT lower(skill) AS key, arg_min(skill, source * 100000000 + line) AS skill,
-  min(source * 100000000 + line) AS place FROM lines WHERE trim(skill) <> '' GROUP BY lower(skill)
+ SELECT lower(skill) AS key, arg_min(skill, place) AS skill, min(place) AS place FROM lines GROUP BY lower(skill)
 )"""
 
 
-def vocab(spark, sf):
-    """The words of the benchmark texts, and the first two words of each as a phrase."""
+def words_and_pairs(spark, sf):
+    """(skill, line) of all words of the benchmark texts, and of all pairs of neighbouring words."""
     b = V.table(spark, sf, "benchmark")
-    words = b.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), 1)).alias("pos", "skill"))
-    words = words.select("skill", (F.col("item_id") * 1000 + F.col("pos") + 1).alias("line"))
-    pairs = b.select(F.regexp_extract("text", r"^[\p{L}]+ [\p{L}]+", 0).alias("skill"), F.col("item_id").alias("line"))
-    return K.vocabulary(words, pairs)
+    words = F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), 1)
+    spoken = b.select("item_id", words.alias("words")).select("item_id", F.posexplode("words").alias("pos", "skill"), "words")
+    line = (F.col("item_id") * _ITEM + F.col("pos") + 1).alias("line")
+    pair = F.concat_ws(" ", "skill", F.get("words", F.col("pos") + 1)).alias("skill")
+    return spoken.select("skill", line), spoken.where(F.col("pos") + 1 < F.size("words")).select(pair, line)
+
+
+def vocab(spark, sf):
+    return K.vocabulary(*words_and_pairs(spark, sf))
 
 
-@query("vocabulary", f"WITH {_VOCAB_SQL} SELECT skill, place FROM vocab")
+@query("vocabulary", f"WITH {VOCAB_SQL} SELECT skill, place FROM vocab")
 def vocabulary(spark, sf):
-    return vocab(spark, sf).select("skill", (F.col("source") * 100000000 + F.col("line")).alias("place"))
+    return vocab(spark, sf).select("skill", (F.col("source") * _SOURCE + F.col("line")).alias("place"))
 
 
-_SKILLS_SQL = f"""WITH {_VOCAB_SQL},
+_SKILLS_SQL = f"""WITH {VOCAB_SQL},
 words AS (SELECT doc_id AS id, {WORD_SQL.format('text')} AS w FROM documents),
 toks AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM words),
 grams AS (

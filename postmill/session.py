@@ -28,14 +28,18 @@ def build_session(app: str = "postmill", cores: int | str = "*", **conf: str) ->
     return builder.getOrCreate()
 
 
+# Folders that local sessions without a setting made up, by application.
+_MADE_UP: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``. Only a local session makes one up where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _MADE_UP.get(spark.sparkContext.applicationId)
     if not base:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="postmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # The setting belongs to the context and cannot be changed here.
+        base = _MADE_UP[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="postmill-")
     return base.rstrip("/")
 
 
@@ -67,3 +71,23 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
 def broadcast_if_small(df: DataFrame, **limits: int) -> DataFrame:
     """Hint a broadcast after measuring the side; a larger side keeps the shuffle join (AQE splits hot keys)."""
     return F.broadcast(df) if is_small(df, **limits) else df
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def input_version(spark: SparkSession, folder: str) -> int:
+    """A hash of the names, sizes and times of all files below a folder; their content is not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    one = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    return files.agg(F.coalesce(F.sum(F.pmod(one, F.lit(1 << 40))), F.lit(0))).first()[0]
+
+
+def stored_once(spark: SparkSession, name: str, folder: str, write) -> str:
+    """The path that ``write(path)`` filled from the files of ``folder``, once per application and version of these files."""
+    key = (spark.sparkContext.applicationId, name, folder, input_version(spark, folder))
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]

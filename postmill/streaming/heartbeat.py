@@ -41,8 +41,9 @@ def counts(events: DataFrame, interval: str = INTERVAL, delay: str | None = None
                          *[f"rejected_{r}" for r in REASONS])
 
 
-def write_counts(stream: DataFrame, path: str, checkpoint: str, interval: str, delay: str, scoped: bool = True
+def write_counts(stream: DataFrame, path: str, checkpoint: str, interval: str, delay: str | None = None, scoped: bool = True
                  ) -> StreamingQuery:
+    """Without ``delay`` the stream has a watermark already."""
     return (
         counts(stream, interval, delay, scoped)
         .writeStream.outputMode("append")

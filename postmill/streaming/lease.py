@@ -7,9 +7,9 @@ return makes it available, a block keeps it away until the block expires.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 # Default lifetimes in seconds.
 LEASE_TTL = 300
@@ -18,8 +18,6 @@ BLOCK_TTL = 900
 LATE = 3600
 
 KEY = ["scope", "resource"]
-EVENT = [*KEY, "ts", "seq", "action", "token"]
-STORED = "scope string, resource string, ts bigint, seq bigint, action string, token string, number bigint"
 
 
 def lease_summary(events: DataFrame, lease_ttl: int = LEASE_TTL) -> DataFrame:
@@ -63,56 +61,172 @@ def lease_states(events: DataFrame, as_of: Column, lease_ttl: int = LEASE_TTL, b
     return state_of(lease_summary(events, lease_ttl), as_of, lease_ttl, block_ttl)
 
 
-def _kept_events(events: DataFrame, lease_ttl: int, delay: int) -> DataFrame:
-    """The events that can still matter: those that make up the summary, and the ends that a late lease may match yet."""
-    null = F.lit(None)
+# --- The stream -------------------------------------------------------------------------------
 
-    def event(ts: Column, seq: Column, action: Column, token: Column) -> Column:
-        return F.when(ts.isNotNull(), F.struct(
-            ts.alias("ts"), seq.cast("bigint").alias("seq"), action.alias("action"), token.cast("string").alias("token")))
+# Fixed value: the state store that keeps keys on disk, so the number of resources is not bounded by memory.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+SUMMARY = "enqueued bigint, lease_ts bigint, lease_seq bigint, lease_token string, end_ts bigint, end_seq bigint, end_action string"
+TRACKED = f"scope string, resource string, {SUMMARY}, state string, timer int"
 
-    summary = lease_summary(events, lease_ttl)
-    parts = F.array(
-        event(F.col("enqueued"), null, F.lit("enqueue"), null),
-        event(F.col("lease.ts"), F.col("lease.seq"), F.lit("lease"), F.col("lease.token")),
-        event(F.col("end.ts"), F.col("end.seq"), F.col("end.action"), F.col("lease.token")),
-    )
-    known = summary.select(*KEY, F.explode(parts).alias("e")).where(F.col("e").isNotNull()).select(*KEY, "e.*")
-    newest = events.agg(F.max("ts").alias("t")).first()["t"]
-    open_ends = events.where(F.col("action").isin("return", "block") & (F.col("ts") > F.lit(newest) - delay))
-    return known.unionByName(open_ends.select(*EVENT)).distinct()
 
+class Summary:
+    """What one resource's events have led to, in the order of (ts, seq)."""
 
-def _stored(spark: SparkSession, path: str, number: int) -> DataFrame:
-    return spark.read.schema(STORED).parquet(f"{path}/slot={number % 2}").where(F.col("number") == number).select(*EVENT)
+    def __init__(self, values=(None,) * 7):
+        self.enqueued, self.lease_ts, self.lease_seq, self.lease_token, self.end_ts, self.end_seq, self.end_action = values
 
+    def values(self) -> tuple:
+        return (self.enqueued, self.lease_ts, self.lease_seq, self.lease_token, self.end_ts, self.end_seq, self.end_action)
 
-def track(stream: DataFrame, path: str, checkpoint: str, lease_ttl: int = LEASE_TTL, delay: int = LATE) -> StreamingQuery:
-    """Keep the events that still matter: batch n turns state n - 1 into state n, in the other one of two slots.
+    def add(self, ts: int, seq: int, action: str, token: str | None, lease_ttl: int) -> None:
+        if action == "enqueue":
+            self.enqueued = ts if self.enqueued is None else max(ts, self.enqueued)
+        elif action == "lease":
+            self.lease_ts, self.lease_seq, self.lease_token = ts, seq, token
+            self.end_ts = self.end_seq = self.end_action = None
+        elif (
+            action in ("return", "block") and self.lease_ts is not None and self.end_action is None
+            and token is not None and token == self.lease_token and ts < self.lease_ts + lease_ttl
+        ):
+            self.end_ts, self.end_seq, self.end_action = ts, seq, action
 
-    The result equals that of the whole log as long as no event comes more than ``delay`` seconds (of event time) behind a
-    newer one. A state holds at most three events per resource and the returns and blocks of the last ``delay`` seconds. A
-    batch that is run again replaces its own slot and reads the untouched other one.
+    def free_at(self, lease_ttl: int, block_ttl: int) -> int:
+        """When the last lease or its block is over."""
+        if self.end_action == "return":
+            return self.end_ts
+        return self.end_ts + block_ttl if self.end_action == "block" else self.lease_ts + lease_ttl
+
+    def state(self, as_of: int, lease_ttl: int, block_ttl: int) -> str:
+        if self.lease_ts is None:
+            return "missing" if self.enqueued is None else "available"
+        free_at = self.free_at(lease_ttl, block_ttl)
+        if self.end_action == "return" or (self.enqueued is not None and self.enqueued >= free_at):
+            return "available"
+        if as_of < free_at:
+            return "blocked" if self.end_action == "block" else "inuse"
+        return "missing"
+
+
+class LeaseTracker(StatefulProcessor):
+    """The state of one resource: what its settled events led to, and the events that a late one may still come before.
+
+    A timer at an event's time settles it when the watermark has passed; one at the end of a lease or block lets it expire. An
+    expired resource that is not available has no state any more.
     """
 
-    def advance(batch: DataFrame, number: int) -> None:
-        events = batch.select(*EVENT)
-        if number > 0:
-            events = events.unionByName(_stored(batch.sparkSession, path, number - 1))
-        kept = _kept_events(events, lease_ttl, delay).withColumn("number", F.lit(number).cast("bigint"))
-        kept.write.mode("overwrite").parquet(f"{path}/slot={number % 2}")
-
-    return (
-        stream.writeStream.foreachBatch(advance)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    def __init__(self, lease_ttl: int, block_ttl: int):
+        self.lease_ttl, self.block_ttl = lease_ttl, block_ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", SUMMARY)
+        self.pending = handle.getListState("pending", "ts bigint, seq bigint, action string, token string")
+
+    def _summary(self) -> Summary:
+        return Summary(tuple(self.settled.get())) if self.settled.exists() else Summary()
+
+    def _events(self) -> list[tuple]:
+        return sorted((tuple(e) for e in self.pending.get()), key=lambda e: (e[0], e[1])) if self.pending.exists() else []
+
+    def _row(self, key, summary: Summary, watermark: int, timer: int) -> Row:
+        state = summary.state(max(0, watermark) // 1000, self.lease_ttl, self.block_ttl)
+        return Row(*key, *summary.values(), state, timer)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(r["ts"], r["seq"], r["action"], r["token"]) for r in rows]
+        self.pending.appendList(new)
+        # One timer for what came together.
+        self.handle.registerTimer(max(e[0] for e in new) * 1000)
+        summary = self._summary()
+        for event in self._events():
+            summary.add(*event, self.lease_ttl)
+        yield self._row(key, summary, timerValues.getCurrentWatermarkInMs(), 0)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        watermark = timerValues.getCurrentWatermarkInMs()
+        events, settled = self._events(), self._summary()
+        due = [e for e in events if e[0] * 1000 <= watermark]
+        rest = events[len(due):]
+        for event in due:
+            settled.add(*event, self.lease_ttl)
+        whole = Summary(settled.values())
+        for event in rest:
+            whole.add(*event, self.lease_ttl)
+        yield self._row(key, whole, watermark, 1)
+        if due:
+            if rest:
+                self.pending.put(rest)
+            else:
+                self.pending.clear()
+        if settled.lease_ts is not None:
+            free_at = settled.free_at(self.lease_ttl, self.block_ttl)
+            if free_at * 1000 > watermark:
+                self.handle.registerTimer(free_at * 1000)
+            else:
+                # Over: only that the resource is available, if it is, can still matter.
+                there = settled.state(free_at, self.lease_ttl, self.block_ttl) == "available"
+                settled = Summary((max(settled.enqueued or free_at, free_at) if there else None, *(None,) * 6))
+        if any(v is not None for v in settled.values()):
+            self.settled.update(settled.values())
+        else:
+            self.settled.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def track(stream: DataFrame, path: str, checkpoint: str, lease_ttl: int = LEASE_TTL, delay: int = LATE,
+          block_ttl: int = BLOCK_TTL) -> StreamingQuery:
+    """Keep the state of each resource, keyed, in the state store; batch n writes the resources that it touched to its own folder.
+
+    The result equals that of the whole log as long as no event comes more than ``delay`` seconds (of event time) behind a
+    newer one; a later one is dropped. A key holds its summary and the events of the last ``delay`` seconds. A batch that is run
+    again replaces its own folder. States are asked for at times that the watermark has not passed.
+    """
+    spark = stream.sparkSession
+    # Others of the key columns' names stay out of the state.
+    events = stream.select(
+        *[F.col(k).cast("string") for k in KEY], F.col("ts").cast("bigint"), F.col("seq").cast("bigint"), "action",
+        F.col("token").cast("string"), F.timestamp_seconds("ts").alias("event_time"),
+    ).where(F.col("ts").isNotNull()).withWatermark("event_time", f"{delay} seconds")
+    states = events.groupBy(*KEY).transformWithState(
+        LeaseTracker(lease_ttl, block_ttl), outputStructType=TRACKED, outputMode="Update", timeMode="EventTime"
     )
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    # A query keeps the settings that it started with.
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return (
+            states.writeStream.foreachBatch(write).outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def tracked(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each tracked resource; its ``state`` is that at the watermark of its batch."""
+    rows = spark.read.schema(f"{TRACKED}, batch bigint").parquet(path)
+    rest = [c for c in rows.columns if c not in KEY]
+    newest = F.max_by(F.struct(*rest), F.struct("batch", "timer")).alias("newest")
+    return rows.groupBy(*KEY).agg(newest).select(*KEY, "newest.*").drop("timer")
+
 
 def tracked_states(spark: SparkSession, path: str, as_of: Column, lease_ttl: int = LEASE_TTL, block_ttl: int = BLOCK_TTL
                    ) -> DataFrame:
-    """(scope, resource, state) from the newest tracked state."""
-    rows = spark.read.schema(STORED).parquet(path)
-    newest = rows.agg(F.max("number").alias("n")).first()["n"]
-    return lease_states(rows.where(F.col("number") == newest).select(*EVENT), as_of, lease_ttl, block_ttl)
+    """(scope, resource, state) at ``as_of`` from the newest rows."""
+    summary = tracked(spark, path).select(
+        *KEY, "enqueued",
+        F.when(F.col("lease_ts").isNotNull(), F.struct(
+            F.col("lease_ts").alias("ts"), F.col("lease_seq").alias("seq"), F.col("lease_token").alias("token"))).alias("lease"),
+        F.when(F.col("end_action").isNotNull(), F.struct(
+            F.col("end_ts").alias("ts"), F.col("end_seq").alias("seq"), F.col("end_action").alias("action"))).alias("end"),
+    )
+    return state_of(summary, as_of, lease_ttl, block_ttl)

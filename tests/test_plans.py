@@ -36,8 +36,10 @@ def test_browse_reads_one_run_and_few_columns(spark, tmp_path):
 
 
 def test_top_k_per_key_is_limited_before_the_shuffle(spark):
+    # Values are made distinct before the shuffle; a limit is applied before one, too.
     plan = _plan(B.location_facets(_jobs(spark)))
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert plan.count("HashAggregate") == 2 and "Exchange hashpartitioning" in plan
+    assert "WindowGroupLimit" in _plan(B.location_facets(_jobs(spark), limit=5))
 
 
 def test_stored_index_prunes_by_term(spark, tmp_path):
@@ -64,3 +66,25 @@ def test_no_cross_products(spark):
                FL.apply_filters(docs, company="meta")):
         plan = _plan(df)
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_frequent_terms_are_read_by_range(spark, tmp_path, monkeypatch):
+    """Long documents about something else: only the ranges that can hold one of the best are read, with the same rows."""
+    monkeypatch.setattr(S, "RANGE", 16)
+    monkeypatch.setattr(S, "FIRST_RANGES", 2)
+    rows = [(str(i), "often " * (9 if i % 40 == 0 else 1) + "filler " * (i % 400), "meta" if i % 2 else "amazon") for i in range(4000)]
+    texts = spark.createDataFrame(rows, "id string, job_description string, company string")
+    docs = texts.join(_jobs(spark, 1).drop("company", "title", "skills"), F.lit(True)).withColumns(
+        {"title": F.lit("x"), "skills": F.array().cast("array<string>")})
+    S.SearchIndex.of(docs).write(str(tmp_path / "i"))
+    index = S.SearchIndex.read(spark, str(tmp_path / "i"))
+    for scope in ({}, {"company": "amazon"}, {"company": "nobody"}):
+        every = S.text_hits(index, "often", **scope).orderBy(F.col("score").desc(), "id").limit(20)
+        wanted = [(r["id"], round(r["score"], 9)) for r in every.collect()]
+        got = S.text_top(index, "often", 20, **scope).orderBy("rank").collect()
+        assert [(r["id"], round(r["score"], 9)) for r in got] == wanted
+    total, hopeful = S.range_bounds(index, "often").count(), S.hopeful_ranges(index, "often", 20).count()
+    assert total >= 250 and hopeful * 5 < total
+    # The heads of the blocks are read without their postings.
+    plan = _plan(S.range_bounds(index, "often"))
+    assert "max_tf" in plan and "ReadSchema" in plan and "postings" not in plan
