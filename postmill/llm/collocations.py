@@ -321,30 +321,33 @@ WITH texts AS (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
 ), places AS (
   SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM spoken
-), counts AS (
-  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS a
-  FROM places, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+), counts AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a
+  FROM (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+        FROM (SELECT lang, w, i, unnest([1, 2, 3, 4]) AS k FROM places) WHERE i + k - 1 <= len(w))
+  GROUP BY ALL
 ), totals AS (
   SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang
-), candidates AS (
+), candidates AS MATERIALIZED (
   SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM counts WHERE k >= 2 AND a >= 30
+), parts AS MATERIALIZED (
+  SELECT lang, phrase, a, cut, array_to_string(list_slice(w, 1, cut), ' ') AS first,
+         array_to_string(list_slice(w, cut + 1, k), ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates)
 ), cuts AS (
-  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, t.c AS cut,
-         (c.a::HUGEINT * 2000000) // (x.a::HUGEINT + y.a::HUGEINT) AS score
-  FROM candidates c, (SELECT unnest([1, 2, 3]) AS c) t, counts x, counts y
-  WHERE t.c < c.k AND x.lang = c.lang AND y.lang = c.lang
-    AND x.phrase = array_to_string(list_slice(c.w, 1, t.c), ' ') AND y.phrase = array_to_string(list_slice(c.w, t.c + 1, c.k), ' ')
+  SELECT p.lang, p.phrase, p.a, x.a AS l, y.a AS r, cut, (p.a::HUGEINT * 2000000) // (x.a::HUGEINT + y.a::HUGEINT) AS score
+  FROM parts p JOIN counts x ON x.lang = p.lang AND x.phrase = p.first JOIN counts y ON y.lang = p.lang AND y.phrase = p.rest
 ), lowest AS (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
 ), inside AS (
-  SELECT c.lang, array_to_string(list_slice(c.w, i, i + m - 1), ' ') AS phrase, max(c.a) AS longest
-  FROM candidates c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i)
-  WHERE m < c.k AND i + m - 1 <= c.k GROUP BY ALL
+  SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS longest
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM candidates))
+  GROUP BY ALL
 ), kept AS (
   SELECT s.* FROM lowest s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
   WHERE i.longest IS NULL OR 100 * i.longest::HUGEINT < 80 * s.a::HUGEINT
 ), ranked AS (
-  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase::BLOB) AS rank,
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
          phrase, a, l, r, CAST(score AS BIGINT) AS score
   FROM kept
 )
