@@ -106,8 +106,33 @@ def _has(table: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return (table[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _offsets(sizes) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+def _planes(numbers: np.ndarray, kind: str) -> bytes:
+    """Numbers by byte: all lowest bytes first, which compresses well."""
+    return numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, n: int, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(-1, n).T).reshape(-1).view(kind).astype(np.int64)
+
+
+def pack_windows(windows: np.ndarray, times: np.ndarray, words: int) -> bytes:
+    """Sorted windows ([depth, window], -1 for none) with their counts, compressed."""
+    wide = "<u4" if words > 0xFFFE else "<u2"
+    first = np.diff(windows[0], prepend=0)
+    parts = [_planes(first, wide), *[_planes(w + 1, wide) for w in windows[1:]], _planes(times, "<u4")]
+    return pa.compress(b"".join(parts), codec=CODEC, asbytes=True)
+
+
+def unpack_windows(data: bytes, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    size = 4 if words > 0xFFFE else 2
+    raw = pa.decompress(data, n * (size * DEPTH + 4), codec=CODEC, asbytes=True)
+    step = n * size
+    columns = [_from_planes(raw[k * step : (k + 1) * step], n, f"<u{size}") for k in range(DEPTH)]
+    return np.stack([np.cumsum(columns[0]), *[c - 1 for c in columns[1:]]]), _from_planes(raw[DEPTH * step :], n, "<u4")
+
+
+CODEC = "zstd"
+ROUTED = "part int, lang string, n_words int, word_bytes int, n int, words binary, windows binary"
 
 
 def _router(table: np.ndarray, hot_marks: np.ndarray, parts: int):
@@ -122,14 +147,14 @@ def _router(table: np.ndarray, hot_marks: np.ndarray, parts: int):
             at = np.flatnonzero(linked)
             if len(at) == 0:
                 continue
-            windows = np.full((DEPTH, len(at)), -1, dtype=np.int64)
+            windows = np.full((DEPTH, len(at)), -1, dtype=np.int32)
             alive = np.ones(len(at), dtype=bool)
             for k in range(DEPTH):
                 windows[k, alive] = codes[at[alive] + k]
                 alive = alive & linked[at + k]
             # Equal suffixes of the block become one.
             base = len(marks) + 1
-            high, low = (windows[0] + 1) * base + windows[1] + 1, (windows[2] + 1) * base + windows[3] + 1
+            high, low = ((windows[k].astype(np.int64) + 1) * base + windows[k + 1] + 1 for k in (0, 2))
             order = np.lexsort((low, high))
             new = np.append(True, (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0))
             times = np.diff(np.append(np.flatnonzero(new), len(order)))
@@ -146,27 +171,24 @@ def _router(table: np.ndarray, hot_marks: np.ndarray, parts: int):
             firsts = np.flatnonzero(np.append(True, np.diff(part) != 0))
             counts = np.diff(np.append(firsts, len(part)))
             row = np.repeat(np.arange(len(firsts)), counts)
-            # Each row carries its distinct words; a window holds places among them.
-            keys = row * base + windows + 1
-            named, places = np.unique(keys, return_inverse=True)
+            # Each row carries its distinct words; a window holds places among them. The empty place comes first, if there is one.
+            named, places = np.unique(row * base + windows + 1, return_inverse=True)
             places = places.reshape(DEPTH, -1)
             row_of, word = named // base, named % base - 1
-            begin = np.searchsorted(row_of, np.arange(len(firsts)))
-            real = word >= 0
-            # The empty place comes first in a row, if it has one.
-            shift = np.zeros(len(firsts), dtype=np.int64)
-            shift[row_of[~real]] = 1
-            local = places - (begin + shift)[row]
-            spelled = words.distinct.take(pa.array(word[real])).cast(pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array(part[firsts], pa.int32()),
-                "lang": pa.array([language] * len(firsts), pa.string()),
-                "words": pa.ListArray.from_arrays(_offsets(np.bincount(row_of[real], minlength=len(firsts))), spelled),
-                "windows": pa.ListArray.from_arrays(
-                    _offsets(counts * DEPTH), pa.array(np.ascontiguousarray(local.T).reshape(-1), pa.int32())
-                ),
-                "times": pa.ListArray.from_arrays(_offsets(counts), pa.array(times, pa.int32())),
-            })
+            begin = np.searchsorted(row_of, np.arange(len(firsts) + 1))
+            empty = np.bincount(row_of[word < 0], minlength=len(firsts))
+            local = places - (begin[:-1] + empty)[row]
+            spelled = words.distinct.take(pa.array(np.maximum(word, 0))).to_pylist()
+            out = []
+            for r, (first, n) in enumerate(zip(firsts.tolist(), counts.tolist())):
+                mine = spelled[begin[r] + empty[r] : begin[r + 1]]
+                text = b" ".join([*mine, b""])
+                packed = pack_windows(local[:, first : first + n], times[first : first + n], len(mine))
+                out.append((int(part[first]), language, len(mine), len(text), n, pa.compress(text, codec=CODEC, asbytes=True), packed))
+            kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in ROUTED.split(", ")]
+            )
 
     return run
 
@@ -213,28 +235,33 @@ def _miner(hot_marks: np.ndarray, least: int):
     def run(batches):
         held = {}
         for batch in batches:
-            for i, language in enumerate(batch.column("lang").to_pylist()):
-                held.setdefault(language, []).append(batch.slice(i, 1))
+            for row in batch.to_pylist():
+                held.setdefault(row["lang"], []).append(row)
         for language in sorted(held):
-            rows = pa.Table.from_batches(held.pop(language)).combine_chunks()
-            sizes = pc.list_value_length(rows["words"]).to_numpy().astype(np.int64)
-            many = pc.list_value_length(rows["times"]).to_numpy().astype(np.int64)
-            words = pc.list_flatten(rows["words"]).combine_chunks().dictionary_encode()
-            if isinstance(words, pa.ChunkedArray):
-                words = words.combine_chunks()
+            texts, windows, times, before = [], [], [], 0
+            for row in held.pop(language):
+                texts.append(pa.decompress(row["words"], row["word_bytes"], codec=CODEC, asbytes=True))
+                found, many = unpack_windows(row["windows"], row["n"], row["n_words"])
+                windows.append(np.where(found < 0, -1, found + before).astype(np.int32))
+                times.append(many)
+                before += row["n_words"]
+            data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+            blank = np.flatnonzero(data == 0x20)
+            # A blank behind each word.
+            ends = np.append(0, blank - np.arange(len(blank)))
+            words = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(blank), [None, pa.py_buffer(ends), pa.py_buffer(data[data != 0x20])]
+            ).dictionary_encode()
             codes, distinct = words.indices.to_numpy(zero_copy_only=False), words.dictionary
-            local = pc.list_flatten(rows["windows"]).to_numpy().astype(np.int64).reshape(-1, DEPTH)
-            times = pc.list_flatten(rows["times"]).to_numpy().astype(np.int64)
-            begin = np.repeat(np.cumsum(sizes) - sizes, many)[:, None]
-            windows = np.where(local < 0, -1, codes[np.maximum(local, 0) + begin]).astype(np.int32)
-            windows = np.ascontiguousarray(windows.T)
-            hot = np.isin(_marks(language, distinct.cast(pa.binary())), hot_marks)
+            windows, times = np.concatenate(windows, axis=1), np.concatenate(times)
+            windows = np.where(windows < 0, np.int32(-1), codes[np.maximum(windows, 0)])
+            hot = np.isin(_marks(language, distinct), hot_marks)
             found = frequent_prefixes(windows, times, hot, least)
             for size in range(2, DEPTH + 1):
                 mine = [(row, n) for row, k, n in found if k == size]
                 if mine:
                     at = np.array([row for row, _ in mine])
-                    parts = [distinct.take(pa.array(windows[k][at])) for k in range(size)]
+                    parts = [distinct.take(pa.array(windows[k][at])).cast(pa.binary()).cast(pa.string()) for k in range(size)]
                     yield pa.RecordBatch.from_pydict({
                         "lang": pa.array([language] * len(mine), pa.string()),
                         "phrase": pc.binary_join_element_wise(*parts, " "),
@@ -255,8 +282,7 @@ def phrase_counts(docs: DataFrame, words: DataFrame, least: int = LEAST) -> Data
     hot_marks = hot["mark"].to_numpy(dtype=np.int64).view(np.uint64)
     parts = max(1, -(-(sums["frequent"] or 0) // PART_WORDS))
     routed = docs.select("lang", "text").mapInArrow(
-        _router(_frequent_bits(words), hot_marks, parts),
-        "part int, lang string, words array<string>, windows array<int>, times array<int>",
+        _router(_frequent_bits(words), hot_marks, parts), ROUTED
     )
     mined = routed.repartitionById(parts, F.col("part")).mapInArrow(
         _miner(hot_marks, least), "lang string, phrase string, n bigint"
