@@ -68,6 +68,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 SUMMARY = "enqueued bigint, lease_ts bigint, lease_seq bigint, lease_token string, end_ts bigint, end_seq bigint, end_action string"
 TRACKED = f"scope string, resource string, {SUMMARY}, state string, timer int"
+COLUMNS = [field.split()[0] for field in TRACKED.split(", ")]
 
 
 class Summary:
@@ -131,7 +132,7 @@ class LeaseTracker(StatefulProcessor):
 
     def _row(self, key, summary: Summary, watermark: int, timer: int) -> Row:
         state = summary.state(max(0, watermark) // 1000, self.lease_ttl, self.block_ttl)
-        return Row(*key, *summary.values(), state, timer)
+        return Row(**dict(zip(COLUMNS, (*key, *summary.values(), state, timer))))
 
     def handleInputRows(self, key, rows, timerValues):
         new = [(r["ts"], r["seq"], r["action"], r["token"]) for r in rows]

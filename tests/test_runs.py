@@ -232,7 +232,6 @@ def test_lease_stream_equals_batch_and_a_plain_machine(spark, tmp_path):
     frame = spark.createDataFrame(events, schema)
     stream = ingest.read_stream(spark, str(tmp_path / "in"), frame.schema, files_per_batch=1)
     lease.track(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).select("number").distinct().count() == 2
     plain = {}
     for event in frame.collect():
         plain[event.resource] = _step(plain.get(event.resource, ("missing", None, None)), event)
@@ -244,6 +243,89 @@ def test_lease_stream_equals_batch_and_a_plain_machine(spark, tmp_path):
         assert batch == wanted and streamed == wanted
 
 
+LEASE = "scope string, resource string, ts long, seq long, action string, token string"
+
+
+def _lease_parts(spark, tmp_path, parts, **options):
+    """The stream runs to its end after each part, and goes on from its checkpoint with the next one."""
+    for rows in parts:
+        spark.createDataFrame(rows, LEASE).repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ingest.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], LEASE).schema)
+        lease.track(stream, str(tmp_path / "out"), str(tmp_path / "cp"), **options).awaitTermination()
+
+
+def test_lease_stream_goes_on_after_a_restart(spark, tmp_path):
+    rng = random.Random(6)
+    events = [("s", f"x{rng.randint(0, 20)}", 1000 + i * 10, i, rng.choice(["enqueue", "lease", "return", "block"]),
+               f"t{rng.randint(0, 1)}") for i in range(1200)]
+    # Many files in any order; an event comes at most 200 s late.
+    events.sort(key=lambda e: e[2] + rng.randint(0, 200))
+    _lease_parts(spark, tmp_path, [events[:300], events[300:700], events[700:]], delay=300)
+    frame = spark.createDataFrame(events, LEASE)
+    for as_of in (13000, 13200, 14000):
+        whole = sorted(map(tuple, lease.lease_states(frame, F.lit(as_of)).collect()))
+        assert whole == sorted(map(tuple, lease.tracked_states(spark, str(tmp_path / "out"), F.lit(as_of)).collect()))
+
+
+def test_a_batch_touches_its_own_resources_and_timers_let_them_expire(spark, tmp_path):
+    many = [("s", f"x{i}", 1000, i, "lease", "k") for i in range(50)]
+    _lease_parts(spark, tmp_path, [many, [("s", "x7", 1100, 60, "return", "k")]], delay=10)
+    rows = spark.read.schema(f"{lease.TRACKED}, batch long").parquet(str(tmp_path / "out"))
+    touched = {r["batch"]: r["n"] for r in rows.where("timer = 0").groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert sorted(touched.values()) == [1, 50]
+    assert {r["state"] for r in lease.tracked(spark, str(tmp_path / "out")).where("resource <> 'x7'").collect()} == {"inuse"}
+    # An event of another resource moves the watermark past the end of the leases: they expire, and their state goes.
+    _lease_parts(spark, tmp_path, [[("s", "other", 5000, 70, "enqueue", None)]], delay=10)
+    states = {r["resource"]: r["state"] for r in lease.tracked(spark, str(tmp_path / "out")).collect()}
+    assert states == {**{f"x{i}": "missing" for i in range(50)}, "x7": "available", "other": "available"}
+    held = spark.read.format("statestore").option("stateVarName", "settled").load(str(tmp_path / "cp"))
+    assert {r["key"]["resource"] for r in held.collect()} <= {"x7", "other"}
+
+
+def test_lease_summary_steps_are_the_batch_rules(spark):
+    rng = random.Random(9)
+    events = [("s", f"x{i % 40}", 1000 + i * 25, i, rng.choice(["enqueue", "lease", "return", "block"]), rng.choice(["a", "b", None]))
+              for i in range(600)]
+    for as_of in (9000, 16000, 30000):
+        got = {}
+        for _, name, ts, seq, action, token in events:
+            got.setdefault(name, lease.Summary()).add(ts, seq, action, token, lease.LEASE_TTL)
+        states = {n: m.state(as_of, lease.LEASE_TTL, lease.BLOCK_TTL) for n, m in got.items()}
+        frame = spark.createDataFrame(events, LEASE)
+        assert {r["resource"]: r["state"] for r in lease.lease_states(frame, F.lit(as_of)).collect()} == states
+
+
+def test_ingest_of_replayed_and_late_files(spark, tmp_path):
+    rng = random.Random(5)
+    schema = "event_id long, k int, v string, event_time timestamp"
+    rows = [(i, rng.randint(0, 9), f"v{i}", datetime.fromtimestamp(1_700_000_000 + 10 * i, timezone.utc)) for i in range(400)]
+    late = sorted(rows, key=lambda r: r[3].timestamp() + rng.randint(0, 500))
+    path, counted = str(tmp_path / "out"), []
+    for part in (late[:150], late[100:250], late[:150], late[250:]):
+        spark.createDataFrame(part, schema).repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = ingest.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+        once = ingest.without_replays(stream, ["event_id"], "event_time", "600 seconds")
+        query = ingest.ingest(once, ["event_id"], "event_id", path, str(tmp_path / "cp"))
+        query.awaitTermination()
+        counted.append(spark.read.schema(schema).parquet(f"{path}/batch=*").count())
+    # Each event was written once; replays added nothing.
+    assert counted == [150, 250, 250, 400]
+    got = {r["event_id"]: r["v"] for r in ingest.current(spark, path, spark.createDataFrame([], schema).schema, ["event_id"], "event_id").collect()}
+    assert got == {i: v for i, _, v, _ in rows}
+
+
+def test_batches_outside_the_commit_log_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "out")
+    spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 3, "c")], "k int, seq int, v string").write.parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = ingest.read_stream(spark, str(tmp_path / "in"), schema)
+    ingest.ingest(stream, ["k"], "seq", path, str(tmp_path / "cp")).awaitTermination()
+    # A batch that failed before its commit.
+    spark.createDataFrame([(1, 9, "half")], "k int, seq int, v string").write.parquet(f"{path}/batch=7")
+    assert ingest.committed(spark, path) == {0}
+    assert {r["k"]: r["v"] for r in ingest.current(spark, path, schema, ["k"], "seq").collect()} == {1: "b", 2: "c"}
+
+
 def test_lease_stream_with_late_events(spark, tmp_path):
     """Events come out of order within the bound: the stream still equals the whole log."""
     rng = random.Random(8)
