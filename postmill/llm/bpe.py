@@ -32,9 +32,8 @@ LEAF = 16
 WINDOW = 2
 # What a worker keeps of earlier texts: pieces and their letters.
 CACHED_PIECES, CACHED_LETTERS = 100_000, 4 << 20
-# Text of one step, and pieces and letters of one call of the library, whose results are large.
+# Text of one step.
 CHUNK_BYTES = 2 << 20
-CALL_PIECES, CALL_LETTERS = 4_096, 1 << 18
 WORD_END = "</w>"
 # Composed Latin text: composition changes nothing here and lower case has no context.
 _NOT_PLAIN = regex.compile("[ɐ-\U0010ffff]")
@@ -47,7 +46,7 @@ class TreeEncoder:
         library = Tokenizer.from_file(path)
         self.normalizer = library.normalizer
         # The merges alone, without normalizer and pre-tokenizer.
-        self.merges = Tokenizer(library.model)
+        self.merges = library.model
         self.sizes = {i: len(t) for i, t in self.words.tokens.items()}
         self.leaf, self.window = leaf, window
         self.known = Bounded(CACHED_PIECES)
@@ -66,14 +65,9 @@ class TreeEncoder:
         return self.normalize(text)
 
     def _ids(self, spelled: list[str]) -> list[list[int]]:
-        """Ids of texts in byte letters, by calls of the library of a bounded size."""
-        out, start, letters = [], 0, 0
-        for end, text in enumerate(spelled, 1):
-            letters += len(text)
-            if end - start == CALL_PIECES or letters >= CALL_LETTERS or end == len(spelled):
-                out += [found.ids for found in self.merges.encode_batch(spelled[start:end], add_special_tokens=False)]
-                start, letters = end, 0
-        return out
+        """Ids of texts in byte letters, each by the library's merges."""
+        tokenize = self.merges.tokenize
+        return [[t.id for t in tokenize(text)] for text in spelled]
 
     def _encode(self, spelled: list[str]) -> list[tuple[list[int], list[int]]]:
         """(ids, start of each token) of texts in byte letters."""

@@ -49,8 +49,6 @@ SHARD_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
 # What a worker keeps of earlier texts: pieces, their letters, and ids.
 CACHED_PIECES, CACHED_LETTERS, CACHED_IDS = 300_000, 8 << 20, 2 << 20
-# Pieces of one call of the library, whose results are large.
-CALL_PIECES = 8_192
 ONE_BITS, TWO_BITS = 8, 9
 STEP, MOST_WEIGHT, CLASS_STEP = 24, 4000, 24
 # Up to here the counts of classes fit 16 bits.
@@ -358,7 +356,8 @@ class PieceIds:
     def __init__(self, path: str):
         library_in_one_thread()
         self.words = Vocabulary(path)
-        self.merges = Tokenizer(Tokenizer.from_file(path).model)
+        # The merges alone, which need no more than a piece.
+        self.merges = Tokenizer.from_file(path).model
         self.known = Bounded(CACHED_PIECES)
         self._forget()
 
@@ -370,15 +369,14 @@ class PieceIds:
         self.firsts, self.sizes = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces, number of ids per piece) by one call of the library."""
-        special = self.words.special_ids
-        encoded = self.merges.encode_batch([self.words.spell(p) for p in pieces], add_special_tokens=False)
-        ids = [[special[p]] if p in special else e.ids for p, e in zip(pieces, encoded)]
+        """(ids of all pieces, number of ids per piece)."""
+        special, spell, tokenize = self.words.special_ids, self.words.spell, self.merges.tokenize
+        ids = [[special[p]] if p in special else [t.id for t in tokenize(spell(p))] for p in pieces]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         return np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum())), sizes
 
     def _slots(self, pieces: list[str]) -> np.ndarray:
-        """Places of the pieces in the store; unknown ones are encoded in batches."""
+        """Places of the pieces in the store; unknown ones are encoded."""
         known = self.known
         if known.make_room(len(pieces)) or self.letters > CACHED_LETTERS or len(self.flat) > CACHED_IDS:
             self._forget()
@@ -386,8 +384,7 @@ class PieceIds:
         fresh = np.flatnonzero(slots < 0)
         if len(fresh):
             new = [pieces[i] for i in fresh.tolist()]
-            parts = [self._encode(new[a : a + CALL_PIECES]) for a in range(0, len(new), CALL_PIECES)]
-            flat, sizes = (np.concatenate(x) for x in zip(*parts))
+            flat, sizes = self._encode(new)
             firsts = len(self.flat) + np.cumsum(sizes) - sizes
             slots[fresh] = np.arange(len(self.firsts), len(self.firsts) + len(new))
             known.update(zip(new, slots[fresh].tolist()))

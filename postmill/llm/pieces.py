@@ -149,6 +149,8 @@ class Vocabulary:
 
     def spell(self, piece: str) -> str:
         """A piece in byte letters."""
+        if piece.isascii():
+            return piece.translate(self.letters)
         return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
 
 
