@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import ranked
 from ..session import broadcast_if_small, materialize
+from .carry import carry, put_back
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -144,10 +145,9 @@ def report(docs: DataFrame) -> DataFrame:
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each row as often as it is taken; the row on the edge counts from half of its words on."""
     times = F.when(F.col("_size") > 0, F.floor((F.col("_taken") * 2 + F.col("_size")) / (F.col("_size") * 2))).otherwise(0)
-    mixed = mix(docs, **options).withColumn("_times", times.cast("int")).where("_times > 0")
-    return mixed.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    read = ("doc_id", "text", "source")
+    mixed = mix(carry(docs, *read), **options).withColumn("_times", times.cast("int")).where("_times > 0")
+    return mixed.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*put_back(docs.columns, *read))
 
 
 SQL = f"""

@@ -5,18 +5,18 @@ sentence, the shortest run of at least ``LEAST_SENTENCES`` sentences and ``LEAST
 shared passage cover it to both ends. Equal runs are joined over all documents; the first one (smallest doc_id, then
 place) stays, and every sentence that another one covers is removed. Runs are judged on the input.
 
-A sentence of more than ``MOST_WORDS`` words counts as several. As a passage may start anywhere in it, windows of ``GRAM`` words there are
-runs too, chosen by content: of each ``CHOICE`` neighbouring windows the one with the least hash. So a passage of
-``2 * MOST_WORDS`` words has a chosen window in every text, whatever stands before it, and the chosen windows of a longer passage
-cover it but for fewer than ``CHOICE`` words at each end. A window that overlaps an equal one (a few words over and over) counts as
-repeated only where another document has it.
+A sentence of more than ``MOST_WORDS`` words counts as several. They are chosen by content, as a passage may start anywhere in it: a
+word begins one if the hash of it and the next word is less than those of the ``REACH`` words before and behind. So a passage is
+cut alike in every text, whatever stands before it, but for fewer words than two such sentences have at each end. Where that gives
+more than ``MOST_WORDS`` words, these are counted from the last cut.
 
-The runs are written once to the shared folder; the smallest place of each hash is pre-aggregated in the map tasks, and a hot
-hash is one row on the build side of the join, whose large partitions Spark may split.
+The runs are written once to the shared folder; the smallest place of each hash is pre-aggregated in the map tasks. Hashes with
+more than a ``HOT_SHARE``th of all runs, so at most that many, are sent to all tasks; the others are joined by a shuffle.
 
 Defined results: null and empty texts have no sentence and stay as they are; a null doc_id counts as the largest one; equal rows are
 one document, so a run they share is first in both; rows with one doc_id and different texts are documents of their own, in the
-order of a hash of the text. Extra columns pass through.
+order of a hash of the text; a very long text has runs for all its sentences; an empty table gives no rows. Extra columns, whatever
+their names, pass through ``shorten_documents`` and are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 from .arrow import slices, strings
@@ -36,9 +37,9 @@ LEAST_SENTENCES = 2
 LEAST_WORDS = 20
 # A longer sentence counts as several: texts without marks have spans too.
 MOST_WORDS = 25
-# Words of a window inside a long sentence, and the windows of which one is chosen: together 2 * MOST_WORDS words.
-GRAM = 40
-CHOICE = 11
+# Words on both sides that a cut inside a long sentence is chosen among.
+REACH = 3
+HOT_SHARE = 2000
 # A sentence with the marks and the white space behind it; the pieces make up the text.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n][.!?\x20\x09-\x0D]*|[^.!?\n]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,22 +47,47 @@ _LAST = (1 << 63) - 1
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _word_hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+
+
+def cuts(words: list[str], reach: int = REACH, most: int = MOST_WORDS) -> list[int]:
+    """The words that begin a new sentence inside a long one."""
+    keys = _word_hashes(words)
+    mixed = (keys[:-1] ^ (keys[1:] >> np.uint64(7))) * _TIMES
+    mixed ^= mixed >> np.uint64(32)
+    n = len(mixed)
+    # Less than all others within reach; the ends of the sentence have no neighbours beyond.
+    least = np.ones(n, dtype=bool)
+    for k in range(1, reach + 1):
+        least[:-k] &= mixed[:-k] < mixed[k:]
+        least[k:] &= mixed[k:] < mixed[:-k]
+    out, last = [], 0
+    for at in [*np.flatnonzero(least).tolist(), len(words)]:
+        out += range(last + most, at, most)
+        if 0 < at < len(words):
+            out.append(at)
+        last = at
+    return out
+
+
 def sentences(text: str) -> list[str]:
     """The pieces of a text, which make it up when they are joined."""
     parts = []
     for part in SENTENCE.findall(text):
         # A word and what parts it from the next one take two characters at least.
         if len(part) > 2 * MOST_WORDS:
-            cuts = [word.start() for word in WORD.finditer(part)][MOST_WORDS::MOST_WORDS]
-            if cuts:
-                parts += [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)])]
+            found = [(word.start(), word.group()) for word in WORD.finditer(part)]
+            if len(found) > MOST_WORDS:
+                places = [found[i][0] for i in cuts([w for _, w in found])]
+                parts += [part[a:b] for a, b in zip([0, *places], [*places, len(part)])]
                 continue
         parts.append(part)
     return parts
 
 
 def runs(parts: list[str], least: int = LEAST_SENTENCES, words: int = LEAST_WORDS):
-    """(hash, first character, character behind the last, True) of the runs of a text."""
+    """(hash, first character, character behind the last) of the runs of a text."""
     if len(parts) < least:
         return []
     split = [WORD.findall(p) for p in parts]
@@ -81,132 +107,97 @@ def runs(parts: list[str], least: int = LEAST_SENTENCES, words: int = LEAST_WORD
     found.update((a, b + 1) for a, b in zip(starts.tolist(), firsts.tolist()) if a >= 0)
     packed = np.array(keys, dtype=np.uint64).tobytes()
     return [
-        (xxhash.xxh3_64_intdigest(packed[8 * a : 8 * b]) - (1 << 63), at[spoken[a]], at[spoken[b - 1] + 1], True)
+        (xxhash.xxh3_64_intdigest(packed[8 * a : 8 * b]) - (1 << 63), at[spoken[a]], at[spoken[b - 1] + 1])
         for a, b in sorted(found)
     ]
 
 
-def windows(text: str):
-    """(hash, first character, character behind the last, whether a repeat in its document counts) of the chosen windows."""
-    out = []
-    for part in SENTENCE.finditer(text):
-        if part.end() - part.start() < 2 * GRAM:
-            continue
-        found = [(w.start(), w.group()) for w in WORD.finditer(part.group())]
-        n = len(found) - GRAM + 1
-        if n < CHOICE:
-            continue
-        keys = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for _, w in found], dtype=np.uint64)
-        mixed = np.zeros(n, dtype=np.uint64)
-        for k in range(GRAM):
-            mixed = mixed * _TIMES + keys[k : k + n]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= _TIMES
-        mixed ^= mixed >> np.uint64(29)
-        least = np.lib.stride_tricks.sliding_window_view(mixed, CHOICE).argmin(axis=1)
-        order = np.argsort(mixed, kind="stable")
-        close = (mixed[order[1:]] == mixed[order[:-1]]) & (np.diff(order) < GRAM)
-        own = np.ones(n, dtype=bool)
-        own[order[1:][close]] = own[order[:-1][close]] = False
-        starts = [w + part.start() for w, _ in found] + [part.end()]
-        for i in np.unique(least + np.arange(len(least))).tolist():
-            out.append((int(mixed[i]) - (1 << 63), starts[i], starts[i + GRAM], bool(own[i])))
-    return out
-
-
 def _all_runs(batches):
     for part in slices(batches):
-        hashes, ids, marks, firsts, stops, owns = [], [], [], [], [], []
+        hashes, ids, marks, firsts, stops = [], [], [], [], []
         columns = part.column("owner").to_pylist(), part.column("mark").to_pylist(), strings(part.column("text"))
         for owner, mark, text in zip(*columns):
-            for key, first, stop, own in runs(sentences(text)) + windows(text):
+            for key, first, stop in runs(sentences(text)):
                 hashes.append(key)
                 ids.append(owner)
                 marks.append(mark)
                 firsts.append(first)
                 stops.append(stop)
-                owns.append(own)
         yield pa.RecordBatch.from_arrays(
-            [*[pa.array(x, pa.int64()) for x in (hashes, ids, marks)], *[pa.array(x, pa.int32()) for x in (firsts, stops)],
-             pa.array(owns, pa.bool_())],
-            names=["run", "owner", "mark", "first", "stop", "own"],
+            [*[pa.array(x, pa.int64()) for x in (hashes, ids, marks)], *[pa.array(x, pa.int32()) for x in (firsts, stops)]],
+            names=["run", "owner", "mark", "first", "stop"],
         )
 
 
 def _cut(text: str, firsts, stops) -> tuple[int, int, str]:
-    """(pieces, pieces that lose characters, what remains) of a text without its spans, which are sorted."""
-    ends = np.cumsum([len(p) for p in sentences(text)])
-    lost = np.zeros(len(ends), dtype=bool)
-    kept, at = [], 0
+    """(sentences, sentences removed, what remains) of a text without the sentences of its spans."""
+    parts = sentences(text)
+    ends = np.cumsum([len(p) for p in parts])
+    lost = np.zeros(len(parts), dtype=bool)
     for first, stop in zip(firsts, stops):
         lost[np.searchsorted(ends, first, side="right") : np.searchsorted(ends, stop, side="left") + 1] = True
-        if first > at:
-            kept.append(text[at:first])
-        at = max(at, stop)
-    return len(ends), int(lost.sum()), text if not at else "".join([*kept, text[at:]])
+    return len(parts), int(lost.sum()), text if not lost.any() else "".join([p for p, gone in zip(parts, lost) if not gone])
 
 
 def _without(batches):
-    for part in slices(batches, "_sp_text"):
+    for part in slices(batches):
         texts, counts, removed = [], [], []
         for text, firsts, stops in zip(
-            part.column("_sp_text").to_pylist(), part.column("_sp_firsts").to_pylist(), part.column("_sp_stops").to_pylist()
+            part.column("text").to_pylist(), part.column("firsts").to_pylist(), part.column("stops").to_pylist()
         ):
             count, lost, rest = _cut(text or "", firsts or (), stops or ())
             counts.append(count)
             removed.append(lost)
             texts.append(rest if lost else text)
-        place = part.schema.names.index("_sp_text")
-        out = part.set_column(place, "_sp_text", pa.array(texts, pa.string())).drop_columns(["_sp_firsts", "_sp_stops"])
-        yield out.append_column("_sp_count", pa.array(counts, pa.int64())).append_column(
-            "_sp_removed", pa.array(removed, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [part.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())],
+            names=["row", "text", "n_sentences", "n_removed"],
         )
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` but with the remaining text in ``_sp_text`` for ``text``; ``_sp_count`` sentences, of which ``_sp_removed`` lose words."""
+    """(row, text, n_sentences, n_removed): each row of ``docs`` without its text, what remains of the text, and the counts."""
     spark = docs.sparkSession
     where = scratch_path(spark, "sentence-runs")
     owner, mark = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), F.xxhash64("text")
     docs.select(owner.alias("owner"), mark.alias("mark"), "text").mapInArrow(
-        _all_runs, "run bigint, owner bigint, mark bigint, first int, stop int, own boolean"
+        _all_runs, "run bigint, owner bigint, mark bigint, first int, stop int"
     ).write.parquet(where)
     found = spark.read.parquet(where)
     # A document may hold a run twice, so its place says which occurrence is first.
     place = F.struct("owner", "mark", "first")
-    firsts = found.groupBy("run").agg(F.min(place).alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    repeated = found.join(firsts, "run").where(
-        F.col("own") & (place != F.col("_least")) | (F.struct("owner", "mark") != F.struct("_least.owner", "_least.mark"))
-    )
-    # One row per document; a document has a few runs for each of its sentences.
+    firsts_at = scratch_path(spark, "sentence-firsts")
+    found.groupBy("run").agg(F.min(place).alias("_least"), F.count("*").alias("_n")).where("_n > 1").write.parquet(firsts_at)
+    firsts = spark.read.parquet(firsts_at)
+    hot = F.col("_n") > found.count() // HOT_SHARE
+    # At most HOT_SHARE rows.
+    frequent = F.broadcast(firsts.where(hot))
+    repeated = found.join(frequent, "run").unionByName(
+        found.join(F.broadcast(firsts.where(hot).select("run")), "run", "left_anti").join(firsts.where(~hot), "run")
+    ).where(place != F.col("_least"))
+    # One row per document; a document has at most two runs for each of its sentences.
     spans = repeated.groupBy("owner", "mark").agg(
-        F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("_spans")
-    ).select(
-        F.col("owner").alias("_sp_owner"), F.col("mark").alias("_sp_mark"),
-        F.col("_spans.first").alias("_sp_firsts"), F.col("_spans.stop").alias("_sp_stops"),
+        F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("spans")
     )
-    joined = (
-        docs.join(spans, (owner == F.col("_sp_owner")) & (mark == F.col("_sp_mark")), "left")
-        .withColumnRenamed("text", "_sp_text")
-        .drop("_sp_owner", "_sp_mark")
+    # All other columns in one, so that none can clash.
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = docs.select(owner.alias("owner"), mark.alias("mark"), "text", F.struct(*rest).alias("row"))
+    joined = rows.join(spans, ["owner", "mark"], "left").select(
+        "row", "text", F.col("spans.first").alias("firsts"), F.col("spans.stop").alias("stops")
     )
-    kept = joined.drop("_sp_firsts", "_sp_stops")
-    fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
-    return joined.mapInArrow(_without, f"{fields}, _sp_count bigint, _sp_removed bigint")
+    counts = [T.StructField(name, T.LongType()) for name in ("n_sentences", "n_removed")]
+    return joined.mapInArrow(_without, T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), *counts]))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed and the remaining text."""
-    return remove_repeats(docs.select("doc_id", "text")).select(
-        "doc_id", F.col("_sp_count").alias("n_sentences"), F.col("_sp_removed").alias("n_removed"), F.col("_sp_text").alias("text")
-    )
+    return remove_repeats(docs.select("doc_id", "text")).select("row.doc_id", "n_sentences", "n_removed", "text")
 
 
 def shorten_documents(docs: DataFrame) -> DataFrame:
     """The documents without repeated spans; ``n_chars`` follows the text. Every document stays, an emptied one too."""
     rest = remove_repeats(docs)
-    length = F.when(F.col("_sp_removed") > 0, F.length("_sp_text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    columns = {"text": F.col("_sp_text"), "n_chars": length}
-    return rest.select(*[
-        columns[c].cast(t).alias(c) if columns.get(c) is not None else F.col(f"`{c}`") for c, t in docs.dtypes
-    ])
+    own = {c: F.col("row").getField(c) for c in docs.columns if c != "text"}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(own["n_chars"])
+    return rest.select(*[(F.col("text") if c == "text" else own[c]).cast(t).alias(c) for c, t in docs.dtypes])

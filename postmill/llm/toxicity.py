@@ -3,12 +3,14 @@
 Features are the character n-grams (2 to 5 characters, lower case, present or absent) hashed to ``BINS`` bins. Each bin
 is scaled by the log of its smoothed share in toxic texts over its share in other texts; on the scaled features a
 logistic regression is trained, and its weights are interpolated with their mean size. Training takes a bounded sample
-of the labelled rows (``TRAIN_ROWS`` rows of each class in the order of a hash, ``TRAIN_BYTES`` of text in all); scoring
-is one pass over whole texts and needs no shuffle.
+of the labelled rows that have a text: ``TRAIN_ROWS`` rows of each class in the order of a hash, as far as ``TRAIN_FEATURES``
+features go. Features are found in tasks, so a text of any length can be in the sample. Scoring is one pass over whole texts and
+needs no shuffle.
 
 Defined results: an empty or null text has no feature, its score comes from the intercept. If the sample is empty or holds
-one class only, every score is 0, or 1 if that class is the toxic one. Each row gives one row; repeated rows and null ids
-are scored like any other, a null id is never held out.
+one class only, every score is 0, or 1 if that class is the toxic one. An id with both labels is toxic. Each row gives one row;
+repeated rows and null ids are scored like any other, a null id is never held out; a very long text is scored whole; an empty
+table gives no rows. Extra columns, whatever their names, pass through ``drop_toxic`` and are not read.
 """
 
 from __future__ import annotations
@@ -17,15 +19,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import scratch_path
 from .arrow import forget_caches, slices, strings
+from .carry import carry, put_back
 
 BITS = 20
 BINS = 1 << BITS
 ORDERS = (2, 3, 4, 5)
-# Bounds of the sample that the classifier is fitted on.
-TRAIN_ROWS = 1000
-TRAIN_BYTES = 8 << 20
+# Bounds of the sample that the classifier is fitted on: rows of each class, and features in all.
+TRAIN_ROWS = 1500
+TRAIN_FEATURES = 20_000_000
 LEAST_TEXTS = 3
 FOLDS = 5
 
@@ -65,16 +70,20 @@ class Distinct:
         return bins[self.seen[bins] == places]
 
 
-def fit(texts: list[str], toxic: np.ndarray, steps: int = 60, ridge: float = 1e-3, blend: float = 0.9):
+def fit(texts: list[str], toxic: np.ndarray, **options):
     """(weights of the bins, intercept) of the classifier."""
-    if len(texts) == 0 or toxic.all() or not toxic.any():
-        return np.zeros(BINS, dtype=np.float32), (50.0 if len(texts) and toxic.all() else -50.0)
     distinct = Distinct()
-    rows = [distinct(bins_of(t)) for t in texts]
+    return fit_bins([distinct(bins_of(t)) for t in texts], toxic, **options)
+
+
+def fit_bins(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 60, ridge: float = 1e-3, blend: float = 0.9):
+    """``fit`` on the distinct bins of each text."""
+    if len(rows) == 0 or toxic.all() or not toxic.any():
+        return np.zeros(BINS, dtype=np.float32), (50.0 if len(rows) and toxic.all() else -50.0)
     seen = np.zeros(BINS, dtype=np.int32)
     for row in rows:
         seen[row] += 1
-    used = seen >= min(LEAST_TEXTS, max(1, len(texts) // 50))
+    used = seen >= min(LEAST_TEXTS, max(1, len(rows) // 50))
     column, width = (np.cumsum(used) - 1).astype(np.int32), int(used.sum())
     # A constant column keeps rows and columns without an entry out of the sums below.
     rows = [np.append(column[row[used[row]]], np.int32(width)) for row in rows]
@@ -120,26 +129,48 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 60, ridge: float = 1e-
     return weights, -float(best)
 
 
+def _features(batches):
+    distinct = Distinct()
+    for part in slices(batches):
+        bins = [distinct(bins_of(t)) for t in strings(part.column("text"))]
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("toxic"), pa.array([len(b) for b in bins], pa.int32()),
+             pa.array([b.tobytes() for b in bins], pa.binary())],
+            names=["doc_id", "toxic", "n", "bins"],
+        )
+
+
 def train(docs: DataFrame, labels: DataFrame):
     """Fit on the bounded sample; only rows outside the held-out fold are read."""
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    usable = usable.select("doc_id", (F.col("toxic") > 0).alias("_toxic")).dropDuplicates(["doc_id"])
+    spark = docs.sparkSession
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic") > 0).alias("toxic"))
+    # Classes are filled up with labels that have a text.
+    there = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL")
+    usable = known.join(there, "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = usable.where("_toxic").orderBy(*order).limit(TRAIN_ROWS).unionByName(
-        usable.where("NOT _toxic").orderBy(*order).limit(TRAIN_ROWS)
+    sample = usable.where("toxic").orderBy(*order).limit(TRAIN_ROWS).unionByName(
+        usable.where("NOT toxic").orderBy(*order).limit(TRAIN_ROWS)
     )
+    where = scratch_path(spark, "toxicity-sample")
     # At most 2 x TRAIN_ROWS ids are broadcast.
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    share = TRAIN_BYTES // (2 * TRAIN_ROWS)
-    size = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
-    # A few very long texts would fill the budget of bytes, so the sample leaves those above four shares out.
-    taken = joined.select("doc_id", "text", "_toxic", size.alias("_size")).where(F.col("_size") <= 4 * share)
-    rows = taken.orderBy(*order).limit(2 * TRAIN_ROWS).select("text", "_toxic").toArrow()
-    return fit(strings(rows.column("text")), np.asarray(rows.column("_toxic").to_pylist(), dtype=bool))
-
-
-def score(docs: DataFrame, model, column: str = "score") -> DataFrame:
-    """All rows and columns of ``docs`` with the toxicity score of the whole text."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    texts.select("doc_id", "toxic", "text").mapInArrow(_features, "doc_id bigint, toxic boolean, n int, bins binary").write.parquet(where)
+    stored = spark.read.parquet(where)
+    rows, toxic = [], []
+    for kind in (True, False):
+        ordered = stored.where(F.col("toxic") == kind).orderBy(*order, "n", F.xxhash64("bins"))
+        sizes = np.array([r["n"] for r in ordered.select("doc_id", "n", "bins").limit(TRAIN_ROWS).select("n").collect()], dtype=np.int64)
+        fitting = int(np.searchsorted(np.cumsum(sizes), TRAIN_FEATURES // 2, side="right"))
+        # One text at least, which has BINS features at most.
+        found = ordered.select("bins", "doc_id", "n").limit(max(1, fitting)).select("bins").toArrow().column("bins")
+        rows += [np.frombuffer(b.as_buffer(), dtype=np.int32) for b in found]
+        toxic += [kind] * len(found)
+    return fit_bins(rows, np.array(toxic, dtype=bool))
+
+
+def _scored(docs: DataFrame, model) -> DataFrame:
+    """(text, row, p): ``docs`` as ``carry`` has them, with the toxicity score of the whole text."""
     context = docs.sparkSession.sparkContext
     weights, intercept = model
     sent = context.broadcast(weights)  # BINS floats, whatever the size of the data
@@ -150,10 +181,15 @@ def score(docs: DataFrame, model, column: str = "score") -> DataFrame:
         for part in slices(batches):
             z = np.array([table[distinct(bins_of(t))].sum(dtype=np.float64) for t in strings(part.column("text"))])
             p = 1 / (1 + np.exp(-np.clip(z + intercept, -50, 50)))
-            yield part.append_column(column, pa.array(p, type=pa.float64()))
+            yield part.append_column("p", pa.array(p, type=pa.float64()))
+
+    carried = carry(docs, "text")
+    return carried.mapInArrow(run, T.StructType([*carried.schema.fields, T.StructField("p", T.DoubleType())]))
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, `{column}` double")
+
+def score(docs: DataFrame, model, column: str = "score") -> DataFrame:
+    """All rows and columns of ``docs`` with the toxicity score of the whole text."""
+    return _scored(docs, model).select(*put_back(docs.columns, "text"), F.col("p").alias(column))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -165,5 +201,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents with a score below ``threshold``."""
-    scored = score(docs, train(docs, labels), "_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = _scored(docs, train(docs, labels)).where(F.col("p") < threshold)
+    return kept.select(*put_back(docs.columns, "text"))

@@ -71,15 +71,30 @@ def repeats(rows, length=50):
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n][.!?\x20\x09-\x0D]*|[^.!?\n]+")
 
 
-def pieces(text, most=25):
+def pieces(text, most=25, reach=3):
+    """Sentences; a long one is cut before words whose hash with the next word is least among its neighbours."""
     out = []
     for part in SENTENCE.findall(text or ""):
-        n, at = 0, 0
-        for word in WORD.finditer(part):
-            if n and n % most == 0:
-                out.append(part[at : word.start()])
-                at = word.start()
-            n += 1
+        found = list(WORD.finditer(part))
+        if len(found) <= most:
+            out.append(part)
+            continue
+        keys = [xxhash.xxh3_64_intdigest(w.group().encode()) for w in found]
+        mixed = [((a ^ (b >> 7)) * 0x9E3779B97F4A7C15) % (1 << 64) for a, b in zip(keys, keys[1:])]
+        mixed = [m ^ (m >> 32) for m in mixed]
+        begins, last = [], 0
+        for i in range(1, len(found)):
+            around = [mixed[j] for j in range(max(0, i - reach), min(len(mixed), i + reach + 1)) if j != i]
+            if i < len(mixed) and all(mixed[i] < m for m in around):
+                begins.append(i)
+                last = i
+            elif mixed and i == last + most:
+                begins.append(i)
+                last = i
+        at = 0
+        for i in begins:
+            out.append(part[at : found[i].start()])
+            at = found[i].start()
         out.append(part[at:])
     return out
 

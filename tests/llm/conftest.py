@@ -8,14 +8,16 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, kept string, score int, size string, block string, "
-    "label string, id long, run double"
+    "label string, id long, run double, row string, _toxicity string, _near_id long, _sp_text string, _key int, _size int, "
+    "toxic int, `a.b` string"
 )
 
 
 def frame(spark, rows, source=lambda i: f"s{i % 3}"):
     """Documents with columns whose names the operators use themselves."""
     data = [
-        (d, t, "en", source(i), None if t is None else len(t), "k", i, "s", "b", None, i, 0.5) for i, (d, t) in enumerate(rows)
+        (d, t, "en", source(i), None if t is None else len(t), "k", i, "s", "b", None, i, 0.5, "r", "t", -i, "p", i, -7, i, "d")
+        for i, (d, t) in enumerate(rows)
     ]
     return spark.createDataFrame(data, SCHEMA)
 

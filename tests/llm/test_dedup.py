@@ -122,8 +122,9 @@ def test_sentence_spans_inside_long_sentences(spark):
         assert sum(w[0] == "p" for w in left) <= 20 and got[i].n_removed > 0
 
 
-def test_sentence_spans_of_the_table(tables):
-    df = tables("documents")
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sentence_spans_of_the_table(tables, sf):
+    df = tables("documents", f"/root/testdata/{sf}")
     rows = [(r.doc_id, r.text) for r in df.collect()]
     same(rows_of(sentence_spans.report(df)), brute.spans(rows))
 

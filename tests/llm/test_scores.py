@@ -95,6 +95,60 @@ def test_score_of_a_text_is_the_sum_of_its_bins(spark):
         assert abs(r.p - 1 / (1 + np.exp(-z))) < 1e-6
 
 
+def test_long_labelled_texts_are_learned_from(spark):
+    """Every labelled text is long; the classes are separable all the same."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(sentence(rng, 11) for _ in range(450)) + " zqxidiot wkvmoron" * (60 if i % 3 == 0 else 0)) for i in range(60)]
+    df, labels = frame(spark, rows), labels_for(spark, rows, toxic=lambda d: int(d % 3 == 0))
+    assert min(len(t) for _, t in rows) > 20_000
+    got = toxicity.report(df, labels).collect()
+    assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in got) >= 57
+
+
+def test_labels_that_contradict_and_features_that_do_not_fit(spark, monkeypatch):
+    rows = toxic_corpus(200)
+    df = frame(spark, rows)
+    labels = labels_for(spark, rows, toxic=lambda d: int(d % 5 == 0)).unionByName(labels_for(spark, rows[:50], toxic=lambda d: 0))
+    whole = sorted((r.doc_id, r.score) for r in toxicity.report(df, labels.repartition(3)).collect())
+    assert whole == sorted((r.doc_id, r.score) for r in toxicity.report(df, labels.repartition(7)).collect())
+    monkeypatch.setattr(toxicity, "TRAIN_FEATURES", 20_000)
+    few = toxicity.report(df, labels).collect()
+    assert len(few) == len(rows) and all(0 <= r.score <= 1 for r in few)
+
+
+def test_fit_is_the_dense_classifier():
+    """The same classifier on a dense matrix of unhashed n-grams, with every step written out."""
+    rows = toxic_corpus(48)
+    toxic = np.array([d % 5 == 0 for d, _ in rows])
+    grams = [{(n, t[i : i + n]) for n in (2, 3, 4, 5) for i in range(len(t) - n + 1)} for t in (t.lower() for _, t in rows)]
+    names = sorted(set().union(*grams))
+    x = np.array([[g in own for g in names] for own in grams], dtype=float)
+    p, q = 1 + x[toxic].sum(axis=0), 1 + x[~toxic].sum(axis=0)
+    ratio = np.log((p / (1 + toxic.sum())) / (q / (1 + (~toxic).sum())))
+    scaled, y = x * ratio, toxic.astype(float)
+    weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
+    rate = 4 / (scaled**2).sum(axis=1).mean()
+    w, b = np.zeros(len(names)), 0.0
+    v, vb = np.zeros(len(names)), 0.0
+    for _ in range(60):
+        aw, ab = w + 0.9 * v, b + 0.9 * vb
+        miss = (1 / (1 + np.exp(-(scaled @ aw + ab))) - y) * weight
+        v, vb = 0.9 * v - rate * (scaled.T @ miss + 1e-3 * aw), 0.9 * vb - rate * miss.sum()
+        w, b = w + v, b + vb
+    w = 0.1 * np.abs(w).mean() + 0.9 * w
+    z = scaled @ w
+
+    def loss(c):
+        return (weight * np.logaddexp(0, np.where(toxic, c - z, z - c))).sum()
+
+    c = min(np.linspace(np.quantile(z, 0.01), np.quantile(z, 0.99), 201), key=loss)
+    weights, intercept = toxicity.fit([t for _, t in rows], toxic)
+    for (_, text), score in zip(rows, z):
+        mine = float(weights[np.unique(toxicity.bins_of(text))].sum(dtype=np.float64)) + intercept
+        # Bins hold two n-grams now and then.
+        assert abs(mine - (score - c)) < 0.1 * max(1, abs(score - c))
+
+
 def names(i):
     return [None, "b", "a", "", "é"][i % 5]
 
