@@ -16,6 +16,8 @@ from ..schemas import PAY_RANGE
 _SIDE = r"(\b[A-Z]{2,3}\b)?\s*+([$€£¥])?\s*+"
 AMOUNT = r"(?:(?<!\d)|(?!\d{4}))(\d{1,3}+(?:,\d{3})++|\d{4,}+)"
 RANGE = rf"(?iuU)(?:(?<!\s)|(?=\S)){_SIDE}{AMOUNT}\s*+(?:-|–|to)\s*+{_SIDE}{AMOUNT}"
+# What every range has between its amounts; it begins with a digit, so a text without one costs a look at each character.
+BETWEEN = r"(?U)\d\s*+(?:[-–]|[tT][oO])"
 CONTEXT_WORDS = ["salary", "base pay", "base salary", "pay range", "compensation"]
 NOTE_WORDS = ["salary", "pay", "compensation", "bonus", "equity", "benefits"]
 SYMBOL_CURRENCY = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
@@ -30,7 +32,9 @@ def clean_fragment(x: Column) -> Column:
     """An HTML fragment as lines of text."""
     lines = F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     lines = F.regexp_replace(lines, r"<br ?/?>|</p>|</li>", "\n")
-    plain = unescape_all(F.regexp_replace(lines, r"<[^>]+>", " "))
+    bare = F.regexp_replace(lines, r"<[^>]+>", " ")
+    # Only texts with an entity go to Python.
+    plain = F.coalesce(unescape_all(F.when(F.contains(x, F.lit("&")), bare)), bare)
     return strip(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\n{2,}", "\n"))
 
 
@@ -92,15 +96,20 @@ def _ranges_of_sentence(sentences: Column, sentence: Column, index: Column) -> C
 def pay_ranges(text: Column) -> Column:
     """The distinct ranges of a cleaned text, in order of appearance.
 
-    One regex pass marks the ranges, then the marked text is cut into sentences: a range's context is its sentence, so
-    the work grows with the length of the text.
+    The text is cut where no range can go on, and the pieces that may hold one are searched; one regex pass marks their ranges. Then
+    the marked text is cut into sentences: a range's context is its sentence, so the work grows with the length of the text.
     """
 
-    def scan(t: Column) -> Column:
-        pieces = F.split(F.regexp_replace(t, RANGE, f"{MARK}$0{MARK}"), MARK, -1)
+    def mark(part: Column) -> Column:
+        pieces = F.split(F.regexp_replace(part, RANGE, f"{MARK}$0{MARK}"), MARK, -1)
         # A line end inside a range ends no sentence.
-        marked = F.transform(pieces, lambda piece, i: F.when(
-            i % 2 == 1, F.concat(F.lit(MARK), F.replace(piece, F.lit("\n"), F.lit(HELD)), F.lit(MARK))).otherwise(piece))
+        return F.array_join(F.transform(pieces, lambda piece, i: F.when(
+            i % 2 == 1, F.concat(F.lit(MARK), F.replace(piece, F.lit("\n"), F.lit(HELD)), F.lit(MARK))).otherwise(piece)), "")
+
+    def scan(t: Column) -> Column:
+        # No range has one of these marks inside.
+        parts = F.regexp_extract_all(t, F.lit(r"[^.!?]*+[.!?]|[^.!?]++"), F.lit(0))
+        marked = F.transform(parts, lambda part: F.when(part.rlike(BETWEEN), mark(part)).otherwise(part))
         sentence = f"[^{SENTENCE_ENDS}]*+[{SENTENCE_ENDS}]|[^{SENTENCE_ENDS}]++"
         return F.regexp_extract_all(F.array_join(marked, ""), F.lit(sentence), F.lit(0))
 

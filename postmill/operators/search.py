@@ -179,11 +179,11 @@ class SearchIndex:
         return build_term_stats(rows) if self.term_stats is None else self.term_stats.where(_wanted(keep))
 
     def write(self, path: str, docs_per_file: int = 1_000_000) -> None:
-        """Store the tables. Documents are numbered in the order of their length; a frequent term has a block per range."""
+        """Store the tables. Documents are numbered by length within their task, so a range has similar ones and the documents are
+        computed and written in one pass; a frequent term has a block per range."""
         spark = self.docs.sparkSession
         length = F.coalesce(F.length("job_description"), F.lit(0))
-        numbered = self.docs.repartitionByRange(length, "id").sortWithinPartitions(length, "id").withColumn(
-            "doc_no", F.monotonically_increasing_id())
+        numbered = self.docs.sortWithinPartitions(length, "id").withColumn("doc_no", F.monotonically_increasing_id())
         numbered.write.option("maxRecordsPerFile", docs_per_file).parquet(f"{path}/docs")
         stored = spark.read.parquet(f"{path}/docs")
         order = ["field", "term", "range"]

@@ -69,8 +69,10 @@ def stream_ingest_postings(spark, sf):
 def lease_reasons(events):
     """Enqueue outcomes from the event log."""
     kind = F.col("event_type")
+    # A stream's own time column keeps its watermark.
+    time = F.col("ts") if dict(events.dtypes)["ts"] == "timestamp" else F.col("ts").cast("timestamp").alias("ts")
     return events.select(
-        F.col("ts").cast("timestamp").alias("ts"),
+        time,
         F.concat(F.lit("scope-"), (F.col("user_id") % 6).cast("string")).alias("scope"),
         F.when(kind == "signup", "enqueued").when(kind == "error", "blocked").when(kind == "click", "inuse")
         .when(kind == "view", "duplicate").otherwise("capacity").alias("reason"),
