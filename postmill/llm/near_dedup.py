@@ -164,9 +164,18 @@ def _shared_parts(sets: DataFrame) -> DataFrame:
 
 
 def _first_meetings(crowds: DataFrame) -> DataFrame:
-    """(x, y): pairs of crowds that share a shingle among the first ones of both, rare ones first."""
+    """(x, y): pairs of crowds that share a shingle among the first ones of both, rare ones first.
+
+    Shingles of a passage are in the same crowds. The first of all shingles that are in the same crowds stands for them: it comes
+    before the others in every set, so a pair that meets in one of them meets in it.
+    """
     rows = crowds.select("crowd", "least", "one", F.size("part").alias("size"), F.explode("part").alias("shingle"))
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    often = _stored(rows.groupBy("shingle").agg(
+        F.count("*").alias("often"), F.bit_xor(F.xxhash64("crowd")).alias("these"),
+        F.bit_xor(F.xxhash64("crowd", F.lit(SEED))).alias("too"),
+    ), "often")
+    leads = often.where("often > 1").groupBy("often", "these", "too").agg(F.min("shingle").alias("shingle"))
+    often = often.select("shingle", "often")
     order = rows.join(often, "shingle").groupBy("crowd").agg(
         F.first("least").alias("n"), F.first("one").alias("one"), F.first("size").alias("size"),
         F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("order"),
@@ -179,7 +188,9 @@ def _first_meetings(crowds: DataFrame) -> DataFrame:
     probe = F.expr(f"n - cast(ceil({PERCENT} * n / 100) AS int) + 1")
     index = F.expr(f"n - cast(ceil({2 * PERCENT} * n / {100 + PERCENT}) AS int) + 1")
     postings = _stored(
-        placed.where((F.col("often") > 1) & (F.col("place") < probe)).withColumn("index", F.col("place") < index), "postings"
+        placed.where((F.col("often") > 1) & (F.col("place") < probe)).withColumn("index", F.col("place") < index).join(
+            leads.select("shingle"), "shingle", "left_semi"
+        ), "postings"
     )
     salts = F.least(F.expr(f"cast(often div {HOT} AS int) + 1"), F.lit(MOST_SALTS))
     y = postings.select("shingle", F.pmod(F.xxhash64("crowd"), salts).cast("int").alias("salt"), F.col("crowd").alias("y"),
