@@ -8,7 +8,8 @@ from ..functions.dates import epoch_seconds
 from ..operators import merge as M
 from ..operators import quality as Q
 from ..operators import ranking as R
-from ..session import stored_once
+from ..session import scratch_path, stored_once
+from ..sources import keyed
 from . import views as V
 from .register import Registry
 
@@ -36,29 +37,51 @@ def upsert_companies(spark, sf):
     return M.upsert_companies(V.companies(spark, sf), rows).select("company", "display_name")
 
 
-@query(
-    "upsert_jobs",
-    f"""WITH {V.BASE_SQL}
+_UPSERT_SQL = f"""WITH {V.BASE_SQL}
  SELECT external_job_id, company, title || ' (again)' AS title,
   CASE WHEN lang <> 'en' THEN 'fresh' WHEN o_orderstatus <> 'O' THEN 'lang-' || lang || ',' || source ELSE '' END
    AS skills, false AS is_missing_details
- FROM postings""",
-)
-def upsert_jobs(spark, sf):
+ FROM postings"""
+
+
+def _upserts(spark, sf):
+    """(stored postings, a first listing of all, a second one)."""
     jobs = V.jobs(spark, sf, places=False)
     closed = V.table(spark, sf, "orders").where(F.col("o_orderstatus") != "O").select(
         F.col("o_orderkey").cast("string").alias("external_job_id"))
-    stored = jobs.join(closed, "external_job_id", "left_semi")
+    return jobs.join(closed, "external_job_id", "left_semi"), _with_fresh_skills(jobs), _with_fresh_skills(
+        jobs.withColumn("title", F.concat("title", F.lit(" (again)"))))
+
+
+def _with_fresh_skills(jobs):
     english = F.array_contains("skills", "lang-en")
-    fresh = F.when(english, F.array(F.lit(" "))).otherwise(F.array(F.lit(" fresh ")))
-    first = jobs.withColumn("seq", F.lit(1))
-    again = jobs.withColumn("title", F.concat("title", F.lit(" (again)"))).withColumn("seq", F.lit(2))
-    rows = first.unionByName(again).withColumn("skills", fresh)
-    return M.upsert_jobs(stored, rows, seq="seq").select(
+    return jobs.withColumn("skills", F.when(english, F.array(F.lit(" "))).otherwise(F.array(F.lit(" fresh "))))
+
+
+def _shown(jobs):
+    return jobs.select(
         "external_job_id", "company", "title", F.array_join("skills", ",").alias("skills"), "is_missing_details"
     )
 
 
+@query("upsert_jobs", _UPSERT_SQL)
+def upsert_jobs(spark, sf):
+    stored, first, again = _upserts(spark, sf)
+    rows = first.withColumn("seq", F.lit(1)).unionByName(again.withColumn("seq", F.lit(2)))
+    return _shown(M.upsert_jobs(stored, rows, seq="seq"))
+
+
+@query("upsert_jobs_on_read", _UPSERT_SQL)
+def upsert_jobs_on_read(spark, sf):
+    """The same as two change files next to a bucketed base; the first is folded, the second merged when read."""
+    stored, first, again = _upserts(spark, sf)
+    table = keyed.job_table(spark, scratch_path(spark, "keyed"), stored.schema, M.KEY, buckets=8).create(stored)
+    keyed.upsert_jobs(table, first, 1)
+    table.fold()
+    keyed.upsert_jobs(table, again, 2)
+    return _shown(table.read())
+
+
 @query(
     "last_write_wins",
     """SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id
