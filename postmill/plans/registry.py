@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     catalog_queries,
     payload_queries,
+    published_queries,
     report_queries,
     run_queries,
     scalar_queries,
@@ -19,6 +20,7 @@ _MODULES = [
     search_queries,
     text_queries,
     payload_queries,
+    published_queries,
     report_queries,
     scalar_queries,
     stream_queries,
