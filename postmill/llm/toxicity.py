@@ -86,14 +86,26 @@ def fit_bins(rows: list[np.ndarray], toxic: np.ndarray, steps: int = 60, ridge:
     used = seen >= min(LEAST_TEXTS, max(1, len(rows) // 50))
     column, width = (np.cumsum(used) - 1).astype(np.int32), int(used.sum())
     # A constant column keeps rows and columns without an entry out of the sums below.
-    rows = [np.append(column[row[used[row]]], np.int32(width)) for row in rows]
-    ends = np.cumsum([len(row) for row in rows])
-    starts = np.append(0, ends[:-1])
-    cols = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(row) for row in rows])
-    del rows
-    owner = owner[np.argsort(cols, kind="stable")]
-    firsts = np.append(0, np.cumsum(np.bincount(cols, minlength=width + 1))[:-1])
+    sizes = np.array([int(used[row].sum()) + 1 for row in rows], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    cols = np.full(int(ends[-1]), width, dtype=np.int32)
+    for i, start in enumerate(starts.tolist()):
+        # Each row is let go when it is in the matrix.
+        row, rows[i] = rows[i], None
+        cols[start : start + sizes[i] - 1] = column[row[used[row]]]
+        del row
+    # The owners of each column's entries: (column, owner) pairs sorted in place.
+    many = max(1, (len(sizes) - 1).bit_length())
+    pairs = cols.astype(np.uint32 if width.bit_length() + many <= 32 else np.uint64)
+    pairs <<= many
+    for i, start in enumerate(starts.tolist()):
+        pairs[start : start + sizes[i]] |= pairs.dtype.type(i)
+    pairs.sort()
+    firsts = np.append(0, np.cumsum(seen[used], dtype=np.int64))
+    pairs &= pairs.dtype.type((1 << many) - 1)
+    owner = pairs.astype(np.uint16 if many <= 16 else np.int32)
+    del pairs
 
     def by_text(values):
         """Sum over each text's columns."""
@@ -166,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame):
         found = ordered.select("bins", "doc_id", "n").limit(max(1, fitting)).select("bins").toArrow().column("bins")
         rows += [np.frombuffer(b.as_buffer(), dtype=np.int32) for b in found]
         toxic += [kind] * len(found)
+        del found
     return fit_bins(rows, np.array(toxic, dtype=bool))
 
 
