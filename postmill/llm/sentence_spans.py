@@ -42,18 +42,18 @@ REACH = 3
 HOT_SHARE = 2000
 # A sentence with the marks and the white space behind it; the pieces make up the text.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n][.!?\x20\x09-\x0D]*|[^.!?\n]+")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LAST = (1 << 63) - 1
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+def _bytes(text: str) -> bytes:
+    # Splitting bytes at blanks splits at exactly the characters that part words here.
+    return text.encode("utf-8", "surrogatepass")
 
 
-def cuts(words: list[str], reach: int = REACH, most: int = MOST_WORDS) -> list[int]:
+def cuts(words: list[bytes], reach: int = REACH, most: int = MOST_WORDS) -> list[int]:
     """The words that begin a new sentence inside a long one."""
-    keys = _word_hashes(words)
+    keys = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
     mixed = (keys[:-1] ^ (keys[1:] >> np.uint64(7))) * _TIMES
     mixed ^= mixed >> np.uint64(32)
     n = len(mixed)
@@ -77,10 +77,14 @@ def sentences(text: str) -> list[str]:
     for part in SENTENCE.findall(text):
         # A word and what parts it from the next one take two characters at least.
         if len(part) > 2 * MOST_WORDS:
-            found = [(word.start(), word.group()) for word in WORD.finditer(part)]
-            if len(found) > MOST_WORDS:
-                places = [found[i][0] for i in cuts([w for _, w in found])]
-                parts += [part[a:b] for a, b in zip([0, *places], [*places, len(part)])]
+            data = _bytes(part)
+            words = data.split()
+            if len(words) > MOST_WORDS:
+                raw = np.frombuffer(data, dtype=np.uint8)
+                blank = (raw == 0x20) | ((raw >= 0x09) & (raw <= 0x0D))
+                begins = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+                places = begins[cuts(words)].tolist()
+                parts += [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *places], [*places, len(data)])]
                 continue
         parts.append(part)
     return parts
@@ -90,14 +94,14 @@ def runs(parts: list[str], least: int = LEAST_SENTENCES, words: int = LEAST_WORD
     """(hash, first character, character behind the last) of the runs of a text."""
     if len(parts) < least:
         return []
-    split = [WORD.findall(p) for p in parts]
+    split = [_bytes(p).split() for p in parts]
     # Sentences without a word neither count nor separate.
     spoken = [i for i, w in enumerate(split) if w]
     n = len(spoken)
     if n < least:
         return []
     at = np.cumsum([0] + [len(p) for p in parts]).tolist()
-    keys = [xxhash.xxh3_64_intdigest(" ".join(split[i]).encode("utf-8", "surrogatepass")) for i in spoken]
+    keys = [xxhash.xxh3_64_intdigest(b" ".join(split[i])) for i in spoken]
     upto = np.concatenate([[0], np.cumsum([len(split[i]) for i in spoken])])
     firsts = np.arange(n)
     # Behind the shortest run from each sentence; before the shortest run up to each sentence.
