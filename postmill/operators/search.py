@@ -12,6 +12,8 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ RRF_K = 60
 # Documents of a block's range, and the ranges that are scored first.
 RANGE = 128
 FIRST_RANGES = 16
+# Bytes of text whose blocks one task builds and stores in one file.
+SHARD_BYTES = 16 << 20
 RESULT_COLUMNS = [
     "run_id", "company", "external_job_id", "title", "job_type", "job_level", "details_url", "apply_url", "locations",
 ]
@@ -65,10 +69,10 @@ def _fields(docs: DataFrame) -> dict[str, Column]:
     }
 
 
-def _field_terms(docs: DataFrame, keep: dict[str, list[str]] | None) -> DataFrame:
+def _field_terms(docs: DataFrame, keep: dict[str, list[str]] | None, also: tuple[str, ...]) -> DataFrame:
     """(id, field, terms, dl), one row per field; ``keep`` drops all other terms before anything is exploded."""
     rows = [_field_row(field, terms, keep) for field, terms in _fields(docs).items()]
-    return docs.select("id", F.explode(F.array(*rows)).alias("r")).select("id", "r.field", "r.terms", "r.dl")
+    return docs.select("id", *also, F.explode(F.array(*rows)).alias("r")).select("id", *also, "r.field", "r.terms", "r.dl")
 
 
 def _field_row(field: str, terms: Column, keep: dict[str, list[str]] | None) -> Column:
@@ -92,29 +96,70 @@ def _counted(terms: Column) -> Column:
         return bind(starts, lambda at: F.transform(at, lambda i, k: F.struct(
             F.get(t, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - i).cast("bigint").alias("tf"))))
 
-    return bind(F.array_sort(terms), entries)
+    return bind(F.sort_array(terms), entries)
 
 
-def build_postings(docs: DataFrame, keep: dict[str, list[str]] | None = None) -> DataFrame:
-    """(field, term, id, tf, dl). Terms of a document are counted in its own row: no shuffle."""
+def build_postings(docs: DataFrame, keep: dict[str, list[str]] | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(field, term, id, tf, dl) and the columns ``also``. Terms of a document are counted in its own row: no shuffle."""
     return (
-        _field_terms(docs, keep)
-        .select("field", "id", "dl", F.explode(_counted(F.col("terms"))).alias("e"))
-        .select("field", "e.term", "id", "dl", "e.tf")
+        _field_terms(docs, keep, also)
+        .select("field", "id", *also, "dl", F.explode(_counted(F.col("terms"))).alias("e"))
+        .select("field", "e.term", "id", *also, "dl", "e.tf")
     )
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
     """Postings in blocks: one row per field, term and range of ``RANGE`` documents, with the block's best tf and shortest dl.
 
-    ``docs`` has doc_no. A range holds documents of similar length, so the two bound every score of the block closely.
+    ``docs`` has doc_no. A range holds documents of similar length, so the two bound every score of the block closely. The texts of a
+    range are brought together before their terms are counted: only texts are shuffled, and no posting.
     """
-    placed = docs.withColumn("id", F.struct("id", F.expr(f"doc_no div {RANGE}").alias("range")))
-    rows = build_postings(placed).select("field", "term", "id.range", "id.id", "dl", "tf")
-    # At most RANGE rows in a list, whatever the term.
-    return rows.groupBy("field", "term", "range").agg(
-        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
-        F.sort_array(F.collect_list(F.struct("id", "dl", "tf"))).alias("postings"),
+    size = docs.agg(F.sum(F.octet_length("job_description"))).first()[0] or 0
+    placed = docs.select("id", F.expr(f"doc_no div {RANGE}").alias("range"), "title", "skills", "job_description")
+    rows = build_postings(placed.repartition(max(1, -(-size // SHARD_BYTES)), "range"), also=("range",))
+    order = ["term", "field", "range"]
+    sorted_rows = rows.select(*order, "id", "dl", "tf").sortWithinPartitions(*order, "id", "dl", "tf")
+    return sorted_rows.mapInArrow(_runs, T.StructType([
+        *[rows.schema[name] for name in order],
+        T.StructField("n", T.LongType()), T.StructField("max_tf", T.LongType()), T.StructField("min_dl", T.IntegerType()),
+        T.StructField("postings", T.ArrayType(T.StructType([rows.schema[name] for name in ("id", "dl", "tf")]))),
+    ]))
+
+
+def _runs(batches):
+    """One row per run of rows with equal term, field and range, at most RANGE rows each; the rows come sorted by them."""
+    held = None
+    for batch in batches:
+        held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+        starts = _run_starts(held)
+        # The last run may go on in the next batch.
+        if len(starts) > 1:
+            yield _packed(held.slice(0, starts[-1]), starts[:-1])
+            held = held.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield _packed(held, _run_starts(held))
+
+
+def _run_starts(rows: pa.Table) -> np.ndarray:
+    new = np.ones(rows.num_rows, dtype=bool)
+    new[1:] = False
+    for name in ("term", "field", "range"):
+        column = rows.column(name)
+        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, max(0, len(column) - 1))).to_numpy()
+    return np.flatnonzero(new)
+
+
+def _packed(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    rows = rows.combine_chunks()
+    columns = {name: rows.column(name).combine_chunks() for name in rows.column_names}
+    offsets = np.append(starts, rows.num_rows).astype(np.int32)
+    entries = pa.StructArray.from_arrays([columns[name] for name in ("id", "dl", "tf")], ["id", "dl", "tf"])
+    return pa.RecordBatch.from_arrays(
+        [*[columns[name].take(pa.array(starts)) for name in ("term", "field", "range")], pa.array(np.diff(offsets), pa.int64()),
+         pa.array(np.maximum.reduceat(columns["tf"].to_numpy(zero_copy_only=False), starts), pa.int64()),
+         pa.array(np.minimum.reduceat(columns["dl"].to_numpy(zero_copy_only=False), starts), pa.int32()),
+         pa.ListArray.from_arrays(pa.array(offsets), entries)],
+        names=["term", "field", "range", "n", "max_tf", "min_dl", "postings"],
     )
 
 
@@ -170,7 +215,7 @@ class SearchIndex:
         """The postings of the wanted terms, of all documents or of those in some ``ranges`` (range)."""
         if self.blocks is None:
             return build_postings(self.docs, keep)
-        # Stored blocks are sorted by (field, term, range): the term list prunes files and row groups.
+        # Each file of blocks is sorted by (term, field, range): the term list prunes its row groups and pages.
         found = self.blocks.where(_wanted(keep))
         return _unpacked(found if ranges is None else found.join(ranges, "range", "left_semi"))
 
@@ -186,8 +231,7 @@ class SearchIndex:
         numbered = self.docs.sortWithinPartitions(length, "id").withColumn("doc_no", F.monotonically_increasing_id())
         numbered.write.option("maxRecordsPerFile", docs_per_file).parquet(f"{path}/docs")
         stored = spark.read.parquet(f"{path}/docs")
-        order = ["field", "term", "range"]
-        _blocks(stored).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/blocks")
+        _blocks(stored).write.parquet(f"{path}/blocks")
         blocks = spark.read.parquet(f"{path}/blocks")
         blocks.groupBy("field", "term").agg(F.sum("n").alias("df")).repartitionByRange("field", "term").sortWithinPartitions(
             "field", "term").write.parquet(f"{path}/term_stats")

@@ -65,21 +65,20 @@ def _places(spark: SparkSession, sf: str, prefix: str) -> DataFrame:
 
 def base(spark: SparkSession, sf: str, places: bool = True) -> DataFrame:
     """One row per document with the columns of its part, order, customer and label, and of its places if wanted."""
-    customer = table(spark, sf, "customer")
+    customer, part = table(spark, sf, "customer"), table(spark, sf, "part")
     if places:
         customer = customer.join(_places(spark, sf, "c"), F.col("c_nationkey") == F.col("c_key"))
-    out = (
+        supplier = table(spark, sf, "supplier").join(_places(spark, sf, "s"), F.col("s_nationkey") == F.col("s_key"))
+        part = part.join(supplier, F.col("p_size") == F.col("s_suppkey"), "left")
+    # The texts meet all else on doc_id, so they are shuffled once however large the other tables are.
+    orders = table(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return (
         table(spark, sf, "documents")
-        .join(table(spark, sf, "part"), F.col("doc_id") == F.col("p_partkey"), "left")
-        .join(table(spark, sf, "orders"), F.col("doc_id") == F.col("o_orderkey"), "left")
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+        .join(part, F.col("doc_id") == F.col("p_partkey"), "left")
+        .join(orders, F.col("doc_id") == F.col("o_orderkey"), "left")
         .join(table(spark, sf, "labels").withColumnRenamed("doc_id", "label_id"),
               F.col("doc_id") == F.col("label_id"), "left")
     )
-    if not places:
-        return out
-    supplier = table(spark, sf, "supplier").join(_places(spark, sf, "s"), F.col("s_nationkey") == F.col("s_key"))
-    return out.join(supplier, F.col("p_size") == F.col("s_suppkey"), "left")
 
 
 def with_posting_columns(df: DataFrame) -> DataFrame:
