@@ -74,19 +74,17 @@ def jobs_with_details(jobs: DataFrame, details: DataFrame) -> DataFrame:
 def job_details_lookup(requests: DataFrame, jobs: DataFrame, details: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Details for a table of keys; a key that is unknown or has no details comes back as not found."""
     key = ["run_id", "company", "external_job_id"]
-    texts = descriptions.select(F.col("job_description_path").alias("path"), "description")
-    # Only real paths take part in the text join, so blank paths do not pile up on one key.
-    described = (
-        details.select(*key, F.nullif(F.trim("job_description_path"), F.lit("")).alias("path"))
-        .where(F.col("path").isNotNull())
-        .join(texts, "path", "left")
-    )
-    found = (
+    path = F.nullif(F.trim("job_description_path"), F.lit(""))
+    hits = (
         jobs.where(~F.col("is_missing_details"))
         .select(*key, "title", "posted_ts", F.lit(True).alias("_hit"))
-        .join(described, key, "left")
+        .join(details.select(*key, path.alias("path")).where("path IS NOT NULL"), key, "left")
     )
-    return requests.join(found, key, "left").withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    # Keys meet keys alone and texts come last, so they are moved once. Rows without a path are dealt out by their key and meet none.
+    asked = requests.join(hits, key, "left").withColumn("_at", F.coalesce("path", F.concat_ws(":", *key)))
+    texts = descriptions.select(F.col("job_description_path").alias("_path"), "description")
+    found = asked.join(texts, (F.col("_at") == F.col("_path")) & F.col("path").isNotNull(), "left")
+    return found.withColumn("found", F.coalesce("_hit", F.lit(False))).drop("_hit", "_at", "_path")
 
 
 def list_companies(companies: DataFrame, run_id: str) -> DataFrame:

@@ -158,12 +158,18 @@ def write_descriptions(catalog: Catalog, run_id: str, texts: DataFrame) -> DataF
     return keyed.select(F.lit(run_id).alias("run_id"), "company", "external_job_id", "job_description_path")
 
 
-def read_descriptions(catalog: Catalog, details: DataFrame, runs: list[str]) -> DataFrame:
-    """Details with their text. A path that was carried forward points into an earlier run; a blank one gives NULL."""
+def stored_descriptions(catalog: Catalog, runs: list[str]) -> DataFrame:
+    """(job_description_path, description) of the texts that were stored with some runs."""
     texts = None
     for run_id in runs:
         part = catalog.scan_run("descriptions", run_id).select("job_description_path", "description")
         texts = part if texts is None else texts.unionByName(part)
+    return texts
+
+
+def read_descriptions(catalog: Catalog, details: DataFrame, runs: list[str]) -> DataFrame:
+    """Details with their text. A path that was carried forward points into an earlier run; a blank one gives NULL."""
+    texts = stored_descriptions(catalog, runs)
     path = F.nullif(F.trim("job_description_path"), F.lit(""))
     with_path = details.withColumn("_path", path)
     found = with_path.where(F.col("_path").isNotNull()).join(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import browse as B
 from ..operators import search as S
 from ..operators.filters import apply_filters
-from .catalog import NAMESPACE, Catalog, read_descriptions
+from .catalog import NAMESPACE, Catalog, stored_descriptions
 
 SHOWN = ["run_id", "company", "external_job_id", "title", "posted_ts"]
 
@@ -56,8 +56,11 @@ class PublishedRun:
         asked = requests.select(F.lit(self.run_id).alias("run_id"), "company", "external_job_id")
         # Only the details that are asked for meet the texts.
         wanted = self.details().join(asked, ["run_id", "company", "external_job_id"], "left_semi")
-        texts = read_descriptions(self.catalog, wanted, runs or [self.run_id]).select("job_description_path", "description")
-        return B.job_details_lookup(asked, self.jobs(), wanted, texts.where(F.col("job_description_path").isNotNull()).distinct())
+        texts = stored_descriptions(self.catalog, runs or [self.run_id])
+        # All by path: the texts are moved once, for this, for the distinct ones and for the lookup.
+        paths = wanted.select(F.trim("job_description_path").alias("job_description_path")).where("job_description_path <> ''").distinct()
+        near = texts.join(paths, "job_description_path", "left_semi").distinct()
+        return B.job_details_lookup(asked, self.jobs(), wanted, near)
 
     def search(self, query: str, vector: list[float], page: int = 1, size: int = B.PAGE_SIZE, **filters) -> DataFrame:
         """One page of the fused text and vector candidates."""

@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from postmill import schemas
 from postmill.operators import search as S
 from postmill.plans import views as V
+from postmill.sources import catalog as C
+from postmill.sources.published import PublishedRun
 
 TABLES = {
     "documents": ("doc_id long, text string, lang string, source string", [(i, f"text {i}", "en", "web") for i in range(6)]),
@@ -103,3 +106,23 @@ def test_runs_go_on_over_batches(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     every = [r[0] for r in rows]
     assert got == {("cook", "title"): every, **{(w, "job_description"): every for w in ("same", "words", "here")}}
+
+
+def test_details_move_texts_by_path_only(spark, tmp_path, no_broadcast):
+    catalog = C.Catalog(spark, str(tmp_path / "c"))
+    jobs = spark.createDataFrame(
+        [("r", None, "amazon", str(i), f"T{i}", None, None, None, None, [], [], [], None, i == 3, None) for i in range(6)], schemas.JOBS)
+    catalog.write_run("jobs", "r", jobs)
+    texts = jobs.select("company", "external_job_id", F.concat(F.lit("text of "), "title").alias("description"))
+    details = C.write_descriptions(catalog, "r", texts)
+    # A key with two details rows of which one is blank, and one whose path is blank.
+    path = F.when(F.col("external_job_id") == "4", F.lit(" ")).otherwise(F.col("job_description_path"))
+    extra = details.where("external_job_id = '1'").withColumn("job_description_path", F.lit(None).cast("string"))
+    catalog.write_run("job_details", "r", details.withColumn("job_description_path", path).unionByName(extra))
+    reader = PublishedRun.__new__(PublishedRun)
+    reader.catalog, reader.run_id = catalog, "r"
+    asked = spark.createDataFrame([("amazon", i) for i in ("0", "1", "3", "4", "9")], "company string, external_job_id string")
+    found = reader.job_details(asked)
+    assert len(_moved(found, "description")) == 1
+    assert sorted((r["external_job_id"], r["found"], r["description"]) for r in found.collect()) == [
+        ("0", True, "text of T0"), ("1", True, "text of T1"), ("3", False, None), ("4", True, None), ("9", False, None)]
