@@ -8,33 +8,40 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
+from .phrases import chunks
 
 Model = Callable[[list[str]], list[list[float]]]
+# Bytes of text that a model gets at a time.
+MODEL_BYTES = 1 << 20
 
 
 def embed(docs: DataFrame, load_model: Callable[[], Model], key: str) -> DataFrame:
-    """(key, embedding): ``load_model`` runs once per task and the model gets the texts of one batch at a time.
+    """(key, embedding): ``load_model`` runs once per task and the model gets ``MODEL_BYTES`` of text at a time, or one longer text.
 
     A blank text has an empty vector.
     """
     schema = T.StructType([docs.schema[key], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model()
-        for batch in batches:
-            texts = batch["text"].fillna("")
-            blank = texts.str.strip() == ""
-            vectors = pd.Series([[]] * len(batch), index=batch.index, dtype="object")
-            if (~blank).any():
-                vectors[~blank] = pd.Series(list(model(texts[~blank].tolist())), index=batch.index[~blank])
-            yield pd.DataFrame({key: batch[key], "embedding": vectors})
-
-    return docs.select(key, "text").mapInPandas(run, schema)
+        for part in chunks(batches, max_bytes=MODEL_BYTES):
+            texts = pc.fill_null(part.column("text"), "").to_pylist()
+            full = [i for i, text in enumerate(texts) if text.strip()]
+            vectors: list = [[]] * len(texts)
+            if full:
+                for i, vector in zip(full, model([texts[i] for i in full]), strict=True):
+                    vectors[i] = vector
+            yield pa.RecordBatch.from_arrays(
+                [part.column(key), pa.array(vectors, pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    return docs.select(key, "text").mapInArrow(run, schema)
 
 
 def hashed_embeddings(docs: DataFrame, dims: int = 384) -> DataFrame:
