@@ -14,6 +14,9 @@ from ..functions.text import strip
 from ..session import is_small, scratch_path
 from .phrases import CHUNK_BYTES, PhraseTrie, Tokens, chunks
 
+# Bytes of text that a task takes apart at a time.
+TASK_BYTES = CHUNK_BYTES // 4
+
 # A word may hold + # . ' & / - inside or + # at its end, so C++, C#, Node.js and CI/CD stay whole; any other mark
 # is a token of its own. Possessive throughout, so a long unspaced string needs no backtracking stack.
 WORD = r"[\p{L}\p{N}_]++(?:[.+#'&/\-]*+[\p{L}\p{N}_]++)*+[+#]*+|[^\s\p{L}\p{N}_]"
@@ -179,7 +182,7 @@ def _in_tasks(docs: DataFrame, keys: DataFrame) -> DataFrame:
     def run(batches):
         match = sent.value
         names = pa.array(match.skills, pa.string())
-        for part in chunks(batches, max_bytes=CHUNK_BYTES // 4):
+        for part in chunks(batches, max_bytes=TASK_BYTES):
             text, stage, pos, size, skill = match(Tokens(pc.fill_null(part.column("text"), "").to_pylist()))
             offsets = np.searchsorted(text, np.arange(part.num_rows + 1))
             found = pa.StructArray.from_arrays(
@@ -227,7 +230,7 @@ def _by_first_word(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
     def places(batches):
         begins = sent.value
-        for part in chunks(batches, max_bytes=CHUNK_BYTES // 4):
+        for part in chunks(batches, max_bytes=TASK_BYTES):
             tokens = Tokens(pc.fill_null(part.column("text"), "").to_pylist())
             for stage in stages:
                 words = _words_of(tokens, stage)
