@@ -35,6 +35,7 @@ RANGE = 128
 FIRST_RANGES = 16
 # Bytes of text whose blocks one task builds and stores in one file.
 SHARD_BYTES = 16 << 20
+BLOCKS_OF_A_BATCH = 20_000
 RESULT_COLUMNS = [
     "run_id", "company", "external_job_id", "title", "job_type", "job_level", "details_url", "apply_url", "locations",
 ]
@@ -69,10 +70,10 @@ def _fields(docs: DataFrame) -> dict[str, Column]:
     }
 
 
-def _field_terms(docs: DataFrame, keep: dict[str, list[str]] | None, also: tuple[str, ...]) -> DataFrame:
+def _field_terms(docs: DataFrame, keep: dict[str, list[str]] | None) -> DataFrame:
     """(id, field, terms, dl), one row per field; ``keep`` drops all other terms before anything is exploded."""
     rows = [_field_row(field, terms, keep) for field, terms in _fields(docs).items()]
-    return docs.select("id", *also, F.explode(F.array(*rows)).alias("r")).select("id", *also, "r.field", "r.terms", "r.dl")
+    return docs.select("id", F.explode(F.array(*rows)).alias("r")).select("id", "r.field", "r.terms", "r.dl")
 
 
 def _field_row(field: str, terms: Column, keep: dict[str, list[str]] | None) -> Column:
@@ -99,12 +100,12 @@ def _counted(terms: Column) -> Column:
     return bind(F.sort_array(terms), entries)
 
 
-def build_postings(docs: DataFrame, keep: dict[str, list[str]] | None = None, also: tuple[str, ...] = ()) -> DataFrame:
-    """(field, term, id, tf, dl) and the columns ``also``. Terms of a document are counted in its own row: no shuffle."""
+def build_postings(docs: DataFrame, keep: dict[str, list[str]] | None = None) -> DataFrame:
+    """(field, term, id, tf, dl). Terms of a document are counted in its own row: no shuffle."""
     return (
-        _field_terms(docs, keep, also)
-        .select("field", "id", *also, "dl", F.explode(_counted(F.col("terms"))).alias("e"))
-        .select("field", "e.term", "id", *also, "dl", "e.tf")
+        _field_terms(docs, keep)
+        .select("field", "id", "dl", F.explode(_counted(F.col("terms"))).alias("e"))
+        .select("field", "e.term", "id", "dl", "e.tf")
     )
 
 
@@ -112,55 +113,78 @@ def _blocks(docs: DataFrame) -> DataFrame:
     """Postings in blocks: one row per field, term and range of ``RANGE`` documents, with the block's best tf and shortest dl.
 
     ``docs`` has doc_no. A range holds documents of similar length, so the two bound every score of the block closely. The texts of a
-    range are brought together before their terms are counted: only texts are shuffled, and no posting.
+    range are brought together before their terms are counted: only texts are shuffled, and no posting. A task gets the terms of its
+    documents as they are and counts and sorts them as numbers, so no posting is a row before its block is made.
     """
     size = docs.agg(F.sum(F.octet_length("job_description"))).first()[0] or 0
     placed = docs.select("id", F.expr(f"doc_no div {RANGE}").alias("range"), "title", "skills", "job_description")
-    rows = build_postings(placed.repartition(max(1, -(-size // SHARD_BYTES)), "range"), also=("range",))
-    order = ["term", "field", "range"]
-    sorted_rows = rows.select(*order, "id", "dl", "tf").sortWithinPartitions(*order, "id", "dl", "tf")
-    return sorted_rows.mapInArrow(_runs, T.StructType([
-        *[rows.schema[name] for name in order],
+    rows = placed.repartition(max(1, -(-size // SHARD_BYTES)), "range")
+    terms = rows.select("id", "range", *[terms.alias(field) for field, terms in sorted(_fields(rows).items())])
+    return terms.mapInArrow(_packed, T.StructType([
+        T.StructField("term", T.StringType()), T.StructField("field", T.StringType()), rows.schema["range"],
         T.StructField("n", T.LongType()), T.StructField("max_tf", T.LongType()), T.StructField("min_dl", T.IntegerType()),
-        T.StructField("postings", T.ArrayType(T.StructType([rows.schema[name] for name in ("id", "dl", "tf")]))),
+        T.StructField("postings", T.ArrayType(T.StructType([
+            rows.schema["id"], T.StructField("dl", T.IntegerType()), T.StructField("tf", T.LongType())]))),
     ]))
 
 
-def _runs(batches):
-    """One row per run of rows with equal term, field and range, at most RANGE rows each; the rows come sorted by them."""
-    held = None
+def _packed(batches):
+    """The blocks of a task's documents, in the order of (term, field, range); the postings of each in the order of their ids."""
+    fields, held, docs, terms, n = sorted(BOOSTS), [], [], [], 0
     for batch in batches:
-        held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-        starts = _run_starts(held)
-        # The last run may go on in the next batch.
-        if len(starts) > 1:
-            yield _packed(held.slice(0, starts[-1]), starts[:-1])
-            held = held.slice(starts[-1])
-    if held is not None and held.num_rows:
-        yield _packed(held, _run_starts(held))
-
-
-def _run_starts(rows: pa.Table) -> np.ndarray:
-    new = np.ones(rows.num_rows, dtype=bool)
-    new[1:] = False
-    for name in ("term", "field", "range"):
-        column = rows.column(name)
-        new[1:] |= pc.not_equal(column.slice(1), column.slice(0, max(0, len(column) - 1))).to_numpy()
-    return np.flatnonzero(new)
-
-
-def _packed(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-    rows = rows.combine_chunks()
-    columns = {name: rows.column(name).combine_chunks() for name in rows.column_names}
-    offsets = np.append(starts, rows.num_rows).astype(np.int32)
-    entries = pa.StructArray.from_arrays([columns[name] for name in ("id", "dl", "tf")], ["id", "dl", "tf"])
-    return pa.RecordBatch.from_arrays(
-        [*[columns[name].take(pa.array(starts)) for name in ("term", "field", "range")], pa.array(np.diff(offsets), pa.int64()),
-         pa.array(np.maximum.reduceat(columns["tf"].to_numpy(zero_copy_only=False), starts), pa.int64()),
-         pa.array(np.minimum.reduceat(columns["dl"].to_numpy(zero_copy_only=False), starts), pa.int32()),
-         pa.ListArray.from_arrays(pa.array(offsets), entries)],
-        names=["term", "field", "range", "n", "max_tf", "min_dl", "postings"],
-    )
+        docs.append(batch.select(["id", "range"]))
+        for number, field in enumerate(fields):
+            dl = pc.list_value_length(batch.column(field)).to_numpy(zero_copy_only=False).astype(np.int32)
+            words = batch.column(field).flatten().dictionary_encode()
+            wide = max(1, len(words.dictionary))
+            # The occurrences of a document's term fall together; only the distinct ones are kept.
+            own = np.repeat(np.arange(len(dl), dtype=np.int64), dl) * wide + words.indices.to_numpy()
+            own, tf = np.unique(own, return_counts=True)
+            terms.append(pa.DictionaryArray.from_arrays(pa.array((own % wide).astype(np.int32)), words.dictionary))
+            held.append((own // wide + n, np.full(len(own), number, np.int8), tf.astype(np.int32), dl[own // wide]))
+        n += batch.num_rows
+    if not sum(len(t) for t in terms):
+        return
+    docs = pa.Table.from_batches(docs).combine_chunks()
+    by_id = pc.sort_indices(docs, sort_keys=[("range", "ascending"), ("id", "ascending")]).to_numpy()
+    ids, ranges = docs.column("id").take(by_id).combine_chunks(), docs.column("range").to_numpy()[by_id]
+    terms = pa.chunked_array(terms).unify_dictionaries().combine_chunks()
+    by_term = pc.sort_indices(terms.dictionary).to_numpy()
+    vocabulary = terms.dictionary.take(pa.array(by_term))
+    doc, field, tf, dl = [np.concatenate(parts) for parts in zip(*held)]
+    del held
+    # One number per posting: its term's place, its field, its document's place.
+    key = (_places(by_term)[terms.indices.to_numpy()] * len(fields) + field) * n + _places(by_id)[doc]
+    del terms, doc, field
+    order = np.argsort(key)
+    key, tf, dl = key[order], tf[order], dl[order]
+    place = key % n
+    key //= n
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (ranges[place[1:]] != ranges[place[:-1]])
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(key))
+    names = pa.array(fields)
+    for at in range(0, len(starts), BLOCKS_OF_A_BATCH):
+        first, stop = starts[at : at + BLOCKS_OF_A_BATCH], ends[at : at + BLOCKS_OF_A_BATCH]
+        part, heads = slice(first[0], stop[-1]), first - first[0]
+        entries = pa.StructArray.from_arrays(
+            [ids.take(pa.array(place[part])), pa.array(dl[part]), pa.array(tf[part].astype(np.int64))], ["id", "dl", "tf"])
+        offsets = pa.array(np.append(heads, stop[-1] - first[0]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [vocabulary.take(pa.array(key[first] // len(fields))), names.take(pa.array(key[first] % len(fields))),
+             pa.array(ranges[place[first]]), pa.array(stop - first),
+             pa.array(np.maximum.reduceat(tf[part], heads).astype(np.int64)), pa.array(np.minimum.reduceat(dl[part], heads)),
+             pa.ListArray.from_arrays(offsets, entries)],
+            names=["term", "field", "range", "n", "max_tf", "min_dl", "postings"],
+        )
+
+
+def _places(order: np.ndarray) -> np.ndarray:
+    """The place of each row in an order of rows."""
+    places = np.empty(len(order), dtype=np.int64)
+    places[order] = np.arange(len(order))
+    return places
 
 
 def build_term_stats(postings: DataFrame) -> DataFrame:

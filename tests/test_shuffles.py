@@ -108,6 +108,19 @@ def test_runs_go_on_over_batches(spark, monkeypatch):
     assert got == {("cook", "title"): every, **{(w, "job_description"): every for w in ("same", "words", "here")}}
 
 
+def test_index_blocks_sort_no_postings(spark):
+    """No posting is a row before its block is made: the plan neither explodes terms nor sorts them."""
+    docs = spark.createDataFrame([("a", 0, None, None, "b a \u00e9 b"), ("c", 1, "A", ["x", None], None)],
+                                 "id string, doc_no long, title string, skills array<string>, job_description string")
+    blocks = S._blocks(docs)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Generate" not in plan
+    assert [(b["term"], b["field"], [tuple(p) for p in b["postings"]]) for b in blocks.collect()] == [
+        ("a", "job_description", [("a", 4, 1)]), ("a", "title", [("c", 1, 1)]), ("b", "job_description", [("a", 4, 2)]),
+        ("x", "skills", [("c", 1, 1)]), ("\u00e9", "job_description", [("a", 4, 1)])]
+    assert S._blocks(docs.where("false")).collect() == []
+
+
 def test_details_move_texts_by_path_only(spark, tmp_path, no_broadcast):
     catalog = C.Catalog(spark, str(tmp_path / "c"))
     jobs = spark.createDataFrame(
