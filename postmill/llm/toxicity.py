@@ -152,6 +152,19 @@ def _features(batches):
         )
 
 
+def _fitted(batches):
+    """One row with the weights and the intercept for the rows of the sample, if there are any."""
+    forget_caches()
+    rows, toxic = [], []
+    for batch in batches:
+        rows += [np.frombuffer(b.as_buffer(), dtype=np.int32) for b in batch.column("bins")]
+        toxic += batch.column("toxic").to_pylist()
+    if rows:
+        weights, intercept = fit_bins(rows, np.array(toxic, dtype=bool))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([weights.tobytes()], pa.binary()), pa.array([intercept], pa.float64())], names=["weights", "intercept"])
+
+
 def train(docs: DataFrame, labels: DataFrame):
     """Fit on the bounded sample; only rows outside the held-out fold are read."""
     spark = docs.sparkSession
@@ -167,19 +180,24 @@ def train(docs: DataFrame, labels: DataFrame):
     where = scratch_path(spark, "toxicity-sample")
     # At most 2 x TRAIN_ROWS ids are broadcast.
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    texts.select("doc_id", "toxic", "text").mapInArrow(_features, "doc_id bigint, toxic boolean, n int, bins binary").write.parquet(where)
+    found = texts.select("doc_id", "toxic", "text").mapInArrow(_features, "doc_id bigint, toxic boolean, n int, bins binary")
+    # The digest settles the order of rows with one id.
+    found.withColumn("digest", F.xxhash64("bins")).write.parquet(where)
     stored = spark.read.parquet(where)
-    rows, toxic = [], []
+    order += [F.col("n"), F.col("digest")]
+    parts = []
     for kind in (True, False):
-        ordered = stored.where(F.col("toxic") == kind).orderBy(*order, "n", F.xxhash64("bins"))
-        sizes = np.array([r["n"] for r in ordered.select("doc_id", "n", "bins").limit(TRAIN_ROWS).select("n").collect()], dtype=np.int64)
-        fitting = int(np.searchsorted(np.cumsum(sizes), TRAIN_FEATURES // 2, side="right"))
+        rows = stored.where(F.col("toxic") == kind)
+        head = rows.select("doc_id", "n", "digest").orderBy(*order).limit(TRAIN_ROWS).collect()
         # One text at least, which has BINS features at most.
-        found = ordered.select("bins", "doc_id", "n").limit(max(1, fitting)).select("bins").toArrow().column("bins")
-        rows += [np.frombuffer(b.as_buffer(), dtype=np.int32) for b in found]
-        toxic += [kind] * len(found)
-        del found
-    return fit_bins(rows, np.array(toxic, dtype=bool))
+        fitting = max(1, int(np.searchsorted(np.cumsum([r["n"] for r in head]), TRAIN_FEATURES // 2, side="right")))
+        parts.append(rows.orderBy(*order).limit(fitting))
+    # The bounded sample meets in one task, which fits on it; the driver gets the weights alone.
+    fitted = parts[0].unionByName(parts[1]).repartition(1).sortWithinPartitions(F.col("toxic").desc(), *order)
+    model = fitted.select("toxic", "bins").mapInArrow(_fitted, "weights binary, intercept double").collect()
+    if not model:
+        return fit_bins([], np.zeros(0, dtype=bool))
+    return np.frombuffer(model[0]["weights"], dtype=np.float32), model[0]["intercept"]
 
 
 def _scored(docs: DataFrame, model) -> DataFrame:

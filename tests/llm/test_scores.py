@@ -1,5 +1,6 @@
 """Quality rules, toxicity, the mix and the search next to brute force."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -105,6 +106,27 @@ def test_long_labelled_texts_are_learned_from(spark):
     assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in got) >= 57
 
 
+def test_the_sample_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver fits nothing, and gets the weights of the same rows in the same order as a fit of the whole sample."""
+    rows = toxic_corpus(80)
+    df, labels = frame(spark, rows), labels_for(spark, rows, toxic=lambda d: int(d % 5 == 0))
+    used = [r.doc_id for r in labels.where(~toxicity.held_out(labels.doc_id)).orderBy("doc_id").collect() if r.doc_id in dict(rows)]
+    order = {r.doc_id: r.h for r in labels.selectExpr("doc_id", "xxhash64(cast(doc_id as bigint)) h").collect()}
+    used.sort(key=lambda d: (d % 5 != 0, order[d]))
+    want, at = toxicity.fit([dict(rows)[d] for d in used], np.array([d % 5 == 0 for d in used]))
+
+    here = os.getpid()
+    real = toxicity.fit_bins
+
+    def elsewhere(rows, *rest, **options):
+        assert os.getpid() != here
+        return real(rows, *rest, **options)
+
+    monkeypatch.setattr(toxicity, "fit_bins", elsewhere)
+    weights, intercept = toxicity.train(df, labels)
+    assert np.array_equal(weights, want) and intercept == at
+
+
 def test_labels_that_contradict_and_features_that_do_not_fit(spark, monkeypatch):
     rows = toxic_corpus(200)
     df = frame(spark, rows)
