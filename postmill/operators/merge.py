@@ -146,4 +146,5 @@ def backfill_posted_ts(target_jobs: DataFrame, source_jobs: DataFrame, source_de
 def pending_detail_requests(scraped: DataFrame, details: DataFrame) -> DataFrame:
     """Scraped (company, external_job_id) pairs without details; copies collapse before the join."""
     key = ["company", "external_job_id"]
-    return scraped.select(*key).distinct().join(details.select(*key), key, "left_anti")
+    # Both sides grow with the run: neither goes through the driver.
+    return scraped.select(*key).distinct().join(details.select(*key).hint("merge"), key, "left_anti")

@@ -28,7 +28,7 @@ def details_counts(jobs: DataFrame, details: DataFrame) -> DataFrame:
     joined = (
         jobs.where(~F.col("is_missing_details"))
         .select(*KEY, empty.alias("_no_vector"))
-        .join(details.select(*KEY, (path == "").alias("_no_path")), KEY)
+        .join(details.select(*KEY, (path == "").alias("_no_path")).hint("merge"), KEY)
     )
     return joined.groupBy("company").agg(
         F.count("*").alias("details"),

@@ -70,13 +70,14 @@ def base(spark: SparkSession, sf: str, places: bool = True) -> DataFrame:
         customer = customer.join(_places(spark, sf, "c"), F.col("c_nationkey") == F.col("c_key"))
         supplier = table(spark, sf, "supplier").join(_places(spark, sf, "s"), F.col("s_nationkey") == F.col("s_key"))
         part = part.join(supplier, F.col("p_size") == F.col("s_suppkey"), "left")
-    # The texts meet all else on doc_id, so they are shuffled once however large the other tables are.
-    orders = table(spark, sf, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    # The texts meet all else on doc_id, so they are shuffled once however large the other tables are. These tables grow with the
+    # data, so none of them goes through the driver, which a broadcast of a small file with many rows would do.
+    orders = table(spark, sf, "orders").join(customer.hint("merge"), F.col("o_custkey") == F.col("c_custkey"), "left")
     return (
         table(spark, sf, "documents")
-        .join(part, F.col("doc_id") == F.col("p_partkey"), "left")
-        .join(orders, F.col("doc_id") == F.col("o_orderkey"), "left")
-        .join(table(spark, sf, "labels").withColumnRenamed("doc_id", "label_id"),
+        .join(part.hint("merge"), F.col("doc_id") == F.col("p_partkey"), "left")
+        .join(orders.hint("merge"), F.col("doc_id") == F.col("o_orderkey"), "left")
+        .join(table(spark, sf, "labels").withColumnRenamed("doc_id", "label_id").hint("merge"),
               F.col("doc_id") == F.col("label_id"), "left")
     )
 
@@ -153,7 +154,7 @@ def jobs(spark: SparkSession, sf: str, run: str = "r2", embedding: bool = False,
     columns = _JOB_COLUMNS
     if embedding:
         vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("job_description_embedding"))
-        out = out.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").withColumn(
+        out = out.join(vectors.hint("merge"), F.col("doc_id") == F.col("vec_id"), "left").withColumn(
             "job_description_embedding",
             F.coalesce("job_description_embedding", F.array().cast("array<float>")),
         )
@@ -198,7 +199,7 @@ def indexed_docs(spark: SparkSession, sf: str, embedding: bool = True) -> DataFr
     columns = ["id", "run_id", *_JOB_COLUMNS[2:12], "job_description"]
     if embedding:
         vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("job_description_embedding"))
-        docs = docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").withColumn(
+        docs = docs.join(vectors.hint("merge"), F.col("doc_id") == F.col("vec_id"), "left").withColumn(
             "job_description_embedding", F.coalesce("job_description_embedding", F.array().cast("array<float>")))
         columns.append("job_description_embedding")
     run = F.lit("r2")

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill import schemas
+from postmill.operators import merge as M
+from postmill.operators import quality as Q
 from postmill.operators import search as S
 from postmill.plans import views as V
 from postmill.sources import catalog as C
@@ -58,6 +60,20 @@ def test_base_moves_texts_once(spark, folder, no_broadcast, places):
     assert len(_moved(df.select("external_job_id", "title", "locations", "is_missing_details", "text"), "text")) == 1
 
 
+def _broadcasts(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("BroadcastExchange")
+
+
+@pytest.mark.parametrize("gate", [Q.jobs_counts, lambda jobs: Q.details_counts(jobs, jobs), lambda jobs: M.pending_detail_requests(jobs, jobs)])
+def test_tables_that_grow_are_not_broadcast(spark, folder, gate):
+    """However small their files are."""
+    jobs = V.with_posting_columns(V.base(spark, folder, places=False)).select(
+        F.lit("r").alias("run_id"), "company", "external_job_id", "is_missing_details", F.array("p_size").alias("job_description_embedding"),
+        F.lit("a").alias("job_description_path"))
+    assert _broadcasts(gate(jobs)) == 0
+
+
 def test_base_keeps_all_rows(spark, folder):
     got = sorted(str((r["doc_id"], r["p_name"], r["s_name"], r["s_nation"], r["c_mktsegment"], r["c_nation"], r["quality"]))
                  for r in V.base(spark, folder).collect())
