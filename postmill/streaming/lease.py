@@ -67,6 +67,7 @@ def lease_states(events: DataFrame, as_of: Column, lease_ttl: int = LEASE_TTL, b
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 SUMMARY = "enqueued bigint, lease_ts bigint, lease_seq bigint, lease_token string, end_ts bigint, end_seq bigint, end_action string"
+EVENT = "ts: bigint, seq: bigint, action: string, token: string"
 TRACKED = f"scope string, resource string, {SUMMARY}, state string, timer int"
 COLUMNS = [field.split()[0] for field in TRACKED.split(", ")]
 
@@ -121,14 +122,19 @@ class LeaseTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", SUMMARY)
-        self.pending = handle.getListState("pending", "ts bigint, seq bigint, action string, token string")
+        # One value, so a resource costs one read and one write, each of which leaves the worker.
+        self.held = handle.getValueState("settled", f"{SUMMARY}, pending array<struct<{EVENT}>>")
 
-    def _summary(self) -> Summary:
-        return Summary(tuple(self.settled.get())) if self.settled.exists() else Summary()
+    def _read(self) -> tuple[Summary, list[tuple]]:
+        """What the settled events led to, and the others in their order."""
+        value = self.held.get()
+        if value is None:
+            return Summary(), []
+        *settled, pending = value
+        return Summary(settled), sorted((tuple(e) for e in pending or ()), key=lambda e: (e[0], e[1]))
 
-    def _events(self) -> list[tuple]:
-        return sorted((tuple(e) for e in self.pending.get()), key=lambda e: (e[0], e[1])) if self.pending.exists() else []
+    def _write(self, settled: Summary, pending: list[tuple]) -> None:
+        self.held.update((*settled.values(), pending))
 
     def _row(self, key, summary: Summary, watermark: int, timer: int) -> Row:
         state = summary.state(max(0, watermark) // 1000, self.lease_ttl, self.block_ttl)
@@ -136,17 +142,17 @@ class LeaseTracker(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         new = [(r["ts"], r["seq"], r["action"], r["token"]) for r in rows]
-        self.pending.appendList(new)
         # One timer for what came together.
         self.handle.registerTimer(max(e[0] for e in new) * 1000)
-        summary = self._summary()
-        for event in self._events():
+        summary, before = self._read()
+        self._write(summary, before + new)
+        for event in sorted(before + new, key=lambda e: (e[0], e[1])):
             summary.add(*event, self.lease_ttl)
         yield self._row(key, summary, timerValues.getCurrentWatermarkInMs(), 0)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         watermark = timerValues.getCurrentWatermarkInMs()
-        events, settled = self._events(), self._summary()
+        settled, events = self._read()
         due = [e for e in events if e[0] * 1000 <= watermark]
         rest = events[len(due):]
         for event in due:
@@ -155,11 +161,6 @@ class LeaseTracker(StatefulProcessor):
         for event in rest:
             whole.add(*event, self.lease_ttl)
         yield self._row(key, whole, watermark, 1)
-        if due:
-            if rest:
-                self.pending.put(rest)
-            else:
-                self.pending.clear()
         if settled.lease_ts is not None:
             free_at = settled.free_at(self.lease_ttl, self.block_ttl)
             if free_at * 1000 > watermark:
@@ -168,10 +169,10 @@ class LeaseTracker(StatefulProcessor):
                 # Over: only that the resource is available, if it is, can still matter.
                 there = settled.state(free_at, self.lease_ttl, self.block_ttl) == "available"
                 settled = Summary((max(settled.enqueued or free_at, free_at) if there else None, *(None,) * 6))
-        if any(v is not None for v in settled.values()):
-            self.settled.update(settled.values())
+        if rest or any(v is not None for v in settled.values()):
+            self._write(settled, rest)
         else:
-            self.settled.clear()
+            self.held.clear()
 
     def close(self) -> None:
         pass
