@@ -11,6 +11,8 @@ from ..schemas import LOCATIONS
 
 # Letter-or-digit runs.
 TOKEN = r"[\p{L}\p{N}]+"
+# All Unicode white space, what ``(?U)\s`` matches.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def bind(x: Column, fn: Callable[[Column], Column]) -> Column:
@@ -19,8 +21,8 @@ def bind(x: Column, fn: Callable[[Column], Column]) -> Column:
 
 
 def strip(x: Column) -> Column:
-    """Trim all Unicode white space on both ends."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Trim all Unicode white space on both ends; what is between them is not looked at."""
+    return F.btrim(x, F.lit(WHITE_SPACE))
 
 
 def blank_to_null(x: Column) -> Column:
@@ -40,7 +42,8 @@ def to_int(x: Column) -> Column:
 
 
 def collapse_space(x: Column) -> Column:
-    return strip(F.regexp_replace(x, r"(?U)\s+", " "))
+    # A single blank stays as it is, so it is no match.
+    return strip(F.regexp_replace(x, r"(?U)\s{2,}+|[^\S ]", " "))
 
 
 def unix_newlines(x: Column) -> Column:

@@ -16,6 +16,8 @@ from ..schemas import PAY_RANGE
 _SIDE = r"(\b[A-Z]{2,3}\b)?\s*+([$€£¥])?\s*+"
 AMOUNT = r"(?:(?<!\d)|(?!\d{4}))(\d{1,3}+(?:,\d{3})++|\d{4,}+)"
 RANGE = rf"(?iuU)(?:(?<!\s)|(?=\S)){_SIDE}{AMOUNT}\s*+(?:-|–|to)\s*+{_SIDE}{AMOUNT}"
+# All of a text with a range, for its groups at once.
+WHOLE = rf"(?s)\A.*?(?:{RANGE}).*\z"
 # What every range has between its amounts; it begins with a digit, so a text without one costs a look at each character.
 BETWEEN = r"(?U)\d\s*+(?:[-–]|[tT][oO])"
 CONTEXT_WORDS = ["salary", "base pay", "base salary", "pay range", "compensation"]
@@ -35,7 +37,8 @@ def clean_fragment(x: Column) -> Column:
     bare = F.regexp_replace(lines, r"<[^>]+>", " ")
     # Only texts with an entity go to Python.
     plain = F.coalesce(unescape_all(F.when(F.contains(x, F.lit("&")), bare)), bare)
-    return strip(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+", " "), r"\n{2,}", "\n"))
+    # A single blank or line end stays as it is, so it is no match.
+    return strip(F.regexp_replace(F.regexp_replace(plain, r" [ \t]++|\t[ \t]*+", " "), r"\n{2,}+", "\n"))
 
 
 def _has_any(x: Column, words: list[str]) -> Column:
@@ -44,8 +47,7 @@ def _has_any(x: Column, words: list[str]) -> Column:
 
 def _range_at(match: Column, context: Column, trailing: Column) -> Column:
     """One range: its amounts, currency and interval, given the sentence around it and the text behind it."""
-    group = lambda i: F.regexp_extract(match, RANGE, i)
-    amount = lambda i: F.replace(group(i), F.lit(","), F.lit("")).try_cast("bigint")
+    amount = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("bigint")
 
     def build(p: Column) -> Column:
         around = F.lower(F.concat_ws(" ", p["context"], p["trailing"]))
@@ -63,13 +65,18 @@ def _range_at(match: Column, context: Column, trailing: Column) -> Column:
             ),
         )
 
-    return bind(
-        F.struct(
-            group(1).alias("code1"), group(2).alias("sym1"), amount(3).alias("low"), group(4).alias("code2"),
-            group(5).alias("sym2"), amount(6).alias("high"), context.alias("context"), trailing.alias("trailing"),
-        ),
-        build,
-    )
+    def parted(groups: Column) -> Column:
+        code1, sym1, low, code2, sym2, high = [F.get(groups, i) for i in range(6)]
+        return bind(
+            F.struct(
+                code1.alias("code1"), sym1.alias("sym1"), amount(low).alias("low"), code2.alias("code2"),
+                sym2.alias("sym2"), amount(high).alias("high"), context.alias("context"), trailing.alias("trailing"),
+            ),
+            build,
+        )
+
+    # One search gives all six groups; the mark is in no text.
+    return bind(F.split(F.regexp_replace(match, WHOLE, MARK.join(f"${i}" for i in range(1, 7))), MARK, -1), parted)
 
 
 def _ranges_of_sentence(sentences: Column, sentence: Column, index: Column) -> Column:
@@ -127,10 +134,10 @@ def pay_ranges(text: Column) -> Column:
 
 def pay_notes(text: Column, ranges: Column) -> Column:
     """Distinct sentences or lines with a pay word that are not the context of a range."""
-    pieces = F.transform(F.split(text, r"(?U)\n+|(?<=[.!?])\s+"), collapse_space)
+    # A word has no white space inside, so pieces without one are dropped as they are.
+    pieces = F.filter(F.split(text, r"(?U)\n+|(?<=[.!?])\s+"), lambda s: _has_any(F.lower(s), NOTE_WORDS))
     contexts = F.transform(ranges, lambda r: r["context"])
-    kept = F.filter(pieces, lambda s: (s != "") & _has_any(F.lower(s), NOTE_WORDS))
-    return F.array_except(F.array_distinct(kept), contexts)
+    return F.array_except(F.array_distinct(F.transform(pieces, collapse_space)), contexts)
 
 
 def extract_pay(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -45,3 +45,19 @@ def test_marks_of_the_input_do_not_shift_contexts(spark):
     frame = spark.createDataFrame([("Base\u0001 salary is $100,000 - $120,000 per year.",)], "text string")
     found = frame.select(P.pay_ranges(F.col("text")).alias("r")).first()["r"]
     assert [r["context"] for r in found] == ["Base salary is $100,000 - $120,000 per year."]
+
+
+def test_white_space_between_words_is_not_searched_from_each_of_its_characters(rows):
+    began = time.time()
+    assert rows("x string", [("a" + " " * 300_000 + "b",)], F.length(T.strip(F.col("x")))) == [300_002]
+    assert rows("x string", [("a" + "\t " * 150_000 + "b",)], T.collapse_space(F.col("x"))) == ["a b"]
+    assert time.time() - began < 10
+
+
+def test_strip_and_collapse_are_the_plain_patterns(rows):
+    marks = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    data = [(f"{m}a{m}b {m}c  d{m}",) for m in marks] + [("",), (None,), (" \u3000\n",), ("a\n",), ("\r\na\u2028",)]
+    plain = F.regexp_replace(F.col("x"), r"(?U)^\s+|\s+$", "")
+    assert rows("x string", data, T.strip(F.col("x"))) == rows("x string", data, plain)
+    joined = F.regexp_replace(F.regexp_replace(F.col("x"), r"(?U)\s+", " "), r"(?U)^\s+|\s+$", "")
+    assert rows("x string", data, T.collapse_space(F.col("x"))) == rows("x string", data, joined)
