@@ -282,6 +282,47 @@ def test_a_batch_touches_its_own_resources_and_timers_let_them_expire(spark, tmp
     assert {r["key"]["resource"] for r in held.collect()} <= {"x7", "other"}
 
 
+class _Counted:
+    """A handle with one value state that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def getValueState(self, *_):
+        return self
+
+    def registerTimer(self, _):
+        self.calls.append("timer")
+
+    def getCurrentWatermarkInMs(self):
+        return 10_000_000
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+
+def test_a_resource_costs_one_read_and_one_write_a_batch():
+    handle, tracker = _Counted(), lease.LeaseTracker(lease.LEASE_TTL, lease.BLOCK_TTL)
+    tracker.init(handle)
+    events = [{"ts": 1000 + i, "seq": i, "action": "lease", "token": "k"} for i in range(5)]
+    for _ in range(2):
+        handle.calls.clear()
+        list(tracker.handleInputRows(("s", "x"), events, handle))
+        assert sorted(handle.calls) == ["get", "timer", "update"]
+    handle.calls.clear()
+    list(tracker.handleExpiredTimer(("s", "x"), handle, None))
+    assert handle.calls == ["get", "clear"] and handle.value is None
+
+
 def test_lease_summary_steps_are_the_batch_rules(spark):
     rng = random.Random(9)
     events = [("s", f"x{i % 40}", 1000 + i * 25, i, rng.choice(["enqueue", "lease", "return", "block"]), rng.choice(["a", "b", None]))
