@@ -13,7 +13,9 @@ at J = 0.75 that is 2 * (1 - 0.75 ** 2) ** 14, about 2 in 100,000, and less for
    component has too matter; sets that share all of these are a crowd, say around one passage, which its smallest set stands
    for. Crowds are joined by their first shingles: in one order, rare ones first by their exact counts, two sets that are similar
    enough share a shingle among the first seventh of the smaller and the first quarter of the larger one, at places that leave
-   room for the rest. A member of a crowd is then compared by its size alone, so no pairs inside a crowd are formed.
+   room for the rest. Each crowd first meets one hub per shingle, the crowd that shares most with all others; the pairs that no
+   link has brought together by then are all compared. A member of a crowd is compared by its size alone, so no pairs inside a
+   crowd are formed.
 5. A pair is a link only after its full sets, or all that they can share, have been compared; components are labels that spread
    over the links.
 
@@ -163,13 +165,14 @@ def _shared_parts(sets: DataFrame) -> DataFrame:
     )
 
 
-def _first_meetings(crowds: DataFrame) -> DataFrame:
-    """(x, y): pairs of crowds that share a shingle among the first ones of both, rare ones first.
+def _postings(crowds: DataFrame) -> DataFrame:
+    """(shingle, often, crowd, n, place, index, weight): the first shingles of each crowd, rare ones first.
 
-    Shingles of a passage are in the same crowds. The first of all shingles that are in the same crowds stands for them: it comes
-    before the others in every set, so a pair that meets in one of them meets in it.
+    Two crowds that are similar enough share one of them, marked ``index`` in the smaller one. Shingles of a passage are in the
+    same crowds. The first of all shingles that are in the same crowds stands for them: it comes before the others in every
+    set, so a pair that meets in one of them meets in it. ``weight`` is what a crowd shares with all others, by its size.
     """
-    rows = crowds.select("crowd", "least", "one", F.size("part").alias("size"), F.explode("part").alias("shingle"))
+    rows = crowds.select("crowd", "least", F.size("part").alias("size"), F.explode("part").alias("shingle"))
     often = _stored(rows.groupBy("shingle").agg(
         F.count("*").alias("often"), F.bit_xor(F.xxhash64("crowd")).alias("these"),
         F.bit_xor(F.xxhash64("crowd", F.lit(SEED))).alias("too"),
@@ -177,27 +180,62 @@ def _first_meetings(crowds: DataFrame) -> DataFrame:
     leads = often.where("often > 1").groupBy("often", "these", "too").agg(F.min("shingle").alias("shingle"))
     often = often.select("shingle", "often")
     order = rows.join(often, "shingle").groupBy("crowd").agg(
-        F.first("least").alias("n"), F.first("one").alias("one"), F.first("size").alias("size"),
+        F.first("least").alias("n"), F.first("size").alias("size"), (F.sum("often") / F.first("least")).alias("weight"),
         F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("order"),
     )
     # Shingles that no other label has come before all others and meet nothing.
-    placed = order.select("crowd", "n", "one", "size", F.posexplode("order").alias("at", "entry")).select(
-        "crowd", "n", "one", F.col("entry.shingle").alias("shingle"), F.col("entry.often").alias("often"),
+    placed = order.select("crowd", "n", "size", "weight", F.posexplode("order").alias("at", "entry")).select(
+        "crowd", "n", "weight", F.col("entry.shingle").alias("shingle"), F.col("entry.often").alias("often"),
         (F.col("at") + F.col("n") - F.col("size")).alias("place"),
     )
     probe = F.expr(f"n - cast(ceil({PERCENT} * n / 100) AS int) + 1")
     index = F.expr(f"n - cast(ceil({2 * PERCENT} * n / {100 + PERCENT}) AS int) + 1")
-    postings = _stored(
+    return _stored(
         placed.where((F.col("often") > 1) & (F.col("place") < probe)).withColumn("index", F.col("place") < index).join(
             leads.select("shingle"), "shingle", "left_semi"
         ), "postings"
     )
+
+
+def _salts():
+    """(the salt of one row, a row for each salt) of a shingle."""
     salts = F.least(F.expr(f"cast(often div {HOT} AS int) + 1"), F.lit(MOST_SALTS))
-    y = postings.select("shingle", F.pmod(F.xxhash64("crowd"), salts).cast("int").alias("salt"), F.col("crowd").alias("y"),
-                        F.col("one").alias("y_one"), F.col("n").alias("y_n"), F.col("place").alias("y_place"))
-    x = postings.where("index").select(
-        "shingle", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("crowd").alias("x"),
-        F.col("one").alias("x_one"), F.col("n").alias("x_n"), F.col("place").alias("x_place"))
+    return F.pmod(F.xxhash64("crowd"), salts).cast("int"), F.explode(F.sequence(F.lit(0), salts - 1))
+
+
+def _with_facts(postings: DataFrame, facts: DataFrame) -> DataFrame:
+    """Each posting with what ``facts`` (shingle, often, ...) holds on its shingle, if anything."""
+    dealt, everywhere = _salts()
+    each = facts.select("*", everywhere.alias("salt")).drop("often")
+    return postings.withColumn("salt", dealt).join(each, ["shingle", "salt"]).drop("salt")
+
+
+def _with_hubs(postings: DataFrame) -> DataFrame:
+    """(x, y): each crowd with the crowd of its shingle that shares most with all others: one pair a posting at most."""
+    hubs = postings.groupBy("shingle", "often").agg(F.max(F.struct("weight", "crowd", "n", "one")).alias("hub"))
+    size = 100 * F.least("n", "hub.n") >= PERCENT * F.greatest("n", "hub.n")
+    other = F.col("one").isNull() | F.col("hub.one").isNull() | (F.col("one") != F.col("hub.one"))
+    met = _with_facts(postings, hubs).where((F.col("crowd") != F.col("hub.crowd")) & size & other)
+    return met.select(F.col("hub.crowd").alias("x"), F.col("crowd").alias("y")).distinct()
+
+
+def _first_meetings(postings: DataFrame) -> DataFrame:
+    """(x, y): pairs of crowds, not of one and the same label, that share a shingle among the first ones of both.
+
+    Crowds of the most frequent label of a shingle have nothing to add to each other, so only the others meet all.
+    """
+    sizes = postings.groupBy("shingle", "often", "one").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("shingle", "often").agg(
+        F.max(F.when(F.col("one").isNotNull(), F.struct("size", "one"))).alias("main"), F.sum("size").alias("all")
+    ).where("main IS NULL OR main.size < all")
+    apart = ~F.coalesce(F.col("one") == F.col("main.one"), F.lit(False))
+    rows = _stored(_with_facts(postings, mixed).withColumn("apart", apart).drop("main", "all"), "meetings")
+    dealt, everywhere = _salts()
+
+    def side(of: DataFrame, salt, name: str) -> DataFrame:
+        return of.select("shingle", salt.alias("salt"), F.col("crowd").alias(name), F.col("one").alias(f"{name}_one"),
+                         F.col("n").alias(f"{name}_n"), F.col("place").alias(f"{name}_place"))
+
     ahead = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x") < F.col("y")))
     # At the first common shingle of a pair, so many can be common at most.
     common = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
@@ -205,25 +243,14 @@ def _first_meetings(crowds: DataFrame) -> DataFrame:
     # Two crowds of one and the same label have nothing to add.
     other = F.col("x_one").isNull() | F.col("y_one").isNull() | (F.col("x_one") != F.col("y_one"))
     possible = other & ahead & (100 * F.col("x_n") >= PERCENT * F.col("y_n")) & enough
-    return x.join(y, ["shingle", "salt"]).where(possible).select("x", "y").distinct()
+    apart, key = rows.where("apart"), ["shingle", "salt"]
+    first = side(apart.where("index"), everywhere, "x").join(side(rows, dealt, "y"), key).where(possible)
+    second = side(rows.where("index AND NOT apart"), dealt, "x").join(side(apart, everywhere, "y"), key).where(possible)
+    return first.select("x", "y").unionByName(second.select("x", "y")).distinct()
 
 
-def _rest(sets: DataFrame) -> DataFrame:
-    """(x, y): links that join all components of ``sets`` (id, digest, label, members) that are similar enough; exact.
-
-    Two sets of different labels share what their parts share. Sets with equal parts are a crowd, and the smallest set of a
-    crowd stands for it: whatever links with a larger one links with the smallest, so a member only needs the crowd that
-    lets the largest sets in.
-    """
-    parts = _stored(_shared_parts(sets).withColumn("crowd", F.md5(F.concat_ws(",", F.col("part").cast("array<string>")))), "parts")
-    crowds = _stored(parts.groupBy("crowd").agg(
-        F.min(F.struct("n", "id")).alias("first"), F.first("part").alias("part"), F.min("label").alias("low"),
-        F.max("label").alias("high"),
-    ).select(
-        "crowd", "part", F.col("first.n").alias("least"), F.col("first.id").alias("centre"),
-        F.when(F.col("low") == F.col("high"), F.col("low")).alias("one"),
-    ), "crowds")
-    pairs = _first_meetings(crowds)
+def _crowd_links(pairs: DataFrame, crowds: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """(x, y): links inside crowds and between those of ``pairs``."""
     side = crowds.select("crowd", "centre", "least", "part")
     both = pairs.join(side.toDF("x", "x_centre", "x_least", "x_part"), "x").join(
         side.toDF("y", "y_centre", "y_least", "y_part"), "y"
@@ -232,7 +259,7 @@ def _rest(sets: DataFrame) -> DataFrame:
     met = _stored(both.where("x_least + y_least <= most").select(
         "x", "y", "x_centre", "y_centre", (F.col("most") - F.col("y_least")).alias("x_room"),
         (F.col("most") - F.col("x_least")).alias("y_room"),
-    ), "crowd-links")
+    ), f"{name}-met")
     own = side.select(
         "crowd", F.expr(f"{100 + PERCENT} * size(part) div {PERCENT} - least").alias("room"), F.col("centre").alias("of")
     )
@@ -243,7 +270,37 @@ def _rest(sets: DataFrame) -> DataFrame:
         F.col("id").alias("x"), F.col("best.of").alias("y")
     )
     centres = met.select(F.col("x_centre").alias("x"), F.col("y_centre").alias("y"))
-    return centres.unionByName(members).distinct()
+    return _stored(centres.unionByName(members).distinct(), name)
+
+
+def _rest(sets: DataFrame) -> DataFrame:
+    """(x, y): links that join all components of ``sets`` (id, digest, label, members) that are similar enough; exact.
+
+    Two sets of different labels share what their parts share. Sets with equal parts are a crowd, and the smallest set of a
+    crowd stands for it: whatever links with a larger one links with the smallest, so a member only needs the crowd that
+    lets the largest sets in. Links with the hubs of shingles join most labels first, at a cost in proportion to the shingles;
+    the pairs of what is still apart are then compared, all of them.
+    """
+    parts = _stored(_shared_parts(sets).withColumn("crowd", F.md5(F.concat_ws(",", F.col("part").cast("array<string>")))), "parts")
+    crowds = _stored(parts.groupBy("crowd").agg(F.min(F.struct("n", "id")).alias("first"), F.first("part").alias("part")).select(
+        "crowd", "part", F.col("first.n").alias("least"), F.col("first.id").alias("centre")
+    ), "crowds")
+    postings = _postings(crowds)
+    labels = parts.select("crowd", "id", "label")
+
+    def labelled(labels: DataFrame) -> DataFrame:
+        """The postings with the label that all members of the crowd have, if they have one."""
+        ones = labels.groupBy("crowd").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low = high")
+        return postings.join(ones.select("crowd", F.col("low").alias("one")), "crowd", "left")
+
+    near = _crowd_links(_with_hubs(labelled(labels)), crowds, parts, "links-hubs")
+    label_of = labels.select("id", "label").distinct()
+    joined = near.join(label_of.toDF("x", "x_label"), "x").join(label_of.toDF("y", "y_label"), "y").where("x_label <> y_label")
+    moved = _components(joined.select(F.col("x_label").alias("x"), F.col("y_label").alias("y")))
+    labels = _stored(labels.join(moved.toDF("label", "onward"), "label", "left").select(
+        "crowd", "id", F.coalesce("onward", "label").alias("label")), "labels-hubs")
+    far = _crowd_links(_first_meetings(labelled(labels)), crowds, parts, "links-apart")
+    return near.unionByName(far).distinct()
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:

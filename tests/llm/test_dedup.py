@@ -97,6 +97,46 @@ def test_near_dedup_two_of_a_hot_passage(spark):
     assert got == {i: 611 if i == 742 else i for i in range(900)}
 
 
+def meeting(crowds, n=100):
+    """Postings of one shingle: (crowd, label or null)."""
+    return [("s", 9, c, n, 0, True, float(i), one) for i, (c, one) in enumerate(crowds)]
+
+
+def test_near_dedup_pairs_grow_with_the_postings(spark):
+    """Crowds of one label meet no longer, all others do, and a hub meets each crowd once."""
+    crowds = [(f"m{i:03}", 1) for i in range(300)] + [("a", 2), ("b", 3), ("c", None), ("d", None)]
+    schema = "shingle string, often long, crowd string, n int, place int, index boolean, weight double, one long"
+    postings = spark.createDataFrame(meeting(crowds), schema)
+    hubs = {(r.x, r.y) for r in near_dedup._with_hubs(postings).collect()}
+    assert hubs == {("d", c) for c, _ in crowds if c != "d"}
+    pairs = [(r.x, r.y) for r in near_dedup._first_meetings(postings).collect()]
+    wanted = {tuple(sorted((a, b))) for a, p in crowds for b, q in crowds if a != b and (p is None or q is None or p != q)}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == wanted
+    assert near_dedup._first_meetings(spark.createDataFrame(meeting(crowds[:300]), schema)).collect() == []
+
+
+def test_near_dedup_crowd_around_a_hub(spark, monkeypatch):
+    """Near copies of one text that are rarely near to each other: most of them are joined by hubs, not pair by pair."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        copy = list(base)
+        for k in rng.sample(range(200), 4 + i % 3):
+            copy[k] = f"x{rng.randrange(3)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(base[: 120 + i % 7] + [f"t{i % 5}_{j}" for j in range(80)])) for i in range(30)]
+    compared, meet = [], near_dedup._first_meetings
+
+    def counted(postings):
+        compared.append((postings.count(), (pairs := meet(postings)).count()))
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_first_meetings", counted)
+    same(rows_of(near_dedup.components(frame(spark, rows))), brute.near(rows))
+    assert all(pairs <= postings for postings, pairs in compared) and sum(p for p, _ in compared)
+
+
 def test_kept_documents(odd):
     rows, df = odd
     kept = near_dedup.keep_first(df)
