@@ -44,11 +44,11 @@ END_ID = 0
 MAGIC, VERSION = b"CMID", 1
 BLOCK_IDS = 2048
 # A shard of usual texts is one file, so its blocks are coded side by side in one go.
-FILE_IDS = 6 << 20
+FILE_IDS = 8 << 20
 SHARD_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
 # What a worker keeps of earlier texts: pieces, their letters, and ids.
-CACHED_PIECES, CACHED_LETTERS, CACHED_IDS = 300_000, 8 << 20, 2 << 20
+CACHED_PIECES, CACHED_LETTERS, CACHED_IDS = 500_000, 8 << 20, 2 << 20
 ONE_BITS, TWO_BITS = 8, 9
 STEP, MOST_WEIGHT, CLASS_STEP = 24, 4000, 24
 # Up to here the counts of classes fit 16 bits.
@@ -59,6 +59,18 @@ _LOW = np.uint64((1 << 32) - 1)
 _32 = np.uint64(32)
 _CONF = 24
 _ID = np.int32((1 << _CONF) - 1)
+_SLOTS = (1 << ONE_BITS) + (1 << TWO_BITS)
+# By whether a prediction was right.
+_CONF_STEPS = np.array([-1, 1], dtype=np.int32)
+# Three weights in a word, those of order 2, 1 and 0 from the lowest bits on.
+_FIELD = 20
+_U_FIELD, _U_FIELD_2 = np.uint64(_FIELD), np.uint64(2 * _FIELD)
+_FIELD_MASK = np.uint64((1 << _FIELD) - 1)
+# Halved weights: the lowest bit of a field falls into the one below.
+_FIELD_MASKS = np.uint64(sum((1 << _FIELD - 1) - 1 << k * _FIELD for k in range(3)))
+_FIELD_ONES = np.uint64(sum(1 << k * _FIELD for k in range(3)))
+# By order 2 right, plus twice order 1 right.
+_GAINS = np.array([STEP << 2 * _FIELD, STEP, STEP << _FIELD, STEP | STEP << _FIELD], dtype=np.uint64)
 
 
 def class_table() -> np.ndarray:
@@ -85,81 +97,104 @@ def split_ids(ids: np.ndarray, classes: int):
 
 
 class _Blocks:
-    """Models and coder states of blocks that are coded side by side."""
+    """Models and coder states of blocks that are coded side by side.
+
+    Order 1 and 2 are two rows of one array, indexes are 64 bits wide and weights lie three to a word: a step's cost is in its
+    calls and its accesses by index.
+    """
 
     def __init__(self, lanes: int, classes: int):
-        self.rows = np.arange(lanes, dtype=np.int32)
-        self.one = np.zeros(lanes << ONE_BITS, dtype=np.int32)
-        self.two = np.zeros(lanes << TWO_BITS, dtype=np.int32)
-        self.weights = [np.full(lanes * 16, w, dtype=np.int32) for w in (4, 4, 8)]
+        # The slots of a block's order-1 and order-2 contexts.
+        self.table = np.zeros(lanes * _SLOTS, dtype=np.int32)
+        self.weights = np.full(lanes << 4, 4 | 4 << _FIELD | 8 << 2 * _FIELD, dtype=np.uint64)
         # Cumulative counts, one row per class; all blocks have the same total.
         self.upto = np.repeat(np.arange(classes + 1, dtype=np.uint16)[:, None], lanes, axis=1)
-        self.names = np.arange(classes + 1, dtype=np.uint8)[:, None]
+        self.names = np.arange(classes + 1, dtype=np.int16)[:, None]
         self.total = classes
         self.last, self.before = np.zeros(lanes, dtype=np.int32), np.zeros(lanes, dtype=np.int32)
         self.low = np.zeros(lanes, dtype=np.uint64)
         self.range = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
         self.at = np.zeros(lanes, dtype=np.int64)
-        self.lane_bits = (self.rows << ONE_BITS, self.rows << TWO_BITS, self.rows << 4)
+        self._size(lanes)
+
+    def _size(self, lanes: int) -> None:
+        self.lanes = lanes
+        rows = np.arange(lanes, dtype=np.int64)
+        # A block's column in one row of an array of blocks, and in the next.
+        self.columns = np.stack([rows, rows + lanes])
+        self.slots = np.stack([rows * _SLOTS, rows * _SLOTS + (1 << ONE_BITS)])
+        self.sets = rows << 4
+        # Where the outcomes begin: order 2, order 1, order 0, and the end.
+        self.bounds = np.zeros((4, lanes), dtype=np.uint64)
+        self.above = np.empty(self.upto.shape, dtype=np.int16)
 
     def trim(self, lanes: int) -> None:
         """Only the first blocks have one more id."""
-        for name in ("rows", "last", "before", "low", "range", "at"):
+        for name in ("last", "before", "low", "range", "at"):
             setattr(self, name, getattr(self, name)[:lanes])
         self.upto = np.ascontiguousarray(self.upto[:, :lanes])
-        self.lane_bits = tuple(x[:lanes] for x in self.lane_bits)
+        self._size(lanes)
 
     def predict(self) -> None:
-        one, two, four = self.lane_bits
-        self.i1 = one + ((self.last * _HASH[0] >> 12) & ((1 << ONE_BITS) - 1))
-        self.i2 = two + ((self.last * _HASH[1] + self.before * _HASH[2] >> 14) & ((1 << TWO_BITS) - 1))
-        self.e1, self.e2 = self.one[self.i1], self.two[self.i2]
-        self.p1, self.p2 = self.e1 & _ID, self.e2 & _ID
-        self.c1, self.c2 = self.e1 >> _CONF, self.e2 >> _CONF
-        self.w = four + (self.c2 << 2) + self.c1
-        self.a, self.b, self.c = [w[self.w] for w in self.weights]
-        agree = self.p1 == self.p2
-        self.m2 = self.a + self.b * agree
-        self.whole = self.a + self.b + self.c
-        # Where the order-0 model begins.
-        self.m21 = self.a + self.b
+        self.place = self.slots.copy()
+        self.place[0] += (self.last * _HASH[0] >> 12) & ((1 << ONE_BITS) - 1)
+        self.place[1] += (self.last * _HASH[1] + self.before * _HASH[2] >> 14) & ((1 << TWO_BITS) - 1)
+        entries = self.table[self.place]
+        self.ids, self.conf = entries & _ID, entries >> _CONF
+        self.set = self.sets + ((self.conf[1] << 2) + self.conf[0])
+        self.w = self.weights[self.set]
+        a, b, c = self.w & _FIELD_MASK, (self.w >> _U_FIELD) & _FIELD_MASK, self.w >> _U_FIELD_2
+        _, m2, m21, whole = self.bounds
+        # Predictions that agree add up.
+        np.add(a, b * (self.ids[0] == self.ids[1]), out=m2)
+        np.add(a, b, out=m21)
+        np.add(m21, c, out=whole)
+
+    def narrow(self, part: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        """Take the share of the outcome (0, 1: predicted by order 2, 1; 2: by neither); returns its places in ``bounds``."""
+        places = self.columns + outcome * np.int64(self.lanes)
+        start, end = self.bounds.reshape(-1)[places]
+        self.low += part * start
+        self.range = part * (end - start)
+        return places[0]
 
     def learn(self, ids: np.ndarray, classes: np.ndarray) -> None:
-        right1, right2 = ids == self.p1, ids == self.p2
-        wrong = ~(right1 | right2)
-        over = self.whole > MOST_WEIGHT - 2 * STEP
-        for store, value, hit in zip(self.weights, (self.a, self.b, self.c), (right2, right1, wrong)):
-            store[self.w] = (value + hit * np.int32(STEP) >> over) | 1
-        for table, place, entry, conf, right in (
-            (self.one, self.i1, self.e1, self.c1, right1), (self.two, self.i2, self.e2, self.c2, right2)
-        ):
-            kept = entry + np.where(right, (conf < 3) * np.int32(1 << _CONF), np.int32(-(1 << _CONF)))
-            table[place] = np.where(right | (conf > 0), kept, ids)
-        above = (self.names > classes).view(np.uint8).astype(np.uint16)
-        above *= CLASS_STEP
-        self.upto += above
+        off, known, conf = ids - self.ids, self.ids, self.conf
+        right = off == 0
+        bits = right.view(np.uint8)
+        weights = self.w + _GAINS[bits[1] + (bits[0] << 1)]
+        over = self.bounds[3] > np.uint64(MOST_WEIGHT - 2 * STEP)
+        self.weights[self.set] = ((weights >> _u(over)) & _FIELD_MASKS) | _FIELD_ONES
+        # An id with confidence 0 that proved wrong is replaced.
+        off *= conf == 0
+        off += known
+        conf += _CONF_STEPS[bits]
+        np.maximum(conf, 0, out=conf)
+        np.minimum(conf, 3, out=conf)
+        conf <<= _CONF
+        off += conf
+        self.table[self.place] = off
+        # -1 where the row's class is above, 0 elsewhere.
+        np.subtract(classes.astype(np.int16), self.names, out=self.above)
+        self.above >>= 15
+        self.above &= CLASS_STEP
+        self.upto += self.above.view(np.uint16)
         self.total += CLASS_STEP
         self.before, self.last = self.last, ids
 
     def counts(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        flat = self.upto.reshape(-1)
-        place = classes.astype(np.int64) * self.upto.shape[1] + self.rows
-        begin = flat[place]
-        return _u(begin), _u(flat[place + self.upto.shape[1]] - begin)
-
-    def narrow(self, start: np.ndarray, size: np.ndarray, part: np.ndarray) -> None:
-        self.low += part * start
-        self.range = part * size
+        begin, end = _u(self.upto.reshape(-1)[self.columns + classes * np.int64(self.lanes)])
+        return begin, end - begin
 
-    def settle(self) -> np.ndarray:
-        """Blocks whose range is short; a range across a word boundary is cut there."""
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """(blocks whose range is short, the words they are done with); a range across a word boundary is cut there."""
         short = np.flatnonzero(self.range < _WORD)
+        low, size = self.low[short], self.range[short]
         if len(short):
-            low, size = self.low[short], self.range[short]
-            across = (low >> _32) != ((low + size - np.uint64(1)) >> _32)
+            across = (low ^ (low + size - np.uint64(1))) >= _WORD
             self.range[short] = np.where(across, _WORD - (low & _LOW), size) << _32
             self.low[short] = low << _32
-        return short
+        return short, low >> _32
 
 
 def _u(x: np.ndarray) -> np.ndarray:
@@ -197,11 +232,11 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK_IDS):
     words = np.zeros((lanes, 128), dtype=np.uint32)
 
     def put() -> None:
-        high = model.low >> _32
-        short = model.settle()
+        short, done = model.settle()
         if len(short):
-            words[short, model.at[short]] = high[short]
-            model.at[short] += 1
+            at = model.at[short]
+            words.reshape(-1)[short * words.shape[1] + at] = done
+            model.at[short] = at + 1
 
     for step in range(long):
         if step == long - 1 and longer < lanes:
@@ -211,22 +246,20 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK_IDS):
         if step % 32 == 0 and words.shape[1] < int(model.at.max(initial=0)) + 66:
             words = np.concatenate([words, np.zeros_like(words)], axis=1)
         if step % 64 == 0:
-            split = split_ids(table[step : step + 64], classes)
-        now = table[step][: len(model.rows)]
-        kind, bits, rest = [x[step % 64][: len(now)] for x in split]
+            kinds, bits, rests = split_ids(table[step : step + 64], classes)
+            bits, rests = _u(bits), _u(rests)
+        now = table[step][: model.lanes]
+        kind, bit, rest = [x[step % 64][: model.lanes] for x in (kinds, bits, rests)]
         model.predict()
-        hit2 = now == model.p2
-        hit1 = (now == model.p1) & ~hit2
-        literal = ~(hit1 | hit2)
-        start = np.where(hit2, 0, np.where(hit1, model.m2, model.m21))
-        size = np.where(hit2, model.m2, np.where(hit1, model.b, model.c))
-        model.narrow(_u(start), _u(size), model.range // _u(model.whole))
+        literal, wrong2 = now != model.ids
+        literal &= wrong2
+        model.narrow(model.range // model.bounds[3], wrong2.view(np.uint8) + literal.view(np.uint8))
         put()
         begin, count = model.counts(kind)
         part = model.range // np.uint64(model.total)
-        size = (part * count) >> _u(bits)
-        model.low += (part * begin + size * _u(rest)) * literal
-        model.range = np.where(literal, size, model.range)
+        size = (part * count) >> bit
+        model.low += (part * begin + size * rest) * literal
+        np.copyto(model.range, size, where=literal)
         put()
         model.learn(now, kind)
     low, at = model.low, model.at
@@ -255,42 +288,45 @@ def decode_ids(classes: int, blocks: list[tuple[int, bytes]]) -> np.ndarray:
     code = (words[:, 0] << _32) | words[:, 1]
     model.at += 2
     table = np.zeros((long, lanes), dtype=np.int32)
-    class_bits = np.array([0 if k < 8 else (k - 8) // 4 + 1 for k in range(classes)], dtype=np.int32)
+    class_bits = np.array([0 if k < 8 else (k - 8) // 4 + 1 for k in range(classes)], dtype=np.uint64)
     class_base = np.array([k if k < 8 else (4 | (k - 8) & 3) << (k - 8) // 4 + 1 for k in range(classes)], dtype=np.int32)
 
+    found = np.empty((3, lanes), dtype=np.int32)
+
     def take() -> None:
-        short = model.settle()
+        short, _ = model.settle()
         if len(short):
-            code[short] = (code[short] << _32) | words[short, np.minimum(model.at[short], width - 1)]
-            model.at[short] += 1
+            at = model.at[short]
+            code[short] = (code[short] << _32) | words.reshape(-1)[short * width + np.minimum(at, width - 1)]
+            model.at[short] = at + 1
 
     for step in range(long):
         if step == long - 1 and longer < lanes:
             model.trim(longer)
             code = code[:longer]
+            found = np.empty((3, longer), dtype=np.int32)
         model.predict()
-        part = model.range // _u(model.whole)
-        found = ((code - model.low) // part).astype(np.int32)
-        hit2 = found < model.m2
-        literal = found >= model.m21
-        start = np.where(hit2, 0, np.where(literal, model.m21, model.m2))
-        size = np.where(hit2, model.m2, np.where(literal, model.c, model.b))
-        model.narrow(_u(start), _u(size), part)
+        part = model.range // model.bounds[3]
+        behind = code - model.low
+        wrong2, literal = behind >= model.bounds[1] * part, behind >= model.bounds[2] * part
+        places = model.narrow(part, wrong2.view(np.uint8) + literal.view(np.uint8))
         take()
         part = model.range // np.uint64(model.total)
-        behind = np.minimum((code - model.low) // part, np.uint64(model.total - 1)).astype(np.uint16)
-        kind = np.add.reduce((model.upto[1:] <= behind).view(np.uint8), axis=0, dtype=np.uint8)
+        behind = code - model.low
+        share = np.minimum(behind // part, np.uint64(model.total - 1)).astype(np.uint16)
+        kind = np.add.reduce((model.upto[1:] <= share).view(np.uint8), axis=0, dtype=np.uint8)
         begin, count = model.counts(kind)
-        bits = class_bits[kind]
-        size = (part * count) >> _u(bits)
-        base = model.low + part * begin
-        rest = ((code - base) // np.maximum(size, np.uint64(1))).astype(np.int32)
-        model.low = np.where(literal, base + size * _u(rest), model.low)
-        model.range = np.where(literal, size, model.range)
+        size = (part * count) >> class_bits[kind]
+        base = part * begin
+        rest = (behind - base) // np.maximum(size, np.uint64(1))
+        model.low += (base + size * rest) * literal
+        np.copyto(model.range, size, where=literal)
         take()
-        now = np.where(literal, class_base[kind] + rest, np.where(hit2, model.p2, model.p1))
+        found[0], found[1] = model.ids[1], model.ids[0]
+        np.add(class_base[kind], rest.astype(np.int32), out=found[2])
+        now = found.reshape(-1)[places]
         # The class of an id that was predicted.
-        kind = np.where(literal, kind, class_of(now, classes))
+        kind = class_of(now, classes)
         table[step, : len(now)] = now
         model.learn(now, kind)
     flat = table.T
@@ -378,10 +414,12 @@ class PieceIds:
     def _slots(self, pieces: list[str]) -> np.ndarray:
         """Places of the pieces in the store; unknown ones are encoded."""
         known = self.known
-        if known.make_room(len(pieces)) or self.letters > CACHED_LETTERS or len(self.flat) > CACHED_IDS:
-            self._forget()
         slots = np.fromiter(map(known.get, pieces, itertools.repeat(-1)), dtype=np.int64, count=len(pieces))
         fresh = np.flatnonzero(slots < 0)
+        # Only unknown pieces need room.
+        if len(fresh) and (known.make_room(len(fresh)) or self.letters > CACHED_LETTERS or len(self.flat) > CACHED_IDS):
+            self._forget()
+            fresh = np.arange(len(pieces))
         if len(fresh):
             new = [pieces[i] for i in fresh.tolist()]
             flat, sizes = self._encode(new)

@@ -108,6 +108,25 @@ def test_round_trip_of_blocks(block):
     assert sum(len(p) for _, p in id_files.encode_ids(np.tile(rng.integers(0, 50257, 20), 200), 2048)[1]) < 4000
 
 
+def test_known_pieces_need_no_room():
+    encode = id_files.PieceIds(public_tokenizers.path("byte_bpe_50k.json"))
+    encode.known = pieces.Bounded(10)
+    asked, library = [], encode._encode
+    encode._encode = lambda new: asked.extend(new) or library(new)
+    text = "one two three four five six seven"
+    for _ in range(2):
+        assert encode([text])[0].tolist() == [*BYTE.encode(text, add_special_tokens=False).ids, id_files.END_ID]
+    assert sorted(asked) == sorted(set(asked))
+    # Unknown ones that do not fit start the cache again, with what is known of them.
+    more = text + " eight nine ten eleven"
+    assert encode([more])[0].tolist() == [*BYTE.encode(more, add_special_tokens=False).ids, id_files.END_ID]
+
+
+def test_a_usual_shard_is_one_file():
+    # Ids of usual texts are 0.42 a byte; a small second file costs a task nearly as many steps as the first.
+    assert id_files.FILE_IDS >= 0.45 * id_files.SHARD_BYTES
+
+
 def test_damaged_files_are_noticed():
     ids = np.arange(3000) % 977
     data = id_files.write_file([4, None], np.array([2000, 1000]), ids)
