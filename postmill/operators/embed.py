@@ -25,7 +25,7 @@ MODEL_BYTES = 1 << 20
 def embed(docs: DataFrame, load_model: Callable[[], Model], key: str) -> DataFrame:
     """(key, embedding): ``load_model`` runs once per task and the model gets ``MODEL_BYTES`` of text at a time, or one longer text.
 
-    A blank text has an empty vector.
+    A blank text has an empty vector. Bytes that are no UTF-8 reach the model as replacement characters.
     """
     schema = T.StructType([docs.schema[key], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
@@ -41,7 +41,7 @@ def embed(docs: DataFrame, load_model: Callable[[], Model], key: str) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [part.column(key), pa.array(vectors, pa.list_(pa.float64()))], names=[key, "embedding"])
 
-    return docs.select(key, "text").mapInArrow(run, schema)
+    return docs.select(key, F.make_valid_utf8("text").alias("text")).mapInArrow(run, schema)
 
 
 def hashed_embeddings(docs: DataFrame, dims: int = 384) -> DataFrame:

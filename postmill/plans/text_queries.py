@@ -401,7 +401,8 @@ def hashed_embeddings(spark, sf):
 def embed_with_model(spark, sf):
     docs = V.texts(spark, sf)
     embedded = E.embed(docs, _length_model, "id")
-    return embedded.select("id", F.col("embedding")[0].alias("chars"), F.size("embedding").alias("dims"))
+    # A blank text has an empty vector: no characters to show, no dimensions.
+    return embedded.select("id", F.get("embedding", F.lit(0)).alias("chars"), F.size("embedding").alias("dims"))
 
 
 def _length_model():
